@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import mix_report
 from .near_dup import near_duplicates
 from .tables import table
+from .token_counts import token_counts
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -41,5 +53,28 @@ links AS (SELECT x, y FROM shared JOIN counts p ON p.doc_id = x JOIN counts q ON
 """ + _COMPONENTS + """
 SELECT s.doc_id, any_value(n) AS n_shingles, min(component) AS component_id, s.doc_id = min(component) AS kept
 FROM sized s JOIN reach ON id = s.doc_id GROUP BY s.doc_id
+""",
+    "op9_mixing": r"""
+WITH held AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size FROM documents),
+classed AS (
+  SELECT *, CASE WHEN size < 16 THEN size ELSE length(bin(size)) * 16 + (size >> (length(bin(size)) - 4)) END AS class,
+    coalesce(((doc_id % 64) + 64) % 64, 0) AS salt FROM held),
+sizes AS (
+  SELECT source, sum(size)::double AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM held GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][((place - 1) % 3 + 1)::int]::double AS weight, source_size * 2 AS cap FROM sizes),
+filled AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::double - coalesce(sum(cap) OVER f, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER f, 0)) AS share
+  FROM weighed WINDOW f AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, place, source_size, coalesce(least(cap, weight * (
+    SELECT arg_min(g.share, (g.cap / g.weight, g.place)) FROM filled g WHERE g.share < g.cap / g.weight)), cap) AS target FROM filled),
+numbered AS (
+  SELECT c.doc_id, c.size, t.source_size, t.target, (t.place * 0.6180339887498949::double) % 1 AS u,
+    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS e,
+    (row_number() OVER (PARTITION BY c.source ORDER BY class, salt, size, doc_id))::double AS r
+  FROM classed c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size::bigint AS source_size, target, (floor(u + e * r) - floor(u + e * (r - 1)))::bigint * size AS taken
+FROM numbered
 """,
 }
