@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .license_scan import license_scan
 from .mixing import mix_report
 from .near_dup import near_duplicates
+from .substring_dedup import substring_dedup
 from .tables import table
 from .token_counts import token_counts
 
@@ -27,6 +28,10 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("kept", "kept_sha256")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,20 @@ links AS (SELECT x, y FROM shared JOIN counts p ON p.doc_id = x JOIN counts q ON
 """ + _COMPONENTS + """
 SELECT s.doc_id, any_value(n) AS n_shingles, min(component) AS component_id, s.doc_id = min(component) AS kept
 FROM sized s JOIN reach ON id = s.doc_id GROUP BY s.doc_id
+""",
+    "op7_substring_dedup": r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h
+  FROM split WHERE len(w) >= 50),
+least AS (SELECT h, min(doc_id) AS m FROM windows GROUP BY h),
+hits AS (SELECT DISTINCT doc_id, i FROM windows JOIN least USING (h) WHERE doc_id > m),
+places AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM split),
+judged AS (
+  SELECT p.doc_id, p.p, word, (SELECT count(*) > 0 FROM hits h WHERE h.doc_id = p.doc_id AND h.i BETWEEN p.p - 49 AND p.p) AS gone FROM places p)
+SELECT s.doc_id, len(any_value(w))::bigint AS n_words, count(*) FILTER (gone) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM split s LEFT JOIN judged USING (doc_id) GROUP BY s.doc_id
 """,
     "op9_mixing": r"""
 WITH held AS (
