@@ -6,10 +6,12 @@ CHUNKS * (ERRORS + 1) symbols have a chunk with at most ERRORS differing symbols
 (the symbol sets that remain) are enumerated as keys, so every pair under that signature distance shares a key.
 At a similarity of 0.75 a pair has no common key with a probability of 0.262**12 = 1e-7, less above it.
 
-Pairs of a key are never all emitted. Equal sets collapse into one class first; then each class is held against the
-smallest class of its keys (the one it shares most keys with), on full sets; components of these links are formed;
-only keys that still hold several components are joined, across components, under the signature distance FAR,
-first one partner for each class and component, then all that is left. Links are always confirmed on full sets.
+Pairs are never emitted. Equal sets collapse into one class first. The rows of a key are streamed through one task, which
+walks from each class to the classes of the key within the signature distance FAR and emits one edge for each class it
+reaches; components of these edges are families: every pair that could be a link is inside one. Each family's full sets
+are then sent once to a task that walks the exact links the same way (counts of shared shingles from postings) and
+again emits one edge for each class reached. A family of over FAMILY shingles is dealt in blocks, and a task gets each pair
+of blocks, so that no task holds an unbounded group. Components of the exact edges are the result.
 
 Defined cases: null or wordless texts have no shingles, keep their own component and link with nothing; repeated rows
 of a doc_id are one node and each returns its row; rows with a null doc_id take the component of the class they belong
@@ -32,7 +34,8 @@ from .textkernels import blocks, mix, shingles, word_hashes
 
 CHUNKS, WIDTH, ERRORS = 12, 4, 1
 SYMBOLS = CHUNKS * WIDTH
-FAR = 30  # pairs that differ in more symbols are not confirmed: 6 deviations from the mean at a similarity of 0.75
+FAR = 29  # pairs that differ in more symbols are no candidates: over 5.5 deviations from the mean at a similarity of 0.75
+FAMILY = 4_000_000  # shingles of a block of a large family
 LANES = SYMBOLS // 4  # a signature is kept as longs of four 16-bit symbols
 _SEEDS = mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x51ED270B27F5C9A1))
 _MULTIPLY = (_SEEDS[:SYMBOLS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -84,77 +87,132 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(key), pa.array(rep)], names=["key", "rep"])
 
 
+def walk(n: int, near) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of 0..n-1; near(i, rest) says which of the places `rest` are adjacent to i."""
+    rest = np.arange(n)
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            i = queue.pop()
+            hit = near(i, rest)
+            new = rest[hit]
+            if len(new):
+                rest = rest[~hit]
+                yield from ((i, int(j)) for j in new)
+                queue.extend(new.tolist())
+
+
+def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The consecutive rows that agree in the keys; batches come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in keys], 1)
+        cuts = np.flatnonzero((columns[1:] != columns[:-1]).any(1)) + 1
+        if held and (columns[0] != last).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(np.append(0, cuts), np.append(cuts, batch.num_rows), strict=True):
+            if a and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = columns[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    x = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.record_batch([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+
+def _near(percent: int):
+    """Rows (key, rep, n, signature), by key: edges that join all classes of a key within FAR of each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int]] = []
+        for group in groups(batches, "key"):
+            rep, n = group["rep"].to_numpy(), group["n"].to_numpy()
+            signs = np.ascontiguousarray(np.stack([group[x].to_numpy() for x in _lanes()], 1)).view(np.uint16)
+
+            def near(i, rest):
+                sized = 100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest])
+                return sized & ((signs[rest] != signs[i]).sum(1) <= FAR)
+
+            out += [(int(rep[i]), int(rep[j])) for i, j in walk(len(rep), near)]
+            if len(out) > 50_000:
+                yield _edges(out)
+                out = []
+        yield _edges(out)
+
+    return run
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in blocks(batches):
             hashes, begin = shingles(*word_hashes(data, offsets, lower=True), k)
             rows = [np.unique(hashes[begin[i] : begin[i + 1]]).tobytes() for i in range(batch.num_rows)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["id", "members"])
+            yield pa.record_batch([batch.column("family"), batch.column("parts"), batch.column("doc_id"), pa.array(rows, pa.binary())], names=["family", "parts", "id", "members"])
 
     return run
 
 
+def exact_forest(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Edges that join all sets with 100 * shared >= percent * united, directly or through others."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    held = np.argsort(column, kind="stable")
+    posts, starts = owner[held], np.cumsum(counts) - counts
+    first = np.cumsum(sizes) - sizes
+
+    def near(i, rest):
+        own = column[first[i] : first[i] + sizes[i]]
+        own = own[counts[own] > 1]
+        n = counts[own]
+        at = np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(posts[at], minlength=len(sets))[rest]
+        return 100 * shared >= percent * (sizes[i] + sizes[rest] - shared)
+
+    return walk(len(sets), near)
+
+
 def _confirm(percent: int):
+    """Rows (family, x, y, id, members), by family and blocks: the edges of each group's exact forest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("one"), batch.column("two"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                shared = 0
-                if 100 * len(small) >= percent * len(large):
-                    at = np.searchsorted(large, small)
-                    shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for group in groups(batches, "family", "x", "y"):
+            ids = group["id"].to_numpy()
+            _, once = np.unique(ids, return_index=True)
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["members"].take(pa.array(once))]
+            yield _edges([(int(ids[once[i]]), int(ids[once[j]])) for i, j in exact_forest(sets, percent)])
 
     return run
 
 
-def _distance(a: str, b: str):
-    """The number of differing symbols of two signatures."""
-    same = []
-    for lane in _lanes():
-        x = F.col(f"{a}.{lane}").bitwiseXOR(F.col(f"{b}.{lane}"))
-        same += [F.when(F.shiftrightunsigned(x, 16 * j).bitwiseAND(F.lit(0xFFFF)) == 0, 0).otherwise(1) for j in range(4)]
-    return sum(same[1:], same[0])
-
-
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text); see the module's text."""
     marks = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign(k), "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"{x} long" for x in _lanes())))
     reps = staged(marks.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in _lanes())))
     keys = reps.select("rep", *_lanes()).mapInArrow(_keys, "key long, rep long")
-    shared = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre < last").drop("last")
-    dealt = staged(keys.join(shared, "key"))  # rows of keys with several classes
-    sets = staged(docs.select(F.col("doc_id").cast("long"), "text").join(dealt.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(k), "id long, members binary"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("one")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("two")), "b")
-        return both.select("a", "b", "one", "two").mapInArrow(_confirm(percent), "a long, b long")
-
-    best = dealt.filter("rep <> centre").groupBy("rep", "centre").count().groupBy("rep").agg(F.max(F.struct("count", (-F.col("centre")).alias("minus"))).alias("m"))
-    links = staged(confirmed(best.select(F.col("rep").alias("a"), (-F.col("m.minus")).alias("b"))))
-    spent = [sets, dealt]
-    for every in (False, True):
-        found = connected_components(links)
-        joined = dealt.select("key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = joined.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-        signed = staged(joined.join(mixed, "key").join(reps.select("rep", "n", *_lanes()), "rep"))
-        spent.append(signed)
-        a, b = signed.alias("a"), signed.alias("b")
-        near = (F.col("a.component") < F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & (_distance("a", "b") <= FAR)
-        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("b.component").alias("other"), _distance("a", "b").alias("d"))
-        if every:
-            pairs = pairs.select("a", "b").distinct()
-        else:
-            pairs = pairs.groupBy("a", "other").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        links = staged(links.union(confirmed(pairs)))
+    shared = keys.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select("key")
+    dealt = keys.join(shared, "key").join(reps.select("rep", "n", *_lanes()), "rep").repartition("key").sortWithinPartitions("key")
+    families = staged(connected_components(dealt.mapInArrow(_near(percent), "a long, b long")).withColumnRenamed("component", "family"))
+    sizes = families.join(reps.select(F.col("rep").alias("id"), "n"), "id").groupBy("family").agg(F.ceil(F.sum("n") / FAMILY).cast("int").alias("parts"))
+    owned = docs.select(F.col("doc_id").cast("long"), "text").join(families.join(sizes, "family").withColumnRenamed("id", "doc_id"), "doc_id")
+    sets = owned.mapInArrow(_sets(k), "family long, parts int, id long, members binary").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    paired = paired.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "members")
+    links = paired.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
     found = connected_components(links)
     member = reps.select("n", "h1", "h2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = marks.select("doc_id", "n", "h1", "h2").join(member, ["n", "h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = staged(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")))
-    for x in spent:
-        drop_staged(x)
+    drop_staged(families)
+    drop_staged(marks)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
