@@ -12,6 +12,11 @@ from .near_dup import near_duplicates
 from .substring_dedup import substring_dedup
 from .tables import table
 from .token_counts import token_counts
+from .url_filter import url_verdicts
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +55,41 @@ reach(id, component) AS (
 """
 
 SQL = {
+    "op1_url_filters": r"""
+WITH RECURSIVE rules(verdict, h, p) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+tags AS (
+  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE contains(url, '://')),
+targets AS (
+  SELECT url, CASE WHEN regexp_matches(tag, '(?is)^<link\b') AND regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical["''\s/>]')
+    THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1)
+    WHEN regexp_matches(tag, '(?is)^<meta\b') THEN regexp_extract(tag, '(?is)http-equiv\s*=\s*["'']?refresh["''\s][^>]*?url\s*=\s*["'']?([^"''>\s]+)', 1) END AS t FROM tags),
+full_targets AS (
+  SELECT url, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t
+    WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t END AS t FROM targets WHERE t <> ''),
+urls AS (SELECT DISTINCT url AS u FROM pages WHERE contains(url, '://') UNION SELECT t FROM full_targets WHERE t IS NOT NULL),
+named AS (
+  SELECT u, translate(regexp_extract(u, '(?s)^(.*?://[^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS head,
+    split_part(u, '#', 1) AS whole FROM urls),
+nodes AS (SELECT u, head || substr(whole, length(head) + 1) AS node FROM named),
+edges AS (
+  SELECT DISTINCT a.node AS a, b.node AS b FROM full_targets f JOIN nodes a ON a.u = f.url JOIN nodes b ON b.u = f.t WHERE a.node <> b.node),
+links AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(id, other) AS (SELECT DISTINCT node, node FROM nodes UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+parts AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
+fits AS (
+  SELECT DISTINCT s.host, s.path, h || p AS rule, verdict, length(h || p) AS n
+  FROM (SELECT host, path FROM parts UNION SELECT regexp_extract(node, '(?s)^.*?://([^/?#]*)', 1), regexp_extract(node, '(?s)^.*?://[^/?#]*([^?#]*)', 1) FROM nodes) s
+  JOIN rules ON (s.host = h OR ends_with(s.host, '.' || h)) AND starts_with(s.path, p)),
+best AS (SELECT host, path, arg_max(rule, n) AS rule, arg_max(verdict, n) AS verdict FROM fits GROUP BY ALL),
+spread AS (
+  SELECT id, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' WHEN bool_or(verdict = 'block') THEN 'block' END AS v
+  FROM reach JOIN best ON host = regexp_extract(other, '(?s)^.*?://([^/?#]*)', 1) AND path = regexp_extract(other, '(?s)^.*?://[^/?#]*([^?#]*)', 1) GROUP BY id)
+SELECT page_id, p.host, p.path, rule, coalesce(verdict, v, 'allow') AS verdict
+FROM parts p LEFT JOIN best USING (host, path) LEFT JOIN nodes ON u = url LEFT JOIN spread ON id = node
+""",
     "op2_minhash_near_dedup": r"""
 WITH RECURSIVE split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
