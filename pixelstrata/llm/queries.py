@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminations
 from .license_scan import license_scan
 from .mixing import mix_report
 from .near_dup import near_duplicates
@@ -33,6 +34,10 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("kept", "kept_sha256")
 
@@ -103,6 +108,19 @@ links AS (SELECT x, y FROM shared JOIN counts p ON p.doc_id = x JOIN counts q ON
 """ + _COMPONENTS + """
 SELECT s.doc_id, any_value(n) AS n_shingles, min(component) AS component_id, s.doc_id = min(component) AS kept
 FROM sized s JOIN reach ON id = s.doc_id GROUP BY s.doc_id
+""",
+    "op6_benchmark_decontamination": r"""
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+split AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM texts),
+sets AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM split),
+sizes AS (SELECT id, count(*) AS n FROM sets WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, n AS n_item, count(*) AS n_shared, count(*)::double / n AS containment
+FROM sets d JOIN sets i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' JOIN sizes z ON z.id = i.id
+GROUP BY d.id, i.id, n HAVING 100 * count(*) >= 75 * n
 """,
     "op7_substring_dedup": r"""
 WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
