@@ -11,6 +11,7 @@ from .decontaminate import contaminations
 from .license_scan import license_scan
 from .mixing import mix_report
 from .near_dup import near_duplicates
+from .quality import graded, trained
 from .substring_dedup import substring_dedup
 from .tables import table
 from .token_counts import token_counts
@@ -35,6 +36,11 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return graded(docs, trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
