@@ -13,6 +13,7 @@ from .mixing import mix_report
 from .near_dup import near_duplicates
 from .quality import graded, trained
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .tables import table
 from .token_counts import token_counts
 from .url_filter import url_verdicts
@@ -49,6 +50,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("kept", "kept_sha256")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("kept", "kept_sha256")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 

@@ -36,12 +36,12 @@ def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 def window_runs(symbols: np.ndarray, first: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
     """The runs of all windows of the rows first[i]:first[i+1] of uint64 symbols: row, first window, end of the last
-    window, anchor hash, context hash; starts and ends count from the row's first symbol."""
+    window, anchor, anchor hash, context hash; places count from the row's first symbol."""
     n, span = len(symbols), width - gram + 1
     counts = np.diff(first)
     if not n or counts.max(initial=0) < width:
         empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     sums = prefix_sums(symbols)
     at = np.arange(n - gram + 1)
     grams = range_hashes(sums, at, at + gram)
@@ -64,7 +64,7 @@ def window_runs(symbols: np.ndarray, first: np.ndarray, width: int, gram: int) -
     z = np.append(a[1:], len(start)) - 1
     lo, end, anchor, row = start[a], start[z] + width, anchor[a], row[a]
     context = mix(range_hashes(sums, lo, end) + (anchor - lo).astype(np.uint64))
-    return row, lo - first[row], end - first[row], grams[anchor], context
+    return row, lo - first[row], end - first[row], anchor - first[row], grams[anchor], context
 
 
 def pieces(first: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -89,21 +89,21 @@ def all_runs(symbols: np.ndarray, first: np.ndarray, width: int, gram: int) -> t
     """window_runs over rows of any length."""
     parts = []
     for i, own, skip in pieces(first, width):
-        row, lo, end, anchor, context = window_runs(symbols[own[0] : own[-1]].astype(np.uint64), own - own[0], width, gram)
-        parts.append((row + i, lo + skip, end + skip, anchor, context))
+        row, lo, end, place, anchor, context = window_runs(symbols[own[0] : own[-1]].astype(np.uint64), own - own[0], width, gram)
+        parts.append((row + i, lo + skip, end + skip, place + skip, anchor, context))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else window_runs(np.zeros(0, np.uint64), np.zeros(1, np.int64), width, gram)
 
 
 def staged_runs(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
-    """(doc, lo, stop, a, c): the runs of docs (doc, text); a and c are the anchor's and the context's hashes."""
+    """(doc, lo, stop, p, a, c): the runs of docs (doc, text); p is the anchor, a and c its and the context's hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in blocks(batches):
             symbols, first = word_hashes(data, offsets) if unit == "words" else (data, offsets)
-            row, lo, stop, anchor, context = all_runs(symbols, first, width, gram)
-            yield pa.record_batch([batch.column("doc").take(pa.array(row)), pa.array(lo), pa.array(stop), pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64))], names=["doc", "lo", "stop", "a", "c"])
+            row, lo, stop, place, anchor, context = all_runs(symbols, first, width, gram)
+            yield pa.record_batch([batch.column("doc").take(pa.array(row)), pa.array(lo), pa.array(stop), pa.array(place), pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64))], names=["doc", "lo", "stop", "p", "a", "c"])
 
-    return staged(docs.mapInArrow(run, "doc long, lo long, stop long, a long, c long"))
+    return staged(docs.mapInArrow(run, "doc long, lo long, stop long, p long, a long, c long"))
 
 
 def by_document(rows: DataFrame, *fields: str) -> DataFrame:
