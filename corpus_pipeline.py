@@ -1,11 +1,63 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, near copies, repeated passages, benchmark leaks, mixing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
+documents. The last emits each document once for each of its copies in the mix, numbered in `copy`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pixelstrata.llm.decontaminate import decontaminated
+from pixelstrata.llm.mixing import mixed
+from pixelstrata.llm.near_dup import without_copies
+from pixelstrata.llm.quality import selected, trained
+from pixelstrata.llm.substring_dedup import without_repeats
+from pixelstrata.llm.tables import staged, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model puts in the highest grade; the others go."""
+    return selected(docs, trained(docs, table(spark, sf_dir, "labels")))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return without_copies(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 50 words or more that a smaller document has."""
+    return without_repeats(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources at their target weights."""
+    return mixed(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("minhash near-dedup", near_copies),
+    ("substring dedup", passages),
+    ("benchmark decontamination", leaks),
+    ("mixing to target weights", mix),
+]
+
+#: No SQL states a trained model's rows; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = staged(docs)
     return docs

@@ -216,3 +216,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     drop_staged(families)
     drop_staged(marks)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def without_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """docs with one document of each component (its smallest doc_id, one row); rows with a null doc_id stay. All columns
+    are carried."""
+    kept = near_duplicates(docs, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null"))

@@ -226,3 +226,32 @@ def substring_dedup(docs: DataFrame, width: int = 50, texts: bool = False) -> Da
     spans = by_document(repeated_spans(own.filter("doc is not null"), width), "lo", "stop")
     out = own.join(spans, "doc", "left").mapInArrow(_clean(texts), "doc long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("doc", "doc_id")
+
+
+def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of docs with their entries: the same rows, text and n_chars as they are after the removal."""
+    for batch, data, offsets in blocks(batches):
+        starts, ends, first = words(data, offsets)
+        at, (lo, stop) = entries(batch, "lo", "stop")
+        texts = batch.column("text").to_pylist()
+        changed = np.flatnonzero(np.diff(at))
+        for i in changed:
+            own = slice(first[i], first[i + 1])
+            gone = covered(first[i + 1] - first[i], lo[at[i] : at[i + 1]], stop[at[i] : at[i + 1]])
+            texts[i] = b" ".join(data[a:b].tobytes() for a, b, g in zip(starts[own], ends[own], gone, strict=True) if not g).decode()
+        columns = {n: batch.column(n) for n in batch.schema.names if n != "entries"}
+        columns["text"] = pa.array(texts, pa.string())
+        if "n_chars" in columns:
+            counts = columns["n_chars"].to_pylist()
+            for i in changed:
+                counts[i] = len(texts[i])
+            columns["n_chars"] = pa.array(counts, columns["n_chars"].type)
+        yield pa.record_batch(list(columns.values()), names=list(columns))
+
+
+def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
+    """docs with repeated passages removed from text: kept words joined by one space; texts that lose nothing stay as they
+    are. An n_chars column follows the text; all other columns are carried."""
+    spans = by_document(repeated_spans(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text"), width), "lo", "stop")
+    held = docs.drop("entries").join(spans.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select(*docs.drop("entries").columns, "entries")
+    return held.mapInArrow(_rewrite, docs.drop("entries").schema)
