@@ -1,4 +1,363 @@
-"""Registered queries and the SQL that states their results."""
+"""Registered queries over the tables, and the DuckDB SQL that states the rows of those that SQL can express."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import batch, documents, normals, packing, pixels
+from ..sources import rasters
+from .stack import apply_stack
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: The two derived rasters in DuckDB SQL.
+NOISE = """noise AS (
+  SELECT (vec_id // 64)::int AS image_id, ((vec_id % 8) * 8 + i % 8)::int AS x, (((vec_id % 64) // 8) * 8 + i // 8)::int AS y,
+    greatest(0, least(255, floor((v::double + 0.5::double) * 255)))::int AS lum
+  FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS v FROM embeddings)
+  WHERE vec_id // 64 < (SELECT count(*) // 64 FROM embeddings)),
+tinted AS (SELECT image_id, x, y, lum AS r, (lum * 7 + x * 3) % 256 AS g, (lum * 13 + y * 5) % 256 AS b, lum AS a FROM noise)"""
+SHAPES = """shapes AS (
+  SELECT (p_partkey // 16)::int AS image_id, ((p_partkey % 16 % 4) * 16 + gx)::int AS x, ((p_partkey % 16 // 4) * 16 + gy)::int AS y,
+    (CASE WHEN dd <= rad * rad THEN pr % 200 WHEN dd <= (rad + 1) * (rad + 1) THEN (pr % 200 + 255) // 2 ELSE 255 END)::int AS r,
+    (CASE WHEN dd <= rad * rad THEN pr * 7 % 200 WHEN dd <= (rad + 1) * (rad + 1) THEN (pr * 7 % 200 + 255) // 2 ELSE 255 END)::int AS g,
+    (CASE WHEN dd <= rad * rad THEN pr * 13 % 200 WHEN dd <= (rad + 1) * (rad + 1) THEN (pr * 13 % 200 + 255) // 2 ELSE 255 END)::int AS b, 255 AS a
+  FROM (SELECT p_partkey, 2 + p_size % 6 AS rad, floor(p_retailprice)::int AS pr, gx, gy, (gx - 8) * (gx - 8) + (gy - 8) * (gy - 8) AS dd
+    FROM part, range(16) AS u(gx), range(16) AS v(gy) WHERE p_partkey // 16 < (SELECT count(*) // 16 FROM part)))"""
+BYTE = "floor(greatest(0, least(1, {}))::double * 255 + 0.5::double)::int"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def tinted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The noise raster in colour, its brightness also as alpha."""
+    return rasters.noise(spark, sf_dir).selectExpr("image_id", "x", "y", "lum r", "(lum * 7 + x * 3) % 256 g", "(lum * 13 + y * 5) % 256 b", "lum a")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+KEYS = [((1.0, 1.0, 1.0), 0.02), ((0.5, 0.25, 0.75), 0.2)]
+_FAR = "greatest(abs(r * (1.0::double / 255) - {0}::float::double), abs(g * (1.0::double / 255) - {1}::float::double), abs(b * (1.0::double / 255) - {2}::float::double))"
+_WHITE, _PURPLE = _FAR.format("1.0", "1.0", "1.0"), _FAR.format("0.5", "0.25", "0.75")
+
+
+@query(f"WITH {SHAPES} SELECT image_id, (r // 32)::int AS bin, count(*) AS n FROM shapes WHERE NOT ({_WHITE})::float::double <= 0.02::double GROUP BY ALL")
+def flagship_kept_histogram(spark, sf_dir):
+    """Pixels that a white key keeps, by image and red level."""
+    kept = pixels.key_matte(rasters.shapes(spark, sf_dir), KEYS[:1]).filter("a > 0")
+    return kept.groupBy("image_id", F.expr("cast(r div 32 as int)").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {NOISE} SELECT image_id, x, y, r, g, b, CASE WHEN ({_WHITE})::float::double <= 0.02::double OR {_PURPLE} <= 0.2::double OR a = 0 THEN 0 ELSE a END AS a FROM tinted")
+def matte_key_anywhere(spark, sf_dir):
+    return pixels.key_matte(tinted(spark, sf_dir), KEYS)
+
+
+@query(f"WITH {NOISE} SELECT image_id, x, y, CASE WHEN ({_WHITE})::float::double <= 0.02::double THEN 0 WHEN {_PURPLE} <= 0.2::double THEN 1 ELSE -1 END AS key_of FROM tinted")
+def claiming_keys(spark, sf_dir):
+    return tinted(spark, sf_dir).select("image_id", "x", "y", pixels.claiming_key(KEYS).alias("key_of"))
+
+
+@query(f"WITH {NOISE} SELECT image_id, x, y, r, g, b, {BYTE.format('(a / 255.0::double - 0.5::double) * (1.0::double / (1.0::double - 0.6::double)) + 0.5::double')} AS a FROM tinted")
+def sharpen_alpha(spark, sf_dir):
+    return pixels.sharpen_alpha(tinted(spark, sf_dir), 0.6)
+
+
+_STEP = "CASE WHEN a > 0 THEN floor(floor({0} / 255.0::double * 4 + 0.5::double) / 4 * 255.0::double + 0.5::double)::int ELSE {0} END AS {0}"
+
+
+@query(f"WITH {NOISE} SELECT image_id, x, y, {', '.join(_STEP.format(c) for c in 'rgb')}, a FROM tinted")
+def posterize_even(spark, sf_dir):
+    return pixels.posterize_even(tinted(spark, sf_dir), 5)
+
+
+_HSV = """,
+lit AS (SELECT *, r * u AS fr, g * u AS fg, b * u AS fb FROM (SELECT *, 1.0::double / 255 AS u FROM tinted)),
+parts AS (SELECT *, greatest(fr, fg, fb) AS hi, greatest(fr, fg, fb) - least(fr, fg, fb) AS span FROM lit),
+sector AS (SELECT *, CASE WHEN span <= 0 THEN 0::double ELSE (CASE WHEN hi = fr THEN (fg - fb) / span WHEN hi = fg THEN 2 + (fb - fr) / span ELSE 4 + (fr - fg) / span END) / 6.0::double END AS s0 FROM parts),
+turned AS (SELECT *, (CASE WHEN s0 < 0 THEN s0 + 1 ELSE s0 END) + 0.3::double AS h0 FROM sector),
+shifted AS (SELECT *, h0 - floor(h0) AS h, greatest(0, least(1, CASE WHEN hi <= 0 THEN 0 ELSE span / hi END * 0.5::double))::double AS s, greatest(0, least(1, hi * 1.25::double))::double AS v FROM turned),
+steps AS (SELECT *, (floor(h * 6.0::double) % 6)::int AS k, h * 6.0::double - floor(h * 6.0::double) AS t FROM shifted),
+levels AS (SELECT *, v * (1 - s) AS lo, v * (1 - s * t) AS fa, v * (1 - s * (1 - t)) AS ri FROM steps),
+made AS (SELECT *, CASE WHEN s <= 0 THEN [v, v, v] ELSE [[v, ri, lo], [fa, v, lo], [lo, v, ri], [lo, fa, v], [ri, lo, v], [v, lo, fa]][k + 1] END AS c FROM levels)
+SELECT image_id, x, y, CASE WHEN x < 40 AND y < 40 THEN {0} ELSE r END AS r, CASE WHEN x < 40 AND y < 40 THEN {1} ELSE g END AS g,
+  CASE WHEN x < 40 AND y < 40 THEN {2} ELSE b END AS b, a FROM made"""
+
+
+@query(f"WITH {NOISE}" + _HSV.format(*(BYTE.format(f"c[{i}]") for i in (1, 2, 3))))
+def hsv_adjust(spark, sf_dir):
+    return pixels.adjust_hsv(tinted(spark, sf_dir), [{"rect": (0, 0, 40, 40), "hue": 0.3, "saturation": 0.5, "value": 1.25}])
+
+
+@query(f"""WITH {NOISE} SELECT p.image_id, p.x, p.y, sum(q.lum)::bigint AS box_total, count(*) AS box_count
+FROM noise p JOIN noise q ON p.image_id = q.image_id AND q.x BETWEEN p.x - 2 AND p.x + 2 AND q.y BETWEEN p.y - 2 AND p.y + 2 GROUP BY ALL""")
+def box_sums(spark, sf_dir):
+    return pixels.box_sum(rasters.noise(spark, sf_dir), "lum", 2).select("image_id", "x", "y", "box_total", "box_count")
+
+
+@query(f"""WITH {NOISE}, solid AS (SELECT image_id, x, y FROM noise WHERE lum >= 100),
+cores AS (SELECT s.image_id, s.x, s.y FROM solid s JOIN solid q ON q.image_id = s.image_id AND q.x BETWEEN s.x AND s.x + 1 AND q.y BETWEEN s.y AND s.y + 1 GROUP BY ALL HAVING count(*) = 4),
+kept AS (SELECT DISTINCT image_id, x + dx AS x, y + dy AS y FROM cores, range(2) AS a(dx), range(2) AS b(dy))
+SELECT image_id, x, y, (k.image_id IS NOT NULL)::int AS opened FROM noise LEFT JOIN kept k USING (image_id, x, y)""")
+def morphological_opening(spark, sf_dir):
+    marked = rasters.noise(spark, sf_dir).withColumn("solid", (F.col("lum") >= 100).cast("int"))
+    return pixels.opened(marked, "solid", 2).select("image_id", "x", "y", "opened")
+
+
+@query(f"""WITH {SHAPES} SELECT p.image_id, p.x, p.y, coalesce(bool_or(greatest(abs(p.r - q.r), abs(p.g - q.g), abs(p.b - q.b)) / 255.0::double > 0.15::double), false) AS seed
+FROM shapes p LEFT JOIN shapes q ON q.image_id = p.image_id AND abs(q.x - p.x) + abs(q.y - p.y) = 1 AND q.x BETWEEN p.x - 1 AND p.x + 1 AND q.y BETWEEN p.y - 1 AND p.y + 1 GROUP BY ALL""")
+def colour_region_seeds(spark, sf_dir):
+    return pixels.colour_seeds(rasters.shapes(spark, sf_dir), 0.15).select("image_id", "x", "y", "seed")
+
+
+POLYGON = [(3, 2), (40, 8), (58, 50), (30, 33), (9, 60)]
+_EDGES = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in zip(POLYGON, POLYGON[1:] + POLYGON[:1], strict=True))
+
+
+@query(f"""WITH {SHAPES}, edges(x0, y0, x1, y1) AS (VALUES {_EDGES}),
+crossed AS (SELECT image_id, x, y, count(*) AS n FROM shapes JOIN edges ON ((y0 > y + 0.5::double) <> (y1 > y + 0.5::double))
+  AND (x0 + (y + 0.5::double - y0) / (y1 - y0)::double * (x1 - x0))::float::double - 0.5::double <= x GROUP BY ALL)
+SELECT image_id, count(*) AS inside FROM crossed WHERE n % 2 = 1 GROUP BY image_id""")
+def polygon_region(spark, sf_dir):
+    p = rasters.shapes(spark, sf_dir)
+    return p.filter(pixels.inside_polygon(p, POLYGON)).groupBy("image_id").agg(F.count("*").alias("inside"))
+
+
+@query(f"""WITH {SHAPES}, counts AS (SELECT image_id, r, g, b, count(*) AS n FROM shapes WHERE x BETWEEN 4 AND 43 AND y BETWEEN 6 AND 55 AND a > 0 GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b) AS place FROM counts)
+SELECT image_id, r, g, b, n, place FROM ranked WHERE place <= 64""")
+def region_colour_scan(spark, sf_dir):
+    return pixels.colour_counts(rasters.shapes(spark, sf_dir), (4, 6, 40, 50))
+
+
+@query(f"""WITH {NOISE} SELECT image_id, (r >> 3)::int AS r5, (g >> 3)::int AS g5, (b >> 3)::int AS b5, count(*) AS n, sum(r)::bigint AS sum_r, sum(g)::bigint AS sum_g, sum(b)::bigint AS sum_b, sum(r * r + g * g + b * b)::bigint AS squares
+FROM tinted WHERE a / 255.0::double >= 0.5::double GROUP BY ALL""")
+def colour_moments(spark, sf_dir):
+    return pixels.colour_moments(tinted(spark, sf_dir))
+
+
+_PLAIN = "SELECT image_id, x, y, r AS nx, g AS ny, greatest(b, 128) AS nz FROM tinted"
+
+
+@query(f"WITH {NOISE}, maps AS ({_PLAIN}) SELECT image_id, x, y, nx, 255 - ny AS ny, nz FROM maps")
+def normal_flip_green(spark, sf_dir):
+    return pixels.flip_green(tinted(spark, sf_dir).selectExpr("image_id", "x", "y", "r nx", "g ny", "greatest(b, 128) nz"))
+
+
+@query(f"""WITH {NOISE}, maps AS ({_PLAIN}), bent AS (SELECT image_id, x, y, ny AS nx, nx AS ny, greatest(nz, 200) AS nz FROM maps),
+v AS (SELECT m.image_id, m.x, m.y, (m.nx / 255.0::double * 2 - 1) / greatest(m.nz / 255.0::double * 2 - 1, 0.001::double) + (d.nx / 255.0::double * 2 - 1) / greatest(d.nz / 255.0::double * 2 - 1, 0.001::double) * 0.5::double AS vx,
+  (m.ny / 255.0::double * 2 - 1) / greatest(m.nz / 255.0::double * 2 - 1, 0.001::double) + (d.ny / 255.0::double * 2 - 1) / greatest(d.nz / 255.0::double * 2 - 1, 0.001::double) * 0.5::double AS vy
+  FROM maps m JOIN bent d USING (image_id, x, y)),
+l AS (SELECT *, greatest(sqrt(vx * vx + vy * vy + 1.0::double), 0.001::double) AS len FROM v)
+SELECT image_id, x, y, {BYTE.format('vx / len * 0.5::double + 0.5::double')} AS nx, {BYTE.format('vy / len * 0.5::double + 0.5::double')} AS ny, {BYTE.format('1.0::double / len * 0.5::double + 0.5::double')} AS nz FROM l""")
+def normal_combine_slopes(spark, sf_dir):
+    base = tinted(spark, sf_dir).selectExpr("image_id", "x", "y", "r nx", "g ny", "greatest(b, 128) nz")
+    return pixels.combine_normals(base, base.selectExpr("image_id", "x", "y", "ny nx", "nx ny", "greatest(nz, 200) nz"), 0.5)
+
+
+_AT = "coalesce({0}, {1})"
+
+
+@query(f"""WITH {SHAPES}, lit AS (SELECT image_id, x, y, a, ((0.299::double * r + 0.587::double * g + 0.114::double * b) / 255.0::double)::float::double AS c FROM shapes),
+across AS (SELECT *, coalesce(lag(c) OVER w, c) AS l, coalesce(lead(c) OVER w, c) AS r FROM lit WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
+grid AS (SELECT *, coalesce(lag(l) OVER w, l) AS ul, coalesce(lag(c) OVER w, c) AS uc, coalesce(lag(r) OVER w, r) AS ur, coalesce(lead(l) OVER w, l) AS dl, coalesce(lead(c) OVER w, c) AS dc, coalesce(lead(r) OVER w, r) AS dr
+  FROM across WINDOW w AS (PARTITION BY image_id, x ORDER BY y)),
+slope AS (SELECT image_id, x, y, a, -((3.0::double * (ur - ul) + 10.0::double * (r - l) + 3.0::double * (dr - dl)) / 32.0::double * 3.0::double) AS sx, (3.0::double * (dl - ul) + 10.0::double * (dc - uc) + 3.0::double * (dr - ur)) / 32.0::double * 3.0::double AS sy FROM grid),
+l AS (SELECT *, sqrt(sx * sx + sy * sy + 1.0::double) AS len FROM slope)
+SELECT image_id, x, y, {BYTE.format('sx / len * 0.5::double + 0.5::double')} AS nx, {BYTE.format('sy / len * 0.5::double + 0.5::double')} AS ny, {BYTE.format('1.0::double / len * 0.5::double + 0.5::double')} AS nz, a FROM l""")
+def normal_brightness(spark, sf_dir):
+    made = pixels.brightness_normals(rasters.shapes(spark, sf_dir), 3.0)
+    return made
+
+
+_NAMED = "SELECT row_number() OVER (ORDER BY page_id) - 1 AS batch_index, 'in/Sprite-' || page_id || 'HeroWalk.' || CASE page_id % 3 WHEN 0 THEN 'PNG' WHEN 1 THEN 'jpg' ELSE 'webp' END AS source FROM pages"
+
+
+def sources(spark, sf_dir):
+    """A batch of source paths from pages, by page_id (which is dense, so the index needs no global window)."""
+    kind = F.when(F.col("page_id") % 3 == 0, "PNG").when(F.col("page_id") % 3 == 1, "jpg").otherwise("webp")
+    return table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("batch_index"), F.concat(F.lit("in/Sprite-"), F.col("page_id").cast("string"), F.lit("HeroWalk."), kind).alias("source"))
+
+
+@query(f"""WITH named AS ({_NAMED}), parts AS (SELECT *, regexp_extract(source, '([^/]*)\\.([^.]*)$', 1) AS base, lower(regexp_extract(source, '\\.([^.]*)$', 1)) AS ext FROM named),
+numbered AS (SELECT *, 3 - 2 * batch_index AS number FROM parts)
+SELECT batch_index, source, upper('x_' || replace(base, 'Hero', 'Fox') || '_y' || '-' || CASE WHEN number < 0 THEN '-' ELSE '' END || CASE WHEN length(abs(number)::varchar) < 4 THEN lpad(abs(number)::varchar, 4, '0') ELSE abs(number)::varchar END) || '.' || ext AS target FROM numbered""")
+def rename_batch(spark, sf_dir):
+    return batch.renamed(sources(spark, sf_dir), find="Hero", replace="Fox", prefix="x_", suffix="_y", start=3, step=-2, digits=4, separator="-", case="upper")
+
+
+@query(f"SELECT batch_index, regexp_extract(source, '([^/]*)\\.([^.]*)$', 1) || '_out.png' AS target FROM ({_NAMED})")
+def default_output_names(spark, sf_dir):
+    return sources(spark, sf_dir).select("batch_index", F.concat(batch.base_name(F.col("source")), F.lit("_out.png")).alias("target"))
+
+
+@query("SELECT source, count(*) AS supported FROM (SELECT source, CASE doc_id % 4 WHEN 0 THEN 'a.PNG' WHEN 1 THEN 'b.gif' WHEN 2 THEN 'c' ELSE 'd.webp' END AS f FROM documents) WHERE lower(regexp_extract(f, '\\.([^.]*)$', 1)) IN ('png', 'jpg', 'jpeg', 'bmp', 'tga', 'webp') GROUP BY source")
+def supported_formats(spark, sf_dir):
+    f = F.when(F.col("doc_id") % 4 == 0, "a.PNG").when(F.col("doc_id") % 4 == 1, "b.gif").when(F.col("doc_id") % 4 == 2, "c").otherwise("d.webp")
+    return table(spark, sf_dir, "documents").filter(batch.supported(f)).groupBy("source").agg(F.count("*").alias("supported"))
+
+
+@query("SELECT p_type AS batch, substr(sha256(string_agg(p_name, chr(10) ORDER BY p_name)), 1, 16) AS config_key FROM part GROUP BY p_type")
+def export_config_key(spark, sf_dir):
+    return batch.batch_key(table(spark, sf_dir, "part").select(F.col("p_type").alias("batch"), F.col("p_name").alias("name")))
+
+
+@query("SELECT target, count(*) AS n FROM (SELECT 'out/' || (p_partkey % 150) || '.png' AS target FROM part) GROUP BY target HAVING count(*) > 1")
+def destination_collisions(spark, sf_dir):
+    return batch.collisions(table(spark, sf_dir, "part").selectExpr("concat('out/', p_partkey % 150, '.png') target"))
+
+
+@query("SELECT p_partkey, 'out/' || p_partkey || '.png' AS target FROM part WHERE p_partkey IN (SELECT s_suppkey FROM supplier)")
+def overwrite_check(spark, sf_dir):
+    jobs = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat('out/', p_partkey, '.png') target")
+    return batch.overwrites(jobs, table(spark, sf_dir, "supplier").selectExpr("concat('out/', s_suppkey, '.png') target")).select("p_partkey", "target")
+
+
+SPRITES = "SELECT (p_partkey // 256)::bigint AS sheet, p_partkey AS sprite_id, (4 + p_size % 29)::int AS w, (4 + p_partkey % 23)::int AS h FROM part"
+
+
+def sprites(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr("p_partkey div 256 sheet", "p_partkey sprite_id", "cast(4 + p_size % 29 as int) w", "cast(4 + p_partkey % 23 as int) h")
+
+
+GRID = f"""sprites AS ({SPRITES}), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY sprite_id) - 1 AS n, max(w) OVER (PARTITION BY sheet) + 2 AS cw, max(h) OVER (PARTITION BY sheet) + 2 AS ch FROM sprites),
+grid AS (SELECT sheet, sprite_id, (n % greatest(512 // cw, 1) * cw + 1)::int AS x, (n // greatest(512 // cw, 1) * ch + 1)::int AS y, w, h FROM numbered)"""
+
+
+@query(f"WITH {GRID} SELECT * FROM grid")
+def grid_packing(spark, sf_dir):
+    return batch.grid_plan(sprites(spark, sf_dir), 512, 1)
+
+
+PIVOTS = """overrides AS (SELECT p_partkey AS sprite_id, k AS row, k - 3 AS dx, 2 * k AS dy, k - 2 AS vx, 3 AS vy, (p_partkey + k) % 4 <> 0 AS enabled FROM part, range(3) AS r(k) WHERE p_partkey % 3 = 0),
+last AS (SELECT sprite_id, arg_max({'dx': dx, 'dy': dy, 'vx': vx, 'vy': vy}, row) AS o FROM overrides WHERE enabled GROUP BY sprite_id),
+pivots AS (SELECT g.sprite_id, coalesce(x + o.dx, x + w / 2.0::double)::double AS pivot_x, coalesce(y + o.dy, y + h / 2.0::double)::double AS pivot_y,
+  coalesce(o.vx / sqrt((o.vx * o.vx + o.vy * o.vy)::double), 0)::double AS dir_x, coalesce(o.vy / sqrt((o.vx * o.vx + o.vy * o.vy)::double), 1)::double AS dir_y FROM grid g LEFT JOIN last USING (sprite_id))"""
+
+
+def overrides(spark, sf_dir):
+    held = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    return held.selectExpr("p_partkey sprite_id", "k row", "k - 3 dx", "2 * k dy", "k - 2 vx", "3 vy", "(p_partkey + k) % 4 <> 0 enabled")
+
+
+@query(f"WITH {GRID}, {PIVOTS} SELECT * FROM pivots")
+def sprite_pivots(spark, sf_dir):
+    return batch.pivots(grid_packing(spark, sf_dir), overrides(spark, sf_dir))
+
+
+@query(f"""WITH {GRID}, {PIVOTS}, held AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY sprite_id) - 1 AS m FROM grid JOIN pivots USING (sprite_id)),
+two AS (SELECT sheet, sprite_id, 2 * m AS p, x::double AS c0, y::double AS c1, w::double AS c2, h::double AS c3 FROM held UNION ALL SELECT sheet, sprite_id, 2 * m + 1, pivot_x, pivot_y, dir_x, dir_y FROM held)
+SELECT sheet, sprite_id, (p % 32)::int AS px, (p // 32)::int AS py, c0, c1, c2, c3 FROM two""")
+def lookup_table(spark, sf_dir):
+    rects = grid_packing(spark, sf_dir)
+    return batch.lookup_pixels(rects, batch.pivots(rects, overrides(spark, sf_dir)), batch.table_side(256)[0])
+
+
+WORDS = [("steel", "metal"), ("large", "big"), ("brass", "metal"), ("small", "little")]
+
+
+@query("SELECT p_partkey, p_type AS name, CASE " + " ".join(f"WHEN contains(lower(p_type), '{w}') THEN '{t}'" for w, t in WORDS) + " END AS advice FROM part")
+def name_advice(spark, sf_dir):
+    return batch.advice(table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("name")), WORDS)
+
+
+@query("""WITH ordered AS (SELECT event_type AS key, ts, coalesce(epoch_us(ts) / 1000.0::double - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts)) / 1000.0::double > 600000, true) AS opens FROM events),
+runs AS (SELECT key, ts, sum(opens::int) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS command FROM ordered),
+commands AS (SELECT key, max(ts) AS ts, count(*) AS edits, command FROM runs GROUP BY key, command)
+SELECT key, ts, edits, place::int AS place FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY command DESC) AS place FROM commands) WHERE place <= 1000""")
+def history_merge(spark, sf_dir):
+    return batch.merged_history(table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), "ts"), gap_ms=600_000)
+
+
+@query("SELECT event_id, (props::json ->> '$.k')::bigint AS k, props::json ->> '$.name' AS name FROM events")
+def decode_settings(spark, sf_dir):
+    return documents.decoded(table(spark, sf_dir, "events"), "props", {"k": "bigint", "name": "string"}).select("event_id", "k", "name")
+
+
+def whole_stack(spark, sf_dir):
+    """A stack of operations over every image of shapes: what each image keeps."""
+    stack = [("remove_background", {}), ("remove_minimum_area", {"size": 2}), ("remove_lines", {}), ("fill_pinholes", {}), ("edge_cleanup", {"outer": 1.0}), ("posterize", {"palette": "best", "colors": 4})]
+    return apply_stack(rasters.packed(rasters.shapes(spark, sf_dir)), stack)
+
+
+def _stage(name, settings, source=rasters.shapes, before=()):
+    def run(spark, sf_dir):
+        images = rasters.packed(source(spark, sf_dir))
+        return apply_stack(images, [*before, (name, settings)]).select("image_id", "width", "height", F.sha2("data", 256).alias("digest"), "reports")
+
+    run.__doc__ = f"{name} over every image: a digest of its pixels and what it reports."
+    QUERIES[f"stack_{name}"] = run
+
+
+MATTE = ("remove_background", {})
+QUERIES["whole_stack"] = whole_stack
+_stage("remove_background", {})
+_stage("island_picker", {"islands": [{"picks": [{"point": (0, 0), "color_tolerance": 0.2}]}, {"mode": "add", "picks": [{"point": (8, 8), "color_tolerance": 0.1}]}]})
+_stage("remove_crevice", {"reach": 2}, before=[MATTE])
+_stage("refine_edges", {"radius": 2, "floor": 0.1}, before=[MATTE])
+_stage("edge_cleanup", {"auto_color": True, "inner": 1.0, "outer": 1.5}, before=[MATTE])
+_stage("polygon_edit", {"regions": [{"points": POLYGON}, {"points": [(0, 0), (20, 0), (20, 20)], "mode": "add"}]}, before=[MATTE])
+_stage("brush_edit", {"strokes": [{"points": [(4, 4), (40, 20)], "radius": 5, "sharpness": 0.5}, {"points": [(50, 50)], "radius": 8, "mode": "add"}]}, before=[MATTE])
+_stage("exclude_tiles", {"picks": [{"point": (8, 8)}, {"point": (40, 40)}]}, before=[MATTE])
+_stage("remove_minimum_area", {"size": 5}, before=[MATTE])
+_stage("remove_lines", {"thickness": 2, "detached_only": False}, before=[MATTE])
+_stage("fill_pinholes", {"max_area": 4}, tinted)
+_stage("hsv_adjust", {"regions": [{"rect": (0, 0, 40, 40), "hue": 0.3, "colorize": 0.5}]}, tinted)
+_stage("random_hsv_tiles", {"seed": 7, "saturation": (0.5, 1.5)}, before=[MATTE])
+_stage("posterize", {"palette": "best", "colors": 8, "dither": "floyd"}, before=[MATTE])
+_stage("smooth_blocks", {}, tinted)
+_stage("smooth_color", {}, tinted)
+_stage("smooth_halos", {}, tinted)
+_stage("denoise", {}, tinted)
+_stage("neural_remove_background", {})
+
+
+@query()
+def object_boxes(spark, sf_dir):
+    """Objects of every matted image: number, box, area."""
+    return packing.objects(apply_stack(rasters.packed(rasters.shapes(spark, sf_dir)), [MATTE]))
+
+
+@query()
+def sprite_cutouts(spark, sf_dir):
+    """Objects of every matted image as images of their own."""
+    return packing.cut_sprites(apply_stack(rasters.packed(rasters.shapes(spark, sf_dir)), [MATTE])).withColumn("data", F.sha2("data", 256))
+
+
+def _plan(method):
+    def run(spark, sf_dir):
+        return packing.plan(sprites(spark, sf_dir), method, 256, 256, padding=1)
+
+    QUERIES[f"{method}_packing"] = run
+
+
+for _method in ("shelf", "original", "tight"):
+    _plan(_method)
+
+
+def _normal(name, layers):
+    def run(spark, sf_dir):
+        made = normals.normal_maps(apply_stack(rasters.packed(rasters.shapes(spark, sf_dir)), [MATTE]), layers)
+        return made.withColumn("data", F.sha2("data", 256))
+
+    QUERIES[f"normal_map_{name}"] = run
+
+
+_normal("round_edges", [{"kind": "round_edges"}])
+_normal("color_regions", [{"kind": "color_regions"}])
+_normal("layers", [{"kind": "round_edges"}, {"kind": "brightness", "combine": "reoriented", "opacity": 0.5}])
