@@ -135,7 +135,7 @@ def build_sheets(cutouts: DataFrame, planned: DataFrame) -> DataFrame:
     with an unplaced sprite has null data."""
     from pyspark.sql import functions as F
 
-    held = cutouts.join(planned.select("sheet", "sprite_id", "x", "y", "placed", "sheet_width", "sheet_height"), ["sheet", "sprite_id"])
+    held = cutouts.drop("x", "y").join(planned.select("sheet", "sprite_id", "x", "y", "placed", "sheet_width", "sheet_height"), ["sheet", "sprite_id"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         w, h = int(group["sheet_width"].iloc[0]), int(group["sheet_height"].iloc[0])
