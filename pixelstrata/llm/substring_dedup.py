@@ -168,7 +168,8 @@ def _stream(width: int):
                     document = doc
                 sequence = np.frombuffer(symbols, np.int64).tolist()
                 out += [(doc, lo + x, lo + y) for x, y in long_spans(shards, sequence, width)]
-                waiting.append(sequence)
+                if sequence not in waiting:
+                    waiting.append(sequence)
             columns = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], names=["doc", "lo", "stop"])
 
@@ -178,21 +179,24 @@ def _stream(width: int):
 def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     """(doc, lo, stop): word ranges of docs (doc, text) that go; their union is what goes."""
     runs = staged_runs(docs, "words", width, GRAM)
-    classes = runs.groupBy("a", "c").agg(F.min(F.struct("doc", "lo", "stop")).alias("at"), F.max("doc").alias("last"))
-    anchors = classes.groupBy("a").agg(F.min("at.doc").alias("least"), F.max("last").alias("most"), F.count("*").alias("k")).filter("least < most")
-    repeated = staged(classes.join(anchors.select("a", "k"), "a"))
-    whole = runs.join(repeated.filter("at.doc < last").select("a", "c", F.col("at.doc").alias("m")), ["a", "c"]).filter("doc > m").select("doc", "lo", "stop")
-    unsettled = repeated.filter("k > 1").select("at.doc", "at.lo", "at.stop", "a")
+    classes = runs.groupBy("a", "c").agg(F.min("doc").alias("m"), F.max("doc").alias("last"))
+    anchors = classes.groupBy("a").agg(F.min("m").alias("least"), F.max("last").alias("most"), F.count("*").alias("k")).filter("least < most")
+    repeated = classes.join(anchors.select("a", "k"), "a").select("a", "c", "m", "k")
+    hits = staged(runs.join(repeated, ["a", "c"]).filter("doc > m or k > 1"))
+    whole = hits.filter("doc > m").select("doc", "lo", "stop")
+    unsettled = hits.filter("doc = m").select("doc", "lo", "stop", "a")
     contexts = staged(docs.join(by_document(unsettled, "lo", "stop", "a"), "doc").mapInArrow(_contexts(width), "a long, doc long, lo long, symbols binary, windows array<long>"))
     places = contexts.select("a", "doc", "lo", F.posexplode("windows").alias("place", "w"))
     twice = places.groupBy("a", "w").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("a", "w")
     held = places.join(twice, ["a", "w"]).groupBy("a", "doc", "lo").agg(F.collect_list("place").alias("places"))
     parts = staged(contexts.drop("windows").join(held, ["a", "doc", "lo"]).mapInArrow(_trimmed(width), "a long, doc long, lo long, symbols binary"))
-    same = staged(parts.groupBy("a", "symbols").agg(F.min(F.struct("doc", "lo")).alias("at")))
-    later = parts.join(same, ["a", "symbols"]).filter("doc > at.doc").select("doc", "lo", (F.col("lo") + F.length("symbols") / 8).cast("long").alias("stop"))
-    streamed = same.select("a", "at.doc", "at.lo", "symbols").repartition("a").sortWithinPartitions("a", "doc", "lo").mapInArrow(_stream(width), "doc long, lo long, stop long")
+    same = parts.groupBy("a", "symbols").agg(F.min("doc").alias("m"))
+    judged = staged(parts.join(same, ["a", "symbols"]))
+    later = judged.filter("doc > m").select("doc", "lo", (F.col("lo") + F.length("symbols") / 8).cast("long").alias("stop"))
+    firsts = judged.filter("doc = m").select("a", "doc", "lo", "symbols")
+    streamed = firsts.repartition("a").sortWithinPartitions("a", "doc", "lo").mapInArrow(_stream(width), "doc long, lo long, stop long")
     found = staged(whole.union(later).union(streamed))
-    for x in (runs, repeated, contexts, parts, same):
+    for x in (runs, hits, contexts, parts, judged):
         drop_staged(x)
     return found
 
