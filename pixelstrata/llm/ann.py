@@ -30,6 +30,7 @@ from .tables import staged
 
 BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 3, 1
 SAMPLE, RERANK, QUERIES, CHUNK = 10_000, 192, 2048, 2048
+RIDGE = 1e-2
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -107,8 +108,10 @@ def fit(x: np.ndarray, count: int = BOOKS, words: int = WORDS, rounds: int = ROU
                 pair = np.bincount((codes[:, a] % words) * words + codes[:, b] % words, minlength=words * words)
                 gram[a * words : (a + 1) * words, b * words : (b + 1) * words] = pair.reshape(words, words)
         sums = np.concatenate([sums_by(codes[:, a] % words, x, words) for a in range(count)])
-        ridge = 1e-2
-        books = np.linalg.solve(gram + np.float32(ridge) * np.eye(len(gram), dtype=np.float32), sums + ridge * books.reshape(len(gram), -1)).reshape(books.shape)
+        gram[np.arange(len(gram)), np.arange(len(gram))] += np.float32(RIDGE)
+        goal = (sums + RIDGE * books.reshape(len(gram), -1)).astype(np.float32)
+        books = np.linalg.solve(gram, goal).astype(np.float64).reshape(books.shape)
+        del gram
     return books
 
 
