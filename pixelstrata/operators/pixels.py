@@ -185,3 +185,23 @@ def brightness_normals(pixels: DataFrame, strength: float, green_down: bool = Fa
     n = {"nx": c("_x") / length, "ny": c("_y") / length, "nz": 1.0 / length}
     flat = {"nx": 128, "ny": 128, "nz": 255}
     return held.select("image_id", "x", "y", *(F.when(c("a") == 0, flat[k]).otherwise(byte(v * 0.5 + 0.5)).alias(k) for k, v in n.items()), "a")
+
+
+def beside_subject(pixels: DataFrame, ground: Column) -> DataFrame:
+    """Background pixels with a subject pixel to the left, right, above or below."""
+    row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+    held = pixels.withColumn("_ground", ground)
+    near = [f("_ground").over(w) for f in (F.lag, F.lead) for w in (row, column)]
+    subject = reduce(lambda a, b: a | b, [~F.coalesce(n, F.lit(True)) for n in near])
+    return held.withColumn("_beside", subject).filter("_ground and _beside").drop("_ground", "_beside")
+
+
+def clipped(coverage: Column, floor: float, ceiling: float) -> Column:
+    """Coverage stretched between a floor and a ceiling, at least 0.0001 apart."""
+    return stored(clamp((coverage - floor) / max(ceiling - floor, 1e-4)))
+
+
+def wide_blocks(pixels: DataFrame, value: str, threshold: float) -> DataFrame:
+    """(image_id, bx, by_, low, high) of 8 x 8 blocks whose range of values reaches the threshold (of 255)."""
+    block = pixels.groupBy("image_id", F.expr("cast(x div 8 as int)").alias("bx"), F.expr("cast(y div 8 as int)").alias("by_")).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    return block.filter(F.col("high") / 255.0 - F.col("low") / 255.0 >= threshold)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import batch, documents, normals, packing, pixels
+from ..operators import batch, documents, models, normals, packing, pixels
 from ..sources import rasters
 from .stack import apply_stack
 
@@ -361,3 +361,35 @@ def _normal(name, layers):
 _normal("round_edges", [{"kind": "round_edges"}])
 _normal("color_regions", [{"kind": "color_regions"}])
 _normal("layers", [{"kind": "round_edges"}, {"kind": "brightness", "combine": "reoriented", "opacity": 0.5}])
+
+
+@query()
+def upscaled_images(spark, sf_dir):
+    """Every image at twice its size by the stand-in for a network (see exact), alpha sharpened."""
+    return models.upscale(rasters.packed(tinted(spark, sf_dir)), 2, sharpen=0.5).withColumn("data", F.sha2("data", 256))
+
+
+@query("""SELECT p_partkey, p_name AS prompt, (p_size * 20 // 8 * 8)::int AS width FROM part""")
+def generation_sizes(spark, sf_dir):
+    """What a generation job asks for: sizes go down to multiples of 8."""
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", "p_name prompt", "cast(p_size * 20 div 8 * 8 as int) width")
+
+
+@query(f"""WITH {NOISE}, cut AS (SELECT image_id, x, y, lum FROM noise WHERE lum < 128),
+beside AS (SELECT DISTINCT c.image_id, c.x, c.y FROM cut c JOIN noise n ON n.image_id = c.image_id AND abs(n.x - c.x) + abs(n.y - c.y) = 1 WHERE n.lum >= 128)
+SELECT t.image_id, count(*) AS n, sum(t.r)::bigint AS r, sum(t.g)::bigint AS g, sum(t.b)::bigint AS b FROM tinted t JOIN beside USING (image_id, x, y) GROUP BY t.image_id""")
+def segmentation_key_colour(spark, sf_dir):
+    """The sums behind the key colour of a segmentation: background beside the subject, brightness taken as the probability."""
+    return pixels.beside_subject(tinted(spark, sf_dir), F.col("a") < 128).groupBy("image_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in "rgb"))
+
+
+@query(f"WITH {NOISE} SELECT image_id, x, y, greatest(0, least(1, (a / 255.0::double - 0.1::double) / (0.9::double - 0.1::double)))::float AS coverage FROM tinted")
+def clip_coverage(spark, sf_dir):
+    """Coverage stretched between a floor and a ceiling."""
+    return tinted(spark, sf_dir).select("image_id", "x", "y", pixels.clipped(F.col("a") / 255.0, 0.1, 0.9).cast("float").alias("coverage"))
+
+
+@query(f"""WITH {NOISE} SELECT image_id, x // 8 AS bx, y // 8 AS by_, min(lum) AS low, max(lum) AS high FROM noise GROUP BY ALL HAVING max(lum) / 255.0::double - min(lum) / 255.0::double >= 0.15::double""")
+def halo_blocks(spark, sf_dir):
+    """Blocks of 8 x 8 pixels whose range makes halos worth smoothing."""
+    return pixels.wide_blocks(rasters.noise(spark, sf_dir), "lum", 0.15)
