@@ -9,7 +9,8 @@ with an equal anchor can be equal (see repeats), so a shard holds the contexts o
 anchor are streamed through it. Contexts that are copies as a whole are one class, whose later members go without a
 scan; of contexts that differ, only windows found in two documents are kept (a partly aggregated count, so a passage
 in a third of all documents is no hot group), and what remains is collapsed again before it meets an automaton. A shard
-is closed at SHARD symbols and the next one started, which bounds an automaton's memory.
+is closed at SHARD symbols and the next one started, which bounds an automaton's memory. An anchor with over HOT differing
+contexts does not go to one task: its windows' first documents, which that count holds already, settle it.
 
 Defined cases: null or wordless texts have 0 words; rows with a null doc_id keep everything and are no reference; repeated
 rows of a doc_id (which must have one text) return a row each and are no reference for each other; windows are judged
@@ -31,7 +32,7 @@ from .tables import drop_staged, staged
 from .textkernels import SPACE, blocks, word_hashes, words
 
 GRAM = 8
-SHARD = 100_000
+SHARD, HOT = 100_000, 2000
 
 
 class SuffixAutomaton:
@@ -109,12 +110,12 @@ def long_spans(automata: list[SuffixAutomaton], sequence: list[int], width: int)
 
 
 def _contexts(width: int):
-    """From (doc, text, entries of lo, stop, a): (a, doc, lo, symbols, windows), the hashes of a context's words and windows."""
+    """From (doc, text, entries of lo, stop, a, k): (a, k, doc, lo, symbols, windows), the hashes of a context's words and windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in blocks(batches):
             hashes, first = word_hashes(data, offsets)
-            at, (lo, stop, a) = entries(batch, "lo", "stop", "a")
+            at, (lo, stop, a, k) = entries(batch, "lo", "stop", "a", "k")
             row = np.repeat(np.arange(batch.num_rows), np.diff(at))
             begin, end = lo + first[row], stop + first[row]
             sums = prefix_sums(hashes)
@@ -123,7 +124,7 @@ def _contexts(width: int):
                 symbols.append(hashes[x:y].tobytes())
                 starts = np.arange(x, y - width + 1)
                 windows.append(range_hashes(sums, starts, starts + width).view(np.int64))
-            yield pa.record_batch([pa.array(a), batch.column("doc").take(pa.array(row)), pa.array(lo), pa.array(symbols, pa.binary()), pa.array(windows, pa.list_(pa.int64()))], names=["a", "doc", "lo", "symbols", "windows"])
+            yield pa.record_batch([pa.array(a), pa.array(k), batch.column("doc").take(pa.array(row)), pa.array(lo), pa.array(symbols, pa.binary()), pa.array(windows, pa.list_(pa.int64()))], names=["a", "k", "doc", "lo", "symbols", "windows"])
 
     return run
 
@@ -184,18 +185,19 @@ def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     repeated = classes.join(anchors.select("a", "k"), "a").select("a", "c", "m", "k")
     hits = staged(runs.join(repeated, ["a", "c"]).filter("doc > m or k > 1"))
     whole = hits.filter("doc > m").select("doc", "lo", "stop")
-    unsettled = hits.filter("doc = m").select("doc", "lo", "stop", "a")
-    contexts = staged(docs.join(by_document(unsettled, "lo", "stop", "a"), "doc").mapInArrow(_contexts(width), "a long, doc long, lo long, symbols binary, windows array<long>"))
-    places = contexts.select("a", "doc", "lo", F.posexplode("windows").alias("place", "w"))
-    twice = places.groupBy("a", "w").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("a", "w")
-    held = places.join(twice, ["a", "w"]).groupBy("a", "doc", "lo").agg(F.collect_list("place").alias("places"))
+    unsettled = hits.filter("doc = m").select("doc", "lo", "stop", "a", "k")
+    contexts = staged(docs.join(by_document(unsettled, "lo", "stop", "a", "k"), "doc").mapInArrow(_contexts(width), "a long, k long, doc long, lo long, symbols binary, windows array<long>"))
+    places = contexts.select("a", "k", "doc", "lo", F.posexplode("windows").alias("place", "w"))
+    twice = places.groupBy("a", "w").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("a", "w", "x")
+    counted = places.filter(F.col("k") > HOT).join(twice, ["a", "w"]).filter("doc > x").select("doc", (F.col("lo") + F.col("place")).alias("lo"), (F.col("lo") + F.col("place") + width).alias("stop"))
+    held = places.filter(F.col("k") <= HOT).join(twice, ["a", "w"]).groupBy("a", "doc", "lo").agg(F.collect_list("place").alias("places"))
     parts = staged(contexts.drop("windows").join(held, ["a", "doc", "lo"]).mapInArrow(_trimmed(width), "a long, doc long, lo long, symbols binary"))
     same = parts.groupBy("a", "symbols").agg(F.min("doc").alias("m"))
     judged = staged(parts.join(same, ["a", "symbols"]))
     later = judged.filter("doc > m").select("doc", "lo", (F.col("lo") + F.length("symbols") / 8).cast("long").alias("stop"))
     firsts = judged.filter("doc = m").select("a", "doc", "lo", "symbols")
     streamed = firsts.repartition("a").sortWithinPartitions("a", "doc", "lo").mapInArrow(_stream(width), "doc long, lo long, stop long")
-    found = staged(whole.union(later).union(streamed))
+    found = staged(whole.union(later).union(streamed).union(counted))
     for x in (runs, hits, contexts, parts, judged):
         drop_staged(x)
     return found
