@@ -64,8 +64,9 @@ def removable(sources: DataFrame, copies: DataFrame, jobs: DataFrame) -> DataFra
         .join(copies.select(F.col("path").alias("target"), F.sha2("content", 256).alias("now")), "target", "left")
         .withColumn("bad", F.coalesce(F.col("was") != F.col("now"), F.lit(True)))
     )
-    trouble = checked.agg(F.coalesce(F.max(F.col("bad").cast("int")), F.lit(0)).alias("bad")).crossJoin(collisions(jobs).agg(F.count("*").alias("shared")))
-    return jobs.select("source").join(F.broadcast(trouble)).select("source", F.when((F.col("bad") == 0) & (F.col("shared") == 0), "remove").otherwise("keep").alias("verdict"))
+    by_target = checked.groupBy("target").agg(F.bool_or("bad").alias("bad"), F.count("*").alias("n"))
+    trouble = by_target.agg(F.coalesce(F.bool_or(F.col("bad") | (F.col("n") > 1)), F.lit(False)).alias("trouble"))  # one row
+    return jobs.select("source").join(F.broadcast(trouble)).select("source", F.when(F.col("trouble"), "keep").otherwise("remove").alias("verdict"))
 
 
 def batch_key(files: DataFrame) -> DataFrame:
