@@ -20,45 +20,55 @@ from .url_filter import url_verdicts
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
     return url_verdicts(table(spark, sf_dir, "pages"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shingle count, near-duplicate component and whether it stays."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes and tokens, and whether it is over 512 tokens."""
     import public_tokenizers
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license labels; its detections are left to the operator."""
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, expected grade, probability of the highest grade and whether it stays."""
     docs = table(spark, sf_dir, "documents")
     return graded(docs, trained(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items of which they hold three quarters of the shingles."""
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, how many go, and a digest of those kept."""
     return substring_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("kept", "kept_sha256")
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes, how many go in how many runs, and a digest of those kept."""
     return suffix_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("kept", "kept_sha256")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's size, its source's size and target, and the words the mix takes of it."""
     return mix_report(table(spark, sf_dir, "documents"))
 
 
 def op10_approximate_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.filter("vec_id % 50 = 0"))
 
