@@ -182,10 +182,10 @@ def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     runs = staged_runs(docs, "words", width, GRAM)
     classes = runs.groupBy("a", "c").agg(F.min("doc").alias("m"), F.max("doc").alias("last"))
     anchors = classes.groupBy("a").agg(F.min("m").alias("least"), F.max("last").alias("most"), F.count("*").alias("k")).filter("least < most")
-    repeated = classes.join(anchors.select("a", "k"), "a").select("a", "c", "m", "k")
-    hits = staged(runs.join(repeated, ["a", "c"]).filter("doc > m or k > 1"))
-    whole = hits.filter("doc > m").select("doc", "lo", "stop")
-    unsettled = hits.filter("doc = m").select("doc", "lo", "stop", "a", "k")
+    classes = classes.select("a", "c", "m", "last")
+    whole = runs.join(classes.filter("m < last"), ["a", "c"]).filter("doc > m").select("doc", "lo", "stop")
+    several = classes.join(anchors.filter("k > 1").select("a", "k"), "a").select("a", "c", F.col("m").alias("doc"), "k")
+    unsettled = runs.join(several, ["a", "c", "doc"]).select("doc", "lo", "stop", "a", "k")
     contexts = staged(docs.join(by_document(unsettled, "lo", "stop", "a", "k"), "doc").mapInArrow(_contexts(width), "a long, k long, doc long, lo long, symbols binary, windows array<long>"))
     places = contexts.select("a", "k", "doc", "lo", F.posexplode("windows").alias("place", "w"))
     twice = places.groupBy("a", "w").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("a", "w", "x")
@@ -198,7 +198,7 @@ def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     firsts = judged.filter("doc = m").select("a", "doc", "lo", "symbols")
     streamed = firsts.repartition("a").sortWithinPartitions("a", "doc", "lo").mapInArrow(_stream(width), "doc long, lo long, stop long")
     found = staged(whole.union(later).union(streamed).union(counted))
-    for x in (runs, hits, contexts, parts, judged):
+    for x in (runs, contexts, parts, judged):
         drop_staged(x)
     return found
 
