@@ -241,6 +241,23 @@ def test_nearest(spark):
     assert nearest(few, few.filter("vec_id = 0")).count() == 2
 
 
+def test_nearest_in_groups_of_near_and_scaled_copies(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6000, 64))
+    x[:3000] = x[0] / np.linalg.norm(x[0]) + 1e-3 * rng.normal(size=(3000, 64))
+    x[3000:4000] = x[3000] * rng.uniform(0.5, 2, (1000, 1)) + 1e-4 * rng.normal(size=(1000, 64))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in nearest(vectors, vectors.filter("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert sorted(got) == list(range(0, 6000, 100))
+    for q, found in got.items():
+        score = u @ u[q]
+        score[q] = -2
+        assert [found[r] for r in range(1, 6)] == np.argsort(-score, kind="stable")[:5].tolist()
+
+
 def test_urls(spark):
     link = '<link rel="canonical" href="{}">'
     refresh = '<meta http-equiv="refresh" content="0; url={}">'
