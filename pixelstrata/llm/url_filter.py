@@ -10,8 +10,8 @@ DataFrame and SQL functions only. Urls, not pages, are the nodes, so pages of on
 are found by partly aggregated minima (see components), so a canonical target of a third of all pages is no hot task.
 
 Defined cases: null urls or urls without "://" have an empty host and path, fit no rule, have no aliases and get the
-default; null or empty html has no links; repeated rows return a row each; links that are no absolute or host-relative
-url are ignored; null page_ids return their row; other columns are ignored.
+default; null or empty html has no links; repeated rows return a row each; relative links hold from the
+page's <base>, or else its url, with dot segments removed; links of schemes without "://" (mailto:) are ignored; null page_ids return their row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,9 +32,12 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TAG = r"(?is)<{}\b[^>]*>"
-REFRESH = r"""(?is)http-equiv\s*=\s*["']?refresh["'\s][^>]*?url\s*=\s*["']?([^"'>\s]+)"""
-CANONICAL = r"""(?is)\brel\s*=\s*["']?canonical(?=["'\s/>])"""
-HREF = r"""(?is)\bhref\s*=\s*["']?([^"'>\s]+)"""
+REFRESH = r"""(?is)(?<![-\w])http-equiv\s*=\s*["']?\s*refresh(?=["'\s/>])"""
+#: The url of a refresh's content, with or without "url=".
+CONTENT = r"""(?is)(?<![-\w])content\s*=\s*["']?\s*+(?:[\d.]*+\s*[;,]?\s*url\s*=\s*["']?|[\d.]++(?:\s*+[;,]|\s)\s*+(?![;,]|url\s*=))([^"'>\s]+)"""
+CANONICAL = r"""(?is)(?<![-\w])rel\s*=\s*(?:"[^"]*?(?<![^"\s])canonical(?![^"\s])|'[^']*?(?<![^'\s])canonical(?![^'\s])|canonical(?=[\s/>]))"""
+HREF = r"""(?is)(?<![-\w])href\s*=\s*["']?\s*([^"'>\s]+)"""
+BASE = r"""(?is)<base\b[^>]*?(?<![-\w])href\s*=\s*["']?\s*([^"'>\s]+)"""
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -62,13 +65,31 @@ def node(url: Column) -> Column:
     return F.concat(F.translate(head, UPPER, LOWER), F.substr(whole, F.length(head) + 1))
 
 
+def without_dots(rest: Column) -> Column:
+    """A path, with what follows it, whose segments "." and ".." are resolved."""
+    path, more = F.regexp_extract(rest, r"(?s)^/([^?#]*)", 1), F.regexp_extract(rest, r"(?s)^[^?#]*(.*)$", 1)
+    parts = F.split(path, "/")
+    up = lambda kept: F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+    step = lambda kept, part: F.when(part == "..", up(kept)).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(F.contains(rest, F.lit("/.")), F.concat(F.lit("/"), F.array_join(closed, "/"), more)).otherwise(rest)
+
+
 def resolved(base: Column, link: Column) -> Column:
-    """An absolute, scheme-relative or host-relative link as a url; null otherwise."""
+    """A link as a url: absolute, or relative to the scheme, host, path or query of base; null for schemes without "://"."""
     plain = F.replace(link, F.lit("&amp;"), F.lit("&"))
+    at = lambda pattern: F.regexp_extract(base, pattern, 1)
+    host = at(r"(?s)^(.*?://[^/?#]*)")
+    folder = F.coalesce(F.nullif(at(r"(?s)^.*?://[^/?#]*(/[^?#]*/|/)"), F.lit("")), F.lit("/"))
     return (
-        F.when(F.instr(plain, "://") > 0, plain)
-        .when(plain.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), plain))
-        .when(plain.startswith("/"), F.concat(F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), plain))
+        F.when(F.regexp_like(plain, F.lit("^[A-Za-z][A-Za-z0-9+.-]*://")), plain)
+        .when(F.regexp_like(plain, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")) | (plain == ""), F.lit(None))
+        .when(plain.startswith("//"), F.concat(at(r"(?s)^(.*?:)//"), plain))
+        .when(plain.startswith("/"), F.concat(host, without_dots(plain)))
+        .when(plain.startswith("?"), F.concat(at(r"(?s)^(.*?://[^?#]*)"), plain))
+        .when(plain.startswith("#"), F.concat(at(r"(?s)^([^#]*)"), plain))
+        .otherwise(F.concat(host, without_dots(F.concat(folder, plain))))
     )
 
 
@@ -76,10 +97,11 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): distinct edges between nodes, from each page's url to its redirect target and its canonical link."""
     links = F.filter(F.regexp_extract_all("html", F.lit(TAG.format("link")), 0), lambda t: F.regexp_like(t, F.lit(CANONICAL)))
     metas = F.filter(F.regexp_extract_all("html", F.lit(TAG.format("meta")), 0), lambda t: F.regexp_like(t, F.lit(REFRESH)))
-    targets = F.concat(F.transform(links, lambda t: F.regexp_extract(t, HREF, 1)), F.transform(metas, lambda t: F.regexp_extract(t, REFRESH, 1)))
+    targets = F.concat(F.transform(links, lambda t: F.regexp_extract(t, HREF, 1)), F.transform(metas, lambda t: F.regexp_extract(t, CONTENT, 1)))
     marked = pages.filter("html is not null and instr(url, '://') > 0").filter(F.regexp_like("html", F.lit(r"(?i)canonical|refresh")))
-    found = marked.select("url", F.explode(targets).alias("link"))
-    ends = found.select(node(F.col("url")).alias("a"), node(resolved(F.col("url"), F.col("link"))).alias("b"))
+    base = F.coalesce(resolved(F.col("url"), F.regexp_extract("html", BASE, 1)), F.col("url"))
+    found = marked.select("url", base.alias("base"), F.explode(targets).alias("link"))
+    ends = found.select(node(F.col("url")).alias("a"), node(resolved(F.col("base"), F.col("link"))).alias("b"))
     return ends.filter("b is not null and a <> b").distinct()
 
 

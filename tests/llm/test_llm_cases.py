@@ -273,3 +273,23 @@ def test_urls(spark):
     assert got[4][2:] == (None, "allow") and got[5] == ("", "", None, "allow") and got[6] == ("", "", None, "allow")
     assert got[7][2:] == ("example.org/en/1", "block") and got[8][3] == "allow" and got[9][3] == "block"
     assert got[10] == ("b.net", "/q", None, "allow") and got[11] == ("org", "", None, "allow")
+
+
+def test_relative_links(spark):
+    link = '<link rel="canonical" href="{}">'
+    refresh = '<meta http-equiv="refresh" content="0; url={}">'
+    tags = [
+        link.format("page.html"), link.format("../d/./page.html"), refresh.format("page.html"), '<meta content="0;url=page.html" http-equiv="refresh">', "<meta content='0; page.html' http-equiv=refresh>",
+        '<link rel="nofollow canonical" href="page.html">', "<link href=page.html rel='x canonical y'>", link.format("/x/../d/page.html"), '<base href="/d/"><link rel=canonical href="page.html#f">', link.format("//h.net/d/page.html"),
+    ]
+    rows = [(i, f"http://h.net/d/a{i}?x#y", t) for i, t in enumerate(tags)]
+    off = [link.format("mailto:page.html"), '<meta http-equiv="refresh" content="5"/>', '<link rel="canonicals" href="page.html">', '<meta name="refresh" content="0;url=page.html">', link.format("login?next=http://h.net/d/page.html")]
+    rows += [(100 + i, f"http://h.net/d/b{i}", t) for i, t in enumerate(off)]
+    rows += [(200, "http://h.net/d/page.html", None), (201, "http://h.net/q?id=1", link.format("d/page.html")), (202, "http://h.net/q", link.format("?id=1")), (203, "http://g.net", link.format("page.html")), (204, "http://g.net/page.html", None)]
+    rows[8] = (8, "http://h.net/e/a8", tags[8])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = (("block", "h.net", "/d/page.html"), ("block", "g.net", "/page.html"))
+    got = {r.page_id: r.verdict for r in url_verdicts(pages, rules).collect()}
+    assert [got[i] for i in range(len(tags))] == ["block"] * len(tags)
+    assert [got[100 + i] for i in range(len(off))] == ["allow"] * len(off)
+    assert got[200] == got[201] == got[202] == got[203] == got[204] == "block"
