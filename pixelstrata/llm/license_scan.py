@@ -6,8 +6,9 @@ texts are settled by a handful of substring searches. Each match is an interval
 inside another goes if the other's priority is higher, or equal and the interval longer. The survivors give labels and
 the score (the best survivor's weight).
 
-Families, each with a title and a label, go through FORMS (grant, notice, tag, title), which makes some hundreds of
-rules in a fixed order. Base phrases are exact and always count: n_base places, their first and last word.
+Three kinds of rules, in a fixed order: names of families in FORMS (grant, notice, tag, title); SPDX identifiers and short
+names (MARKS) behind "SPDX-License-Identifier:", behind "License:" or "licensed under", and alone where they are distinct; and signature
+sentences of license bodies (BODIES). A rule with a group counts as the group's interval. Base phrases are exact and always count: n_base places, their first and last word.
 
 Defined cases: null, empty and wordless texts have 0 words and no labels; whole texts of any length are scanned;
 repeated rows and null doc_ids return their rows; other columns are ignored.
@@ -111,6 +112,142 @@ FORMS = (
 )
 
 
+#: Label, keyword, pattern of the identifier or short name, and where it counts: "spdx" behind an SPDX tag only,
+#: "tag" also behind "license" or "licensed under", "bare" also alone.
+MARKS = (
+    ("mit", "mit", r"mit", "tag"),
+    ("mit-0", "mit", r"mit 0", "tag"),
+    ("mit-x11", "x11", r"x11", "tag"),
+    ("apache", "apache", r"apache", "tag"),
+    ("apache-1", "apache", r"apache ?v? ?1 [01]", "tag"),
+    ("apache-2", "apache", r"apache ?v? ?2 0", "bare"),
+    ("apache-2", "apache", r"apache ?v? ?2", "tag"),
+    ("apache-2", "asl", r"asl ?v? ?2(?: 0)?", "tag"),
+    ("bsd", "bsd", r"bsd", "tag"),
+    ("bsd-0", "0bsd", r"0bsd", "bare"),
+    ("bsd-1", "bsd", r"bsd 1 clause", "bare"),
+    ("bsd-2", "bsd", r"bsd 2(?: clause)?(?: patent| views)?", "tag"),
+    ("bsd-2", "bsd", r"bsd 2 clause", "bare"),
+    ("bsd-3", "bsd", r"bsd 3(?: clause)?(?: clear| lbnl)?", "tag"),
+    ("bsd-3", "bsd", r"bsd 3 clause", "bare"),
+    ("bsd-4", "bsd", r"bsd 4(?: clause)?(?: uc)?", "tag"),
+    ("bsd-4", "bsd", r"bsd 4 clause", "bare"),
+    ("gpl", "gpl", r"gpl", "tag"),
+    ("gpl-1", "gpl", r"gpl ?v? ?1(?: 0)?(?: only| or later)?", "bare"),
+    ("gpl-2", "gpl", r"gpl ?v? ?2(?: 0)?(?: only| or later)?", "bare"),
+    ("gpl-3", "gpl", r"gpl ?v? ?3(?: 0)?(?: only| or later)?", "bare"),
+    ("lgpl", "lgpl", r"lgpl", "tag"),
+    ("lgpl-2", "lgpl", r"lgpl ?v? ?2(?: 0)?(?: only| or later)?", "bare"),
+    ("lgpl-2.1", "lgpl", r"lgpl ?v? ?2 1(?: only| or later)?", "bare"),
+    ("lgpl-3", "lgpl", r"lgpl ?v? ?3(?: 0)?(?: only| or later)?", "bare"),
+    ("agpl", "agpl", r"agpl", "tag"),
+    ("agpl-1", "agpl", r"agpl ?v? ?1(?: 0)?(?: only| or later)?", "bare"),
+    ("agpl-3", "agpl", r"agpl ?v? ?3(?: 0)?(?: only| or later)?", "bare"),
+    ("gfdl", "gfdl", r"gfdl(?: ?v? ?1 [123])?(?: only| or later| (?:no )?invariants(?: only| or later))?", "tag"),
+    ("gfdl", "gfdl", r"gfdl ?v? ?1 [123]", "bare"),
+    ("isc", "isc", r"isc", "tag"),
+    ("zlib", "zlib", r"zlib(?: acknowledgement)?", "tag"),
+    ("mpl", "mpl", r"mpl", "tag"),
+    ("mpl-1", "mpl", r"mpl ?v? ?1 [01]", "bare"),
+    ("mpl-2", "mpl", r"mpl ?v? ?2 0(?: no copyleft exception)?", "bare"),
+    ("mpl-2", "mpl", r"mpl ?v? ?2", "tag"),
+    ("epl", "epl", r"epl", "tag"),
+    ("epl-1", "epl", r"epl ?v? ?1 0", "bare"),
+    ("epl-2", "epl", r"epl ?v? ?2 0", "bare"),
+    ("cpl-1", "cpl", r"cpl 1 0", "tag"),
+    ("cddl-1", "cddl", r"cddl(?: ?v? ?1 [01])?", "tag"),
+    ("cddl-1", "cddl", r"cddl ?v? ?1 [01]", "bare"),
+    ("eupl", "eupl", r"eupl(?: ?v? ?1 [012])?", "tag"),
+    ("eupl", "eupl", r"eupl ?v? ?1 [012]", "bare"),
+    ("cecill", "cecill", r"cecill(?: [12] [01]| b| c)?", "bare"),
+    ("artistic-1", "artistic", r"artistic 1 0(?: cl8| perl)?", "tag"),
+    ("artistic-2", "artistic", r"artistic 2 0", "tag"),
+    ("afl", "afl", r"afl [123] [012]", "tag"),
+    ("osl", "osl", r"osl [123] [01]", "tag"),
+    ("ecl", "ecl", r"ecl [12] 0", "tag"),
+    ("upl", "upl", r"upl 1 0", "tag"),
+    ("apsl", "apsl", r"apsl [12] [012]", "tag"),
+    ("lppl", "lppl", r"lppl 1 [0123][ac]?", "tag"),
+    ("zpl", "zpl", r"zpl [12] [01]", "tag"),
+    ("mulan", "mulanpsl", r"mulanpsl [12] 0", "bare"),
+    ("blueoak", "blueoak", r"blueoak 1 0 0", "bare"),
+    ("boost", "bsl", r"bsl 1 0", "tag"),
+    ("bsl", "busl", r"busl 1 1", "bare"),
+    ("sspl", "sspl", r"sspl ?v? ?1(?: 0)?", "bare"),
+    ("elastic", "elastic", r"elastic 2 0", "tag"),
+    ("unlicense", "unlicense", r"unlicense", "tag"),
+    ("wtfpl", "wtfpl", r"wtfpl", "bare"),
+    ("beerware", "beerware", r"beerware", "bare"),
+    ("cc0", "cc0", r"cc0(?: 1 0)?", "tag"),
+    ("cc-by", "cc", r"cc by(?: [1234] [05])?", "tag"),
+    ("cc-by-sa", "cc", r"cc by sa(?: [1234] [05])?", "tag"),
+    ("cc-by-nd", "cc", r"cc by nd(?: [1234] [05])?", "tag"),
+    ("cc-by-nc", "cc", r"cc by nc(?: [1234] [05])?", "tag"),
+    ("cc-by-nc-sa", "cc", r"cc by nc sa(?: [1234] [05])?", "tag"),
+    ("cc-by-nc-nd", "cc", r"cc by nc nd(?: [1234] [05])?", "tag"),
+    ("odbl", "odbl", r"odbl(?: ?v? ?1 0)?", "tag"),
+    ("odc-by", "odc", r"odc by(?: 1 0)?", "bare"),
+    ("pddl", "pddl", r"pddl(?: 1 0)?", "tag"),
+    ("ofl", "ofl", r"ofl(?: 1 [01])?", "tag"),
+    ("psf", "psf", r"psf(?: 2 0)?", "tag"),
+    ("psf", "python", r"python 2 0(?: 1)?", "tag"),
+    ("ms-pl", "ms", r"ms pl", "tag"),
+    ("ms-rl", "ms", r"ms rl", "tag"),
+    ("ncsa", "ncsa", r"ncsa", "tag"),
+    ("hpnd", "hpnd", r"hpnd", "tag"),
+    ("postgresql", "postgresql", r"postgresql", "tag"),
+    ("openssl", "openssl", r"openssl", "tag"),
+    ("php", "php", r"php 3 01?", "tag"),
+    ("ruby", "ruby", r"ruby", "spdx"),
+    ("vim", "vim", r"vim", "spdx"),
+    ("curl", "curl", r"curl", "spdx"),
+    ("json", "json", r"json", "spdx"),
+    ("w3c", "w3c", r"w3c", "spdx"),
+)
+#: Label, keyword, signature sentence of the license's body over normalised words.
+BODIES = (
+    ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files(?: the software)? to deal in the software"),
+    ("ncsa", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files(?: the software)? to deal with the software"),
+    ("mit-x11", "as contained in this notice", r"except as contained in this notice the names? of (?:[^ ]+ ){1,20}?shall not be used in advertising"),
+    ("boost", "hereby granted", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("isc", "hereby granted", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("bsd-0", "hereby granted", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?! provided)"),
+    ("hpnd", "hereby granted", r"permission to use copy modify(?: and)?(?: or)? distribute(?: and sell)? this software and its documentation for any purpose(?: and)?(?: is hereby granted)? without fee(?: is hereby granted)?"),
+    ("postgresql", "written agreement", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd", "redistribution and use", r"redistributions? and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3", "neither the name", r"neither the names? of (?:[^ ]+ ){1,30}?(?:may|nor) (?:[^ ]+ ){0,12}?be used to endorse or promote products derived from this software"),
+    ("bsd-4", "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("openssl", "openssl project", r"this product includes software developed by the openssl project"),
+    ("zlib", "held liable", r"this software is provided as is without any express or implied warranty in no event will the authors? be held liable"),
+    ("apache-2", "use reproduction", r"terms and conditions for use reproduction and distribution"),
+    ("apache-2", "unless required by", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("gnu", "verbatim copies", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl-2", "free software", r"gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-3", "free software", r"gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("lgpl-2.1", "free software", r"gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("lgpl-3", "free software", r"gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl-3", "free software", r"gnu affero general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl-3", "copyleft license", r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("lgpl-3", "incorporates the terms", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3"),
+    ("agpl-3", "network server", r"specifically designed to ensure cooperation with the community in the case of network server software"),
+    ("gfdl", "permission is granted to copy", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2", "source code form", r"this source code form is subject to the terms of the mozilla public license"),
+    ("epl", "accompanying program", r"the accompanying program is provided under the terms of this eclipse public license"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("cc0", "associated a work", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0", "neighboring rights", r"waived all copyright and related or neighboring rights"),
+    ("cc", "exercising the licensed", r"by exercising the licensed rights defined below you accept and agree to be bound by"),
+    ("artistic-1", "intent of this document", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("ofl", "font projects", r"stimulate worldwide development of collaborative font projects"),
+    ("ms-pl", "accompanying software", r"this license governs use of the accompanying software if you use the software you accept this license"),
+    ("beerware", "retain this notice", r"as long as you retain this notice you can do whatever you want with this stuff"),
+    ("json", "good not evil", r"the software shall be used for good not evil"),
+    ("wtfpl", "just do what", r"you just do what the f\w* you want to"),
+)
+#: Priority and weight of marks behind an SPDX tag, behind "license", alone, and of bodies.
+SPDX, TAGGED, BARE, BODY = (4, 1.0), (3, 0.9), (2, 0.6), (4, 1.0)
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -122,12 +259,18 @@ class Rule:
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules, in order: by family, then by form."""
-    return tuple(Rule(label, keyword, priority, weight, re.compile(rf"(?<![^ ]){form.format(f'(?:{name})')}(?![^ ])")) for label, keyword, name in FAMILIES for _, priority, weight, form in FORMS)
+    """All rules, in order: names by family, then by form; marks by where they stand; bodies."""
+    made = lambda label, keyword, kind, pattern: Rule(label, keyword, *kind, re.compile(rf"(?<![^ ]){pattern}(?![^ ])"))
+    named = [made(label, keyword, (priority, weight), form.format(f"(?:{name})")) for label, keyword, name in FAMILIES for _, priority, weight, form in FORMS]
+    operand = rf"(?:{'|'.join(pattern for _, _, pattern, _ in MARKS)})(?: with(?: [^ ]+){{1,4}}? exception(?: \d+){{0,2}})?"
+    spdx = [made(label, keyword, SPDX, rf"spdx license identifier (?:{operand} (?:or|and) ){{0,6}}({pattern})") for label, keyword, pattern, _ in MARKS]
+    tagged = [made(label, keyword, TAGGED, rf"licen[cs]ed? (?:(?:is|as|type|name|under|the|an?) ){{0,3}}({pattern})") for label, keyword, pattern, at in MARKS if at != "spdx"]
+    bare = [made(label, keyword, BARE, pattern) for label, keyword, pattern, at in MARKS if at == "bare"]
+    return (*named, *spdx, *tagged, *bare, *(made(label, keyword, BODY, pattern) for label, keyword, pattern in BODIES))
 
 
 #: Each keyword's longest word, in bytes: what the prefilter looks for in the raw text.
-PREFILTER = tuple(dict.fromkeys(max(k.split(" "), key=len).encode() for _, k, _ in FAMILIES))
+PREFILTER = tuple(dict.fromkeys(max(r.keyword.split(" "), key=len).encode() for r in rules()))
 
 
 @cache
@@ -167,7 +310,7 @@ def scan(text: str) -> tuple[list[tuple[int, str]], list[tuple[int, int, str, fl
     found, every, padded = [], rules(), f" {joined}"
     for keyword, own in gated():
         if keyword in padded:
-            found += [(*m.span(), rule.priority, number) for number, rule in own for m in rule.pattern.finditer(joined)]
+            found += [(*m.span(m.lastindex or 0), rule.priority, number) for number, rule in own for m in rule.pattern.finditer(joined)]
     kept = surviving(found)
     return base, [(bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1, every[n].label, every[n].weight) for a, b, _, n in kept]
 

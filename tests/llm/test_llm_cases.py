@@ -128,6 +128,22 @@ def test_license_rules(odd):
     assert license_scan(odd).count() == odd.count()
 
 
+def test_license_marks_and_bodies(spark):
+    body = "Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal\n * in the Software"
+    want = {
+        "// SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache-2", "# SPDX-License-Identifier: BSD-3-Clause": "bsd-3", "SPDX-License-Identifier: MPL-2.0": "mpl-2",
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2,mit", "SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception OR ISC": "apache-2,isc", "SPDX-License-Identifier: LGPL-2.1-or-later": "lgpl-2.1",
+        "License: MIT": "mit", "License: BSD": "bsd", "licensed under ISC": "isc", "GPLv2": "gpl-2", "see LGPL-2.1": "lgpl-2.1", "AGPL-3.0": "agpl-3", "AGPLv3 or later": "agpl-3", body: "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided": "bsd", "This is free and unencumbered software released into the public domain.": "unlicense",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that": "isc", "ein Bild mit Rahmen": "", "a simple example of disc access": "", "ruby and json": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan(docs).collect()}
+    for i, (text, labels) in enumerate(want.items()):
+        found = set(filter(None, got[i].labels.split(",")))
+        assert set(filter(None, labels.split(","))) <= found and bool(found) == bool(labels) == (got[i].score > 0), (text, got[i].labels)
+
+
 def test_quality(spark, odd):
     good, bad = ["fine words here"] * 30, ["fine words idiot here"] * 30
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)] + [(99, None), (None, "x")], "doc_id long, text string")
