@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, near copies, repeated passages, benchmark leaks, mixing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
-documents. The last emits each document once for each of its copies in the mix, numbered in `copy`.
+documents. The last emits each document once for each of its copies in the mix, numbered in `copy`. Rows
+without a doc_id are judged like the rest, each as a document of its own.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pixelstrata.llm.mixing import mixed
 from pixelstrata.llm.near_dup import without_copies
 from pixelstrata.llm.quality import selected, trained
 from pixelstrata.llm.substring_dedup import without_repeats
-from pixelstrata.llm.tables import staged, table
+from pixelstrata.llm.tables import staged, table, with_ids
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,17 +24,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return without_copies(docs)
+    return with_ids(docs, without_copies)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words or more that a smaller document has."""
-    return without_repeats(docs)
+    return with_ids(docs, without_repeats)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return with_ids(docs, lambda rows: decontaminated(rows, table(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows without a doc_id are numbered from FREE on while a stage runs.
+FREE = 1 << 61
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +43,13 @@ def drop_staged(df: DataFrame | None) -> None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+
+
+def with_ids(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """stage over docs, a stage that carries all columns: rows with a null doc_id are documents of their own, after all
+    others, and have no doc_id again in what it returns. Those rows are staged, so that their numbers hold."""
+    named, kind = F.lit(True).alias("row_named"), docs.schema["doc_id"].dataType
+    free = (F.monotonically_increasing_id() + F.lit(FREE)).cast(kind)
+    unnamed = staged(docs.filter("doc_id is null").withColumns({"doc_id": free, "row_named": F.lit(False)}))
+    out = stage(docs.filter("doc_id is not null").select("*", named).unionByName(unnamed))
+    return out.withColumn("doc_id", F.when(F.col("row_named"), F.col("doc_id"))).drop("row_named")

@@ -165,6 +165,19 @@ def test_decontamination(spark, odd):
     assert sorted(r.doc_id or 0 for r in decontaminated(odd, bench).collect()) == [0, 0, 1, 2, 3, 6, 7, 10]
 
 
+def test_rows_without_ids_are_judged(spark, tmp_path):
+    import corpus_pipeline as stages
+
+    item = " ".join(f"q{i}" for i in range(30))
+    rows = [(None, PASSAGE, "a"), (None, PASSAGE, "b"), (7, PASSAGE + " end", "c"), (None, f"x {item} y", "d"), (None, "own text", "e"), (None, "", "f"), (None, "", "g"), (None, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    assert sorted(r.source for r in stages.near_copies(spark, docs, "").collect()) == ["c", "d", "e", "f", "g", "h"]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r.source for r in stages.leaks(spark, docs, str(tmp_path)).collect()) == ["a", "b", "c", "e", "f", "g", "h"]
+    left = {r.source: (r.doc_id, r.text) for r in stages.passages(spark, docs, "").collect()}
+    assert left == {s: (i, "" if s in "ab" else t) for i, t, s in rows}
+
+
 def test_substring_dedup(odd):
     rows = {(r.doc_id, r.n_words): r for r in substring_dedup(odd, texts=True).collect()}
     assert rows[9, 62].kept == "x y" and rows[8, 64].n_removed == 0 and rows[7, 30001].kept == "end"
