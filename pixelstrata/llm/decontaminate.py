@@ -2,8 +2,8 @@
 
 The containment of a short item in a long document is the chance that the item's minimum under a random hash is a shingle
 of the document, whatever the document's size: the document needs no sketch of its own, only membership. Items are
-partitioned by size (powers of two of their shingle count) and each partition has its number of hash functions: small
-items have all their shingles taken, others SKETCH minima, so the chance to miss an item at the threshold is
+sorted by size (powers of two of their shingle count) and share one index, not one a partition: small items have all
+their shingles taken, others SKETCH minima, so the chance to miss an item at the threshold is
 0.25**SKETCH = 2e-10. The minima form one index (shingle hash to item). Every document's shingles are held against the
 index in one pass; a document that meets an item's minimum is a candidate, and the exact containment on full sets decides.
 
