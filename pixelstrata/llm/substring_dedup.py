@@ -6,14 +6,13 @@ longest suffix that the shard holds) reaches the width, the maximal span goes.
 
 Sending every shard to every document would cost documents times shards, so shards are dealt by content: only windows
 with an equal anchor can be equal (see repeats), so a shard holds the contexts of one anchor, and only contexts of that
-anchor are streamed through it. Contexts that are copies as a whole are one class, whose later members go without a
-scan; of contexts that differ, only windows found in two documents are kept (a partly aggregated count, so a passage
-in a third of all documents is no hot group), and what remains is collapsed again before it meets an automaton. A shard
-is closed at SHARD symbols and the next one started, which bounds an automaton's memory. An anchor with over HOT differing
-contexts does not go to one task: its windows' first documents, which that count holds already, settle it.
+anchor are streamed through it. Equal contexts are one sequence of their shard, streamed once for their smallest document; as the
+shard then holds the whole sequence, its later documents lose it whole. All else is decided by matching statistics. An anchor
+of over SHARD different contexts is dealt to deeper anchors, shard by shard, until each automaton is within that bound;
+contexts are compared word by word there, not by hash.
 
 Defined cases: null or wordless texts have 0 words; rows with a null doc_id keep everything and are no reference; repeated
-rows of a doc_id (which must have one text) return a row each and are no reference for each other; windows are judged
+rows of a doc_id, of equal or other texts, return a row each and are no reference for each other; windows are judged
 on the input; other columns are ignored.
 """
 
@@ -27,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import by_document, covered, entries, prefix_sums, range_hashes, staged_runs
+from .repeats import by_place, contexts, covered, entries, halves, keyed, shared, staged_runs
 from .tables import drop_staged, staged
-from .textkernels import SPACE, blocks, word_hashes, words
+from .textkernels import SPACE, blocks, words
 
 GRAM = 8
-SHARD, HOT = 100_000, 2000
+SHARD = 1000  # contexts, each of at most 2 * width words
 
 
 class SuffixAutomaton:
@@ -97,129 +96,104 @@ class SuffixAutomaton:
             yield size
 
 
-def long_spans(automata: list[SuffixAutomaton], sequence: list[int], width: int) -> list[tuple[int, int]]:
+def long_spans(automaton: SuffixAutomaton, sequence: list, width: int) -> list[tuple[int, int]]:
     """Maximal ranges of the sequence covered by matches of at least `width`."""
-    marks = sorted((end + 1 - size, end + 1) for a in automata for end, size in enumerate(a.matching(sequence)) if size >= width)
     out: list[tuple[int, int]] = []
-    for a, b in marks:
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
+    for end, size in enumerate(automaton.matching(sequence)):
+        if size >= width:
+            if out and end - size < out[-1][1]:
+                out[-1] = (out[-1][0], end + 1)
+            else:
+                out.append((end + 1 - size, end + 1))
     return out
 
 
-def _contexts(width: int):
-    """From (doc, text, entries of lo, stop, a, k): (a, k, doc, lo, symbols, windows), the hashes of a context's words and windows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in blocks(batches):
-            hashes, first = word_hashes(data, offsets)
-            at, (lo, stop, a, k) = entries(batch, "lo", "stop", "a", "k")
-            row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            begin, end = lo + first[row], stop + first[row]
-            sums = prefix_sums(hashes)
-            symbols, windows = [], []
-            for x, y in zip(begin, end, strict=True):
-                symbols.append(hashes[x:y].tobytes())
-                starts = np.arange(x, y - width + 1)
-                windows.append(range_hashes(sums, starts, starts + width).view(np.int64))
-            yield pa.record_batch([pa.array(a), pa.array(k), batch.column("doc").take(pa.array(row)), pa.array(lo), pa.array(symbols, pa.binary()), pa.array(windows, pa.list_(pa.int64()))], names=["a", "k", "doc", "lo", "symbols", "windows"])
-
-    return run
-
-
-def _trimmed(width: int):
-    """From contexts with the places of windows that two documents have: (a, doc, start, symbols) for each run of such windows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for a, doc, lo, symbols, places in zip(*(batch.column(c).to_pylist() for c in ("a", "doc", "lo", "symbols", "places")), strict=True):
-                places = np.unique(places)
-                cut = np.flatnonzero(np.diff(places) > 1)
-                for x, y in zip(places[np.append(0, cut + 1)], places[np.append(cut, len(places) - 1)], strict=True):
-                    out.append((a, doc, lo + int(x), symbols[8 * x : 8 * (y + width)]))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "doc", "lo", "symbols"])
-
-    return run
-
-
 def _stream(width: int):
-    """Rows (a, doc, lo, symbols), by a and then doc: streams each document through the automata of the smaller ones."""
+    """Rows (g, doc, at, body), by g and then doc: streams each document through the automaton of the smaller ones. Gives
+    (doc, at, size) of the spans found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, document, shards, waiting = None, None, [], []
-
-        def settle():
-            for symbols in waiting:
-                if not shards or shards[-1].symbols > SHARD:
-                    shards.append(SuffixAutomaton())
-                shards[-1].add(symbols)
-            waiting.clear()
-
+        group, document, shard, waiting = None, None, None, []
         for batch in batches:
             out: list[tuple[int, int, int]] = []
-            for a, doc, lo, symbols in zip(*(batch.column(c).to_pylist() for c in ("a", "doc", "lo", "symbols")), strict=True):
-                if a != anchor:
-                    anchor, document, shards, waiting[:] = a, None, [], []
+            for g, doc, at, body in zip(*(batch.column(c).to_pylist() for c in ("g", "doc", "at", "body")), strict=True):
+                if g != group:
+                    group, document, shard, waiting = g, doc, None, []
                 if doc != document:
-                    settle()
                     document = doc
-                sequence = np.frombuffer(symbols, np.int64).tolist()
-                out += [(doc, lo + x, lo + y) for x, y in long_spans(shards, sequence, width)]
+                    shard = shard or SuffixAutomaton()
+                    for sequence in waiting:
+                        shard.add(sequence)
+                    waiting = []
+                sequence = body.split(b" ")
+                if shard:
+                    out += [(doc, at + x, y - x) for x, y in long_spans(shard, sequence, width)]
                 if sequence not in waiting:
                     waiting.append(sequence)
             columns = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], names=["doc", "lo", "stop"])
+            yield pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], names=["doc", "at", "size"])
 
     return run
 
 
+def _judged(rows: DataFrame) -> DataFrame:
+    """Rows (g, c, doc, ...) of a class that has a smaller document (m, its smallest), and the first rows of classes of groups
+    (k: the group's classes) that differ and have several documents; staged."""
+    classes = staged(rows.groupBy("g", "c").agg(F.min("doc").alias("m")))
+    groups = classes.groupBy("g").agg(F.count("*").alias("k"), F.min("m").alias("x"), F.max("m").alias("y"))
+    groups = staged(groups.filter("k > 1 and x < y").select("g", "k"))
+    known = rows.join(classes.join(groups, "g", "left"), ["g", "c"], "left")
+    out = staged(known.filter("coalesce(doc > m, false) or coalesce(doc = m and k > 1, false)"))
+    drop_staged(classes, groups)
+    return out
+
+
 def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
-    """(doc, lo, stop): word ranges of docs (doc, text) that go; their union is what goes."""
-    runs = staged_runs(docs, "words", width, GRAM)
-    classes = runs.groupBy("a", "c").agg(F.min("doc").alias("m"), F.max("doc").alias("last"))
-    anchors = classes.groupBy("a").agg(F.min("m").alias("least"), F.max("last").alias("most"), F.count("*").alias("k")).filter("least < most")
-    classes = classes.select("a", "c", "m", "last")
-    whole = runs.join(classes.filter("m < last"), ["a", "c"]).filter("doc > m").select("doc", "lo", "stop")
-    several = classes.join(anchors.filter("k > 1").select("a", "k"), "a").select("a", "c", F.col("m").alias("doc"), "k")
-    unsettled = runs.join(several, ["a", "c", "doc"]).select("doc", "lo", "stop", "a", "k")
-    contexts = staged(docs.join(by_document(unsettled, "lo", "stop", "a", "k"), "doc").mapInArrow(_contexts(width), "a long, k long, doc long, lo long, symbols binary, windows array<long>"))
-    places = contexts.select("a", "k", "doc", "lo", F.posexplode("windows").alias("place", "w"))
-    twice = places.groupBy("a", "w").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("a", "w", "x")
-    counted = places.filter(F.col("k") > HOT).join(twice, ["a", "w"]).filter("doc > x").select("doc", (F.col("lo") + F.col("place")).alias("lo"), (F.col("lo") + F.col("place") + width).alias("stop"))
-    held = places.filter(F.col("k") <= HOT).join(twice, ["a", "w"]).groupBy("a", "doc", "lo").agg(F.collect_list("place").alias("places"))
-    parts = staged(contexts.drop("windows").join(held, ["a", "doc", "lo"]).mapInArrow(_trimmed(width), "a long, doc long, lo long, symbols binary"))
-    same = parts.groupBy("a", "symbols").agg(F.min("doc").alias("m"))
-    judged = staged(parts.join(same, ["a", "symbols"]))
-    later = judged.filter("doc > m").select("doc", "lo", (F.col("lo") + F.length("symbols") / 8).cast("long").alias("stop"))
-    firsts = judged.filter("doc = m").select("a", "doc", "lo", "symbols")
-    streamed = firsts.repartition("a").sortWithinPartitions("a", "doc", "lo").mapInArrow(_stream(width), "doc long, lo long, stop long")
-    found = staged(whole.union(later).union(streamed).union(counted))
-    for x in (runs, contexts, parts, judged):
-        drop_staged(x)
-    return found
+    """(doc, at, size): word ranges of docs (doc, row, text) that go, staged; their union is what goes."""
+    later = F.expr(f"cast(n + {width} - 1 as bigint)").alias("size")
+    runs = shared(staged_runs(docs, "words", width, GRAM), "x < y")
+    judged = _judged(runs)
+    drop_staged(runs)
+    found = [judged.filter("doc > m").select("doc", "at", later)]
+    held = contexts(docs, judged.filter("doc = m").withColumn("times", F.lit(1).cast("long")), "words", width, GRAM)
+    made = [judged, held]
+    while True:
+        small = held.filter(F.col("k") <= SHARD).select("g", "doc", "at", "body").repartition("g").sortWithinPartitions("g", "doc", "at")
+        found.append(small.mapInArrow(_stream(width), "doc long, at long, size long"))
+        large = held.filter(F.col("k") > SHARD)
+        if large.isEmpty():
+            break
+        parts = halves(large, "words", width)
+        judged = _judged(parts)
+        drop_staged(parts)
+        found.append(judged.filter("doc > m").select("doc", "at", later))
+        held = judged.filter("doc = m")
+        made.append(judged)
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.union(more)
+    spans = staged(spans)
+    drop_staged(*made)
+    return spans
 
 
 def _clean(texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in blocks(batches):
             starts, ends, first = words(data, offsets)
-            at, (lo, stop) = entries(batch, "lo", "stop")
+            at, (lo, size) = entries(batch, "lo", "size")
             row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            gone = covered(len(starts), lo + first[row], stop + first[row])
+            gone = covered(len(starts), lo + first[row], lo + size + first[row])
             kept = np.flatnonzero(~gone)
             owner = np.searchsorted(first, kept, "right") - 1
             last = np.ones(len(kept), bool)
             last[:-1] = owner[1:] != owner[:-1]
             plain = np.where(SPACE[data], np.uint8(0x20), data) if len(data) else data
             mask = covered(len(data) + 1, starts[kept], ends[kept] + ~last)[: len(data)]
-            size = np.concatenate([[0], np.cumsum(mask)])[offsets]
+            cuts = np.concatenate([[0], np.cumsum(mask)])[offsets]
             left = plain[mask].tobytes()
             removed = np.concatenate([[0], np.cumsum(gone)])[first]
-            out = [left[size[i] : size[i + 1]] for i in range(batch.num_rows)]
+            out = [left[cuts[i] : cuts[i + 1]] for i in range(batch.num_rows)]
             last_column = pa.array(out, pa.binary()).cast(pa.string()) if texts else pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())
             yield pa.record_batch([batch.column("doc"), pa.array(np.diff(first)), pa.array(np.diff(removed)), last_column], names=["doc", "n_words", "n_removed", "kept"])
 
@@ -228,24 +202,28 @@ def _clean(texts: bool):
 
 def substring_dedup(docs: DataFrame, width: int = 50, texts: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for each row of docs: kept words joined by one space, or (texts=False) their sha256."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    spans = by_document(repeated_spans(own.filter("doc is not null"), width), "lo", "stop")
-    out = own.join(spans, "doc", "left").mapInArrow(_clean(texts), "doc long, n_words long, n_removed long, kept string")
+    own = keyed(docs, F.col("doc_id").cast("long"))
+    spans = by_place(repeated_spans(own.filter("doc is not null"), width), "size")
+    out = own.join(spans, ["doc", "row"], "left").mapInArrow(_clean(texts), "doc long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("doc", "doc_id")
 
 
+#: A text's entries beside the columns of its row.
+HELD = "pixelstrata_entries"
+
+
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of docs with their entries: the same rows, text and n_chars as they are after the removal."""
     for batch, data, offsets in blocks(batches):
         starts, ends, first = words(data, offsets)
-        at, (lo, stop) = entries(batch, "lo", "stop")
+        at, (lo, size) = entries(pa.record_batch([batch.column(HELD)], names=["entries"]), "lo", "size")
         texts = batch.column("text").to_pylist()
         changed = np.flatnonzero(np.diff(at))
         for i in changed:
-            own = slice(first[i], first[i + 1])
-            gone = covered(first[i + 1] - first[i], lo[at[i] : at[i + 1]], stop[at[i] : at[i + 1]])
+            own, held = slice(first[i], first[i + 1]), slice(at[i], at[i + 1])
+            gone = covered(first[i + 1] - first[i], lo[held], lo[held] + size[held])
             texts[i] = b" ".join(data[a:b].tobytes() for a, b, g in zip(starts[own], ends[own], gone, strict=True) if not g).decode()
-        columns = {n: batch.column(n) for n in batch.schema.names if n != "entries"}
+        columns = {n: batch.column(n) for n in batch.schema.names if n != HELD}
         columns["text"] = pa.array(texts, pa.string())
         if "n_chars" in columns:
             counts = columns["n_chars"].to_pylist()
@@ -258,6 +236,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """docs with repeated passages removed from text: kept words joined by one space; texts that lose nothing stay as they
     are. An n_chars column follows the text; all other columns are carried."""
-    spans = by_document(repeated_spans(docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), "text"), width), "lo", "stop")
-    held = docs.drop("entries").join(spans.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select(*docs.drop("entries").columns, "entries")
-    return held.mapInArrow(_rewrite, docs.drop("entries").schema)
+    own = keyed(docs, F.col("doc_id").cast("long"))
+    spans = by_place(repeated_spans(own.filter("doc is not null"), width), "size").withColumnRenamed("entries", HELD)
+    here = (F.col("doc_id").cast("long") == spans["doc"]) & (F.shiftrightunsigned(F.xxhash64("text"), 33) == spans["row"])
+    return docs.join(spans, here, "left").select(*(docs[c] for c in docs.columns), HELD).mapInArrow(_rewrite, docs.schema)

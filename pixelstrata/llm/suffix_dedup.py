@@ -8,11 +8,11 @@ bucket at a time. Suffixes are compared by their first bytes and, for the long t
 of the sample positions of a difference cover, computed once for the block by doubling (32, 64, 128 bytes). So memory is
 that of a block, whatever the length of the ties; equal neighbours at `width` bytes are repeats.
 
-An anchor with over HOT differing contexts (a passage at the edges of which a third of all documents differ) does not
-go to one task: its windows are dealt by hash and counted, partly aggregated.
+An anchor of over GROUP differing contexts (a passage at the edges of which a third of all documents differ) does not
+go to one task: its contexts are dealt to deeper anchors, of which each is a bucket range of its own, until each is within that bound.
 
-Defined cases: null or empty texts have 0 bytes and the digest of nothing; matches never cross documents; repeated rows are places of
-their own, so all of a repeated text of `width` bytes or more goes; rows with a null doc_id take part and return their row;
+Defined cases: null or empty texts have 0 bytes and the digest of nothing; matches never cross documents; repeated rows of a doc_id, of equal or other
+texts, are places of their own, so all of a repeated text of `width` bytes or more goes; rows with a null doc_id take part and return their row;
 strings are judged on the input; other columns are ignored.
 """
 
@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dup import groups
-from .repeats import by_document, covered, entries, prefix_sums, range_hashes, staged_runs
+from .repeats import by_place, contexts, covered, entries, halves, keyed, shared, staged_runs
 from .tables import drop_staged, staged
 from .textkernels import blocks
 
-GRAM, HOT, BLOCK_BYTES = 40, 4000, 2 << 20
+GRAM, GROUP, BLOCK_BYTES = 40, 1000, 2 << 20
 PERIOD = 32
 #: Every difference modulo PERIOD is one of two members: 0..5 minus 5, 11, 17, 23, 29.
 COVER = np.array([*range(6), *range(11, 30, 6)])
@@ -99,35 +99,27 @@ def repeated_windows(contexts: list[np.ndarray], anchors: np.ndarray, bucket: np
     return np.split(np.bincount(rank)[rank] > 1, np.cumsum(number)[:-1])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offsets in blocks(batches):
-        at, (lo, stop, p, a, n, k) = entries(batch, "lo", "stop", "p", "a", "n", "k")
-        row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-        symbols = [data[x:y].tobytes() for x, y in zip(lo + offsets[row], stop + offsets[row], strict=True)]
-        yield pa.record_batch([pa.array(a), batch.column("doc").take(pa.array(row)), pa.array(lo), pa.array(p - lo), pa.array(n), pa.array(k), pa.array(symbols, pa.binary())], names=["a", "doc", "lo", "p", "n", "k", "symbols"])
-
-
 def _sorted_blocks(width: int):
-    """Rows (a, doc, lo, p, n, symbols), by a: (doc, lo, stop) of what repeats in contexts that occur once."""
+    """Rows (g, doc, at, p, times, body), by g: (doc, at, size) of what repeats in contexts that occur once."""
 
     def settle(held: list[pa.Table]) -> pa.RecordBatch:
         rows = pa.concat_tables(held).combine_chunks()
-        contexts = [np.frombuffer(s.as_buffer(), np.uint8) for s in rows["symbols"]]
+        bodies = [np.frombuffer(s.as_buffer(), np.uint8) for s in rows["body"]]
         bucket = np.repeat(np.arange(len(held)), [t.num_rows for t in held])
-        once = rows["n"].to_numpy() == 1
+        once = rows["times"].to_numpy() == 1
         out: list[tuple[int, int, int]] = []
-        for doc, lo, single, hit in zip(rows["doc"].to_pylist(), rows["lo"].to_pylist(), once, repeated_windows(contexts, rows["p"].to_numpy(), bucket, width), strict=True):
+        for doc, at, single, hit in zip(rows["doc"].to_pylist(), rows["at"].to_pylist(), once, repeated_windows(bodies, rows["p"].to_numpy(), bucket, width), strict=True):
             if single and hit.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                out += [(doc, lo + x, lo + y - 1 + width) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+                out += [(doc, at + x, y - 1 + width - x) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
         x = np.array(out, np.int64).reshape(-1, 3)
-        return pa.record_batch([pa.array(x[:, j]) for j in range(3)], names=["doc", "lo", "stop"])
+        return pa.record_batch([pa.array(x[:, j]) for j in range(3)], names=["doc", "at", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for group in groups(batches, "a"):
+        for group in groups(batches, "g"):
             held.append(group)
-            size += group["symbols"].nbytes
+            size += group["body"].nbytes
             if size > BLOCK_BYTES:
                 yield settle(held)
                 held, size = [], 0
@@ -137,49 +129,56 @@ def _sorted_blocks(width: int):
     return run
 
 
-def _hashed(width: int):
-    """Each window of the contexts of hot anchors: (a, w, doc, lo, n)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                own = np.frombuffer(batch.column("symbols")[i].as_buffer(), np.uint8).astype(np.uint64)
-                start = np.arange(len(own) - width + 1)
-                p = batch.column("p")[i].as_py()
-                w = range_hashes(prefix_sums(own), start, start + width) + (p - start).astype(np.uint64)
-                fixed = [pa.array(np.full(len(start), batch.column(c)[i].as_py(), np.int64)) for c in ("a", "doc", "n")]
-                yield pa.record_batch([fixed[0], pa.array(w.view(np.int64)), fixed[1], pa.array(start + batch.column("lo")[i].as_py()), fixed[2]], names=["a", "w", "doc", "lo", "n"])
-
-    return run
+def _judged(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For rows (g, c, doc, at, n, p; times: how often a row's context stands, 1 without the column): those whose class stands
+    more often than once but the row itself does not, and one row of each class of a group whose k classes are to be sorted; and the staged table of both."""
+    times = F.sum("times") if "times" in rows.columns else F.count("*")
+    own = F.col("times") if "times" in rows.columns else F.lit(1)
+    classes = staged(rows.groupBy("g", "c").agg(times.alias("total"), *(F.first(x).alias(f"first_{x}") for x in ("doc", "at"))))
+    sizes = classes.groupBy("g").agg(F.count("*").alias("k"), F.min("total").alias("fewest"))
+    sizes = staged(sizes.filter("k > 1 and fewest = 1").select("g", "k"))
+    known = rows.withColumn("times", own.cast("long")).join(classes.join(sizes, "g", "left"), ["g", "c"], "left")
+    out = staged(known.filter("coalesce(total > times and times = 1, false) or coalesce(k > 1 and doc = first_doc and at = first_at, false)"))
+    drop_staged(classes, sizes)
+    whole = out.filter("total > times and times = 1").select("doc", "at", "n")
+    kept = out.filter("k > 1 and doc = first_doc and at = first_at").withColumn("times", F.col("total"))
+    return whole, kept.drop("c", "total", "first_doc", "first_at"), out
 
 
 def repeated_ranges(docs: DataFrame, width: int = 200) -> DataFrame:
-    """(doc, lo, stop): byte ranges of docs (doc, text) that go; their union is what goes."""
-    runs = staged_runs(docs, "bytes", width, GRAM)
-    classes = runs.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc", "lo", "stop", "p")).alias("at"))
-    anchors = classes.groupBy("a").agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.min("n").alias("fewest")).filter("total > 1")
-    repeated = staged(classes.join(anchors.select("a", "k", "fewest"), "a"))
-    whole = runs.join(repeated.filter("n > 1").select("a", "c"), ["a", "c"]).select("doc", "lo", "stop")
-    unsettled = repeated.filter("k > 1 and fewest = 1").select("at.doc", "at.lo", "at.stop", "at.p", "a", "n", "k")
-    fields = ("lo", "stop", "p", "a", "n", "k")
-    contexts = staged(docs.join(by_document(unsettled, *fields), "doc").mapInArrow(_contexts, "a long, doc long, lo long, p long, n long, k long, symbols binary"))
-    cold = contexts.filter(F.col("k") <= HOT).drop("k").repartition("a").sortWithinPartitions("a")
-    blockwise = cold.mapInArrow(_sorted_blocks(width), "doc long, lo long, stop long")
-    windows = contexts.filter(F.col("k") > HOT).mapInArrow(_hashed(width), "a long, w long, doc long, lo long, n long")
-    twice = windows.groupBy("a", "w").count().filter("count > 1").select("a", "w")
-    dealt = windows.filter("n = 1").join(twice, ["a", "w"]).select("doc", "lo", (F.col("lo") + width).alias("stop"))
-    found = staged(whole.union(blockwise).union(dealt))
-    for x in (runs, repeated, contexts):
-        drop_staged(x)
-    return found
+    """(doc, at, size): byte ranges of docs (doc, row, text) that go, staged; their union is what goes."""
+    whole_size = F.expr(f"cast(n + {width} - 1 as bigint)").alias("size")
+    runs = shared(staged_runs(docs, "bytes", width, GRAM), "places > 1")
+    whole, kept, judged = _judged(runs)
+    drop_staged(runs)
+    found = [whole.select("doc", "at", whole_size)]
+    held = contexts(docs, kept, "bytes", width, GRAM)
+    made = [judged, held]
+    while True:
+        small = held.filter(F.col("k") <= GROUP).select("g", "doc", "at", "p", "times", "body").repartition("g").sortWithinPartitions("g")
+        found.append(small.mapInArrow(_sorted_blocks(width), "doc long, at long, size long"))
+        large = held.filter(F.col("k") > GROUP)
+        if large.isEmpty():
+            break
+        parts = halves(large, "bytes", width)
+        whole, held, judged = _judged(parts)
+        drop_staged(parts)
+        found.append(whole.select("doc", "at", whole_size))
+        made.append(judged)
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.union(more)
+    spans = staged(spans)
+    drop_staged(*made)
+    return spans
 
 
 def _clean(texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in blocks(batches):
-            at, (lo, stop) = entries(batch, "lo", "stop")
+            at, (lo, size) = entries(batch, "lo", "size")
             row = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            gone = covered(len(data), lo + offsets[row], stop + offsets[row])
+            gone = covered(len(data), lo + offsets[row], lo + size + offsets[row])
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
             cuts = offsets[1:-1][offsets[1:-1] < len(data)]
@@ -196,8 +195,7 @@ def _clean(texts: bool):
 
 def suffix_dedup(docs: DataFrame, width: int = 200, texts: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row of docs: the bytes kept, or (texts=False) their sha256."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    own = docs.select("doc_id", key.alias("doc"), "text")
-    spans = by_document(repeated_ranges(own.select("doc", "text"), width).distinct(), "lo", "stop")
+    own = keyed(docs, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), "doc_id")
+    spans = by_place(repeated_ranges(own.select("doc", "row", "text"), width), "size")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return own.join(spans, "doc", "left").mapInArrow(_clean(texts), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept {'binary' if texts else 'string'}")
+    return own.join(spans, ["doc", "row"], "left").mapInArrow(_clean(texts), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept {'binary' if texts else 'string'}")

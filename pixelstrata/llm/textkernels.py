@@ -40,8 +40,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column and the offsets of its rows; null rows are empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    """The bytes of a string (UTF-8) or binary column and the offsets of its rows; null rows are empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
     n, at = len(column), column.offset
     offsets = np.frombuffer(column.buffers()[1], np.int64)[at : at + n + 1] if n else np.zeros(1, np.int64)
     data = column.buffers()[2]

@@ -213,7 +213,78 @@ def test_suffix_automaton():
         inside = lambda s: any(h[i : i + len(s)] == s for h in held for i in range(len(h) - len(s) + 1))  # noqa: E731, B023
         want = [max(n for n in range(end + 2) if inside(asked[end + 1 - n : end + 1])) for end in range(15)]
         assert list(automaton.matching(asked)) == want
-    assert long_spans([automaton], [], 2) == []
+        covered = {i for end, n in enumerate(want) if n >= 3 for i in range(end + 1 - n, end + 1)}
+        assert {i for a, b in long_spans(automaton, asked, 3) for i in range(a, b)} == covered
+    assert long_spans(automaton, [], 2) == []
+
+
+def removed_words(rows, width):
+    """Brute force of rows (doc_id, text): the places that go, row by row."""
+    first = {}
+    for i, t in rows:
+        w = (t or "").split()
+        for j in range(len(w) - width + 1):
+            key = tuple(w[j : j + width])
+            first[key] = min(first.get(key, i), i)
+    out = []
+    for i, t in rows:
+        w = (t or "").split()
+        gone = {k for j in range(len(w) - width + 1) if first[tuple(w[j : j + width])] < i for k in range(j, j + width)}
+        out.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return sorted(out)
+
+
+def removed_bytes(rows, width):
+    texts = [(t or "").encode() for _, t in rows]
+    count = {}
+    for t in texts:
+        for j in range(len(t) - width + 1):
+            count[t[j : j + width]] = count.get(t[j : j + width], 0) + 1
+    out = []
+    for (i, _), t in zip(rows, texts, strict=True):
+        gone = {k for j in range(len(t) - width + 1) if count[t[j : j + width]] > 1 for k in range(j, j + width)}
+        out.append((i, len(t), len(gone), bytes(x for k, x in enumerate(t) if k not in gone)))
+    return sorted(out)
+
+
+def shared_passages(seed, n):
+    """Texts that hold parts of one passage, whole or broken, with other words around it in each; ids repeat with other texts."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(n):
+        a, b = sorted(rng.sample(range(41), 2))
+        held = passage[a:b]
+        for _ in range(rng.randrange(3)):
+            held[rng.randrange(len(held))] = f"z{rng.randrange(5)}"
+        rows.append((rng.randrange(n), " ".join([f"a{rng.randrange(99)}" for _ in range(rng.randrange(9))] + held + [f"b{rng.randrange(99)}" for _ in range(rng.randrange(9))])))
+    return rows + rows[:5] + [(0, None), (1, ""), (2, "short")]
+
+
+@pytest.mark.parametrize("limit", [1000, 5, 2])
+def test_large_groups_are_dealt_to_deeper_anchors(spark, monkeypatch, limit):
+    from pixelstrata.llm import substring_dedup as words
+    from pixelstrata.llm import suffix_dedup as suffixes
+
+    monkeypatch.setattr(words, "SHARD", limit)
+    monkeypatch.setattr(suffixes, "GROUP", limit)
+    rows = shared_passages(8, 60)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup(frame, width=12, texts=True).collect())
+    assert got == removed_words(rows, 12) and sum(r[2] for r in got) > 300
+    kept = suffix_dedup(spark.createDataFrame([(i, (t or "") * 2) for i, t in rows], "doc_id long, text string"), texts=True).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in kept) == removed_bytes([(i, (t or "") * 2) for i, t in rows], 200)
+
+
+def test_one_id_with_several_texts(spark):
+    many = " ".join(f"p{i}" for i in range(80))
+    rows = [(1, many), (2, "short text"), (2, f"a b {many}"), (3, many), (3, "short"), (None, many), (1, many)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring_dedup(frame).collect())
+    assert got == [("1", 80, 0), ("1", 80, 0), ("2", 2, 0), ("2", 82, 80), ("3", 1, 0), ("3", 80, 80), ("None", 80, 0)]
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in suffix_dedup(frame).collect())
+    n = len(many)
+    assert got == [("1", n, n), ("1", n, n), ("2", 10, 0), ("2", n + 4, n), ("3", 5, 0), ("3", n, n), ("None", n, n)]
 
 
 def test_suffix_dedup(spark, odd):
