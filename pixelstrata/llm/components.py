@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from .tables import drop_staged, staged
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m): the smallest of each node and its neighbours."""
+    return edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+
+
+def _towards(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the least of their first node. That table is dealt out first, so that the join has an exchange of its own on
+    either side, and adaptive execution can split the edges of a hub."""
+    return edges.join(least.repartition("u", "m"), F.col("a") == F.col("u"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of edges (a, b): component is the smallest id that can be reached.
 
@@ -20,10 +31,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _towards(both, _least(both)).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(down, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        small = _towards(large, down).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
         after = staged(small.distinct())
         drop_staged(now)
         now = after

@@ -14,7 +14,8 @@ again emits one edge for each class reached. A family of over FAMILY shingles is
 of blocks, so that no task holds an unbounded group. Components of the exact edges are the result.
 
 Defined cases: null or wordless texts have no shingles, keep their own component and link with nothing; repeated rows
-of a doc_id are one node and each returns its row; rows with a null doc_id take the component of the class they belong
+of a doc_id, of equal or other texts, are one node, which links with whatever one of its sets links with, and each
+returns its row; rows with a null doc_id take the component of the class they belong
 to (null without one) and are kept only in that case; other columns are ignored.
 """
 
@@ -161,21 +162,38 @@ def _sets(k: int):
     return run
 
 
+class Postings:
+    """The sets that hold each shingle, for counts of shared shingles; shingles of one set only are left out."""
+
+    def __init__(self, sets: list[np.ndarray], places: np.ndarray):
+        sizes = np.array([len(sets[i]) for i in places])
+        owner = np.repeat(places, sizes)
+        values = np.concatenate([sets[i] for i in places]) if len(places) else np.zeros(0, np.uint64)
+        order = np.argsort(values, kind="stable")
+        self.values, self.starts, self.counts = np.unique(values[order], return_index=True, return_counts=True)
+        self.owner, self.size = owner[order], len(places)
+
+    def shared(self, wanted: np.ndarray, n: int) -> np.ndarray:
+        """How many of the wanted shingles each of n sets holds."""
+        at = np.minimum(np.searchsorted(self.values, wanted), len(self.values) - 1)
+        at = at[self.values[at] == wanted]
+        counts = self.counts[at]
+        return np.bincount(self.owner[np.repeat(self.starts[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())], minlength=n)
+
+
 def exact_forest(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Edges that join all sets with 100 * shared >= percent * united, directly or through others."""
+    """Edges that join all sets with 100 * shared >= percent * united, directly or through others.
+
+    Postings hold the sets that no edge has reached yet (made anew whenever those are half as many), so a set that is
+    linked with most others costs one look at each, and what follows costs only what is left."""
     sizes = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    held = np.argsort(column, kind="stable")
-    posts, starts = owner[held], np.cumsum(counts) - counts
-    first = np.cumsum(sizes) - sizes
+    held = Postings(sets, np.arange(len(sets)))
 
     def near(i, rest):
-        own = column[first[i] : first[i] + sizes[i]]
-        own = own[counts[own] > 1]
-        n = counts[own]
-        at = np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        shared = np.bincount(posts[at], minlength=len(sets))[rest]
+        nonlocal held
+        if 2 * len(rest) <= held.size:
+            held = Postings(sets, rest)
+        shared = held.shared(sets[i], len(sets))[rest]
         return 100 * shared >= percent * (sizes[i] + sizes[rest] - shared)
 
     return walk(len(sets), near)
@@ -186,14 +204,25 @@ def _confirm(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, "family", "x", "y"):
-            ids = group["id"].to_numpy()
-            _, once = np.unique(ids, return_index=True)
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["members"].take(pa.array(once))]
-            yield _edges([(int(ids[once[i]]), int(ids[once[j]])) for i, j in exact_forest(sets, percent)])
+            held: dict[tuple[int, int], np.ndarray] = {}  # one for each id and text
+            for i, m in zip(group["id"].to_pylist(), group["members"], strict=True):
+                own = np.frombuffer(m.as_buffer(), np.uint64)
+                if len(own):
+                    held[i, int(own.sum())] = own
+            ids, sets = [i for i, _ in held], list(held.values())
+            yield _edges([(ids[i], ids[j]) for i, j in exact_forest(sets, percent) if ids[i] != ids[j]])
 
     return run
 
 
+def _of_one_id(marks: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): edges between the classes (by their smallest doc_id) that hold the sets of one doc_id, and that doc_id."""
+    marked = marks.filter("n > 0 and doc_id is not null")
+    several = marked.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).filter("x < y").select("doc_id")
+    classes = marked.join(several, "doc_id").join(reps.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"])
+    return classes.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text); see the module's text."""
     marks = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign(k), "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"{x} long" for x in _lanes())))
@@ -208,19 +237,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
     paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     paired = paired.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "members")
     links = paired.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
-    found = connected_components(links)
+    found = connected_components(links.union(_of_one_id(marks, reps)))
     member = reps.select("n", "h1", "h2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = marks.select("doc_id", "n", "h1", "h2").join(member, ["n", "h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = staged(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")))
-    drop_staged(families)
-    drop_staged(marks)
+    drop_staged(families, marks, reps)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def without_copies(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs with one document of each component (its smallest doc_id, one row); rows with a null doc_id stay. All columns
-    are carried."""
+    """docs with one document of each component: its smallest doc_id, one row for each of that id's texts; rows with a null
+    doc_id stay. All columns are carried."""
     kept = near_duplicates(docs, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.filter("doc_id is null"))

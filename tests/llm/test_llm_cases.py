@@ -89,6 +89,28 @@ def test_near_duplicates_equal_brute_force(spark):
     assert len({root(i) for i in range(len(sets))}) == len(set(want.values()))
 
 
+def test_one_id_with_several_near_duplicates(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, one), (1, two), (2, one + " more"), (3, two + " more"), (5, "own text of this document"), (5, one + " less"), (6, "own text of this document"), (1, one), (7, ""), (7, two)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = near_duplicates(frame).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got if r.n_shingles} == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (7, 1)}
+    assert {r.component_id for r in got if not r.n_shingles} == {7}
+    assert sorted((r.doc_id, r.text) for r in without_copies(frame).collect()) == sorted([(1, one), (1, two), (7, ""), (7, two)])
+
+
+def test_stages_judge_each_text_of_a_repeated_id(spark):
+    from pixelstrata.llm.tables import with_ids
+
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, one, "a"), (1, two, "b"), (2, one + " more", "c"), (3, two + " more", "d"), (None, one, "e"), (1, one, "f")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    left = with_ids(frame, without_copies).collect()
+    assert sorted(r.text for r in left) in ([one, two], [one, two + " more"], [one + " more", two]) and len(left) == 2
+    assert with_ids(frame, lambda d: d).columns == frame.columns and sorted(map(str, with_ids(frame, lambda d: d).collect())) == sorted(map(str, frame.collect()))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, i) for i in range(101, 140)] + [(i, i + 1) for i in range(200, 260)] + [(5, None), (7, 7)]
@@ -165,6 +187,29 @@ def test_decontamination(spark, odd):
     assert sorted(r.doc_id or 0 for r in decontaminated(odd, bench).collect()) == [0, 0, 1, 2, 3, 6, 7, 10]
 
 
+def test_containment_recall_over_sizes(spark):
+    from pixelstrata.llm.decontaminate import Index, partition, plan
+
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in [*range(1, 130), 200, 333, 1000, 4000] for _ in range(3)]
+    index = Index(list(range(len(sets))), sets)
+    assert len(index.parts) == len({partition(len(s)) for s in sets}) and plan(0) == (1, 1) and plan(4)[0] == 8 and plan(6)[1] > 1
+    for i, s in enumerate(sets):
+        need = -(-len(s) * 75 // 100)
+        for held, found in ((need, True), (len(s) // 8, None)):
+            document = np.concatenate([rng.choice(s, held, replace=False), rng.integers(0, 1 << 63, 300, dtype=np.uint64)])
+            pairs = index.candidates(document, np.array([0, len(document)]))
+            assert found is None or [0, i] in pairs.tolist()
+
+
+def test_decontamination_with_other_types_of_ids(spark):
+    item = " ".join(f"q{i}" for i in range(30))
+    docs = spark.createDataFrame([("a", f"x {item} y"), ("b", "none")], "doc_id string, text string")
+    for kind, value in (("int", 3), ("string", "three"), ("long", 1 << 40)):
+        bench = spark.createDataFrame([(value, item)], f"item_id {kind}, text string")
+        assert [(r.doc_id, r.item_id, r.containment) for r in contaminations(docs, bench).collect()] == [("a", value, 1.0)]
+
+
 def test_rows_without_ids_are_judged(spark, tmp_path):
     import corpus_pipeline as stages
 
@@ -328,6 +373,14 @@ def test_mixing(spark, odd):
     assert made.columns == [c for c in odd.columns if c != "copy"] + ["copy"]
 
 
+def test_mixing_offsets_and_salts(spark):
+    rows = [(64 * i if i % 3 else None, "w " * 7 + str(i % 5), "abc"[i % 3]) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    takes = {s: sorted((r.doc_id or -1, r.taken) for r in mix_report(docs, seed=s).collect()) for s in (0, 1, 2)}
+    assert takes[0] != takes[1] != takes[2] != takes[0]
+    assert sorted((r.doc_id or -1, r.taken) for r in mix_report(docs, seed=1).collect()) == takes[1]
+
+
 def test_nearest(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0, 0.0]) for i in range(20)] + [(30, [0.0, 1.0, 0.0]), (31, [2.0, 0.0, 0.0]), (32, None), (33, [0.0, 0.0, 0.0]), (34, [nan, 1.0, 0.0]), (35, [inf, 0.0, 0.0]), (36, [1.0, None, 0.0]), (None, [1.0, 0.0, 0.0]), (37, [1.0, 2.0]), (30, [0.0, 1.0, 0.0]), (38, [])]
