@@ -1,33 +1,37 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, with exact shingle containment.
 
-The containment of a short item in a long document is the chance that the item's minimum under a random hash is a shingle
+The containment of a short item in a long document is the chance that an item's minimum under a random hash is a shingle
 of the document, whatever the document's size: the document needs no sketch of its own, only membership. Items are
-sorted by size (powers of two of their shingle count) and share one index, not one a partition: small items have all
-their shingles taken, others SKETCH minima, so the chance to miss an item at the threshold is
-0.25**SKETCH = 2e-10. The minima form one index (shingle hash to item). Every document's shingles are held against the
-index in one pass; a document that meets an item's minimum is a candidate, and the exact containment on full sets decides.
-
-The index and the items' sets are broadcast only while the benchmark has at most ITEM_SHINGLES shingles (counted
+partitioned by size (powers of two of their shingle count). A partition has its own number of minima and its own number of
+them that a document must hold to be a candidate: a quarter of the largest size plus one minima, of which one must be met, up to
+sizes of 63, where nothing can be missed below 61; SKETCH minima beyond, of which so many must be met that an item at the
+threshold is missed with a probability of at most MISS (a binomial tail). Every partition has an index of its own (minimum to
+items); every document's shingles are held against all of them in one pass, and
+exact containment on full sets decides.
+
+The indexes and the items' sets are broadcast only while the benchmark has at most ITEM_SHINGLES shingles (counted
 first); a larger one is cut by item into slices of that bound, each searched in a pass of its own.
 
 Defined cases: null or wordless texts have no shingles, contain nothing and, as items, are found nowhere; texts under five
 words are one shingle; repeated item_ids count as separate rows and give one result for each distinct text; repeated
-documents return a row each; null ids are carried; other columns are ignored.
+documents return a row each; null ids are carried and ids keep their type; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .tables import staged
+from .tables import drop_staged, staged
 from .textkernels import blocks, mix, shingles, word_hashes
 
-SKETCH = 16
+SKETCH, MISS = 32, 1e-9
 ITEM_SHINGLES = 2_000_000
 BITS = 22  # of the table that most shingles of documents are rejected by
 
@@ -42,34 +46,68 @@ def _item_sets(k: int):
     return run
 
 
-def minima(members: np.ndarray) -> np.ndarray:
-    """An item's sketch: its shingles that are smallest under SKETCH hash functions, or all of a small item."""
-    if len(members) <= 2 * SKETCH:
+def partition(size: int) -> int:
+    """The partition of an item of that many shingles: sizes from 2**p up to 2**(p + 1) - 1."""
+    return size.bit_length() - 1
+
+
+def plan(p: int, percent: int = 75) -> tuple[int, int]:
+    """The number of minima of the items of partition p, and how many of them a candidate must hold."""
+    misses = (2 ** (p + 1) - 1) * (100 - percent) // 100
+    if misses < SKETCH // 2:
+        return misses + 1, 1
+    share = percent / 100
+    tail, least = 0.0, 0
+    while True:
+        tail += comb(SKETCH, least) * share**least * (1 - share) ** (SKETCH - least)
+        if tail > MISS:
+            return SKETCH, max(least, 1)
+        least += 1
+
+
+def minima(members: np.ndarray, count: int) -> np.ndarray:
+    """An item's sketch: the `count` shingles (or all) that are smallest under a hash function."""
+    if len(members) <= count:
         return members
-    seeds = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return np.unique(members[mix(members[None, :] ^ seeds[:, None]).argmin(1)])
+    return members[np.argpartition(mix(members ^ np.uint64(0xD6E8FEB86659FD93)), count - 1)[:count]]
 
 
 class Index:
-    """Sketches by size partition, and the full sets, of a bounded number of items."""
-
-    def __init__(self, ids: list, sets: list[np.ndarray]):
-        order = sorted((i for i in range(len(sets)) if len(sets[i])), key=lambda i: len(sets[i]).bit_length())
-        self.ids, self.sets = [ids[i] for i in order], [sets[i] for i in order]
-        sketches = [minima(s) for s in self.sets]
-        keys = np.concatenate(sketches) if sketches else np.zeros(0, np.uint64)
-        items = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
-        by = np.argsort(keys, kind="stable")
-        self.keys, self.items = keys[by], items[by]
-        self.table = np.zeros(1 << BITS, bool)
-        self.table[(self.keys >> np.uint64(64 - BITS)).astype(np.int64)] = True
-
-    def candidates(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places among hashes and the item that has a minimum there."""
-        at = np.flatnonzero(self.table[(hashes >> np.uint64(64 - BITS)).astype(np.int64)])
-        lo, hi = (np.searchsorted(self.keys, hashes[at], side) for side in ("left", "right"))
-        n = hi - lo
-        return np.repeat(at, n), self.items[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    """The sketches of a bounded number of items, partition by partition, and their full sets."""
+
+    def __init__(self, ids: list, sets: list[np.ndarray], percent: int = 75):
+        held = [i for i in range(len(sets)) if len(sets[i])]
+        self.ids, self.sets = [ids[i] for i in held], [sets[i] for i in held]
+        own = np.array([partition(len(s)) for s in self.sets], np.int64)
+        self.table = np.zeros(1 << BITS, np.uint64)  # a bit for each partition that has a minimum there
+        self.parts = []
+        for p in np.unique(own).tolist():
+            count, least = plan(p, percent)
+            items = np.flatnonzero(own == p)
+            sketches = [minima(self.sets[i], count) for i in items]
+            keys, owner = np.concatenate(sketches), np.repeat(items, [len(s) for s in sketches])
+            by = np.argsort(keys, kind="stable")
+            # an item that is smaller than its sketch can only be asked for as many
+            need = np.minimum(least, np.array([max(1, -(-len(s) * percent // 100)) for s in self.sets]))
+            self.parts.append((np.uint64(1 << p), keys[by], owner[by], need))
+            np.bitwise_or.at(self.table, (keys >> np.uint64(64 - BITS)).astype(np.int64), np.uint64(1 << p))
+
+    def candidates(self, hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Distinct (row, item) whose minima the rows begin[i]:begin[i+1] of hashes hold in the number that their partition asks for."""
+        marks = self.table[(hashes >> np.uint64(64 - BITS)).astype(np.int64)]
+        out = [np.zeros((0, 2), np.int64)]
+        for bit, keys, items, need in self.parts:
+            at = np.flatnonzero(marks & bit)
+            lo, hi = (np.searchsorted(keys, hashes[at], side) for side in ("left", "right"))
+            n = hi - lo
+            at = np.repeat(at, n)
+            place = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            row = np.searchsorted(begin, at, "right") - 1
+            met = np.unique(np.stack([row, items[place], hashes[at].view(np.int64)], 1), axis=0)[:, :2]
+            pairs, count = np.unique(met, axis=0, return_counts=True)
+            out.append(pairs[count >= need[pairs[:, 1]]])
+        found = np.concatenate(out)
+        return found[np.lexsort((found[:, 1], found[:, 0]))]
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
@@ -78,25 +116,23 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, percent: int = 75, k:
     items = staged(benchmark.select("item_id", "text").mapInArrow(_item_sets(k), f"item_id {benchmark.schema['item_id'].dataType.simpleString()}, n long, members binary").distinct())
     total = items.agg(F.sum("n")).first()[0] or 0
     slices = -(-total // ITEM_SHINGLES) or 1
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"]
     found = None
     for part in range(slices):
         own = items.filter(F.pmod(F.xxhash64("members"), F.lit(slices)) == part).orderBy("item_id").collect()
-        index = spark.sparkContext.broadcast(Index([r.item_id for r in own], [np.frombuffer(r.members, np.uint64) for r in own]))
-        hits = docs.select("doc_id", "text").mapInArrow(_search(index, percent, k), f"doc_id {kind}, item_id {items.schema['item_id'].dataType.simpleString()}, n_item long, n_shared long, containment double")
+        index = spark.sparkContext.broadcast(Index([r.item_id for r in own], [np.frombuffer(r.members, np.uint64) for r in own], percent))
+        hits = docs.select("doc_id", "text").mapInArrow(_search(index, to_arrow_type(item.dataType), percent, k), f"doc_id {kind}, item_id {item.dataType.simpleString()}, n_item long, n_shared long, containment double")
         found = hits if found is None else found.union(hits)
+    drop_staged(items)
     return found
 
 
-def _search(index, percent: int, k: int):
+def _search(index, item_type: pa.DataType, percent: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Index = index.value
-        item_type = pa.int64() if all(isinstance(i, int) or i is None for i in own.ids) else pa.string()
         for batch, data, offsets in blocks(batches):
             hashes, begin = shingles(*word_hashes(data, offsets, lower=True), k)
-            at, item = own.candidates(hashes)
-            row = np.searchsorted(begin, at, "right") - 1
-            pairs = np.unique(np.stack([row, item], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+            pairs = own.candidates(hashes, begin)
             rows, ids, sizes, shared = [], [], [], []
             last, members = -1, None
             for r, i in pairs.tolist():
