@@ -6,12 +6,13 @@ source every document expects target / size copies. The expected copies are summ
 sizes (size class, salt, size, doc_id), one offset is added, and a document is emitted once for each integer that its
 stretch of the sum crosses; so each stretch of sizes contributes its share and the taken words come near the target.
 
-The sum is taken in two levels: row numbers within (source, size class, salt), and a running count over those groups,
-of which a source has a bounded number. So a source or size with a third of all rows is never in one task. The offset
-is a function of the seed and the source's place: reruns agree.
+The sum is taken in three levels: row numbers within (source, size class, salt), running counts over the salts of a size class,
+and over a source's size classes, of which it has a bounded number. Salts come from a hash of the id and number a SALT_ROWS-th
+of all rows, so a source or size with a third of all rows is never in one task. The offset is
+uniform in 0..1, a hash of the seed and the source's place: reruns agree.
 
 Defined cases: a null or wordless text has size 0 and takes 0; a source of no words has target 0; repeated rows count
-and are sampled as rows of their own; null doc_ids go first in their group; columns other than doc_id, source and text
+and are sampled as rows of their own; null doc_ids go first in their group, and are dealt to groups by text; columns other than doc_id, source and text
 are carried by `mixed` and ignored by `mix_plan`; a size is the number of words [^\\x20\\x09-\\x0D]+.
 """
 
@@ -23,15 +24,18 @@ from pyspark.sql import functions as F
 from .tables import staged
 
 WEIGHTS, FACTOR, CAP = (5, 2, 1), 1.5, 2.0
-SALTS = 64
-#: The golden ratio's fraction; its multiples are evenly spread in 0..1.
-STEP = 0.6180339887498949
+SALT_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def hashed(text: Column) -> Column:
+    """0 to 2**32 - 1, by the first 32 bits of the text's MD5."""
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, place, source_size, target) from one row (source, source_size) for each source.
 
@@ -57,27 +61,36 @@ def size_class(size: Column) -> Column:
     return F.when(size < 16, size).otherwise(octave * 16 + F.expr("shiftright(size, length(bin(size)) - 4)"))
 
 
+def _salt(docs: DataFrame) -> Column:
+    """The salt of the rows of docs: a hash of the id (or else the text), by the number of rows."""
+    salts = docs.agg(F.floor(F.count("*") / SALT_ROWS) + 1).first()[0]
+    return F.pmod(hashed(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))), F.lit(salts)).alias("salt")
+
+
 def _copies(held: DataFrame, seed: int) -> DataFrame:
-    held = held.withColumn("class", size_class(F.col("size"))).withColumn("salt", F.coalesce(F.pmod("doc_id", F.lit(SALTS)), F.lit(0)))
+    held = held.withColumn("class", size_class(F.col("size")))
     groups = staged(held.groupBy("source", "class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     sizes = staged(targets(groups.groupBy("source").agg(F.sum("words").alias("source_size"))))
-    order = Window.partitionBy("source").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.select("source", "class", "salt", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"))
-    levels = starts.join(sizes, starts["source"].eqNullSafe(sizes["source"])).select(starts["source"].alias("s"), F.col("class").alias("c"), F.col("salt").alias("t"), "start", "place", "source_size", "target")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = groups.groupBy("source", "class").agg(F.sum("n").alias("n"))
+    classes = classes.select(F.col("source").alias("s"), F.col("class").alias("c"), before(Window.partitionBy("source").orderBy("class")).alias("class_start"))
+    salts = groups.select("source", "class", "salt", before(Window.partitionBy("source", "class").orderBy("salt")).alias("salt_start"))
+    levels = salts.join(F.broadcast(sizes.withColumnRenamed("source", "s")), salts["source"].eqNullSafe(F.col("s"))).drop("s")
+    levels = levels.join(classes, levels["source"].eqNullSafe(F.col("s")) & (levels["class"] == F.col("c")))
+    levels = levels.select(levels["source"].alias("s"), F.col("class").alias("c"), F.col("salt").alias("t"), (F.col("class_start") + F.col("salt_start")).alias("start"), "place", "source_size", "target").drop("class")
     own = Window.partitionBy("source", "class", "salt").orderBy("size", "doc_id")
     ranked = held.withColumn("rank", F.row_number().over(own))
     out = ranked.join(levels, ranked["source"].eqNullSafe(levels["s"]) & (ranked["class"] == levels["c"]) & (ranked["salt"] == levels["t"]))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     number = (F.col("start") + F.col("rank")).cast("double")
-    offset = (F.lit(float(seed)) + F.col("place").cast("double")) * STEP
-    offset = offset - F.floor(offset)
+    offset = hashed(F.concat(F.lit(f"{seed}:"), F.col("place").cast("string"))) / F.lit(2.0**32)
     copies = F.floor(offset + expected * number) - F.floor(offset + expected * (number - 1.0))
     return out.withColumn("copies", copies).drop("class", "salt", "rank", "start", "place", "s", "c", "t")
 
 
 def mix_report(docs: DataFrame, seed: int = 0) -> DataFrame:
     """(doc_id, size, source_size, target, taken): the words the mix takes of each document."""
-    held = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    held = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _salt(docs))
     return _copies(held, seed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -85,6 +98,6 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself: each row of docs once for each of its copies, all columns kept, and its number from 1 in `copy`
     (a column of that name is replaced)."""
     carried = docs.drop("copy")
-    held = carried.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    held = carried.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), _salt(docs))
     kept = _copies(held, seed).filter("copies > 0")
     return kept.select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))

@@ -165,10 +165,10 @@ FROM split s LEFT JOIN judged USING (doc_id) GROUP BY s.doc_id
 """,
     "op9_mixing": r"""
 WITH held AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size FROM documents),
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size FROM documents),
 classed AS (
   SELECT *, CASE WHEN size < 16 THEN size ELSE length(bin(size)) * 16 + (size >> (length(bin(size)) - 4)) END AS class,
-    coalesce(((doc_id % 64) + 64) % 64, 0) AS salt FROM held),
+    ('0x' || substr(md5(coalesce(doc_id::varchar, text, '')), 1, 8))::bigint % ((SELECT count(*) FROM documents) // 20000 + 1) AS salt FROM held),
 sizes AS (
   SELECT source, sum(size)::double AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM held GROUP BY source),
 weighed AS (SELECT *, [5, 2, 1][((place - 1) % 3 + 1)::int]::double AS weight, source_size * 2 AS cap FROM sizes),
@@ -179,7 +179,7 @@ targets AS (
   SELECT source, place, source_size, coalesce(least(cap, weight * (
     SELECT arg_min(g.share, (g.cap / g.weight, g.place)) FROM filled g WHERE g.share < g.cap / g.weight)), cap) AS target FROM filled),
 numbered AS (
-  SELECT c.doc_id, c.size, t.source_size, t.target, (t.place * 0.6180339887498949::double) % 1 AS u,
+  SELECT c.doc_id, c.size, t.source_size, t.target, ('0x' || substr(md5('0:' || t.place), 1, 8))::bigint / 4294967296::double AS u,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS e,
     (row_number() OVER (PARTITION BY c.source ORDER BY class, salt, size, doc_id))::double AS r
   FROM classed c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source)
