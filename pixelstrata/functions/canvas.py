@@ -77,6 +77,8 @@ class Canvas:
     def claims(self, cells, key, weak):
         """The key that takes each cell, coming from a cell of `key` with `weak` steps used, and the steps used then."""
         own, steps = self.claiming(cells), np.array(weak)
+        if not self.keys:
+            return np.where(self.is_clear(cells), CLEAR, own), steps
         known = key >= 0
         tolerance = np.array([k[1] for k in self.keys])[np.maximum(key, 0)]
         far = self.distances(cells, np.maximum(key, 0))

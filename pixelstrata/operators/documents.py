@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stages import STAGES
+from .stages import STAGES, WHITE
 
 FORMAT, VERSION = "pixelstrata-stack", 2
 
@@ -56,19 +56,46 @@ def decode_stack(text: str) -> tuple[list[dict], list[str]]:
     return out, warnings
 
 
+#: The fields of a version 1 block, by operation and setting, with their defaults. Operations stand in this order.
+V1_FIELDS = {
+    "polygon_edit": {"regions": ("polygons", [])},
+    "remove_background": {"remove_colors": ("remove_colors", WHITE), "edge_width": ("edge_width", 2), "contiguous": ("contiguous", True), "decontaminate": ("decontaminate", True), "bleed_radius": ("bleed_radius", 16)},
+    "island_picker": {"islands": ("islands", []), "edge_width": ("edge_width", 2)},
+    "remove_crevice": {"reach": ("crevice_reach", 0), "tolerance": ("crevice_tolerance", 0.5)},
+    "refine_edges": {"radius": ("refine_radius", 2), "floor": ("alpha_floor", 0.0), "ceiling": ("alpha_ceiling", 1.0)},
+    "edge_cleanup": {"inner": ("inner_stroke_width", 0.5), "outer": ("outer_stroke_width", 0.5), "softness": ("stroke_softness", 0.75), "auto_color": ("auto_stroke_color", False), "stroke_color": ("stroke_color", [0.0, 0.0, 0.0, 1.0])},
+}
+
+
+def _listed(value):
+    """A list that version 1 may have kept in a record (entries or regions)."""
+    if isinstance(value, dict):
+        value = value.get("entries", value.get("regions", []))
+    return value if isinstance(value, list) else []
+
+
 def migrated(doc: dict) -> list[dict]:
-    """Version 1 kept everything in one block; it becomes the ordered operations that the block switched on."""
-    block = (doc.get("operations") or {}).get("remove_background") or {}
-    has = lambda k: bool(block.get(k))
-    parts = [
-        ("polygon_edit", has("regions"), {"regions": block.get("regions", [])}),
-        ("remove_background", block.get("enabled", True), {k: block[k] for k in STAGES["remove_background"].defaults if k in block}),
-        ("island_picker", has("islands"), {"islands": block.get("islands", [])}),
-        ("remove_crevice", has("crevice_reach"), {"reach": block.get("crevice_reach", 0), "tolerance": block.get("crevice_tolerance", 0.25)}),
-        ("refine_edges", has("refine_radius"), {"radius": block.get("refine_radius", 0), "floor": block.get("alpha_floor", 0.0), "ceiling": block.get("alpha_ceiling", 1.0)}),
-        ("edge_cleanup", has("stroke"), {"inner": block.get("inner", 0.5), "outer": block.get("outer", 0.5)}),
-    ]
-    return [{"id": name, "enabled": True, "settings": settings} for name, on, settings in parts if on]
+    """Version 1 kept everything in one block; it becomes the operations that the block was using: the matte always,
+    the others where they had something to do. Missing and misfitting fields have their version 1 default."""
+    operations = doc.get("operations", {})
+    block = operations.get("remove_background", {}) if isinstance(operations, dict) else None
+    if not isinstance(block, dict):
+        return []
+    lists = ("polygons", "islands", "remove_colors")
+    read = {id: {k: _listed(block[old]) if old in lists and old in block else _fitting(default, block.get(old, default)) for k, (old, default) in fields.items()} for id, fields in V1_FIELDS.items()}
+    flag = lambda name, default: _fitting(default, block.get(name, default))
+    if not flag("refine_edges", False):
+        read["refine_edges"]["radius"] = 0
+    refine = read["refine_edges"]
+    used = {
+        "polygon_edit": bool(read["polygon_edit"]["regions"]),
+        "remove_background": True,
+        "island_picker": bool(read["island_picker"]["islands"]),
+        "remove_crevice": read["remove_crevice"]["reach"] > 0,
+        "refine_edges": flag("refine_edges", False) or refine["floor"] > 0.0 or refine["ceiling"] < 1.0,
+        "edge_cleanup": flag("edge_cleanup", True),
+    }
+    return [{"id": id, "enabled": True, "settings": settings} for id, settings in read.items() if used[id]]
 
 
 def decoded(rows: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:

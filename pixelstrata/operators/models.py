@@ -7,10 +7,12 @@ import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.pixelmath import half_up
+from ..functions.pixelmath import half_up, shifted
 
 TILE, OVERLAP = 256, 64
 
@@ -42,6 +44,26 @@ def blended(parts: list[tuple[tuple[int, int, int, int], np.ndarray]], height: i
     return total / weight
 
 
+def soft_denoiser(rgb: np.ndarray, quality: str) -> np.ndarray:
+    """A small filter in place of a trained one: the mean of each pixel and its neighbours left, right, above and below."""
+    total, count = rgb.copy(), np.ones(rgb.shape[:2])
+    for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0)):
+        there = shifted(np.ones(rgb.shape[:2]), dy, dx, 0.0)
+        total += shifted(rgb, dy, dx, 0.0)
+        count += there
+    return total / count[..., None]
+
+
+def dark_subject(rgba: np.ndarray) -> np.ndarray:
+    """A small segmentation in place of a trained one: the darker the largest channel, the more of the subject."""
+    return 255 - rgba[..., :3].max(-1)
+
+
+def leaning_normals(rgba: np.ndarray) -> np.ndarray:
+    """A small map in place of a trained network's: colours read as slopes."""
+    return np.stack([rgba[..., 0] // 2 + 64, rgba[..., 1] // 2 + 64, np.full(rgba.shape[:2], 255)], -1).astype(np.uint8)
+
+
 def doubled(rgba: np.ndarray) -> np.ndarray:
     """Nearest neighbour at twice the size: the stand-in where no network is given. It is not equivalent to one."""
     return np.repeat(np.repeat(rgba, 2, 0), 2, 1)
@@ -111,3 +133,40 @@ def generation_graph(checkpoint: str, prompt: str, negative: str = "", width: in
     made = [node("KSampler", seed=seed, steps=steps, cfg=cfg, sampler_name=sampler, scheduler=scheduler, denoise=1.0, model=model, positive=positive, negative=against, latent_image=empty), 0]
     node("SaveImage", filename_prefix=prefix, images=[node("VAEDecode", samples=made, vae=vae), 0])
     return json.dumps({"prompt": nodes})
+
+
+def generation_jobs(jobs: DataFrame, checkpoint: str, **settings) -> DataFrame:
+    """jobs (prompt, width, height, seed and any more columns) with the graph of each."""
+
+    @F.pandas_udf("string")
+    def graph(prompt, width, height, seed):
+        rows = zip(prompt, width, height, seed, strict=True)
+        return pd.Series([generation_graph(checkpoint, p, width=int(w), height=int(h), seed=int(s), **settings) for p, w, h, s in rows])
+
+    return jobs.withColumn("graph", graph("prompt", "width", "height", "seed"))
+
+
+def network_files(names: list[str], folder: str, scale: int) -> tuple[str, str] | None:
+    """The two files of a network among the names in its folder: those that end in the scale, or else, where the folder's own name
+    holds the scale, those named like the folder alone."""
+    name = folder.rstrip("/").rsplit("/", 1)[-1]
+    plain = [name] if f"x{scale}" in name else []
+    return next(((f"{n}.param", f"{n}.bin") for n in [f"{name}-x{scale}", *plain] if {f"{n}.param", f"{n}.bin"} <= set(names)), None)
+
+
+def network_scales(names: list[str], folder: str, scales=range(2, 5)) -> list[int]:
+    """The scales that a folder has networks for."""
+    return [s for s in scales if network_files(names, folder, s)]
+
+
+def cached_upscale(images: DataFrame, cache: DataFrame | None, signature: str, **settings) -> DataFrame:
+    """(image_id, width, height, data, exact, source, signature): upscale of each image, taken from cache (rows of an earlier
+    call, by the source's sha256 and the network's signature) where it is there. sharpen is left to the caller, as it is no part
+    of the signature; new rows are what a caller adds to its cache."""
+    keyed = images.withColumn("source", F.sha2("data", 256)).withColumn("signature", F.lit(signature))
+    made = lambda rows: upscale(rows, **settings).join(rows.select("image_id", "source", "signature"), "image_id")
+    if cache is None:
+        return made(keyed)
+    held = cache.filter(F.col("signature") == signature).select("source", "signature", *(F.col(c) for c in ("width", "height", "data", "exact"))).dropDuplicates(["source"])
+    known = keyed.select("image_id", "source").join(held, "source").select("image_id", "width", "height", "data", "exact", "source", "signature")
+    return known.unionByName(made(keyed.join(held, "source", "left_anti")))

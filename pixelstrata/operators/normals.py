@@ -54,10 +54,11 @@ def from_shape(sprite, roll_off=8, curve="round", strength=0.5, tolerance=None,
 def from_brightness(sprite, coarse=4.0, size=6, fine=3.0, green_down=False):
     """Slopes of brightness at two scales, added; pixels that are not solid take the mean of those that are."""
     solid = sprite[..., 3] / 255.0 >= SOLID
-    level = (sprite[..., :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114])) / 255.0
+    brightness = lambda rgb: (0.299 * rgb[..., 0] + 0.587 * rgb[..., 1] + 0.114 * rgb[..., 2]) / 255.0
+    level = brightness(sprite[..., :3].astype(np.float64))
     if not solid.any():
         return np.broadcast_to(np.array(FLAT, np.uint8), sprite[..., :3].shape)
-    light = np.pad(stored(np.where(solid, level, level[solid].mean())), 1, mode="edge")
+    light = np.pad(stored(np.where(solid, level, brightness(sprite[solid, :3].sum(0) / solid.sum()))), 1, mode="edge")
     dx, dy = np.zeros_like(light), np.zeros_like(light)
     for strength, field in ((fine, light), (coarse, box_mean(light, max(size, 1)) if coarse > 0 else None)):
         if strength > 0:
@@ -133,7 +134,7 @@ def normal_map(sprite, layers, clean=True, flip_green=False, model=None):
     return np.concatenate([out, sprite[..., 3:]], -1).astype(np.uint8)
 
 
-def normal_maps(images: DataFrame, layers: list[dict], clean: bool = True, flip_green: bool = False) -> DataFrame:
+def normal_maps(images: DataFrame, layers: list[dict], clean: bool = True, flip_green: bool = False, model=None) -> DataFrame:
     """(image_id, width, height, data): the normal map of each packed image, taken as one sprite."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +142,7 @@ def normal_maps(images: DataFrame, layers: list[dict], clean: bool = True, flip_
             out = []
             for i in range(batch.num_rows):
                 w, h, data = (batch.column(c)[i].as_py() for c in ("width", "height", "data"))
-                out.append(None if data is None or len(data) != 4 * w * h else normal_map(np.frombuffer(data, np.uint8).reshape(h, w, 4), layers, clean, flip_green).tobytes())
+                out.append(None if data is None or len(data) != 4 * w * h else normal_map(np.frombuffer(data, np.uint8).reshape(h, w, 4), layers, clean, flip_green, model).tobytes())
             yield pa.record_batch([batch.column("image_id"), batch.column("width"), batch.column("height"), pa.array(out, pa.binary())], names=["image_id", "width", "height", "data"])
 
     return images.select("image_id", "width", "height", "data").mapInArrow(run, "image_id long, width int, height int, data binary")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.floods import boxes, islands
-from .batch import MAX_SIDE
+from .batch import bounded_padding, sheet_sizes
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]):
@@ -54,32 +53,41 @@ def cut_sprites(images: DataFrame) -> DataFrame:
 
 def shelves(sizes, width, height, ordered):
     """Places by rows: tallest first (then widest, then first found) or in found order; stops at the first that does not fit."""
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i][1], -sizes[i][0], i)) if ordered else range(len(sizes))
     places: list[tuple[int, int] | None] = [None] * len(sizes)
     x = y = row = 0
-    for i in order:
+    for i in _order(sizes, ordered):
         w, h = sizes[i]
-        if x and x + w > width:
+        if w > width:
+            break
+        if x + w > width:
             x, y, row = 0, y + row, 0
-        if w > width or y + h > height:
+        if y + h > height:
             break
         places[i], x, row = (x, y), x + w, max(row, h)
     return places
 
 
+def _order(sizes, ordered):
+    """The sprites that have an area."""
+    real = [i for i, (w, h) in enumerate(sizes) if w > 0 and h > 0]
+    return sorted(real, key=lambda i: (-sizes[i][1], -sizes[i][0], i)) if ordered else real
+
+
 def grid_cells(sizes, width, height):
-    """Places in cells of the largest size."""
-    cw, ch = max((w for w, _ in sizes), default=1), max((h for _, h in sizes), default=1)
-    across = width // cw
-    places = [(i % across * cw, i // across * ch) if across else None for i in range(len(sizes))]
-    return [p if p and p[1] + ch <= height else None for p in places]
+    """Places in cells of the largest size, one after the other while there are any."""
+    cw, ch = max((w for w, _ in sizes), default=0), max((h for _, h in sizes), default=0)
+    across, down = (width // cw, height // ch) if cw > 0 and ch > 0 else (0, 0)
+    places: list[tuple[int, int] | None] = [None] * len(sizes)
+    for n, i in enumerate(_order(sizes, False)[: across * down]):
+        places[i] = (n % across * cw, n // across * ch)
+    return places
 
 
 def skyline(sizes, width, height):
     """Places each sprite, tallest first, at the lowest gap of the skyline, leftmost of equals."""
     top = np.zeros(width, np.int64)
     places: list[tuple[int, int] | None] = [None] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i][1], -sizes[i][0], i)):
+    for i in _order(sizes, True):
         w, h = sizes[i]
         if w > width:
             break
@@ -101,17 +109,17 @@ METHODS = {
 
 
 def place(sizes, method, width, height, padding=0, expand=True):
-    """(places, width, height): padded sizes on a sheet that doubles, width then height in turn, until all fit or it is full."""
-    padded = [(w + 2 * padding, h + 2 * padding) for w, h in sizes]
-    sides = deque([0, 1])
-    side = [width, height]
-    while True:
-        places = METHODS[method](padded, *side)
-        if all(places) or not expand or min(side) >= MAX_SIDE:
-            return [(p[0] + padding, p[1] + padding) if p else None for p in places], *side
-        if side[sides[0]] < MAX_SIDE:
-            side[sides[0]] *= 2
-        sides.rotate(1)
+    """(places, width, height) on the first sheet of sheet_sizes that holds all sprites with an area, or the last one. Padding is
+    kept around every sprite once: at its right and below it, and at the sheet's left and top. Sprites without an area, and
+    those from the first on that does not fit, have no place."""
+    padding = bounded_padding(padding)
+    padded = [(w + padding, h + padding) if w > 0 and h > 0 else (w, h) for w, h in sizes]
+    wanted = len(_order(sizes, False))
+    for w, h in sheet_sizes(width, height, expand):
+        places = METHODS[method](padded, max(w - padding, 0), max(h - padding, 0))
+        if sum(p is not None for p in places) >= wanted:
+            break
+    return [(p[0] + padding, p[1] + padding) if p else None for p in places], w, h
 
 
 def plan(sizes: DataFrame, method: str, width: int, height: int, padding: int = 0, expand: bool = True) -> DataFrame:
@@ -132,20 +140,21 @@ def plan(sizes: DataFrame, method: str, width: int, height: int, padding: int =
 
 def build_sheets(cutouts: DataFrame, planned: DataFrame) -> DataFrame:
     """(image_id, width, height, data): a sheet of its sprites (sheet, sprite_id, width, height, data) at their places; a sheet
-    with an unplaced sprite has null data."""
+    with an unplaced sprite has null data; sprites without an area are none."""
     from pyspark.sql import functions as F
 
     held = cutouts.drop("x", "y").join(planned.select("sheet", "sprite_id", "x", "y", "placed", "sheet_width", "sheet_height"), ["sheet", "sprite_id"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        w, h = int(group["sheet_width"].iloc[0]), int(group["sheet_height"].iloc[0])
+        number, w, h = (int(group[c].iloc[0]) for c in ("sheet", "sheet_width", "sheet_height"))
         out = None
+        group = group[(group["width"] > 0) & (group["height"] > 0)]
         if group["placed"].all():
             sheet = np.zeros((h, w, 4), np.uint8)
             for s in group.itertuples():
                 sheet[s.y : s.y + s.height, s.x : s.x + s.width] = np.frombuffer(s.data, np.uint8).reshape(s.height, s.width, 4)
             out = sheet.tobytes()
-        return pd.DataFrame({"image_id": [int(group["sheet"].iloc[0])], "width": [w], "height": [h], "data": [out]})
+        return pd.DataFrame({"image_id": [number], "width": [w], "height": [h], "data": [out]})
 
     columns = ["sheet", "sprite_id", "width", "height", "data", "x", "y", "placed", "sheet_width", "sheet_height"]
     return held.select(*[F.col(c) for c in columns]).groupBy("sheet").applyInPandas(run, "image_id long, width int, height int, data binary")

@@ -118,25 +118,57 @@ def colour_seeds(pixels: DataFrame, tolerance: float) -> DataFrame:
 
 
 def inside_polygon(pixels: DataFrame, points: list[tuple[int, int]]) -> Column:
-    """Even-odd test of pixel centres: the crossings of a row to the left of the centre are odd."""
-    crossings = []
+    """Even-odd test of pixel centres: an odd number of the row's crossings is to the left of the centre, or one is at it
+    (both ends of a span belong to it)."""
+    left, on = F.lit(0), F.lit(False)
     for (ax, ay), (bx, by) in zip(points, [*points[1:], points[0]], strict=True):
         line = F.col("y") + 0.5
-        at = F.lit(float(ax)) + (line - float(ay)) / float(by - ay or 1) * float(bx - ax)
-        crossings.append(F.when(((F.lit(ay) > line) != (F.lit(by) > line)) & (stored(at) - 0.5 <= F.col("x")), 1).otherwise(0))
-    return reduce(lambda a, b: a + b, crossings) % 2 == 1
+        at = stored(F.lit(float(ax)) + (line - float(ay)) / float(by - ay or 1) * float(bx - ax)) - 0.5
+        crosses = (F.lit(ay) > line) != (F.lit(by) > line)
+        left, on = left + F.when(crosses & (at < F.col("x")), 1).otherwise(0), on | (crosses & (at == F.col("x")))
+    return (left % 2 == 1) | on
 
 
-def colour_counts(pixels: DataFrame, rect: tuple[int, int, int, int], limit: int | None = 64) -> DataFrame:
-    """Distinct colours of visible pixels in a rectangle, most frequent first (then by colour), at most `limit` an image."""
+def colour_counts(pixels: DataFrame, rect: tuple[int, int, int, int], limit: int | None = None, budget: int = 4096, remaining: DataFrame | None = None) -> DataFrame:
+    """(image_id, r, g, b, n, place): distinct colours of visible pixels in a rectangle (x, y, w, h; within the image), most
+    frequent first, then by colour; the first `limit` of an image, or all. At most `budget` pixels are read, on a grid that
+    holds the rectangle's edges. remaining (image_id, x, y, a): only pixels that are still solid there (a 255) count."""
     x, y, w, h = rect
-    inside = pixels.filter(F.col("x").between(x, x + w - 1) & F.col("y").between(y, y + h - 1) & (F.col("a") > 0))
-    counts = inside.groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n"))
+    size = pixels.groupBy("image_id").agg(F.max("x").alias("_x"), F.max("y").alias("_y"))
+    here = [F.greatest(F.lit(v), F.lit(0)) for v in (x, y)]
+    last = [F.least(F.lit(v + n - 1), F.col(c)) for v, n, c in ((x, w, "_x"), (y, h, "_y"))]
+    wide, high = (b - a + 1 for a, b in zip(here, last, strict=True))
+    size = size.select("image_id", *(c.alias(n) for c, n in zip((*here, *last, wide, high), ("_x0", "_y0", "_x1", "_y1", "_w", "_h"), strict=True))).filter("_w > 0 and _h > 0")
+    least = F.greatest(F.ceil(F.sqrt(F.col("_w") * F.col("_h") / budget)), F.lit(1))
+    taken = lambda n, s: F.ceil((n - 1) / s) + 1
+    steps = F.sequence(least, least + 64)
+    fits = F.filter(steps, lambda s: taken(F.col("_w"), s) * taken(F.col("_h"), s) <= budget)
+    size = size.withColumn("_step", F.coalesce(F.get(fits, F.lit(0)), least + 64))
+    held = pixels.join(size, "image_id").filter("x between _x0 and _x1 and y between _y0 and _y1 and a > 0")
+    held = held.filter("((x - _x0) % _step = 0 or x = _x1) and ((y - _y0) % _step = 0 or y = _y1)")
+    if remaining is not None:
+        held = held.join(remaining.filter("a = 255").select("image_id", "x", "y"), ["image_id", "x", "y"], "left_semi")
+    counts = held.groupBy("image_id", "r", "g", "b").agg(F.count("*").alias("n"))
     place = Window.partitionBy("image_id").orderBy(F.desc("n"), "r", "g", "b")
     out = counts.withColumn("place", F.row_number().over(place))
     return out if limit is None else out.filter(F.col("place") <= limit)
 
 
+def covering_colours(counts: DataFrame, tolerance: float = 0.02, listed: list[tuple[tuple, float]] = (), limit: int = 64) -> DataFrame:
+    """(image_id, place, r, g, b): of the colours of each image (image_id, r, g, b, place), in order, those that neither the
+    listed (colour in 0..1, tolerance) nor an earlier one here comes within its tolerance of, at most `limit`. What is folded
+    is one image's colours, which colour_counts bounds."""
+    channels = lambda c: [stored(c[k] * UNIT) for k in "rgb"]
+    far = lambda a, b: F.greatest(*[F.abs(x - y) for x, y in zip(a, b, strict=True)])
+    known = lambda c: reduce(lambda e, k: e | (far(channels(c), [stored(F.lit(float(v))) for v in k[0]]) <= k[1]), listed, F.lit(False))
+    kind = "array<struct<r:int,g:int,b:int>>"
+    near = lambda kept, c: F.exists(kept, lambda k: far(channels(k), channels(c)) <= tolerance)
+    add = lambda kept, c: F.when((F.size(kept) >= limit) | known(c) | near(kept, c), kept).otherwise(F.concat(kept, F.array(F.struct(c["r"].alias("r"), c["g"].alias("g"), c["b"].alias("b")))))
+    ordered = counts.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("place", "r", "g", "b"))).alias("c"))
+    kept = ordered.select("image_id", F.posexplode(F.aggregate("c", F.array().cast(kind), add)).alias("at", "k"))
+    return kept.select("image_id", (F.col("at") + 1).alias("place"), "k.r", "k.g", "k.b")
+
+
 def colour_moments(pixels: DataFrame) -> DataFrame:
     """Counts, channel sums and square sums of solid pixels by image and by the upper five bits of each channel."""
     cell = {f"{c}5": F.shiftright(F.col(c), 3) for c in "rgb"}
@@ -167,24 +199,62 @@ def combine_normals(base: DataFrame, detail: DataFrame, opacity: float, reorient
     return made.select("image_id", "x", "y", *(byte(F.col(f"_{i}") / length * 0.5 + 0.5).alias(c) for i, c in enumerate(("nx", "ny", "nz"))))
 
 
-def brightness_normals(pixels: DataFrame, strength: float, green_down: bool = False) -> DataFrame:
-    """Normals from the slope of brightness (Scharr), borders repeated; pixels of alpha 0 stay flat. All pixels must be
-    solid here; the kernel form fills the others with the mean of the solid ones."""
+def _framed(pixels: DataFrame, value: str) -> DataFrame:
+    """(image_id, x, y, value, _own): the pixels and one more around each image, which repeats its border."""
+    out = pixels.select("image_id", "x", "y", value, F.lit(True).alias("_own"))
+    for along, across in (("x", "y"), ("y", "x")):
+        line = Window.partitionBy("image_id", across).orderBy(along)
+        first, last = (F.when(f(along).over(line).isNull(), F.col(along) + d) for f, d in ((F.lag, -1), (F.lead, 1)))
+        grown = out.withColumn("_at", F.array_compact(F.array(first, F.col(along), last))).withColumn("_to", F.explode("_at"))
+        out = grown.withColumn("_own", F.col("_own") & (F.col("_to") == F.col(along))).withColumn(along, F.col("_to")).drop("_at", "_to")
+    return out
+
+
+def _scharr(frame: DataFrame, value: str, name: str) -> DataFrame:
+    """frame with the slopes {name}x and {name}y of a column, where all neighbours are there."""
     row, column = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
-    light = stored((0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")) / 255.0)
-    held = pixels.withColumn("_c", light)
-    held = held.withColumns({"_l": F.coalesce(F.lag("_c").over(row), "_c"), "_r": F.coalesce(F.lead("_c").over(row), "_c")})
-    above = {f"_u{c}": F.coalesce(F.lag(f"_{c}").over(column), f"_{c}") for c in "lcr"}
-    below = {f"_d{c}": F.coalesce(F.lead(f"_{c}").over(column), f"_{c}") for c in "lcr"}
-    held = held.withColumns(above | below)
-    c = F.col
-    dx = (3.0 * (c("_ur") - c("_ul")) + 10.0 * (c("_r") - c("_l")) + 3.0 * (c("_dr") - c("_dl"))) / 32.0 * strength
-    dy = (3.0 * (c("_dl") - c("_ul")) + 10.0 * (c("_dc") - c("_uc")) + 3.0 * (c("_dr") - c("_ur"))) / 32.0 * strength
-    held = held.withColumns({"_x": -dx, "_y": -dy if green_down else dy})
-    length = F.sqrt(c("_x") * c("_x") + c("_y") * c("_y") + 1.0)
-    n = {"nx": c("_x") / length, "ny": c("_y") / length, "nz": 1.0 / length}
-    flat = {"nx": 128, "ny": 128, "nz": 255}
-    return held.select("image_id", "x", "y", *(F.when(c("a") == 0, flat[k]).otherwise(byte(v * 0.5 + 0.5)).alias(k) for k, v in n.items()), "a")
+    held = frame.withColumns({"_l": F.lag(value).over(row), "_c": F.col(value), "_r": F.lead(value).over(row)})
+    held = held.withColumns({f"_u{c}": F.lag(f"_{c}").over(column) for c in "lcr"} | {f"_d{c}": F.lead(f"_{c}").over(column) for c in "lcr"})
+    c = lambda n: F.col(f"_{n}")
+    dx = (3.0 * (c("ur") - c("ul")) + 10.0 * (c("r") - c("l")) + 3.0 * (c("dr") - c("dl"))) / 32.0
+    dy = (3.0 * (c("dl") - c("ul")) + 10.0 * (c("dc") - c("uc")) + 3.0 * (c("dr") - c("ur"))) / 32.0
+    return held.withColumns({f"{name}x": dx, f"{name}y": dy}).drop(*(f"_{a}{b}" for a in ("u", "d", "") for b in "lcr"))
+
+
+def box_mean(pixels: DataFrame, value: str, radius: int, name: str) -> DataFrame:
+    """pixels with the mean of a column over the square around each pixel, cut at the borders, as a float32 buffer keeps it."""
+    summed = box_sum(pixels, value, radius)
+    return summed.withColumn(name, stored(F.col("box_total") / F.col("box_count"))).drop("box_total", "box_count")
+
+
+def brightness_normals(pixels: DataFrame, coarse: float = 4.0, size: int = 6, fine: float = 3.0, green_down: bool = False) -> DataFrame:
+    """Normals from the slopes (Scharr) of brightness and of its box mean, added by strength. Pixels that are not solid take the
+    mean of those that are; the border is repeated once around; pixels of alpha 0 and images without a solid pixel stay flat."""
+    solid = F.col("a") / 255.0 >= 0.5
+    level = lambda r, g, b: (0.299 * r + 0.587 * g + 0.114 * b) / 255.0
+    mean = [F.sum(F.when(solid, F.col(c))).cast("double") / F.sum(solid.cast("int")) for c in "rgb"]
+    means = pixels.groupBy("image_id").agg(level(*mean).alias("_mean"))
+    lit = pixels.join(means, "image_id").withColumn("_light", stored(F.when(solid, level(*(F.col(c) for c in "rgb"))).otherwise(F.col("_mean"))))
+    frame = _framed(lit, "_light")
+    frame = _scharr(box_mean(_scharr(frame, "_light", "_f"), "_light", max(size, 1), "_form"), "_form", "_g").filter("_own")
+    slope = lambda axis: F.col(f"_f{axis}") * max(fine, 0.0) + F.col(f"_g{axis}") * max(coarse, 0.0)
+    held = lit.select("image_id", "x", "y", "a", "_mean").join(frame, ["image_id", "x", "y"]).withColumns({"_x": -slope("x"), "_y": -slope("y") if green_down else slope("y")})
+    length = F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y") + 1.0)
+    n = {"nx": F.col("_x") / length, "ny": F.col("_y") / length, "nz": 1.0 / length}
+    flat, still = {"nx": 128, "ny": 128, "nz": 255}, (F.col("a") == 0) | F.col("_mean").isNull() | F.lit(max(fine, coarse) <= 0)
+    return held.select("image_id", "x", "y", *(F.when(still, flat[k]).otherwise(byte(v * 0.5 + 0.5)).alias(k) for k, v in n.items()), "a")
+
+
+def refined(pixels: DataFrame, guide: str, cover: str, radius: int) -> DataFrame:
+    """pixels whose coverage follows a guide: the guided filter, in box means of (2 radius + 1) squares."""
+    held = pixels.withColumns({"_gg": stored(F.col(guide) * F.col(guide)), "_gc": stored(F.col(guide) * F.col(cover))})
+    for value, name in ((guide, "_mg"), (cover, "_mc"), ("_gg", "_mgg"), ("_gc", "_mgc")):
+        held = box_mean(held, value, radius, name)
+    slope = (F.col("_mgc") - F.col("_mg") * F.col("_mc")) / (F.col("_mgg") - F.col("_mg") * F.col("_mg") + 1e-6)
+    held = held.withColumn("_slope", slope).withColumns({"_s": stored(F.col("_slope")), "_o": stored(F.col("_mc") - F.col("_slope") * F.col("_mg"))})
+    held = box_mean(box_mean(held, "_s", radius, "_ms"), "_o", radius, "_mo")
+    q = clamp(F.col("_ms") * F.col(guide) + F.col("_mo"))
+    return held.withColumn(cover, stored(F.when(q < 0.5 / 255.0, 0.0).otherwise(q))).drop("_gg", "_gc", "_mg", "_mc", "_mgg", "_mgc", "_slope", "_s", "_o", "_ms", "_mo")
 
 
 def beside_subject(pixels: DataFrame, ground: Column) -> DataFrame:

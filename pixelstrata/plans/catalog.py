@@ -9,25 +9,26 @@ from pyspark.sql import functions as F
 
 from ..operators import batch, documents, models, normals, packing, pixels
 from ..sources import rasters
-from .stack import apply_stack
+from .stack import apply_stack, output_suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: The two derived rasters in DuckDB SQL.
-NOISE = """noise AS (
+NOISE = """slots AS (SELECT i * 64 + k AS vec_id FROM (SELECT DISTINCT vec_id // 64 AS i FROM embeddings), range(64) AS r(k)),
+cells AS (SELECT vec_id, coalesce(embedding, list_transform(range(64), lambda j: -0.5::float)) AS e FROM slots LEFT JOIN embeddings USING (vec_id)),
+noise AS (
   SELECT (vec_id // 64)::int AS image_id, ((vec_id % 8) * 8 + i % 8)::int AS x, (((vec_id % 64) // 8) * 8 + i // 8)::int AS y,
     greatest(0, least(255, floor((v::double + 0.5::double) * 255)))::int AS lum
-  FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS v FROM embeddings)
-  WHERE vec_id // 64 < (SELECT count(*) // 64 FROM embeddings)),
+  FROM (SELECT vec_id, generate_subscripts(e, 1) - 1 AS i, unnest(e) AS v FROM cells)),
 tinted AS (SELECT image_id, x, y, lum AS r, (lum * 7 + x * 3) % 256 AS g, (lum * 13 + y * 5) % 256 AS b, lum AS a FROM noise)"""
-SHAPES = """shapes AS (
+_TONE = "(CASE WHEN rad IS NULL THEN 0 WHEN dd <= rad * rad THEN {0} WHEN dd <= (rad + 1) * (rad + 1) THEN ({0} + 255) // 2 ELSE 255 END)::int"
+SHAPES = f"""shapes AS (
   SELECT (p_partkey // 16)::int AS image_id, ((p_partkey % 16 % 4) * 16 + gx)::int AS x, ((p_partkey % 16 // 4) * 16 + gy)::int AS y,
-    (CASE WHEN dd <= rad * rad THEN pr % 200 WHEN dd <= (rad + 1) * (rad + 1) THEN (pr % 200 + 255) // 2 ELSE 255 END)::int AS r,
-    (CASE WHEN dd <= rad * rad THEN pr * 7 % 200 WHEN dd <= (rad + 1) * (rad + 1) THEN (pr * 7 % 200 + 255) // 2 ELSE 255 END)::int AS g,
-    (CASE WHEN dd <= rad * rad THEN pr * 13 % 200 WHEN dd <= (rad + 1) * (rad + 1) THEN (pr * 13 % 200 + 255) // 2 ELSE 255 END)::int AS b, 255 AS a
-  FROM (SELECT p_partkey, 2 + p_size % 6 AS rad, floor(p_retailprice)::int AS pr, gx, gy, (gx - 8) * (gx - 8) + (gy - 8) * (gy - 8) AS dd
-    FROM part, range(16) AS u(gx), range(16) AS v(gy) WHERE p_partkey // 16 < (SELECT count(*) // 16 FROM part)))"""
+    {_TONE.format('pr % 200')} AS r, {_TONE.format('pr * 7 % 200')} AS g, {_TONE.format('pr * 13 % 200')} AS b, CASE WHEN rad IS NULL THEN 0 ELSE 255 END AS a
+  FROM (SELECT s.p_partkey, 2 + p_size % 6 AS rad, floor(p_retailprice)::int AS pr, gx, gy, (gx - 8) * (gx - 8) + (gy - 8) * (gy - 8) AS dd
+    FROM (SELECT i * 16 + k AS p_partkey FROM (SELECT DISTINCT p_partkey // 16 AS i FROM part), range(16) AS r(k)) s
+    LEFT JOIN part USING (p_partkey), range(16) AS u(gx), range(16) AS v(gy)))"""
 BYTE = "floor(greatest(0, least(1, {}))::double * 255 + 0.5::double)::int"
 
 
@@ -55,7 +56,7 @@ _FAR = "greatest(abs(r * (1.0::double / 255) - {0}::float::double), abs(g * (1.0
 _WHITE, _PURPLE = _FAR.format("1.0", "1.0", "1.0"), _FAR.format("0.5", "0.25", "0.75")
 
 
-@query(f"WITH {SHAPES} SELECT image_id, (r // 32)::int AS bin, count(*) AS n FROM shapes WHERE NOT ({_WHITE})::float::double <= 0.02::double GROUP BY ALL")
+@query(f"WITH {SHAPES} SELECT image_id, (r // 32)::int AS bin, count(*) AS n FROM shapes WHERE a > 0 AND NOT ({_WHITE})::float::double <= 0.02::double GROUP BY ALL")
 def flagship_kept_histogram(spark, sf_dir):
     """Pixels that a white key keeps, by image and red level."""
     kept = pixels.key_matte(rasters.shapes(spark, sf_dir), KEYS[:1]).filter("a > 0")
@@ -85,20 +86,25 @@ def posterize_even(spark, sf_dir):
     return pixels.posterize_even(tinted(spark, sf_dir), 5)
 
 
-_HSV = """,
+def _hsv(hue: float, saturation: float, value: float) -> str:
+    """SQL of the colours c of tinted after an HSV turn; h, s, v and the byte colours r, g, b stand beside."""
+    return f""",
 lit AS (SELECT *, r * u AS fr, g * u AS fg, b * u AS fb FROM (SELECT *, 1.0::double / 255 AS u FROM tinted)),
-parts AS (SELECT *, greatest(fr, fg, fb) AS hi, greatest(fr, fg, fb) - least(fr, fg, fb) AS span FROM lit),
+parts AS (SELECT *, greatest(fr, fg, fb) AS hi, least(fr, fg, fb) AS lowest, greatest(fr, fg, fb) - least(fr, fg, fb) AS span FROM lit),
 sector AS (SELECT *, CASE WHEN span <= 0 THEN 0::double ELSE (CASE WHEN hi = fr THEN (fg - fb) / span WHEN hi = fg THEN 2 + (fb - fr) / span ELSE 4 + (fr - fg) / span END) / 6.0::double END AS s0 FROM parts),
-turned AS (SELECT *, (CASE WHEN s0 < 0 THEN s0 + 1 ELSE s0 END) + 0.3::double AS h0 FROM sector),
-shifted AS (SELECT *, h0 - floor(h0) AS h, greatest(0, least(1, CASE WHEN hi <= 0 THEN 0 ELSE span / hi END * 0.5::double))::double AS s, greatest(0, least(1, hi * 1.25::double))::double AS v FROM turned),
+turned AS (SELECT *, (CASE WHEN s0 < 0 THEN s0 + 1 ELSE s0 END) + {hue}::double AS h0 FROM sector),
+shifted AS (SELECT *, h0 - floor(h0) AS h, greatest(0, least(1, CASE WHEN hi <= 0 THEN 0 ELSE span / hi END * {saturation}::double))::double AS s, greatest(0, least(1, hi * {value}::double))::double AS v FROM turned),
 steps AS (SELECT *, (floor(h * 6.0::double) % 6)::int AS k, h * 6.0::double - floor(h * 6.0::double) AS t FROM shifted),
 levels AS (SELECT *, v * (1 - s) AS lo, v * (1 - s * t) AS fa, v * (1 - s * (1 - t)) AS ri FROM steps),
-made AS (SELECT *, CASE WHEN s <= 0 THEN [v, v, v] ELSE [[v, ri, lo], [fa, v, lo], [lo, v, ri], [lo, fa, v], [ri, lo, v], [v, lo, fa]][k + 1] END AS c FROM levels)
+made AS (SELECT *, CASE WHEN s <= 0 THEN [v, v, v] ELSE [[v, ri, lo], [fa, v, lo], [lo, v, ri], [lo, fa, v], [ri, lo, v], [v, lo, fa]][k + 1] END AS c FROM levels)"""
+
+
+_HSV_SELECT = """
 SELECT image_id, x, y, CASE WHEN x < 40 AND y < 40 THEN {0} ELSE r END AS r, CASE WHEN x < 40 AND y < 40 THEN {1} ELSE g END AS g,
   CASE WHEN x < 40 AND y < 40 THEN {2} ELSE b END AS b, a FROM made"""
 
 
-@query(f"WITH {NOISE}" + _HSV.format(*(BYTE.format(f"c[{i}]") for i in (1, 2, 3))))
+@query(f"WITH {NOISE}{_hsv(0.3, 0.5, 1.25)}" + _HSV_SELECT.format(*(BYTE.format(f"c[{i}]") for i in (1, 2, 3))))
 def hsv_adjust(spark, sf_dir):
     return pixels.adjust_hsv(tinted(spark, sf_dir), [{"rect": (0, 0, 40, 40), "hue": 0.3, "saturation": 0.5, "value": 1.25}])
 
@@ -118,30 +124,60 @@ def morphological_opening(spark, sf_dir):
     return pixels.opened(marked, "solid", 2).select("image_id", "x", "y", "opened")
 
 
-@query(f"""WITH {SHAPES} SELECT p.image_id, p.x, p.y, coalesce(bool_or(greatest(abs(p.r - q.r), abs(p.g - q.g), abs(p.b - q.b)) / 255.0::double > 0.15::double), false) AS seed
+@query(f"""WITH {SHAPES} SELECT p.image_id, p.x, p.y, coalesce(bool_or(p.a >= 128 AND q.a >= 128 AND greatest(abs(p.r - q.r), abs(p.g - q.g), abs(p.b - q.b)) / 255.0::double > 0.15::double), false) AS seed
 FROM shapes p LEFT JOIN shapes q ON q.image_id = p.image_id AND abs(q.x - p.x) + abs(q.y - p.y) = 1 AND q.x BETWEEN p.x - 1 AND p.x + 1 AND q.y BETWEEN p.y - 1 AND p.y + 1 GROUP BY ALL""")
 def colour_region_seeds(spark, sf_dir):
     return pixels.colour_seeds(rasters.shapes(spark, sf_dir), 0.15).select("image_id", "x", "y", "seed")
 
 
 POLYGON = [(3, 2), (40, 8), (58, 50), (30, 33), (9, 60)]
-_EDGES = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in zip(POLYGON, POLYGON[1:] + POLYGON[:1], strict=True))
+TRIANGLE = [(0, 0), (20, 0), (20, 20)]
+
 
+def _inside(points) -> str:
+    """SQL of whether (x, y) is filled by an even-odd polygon: spans between its crossings with the row's middle, in order and
+    as float32, hold the centres from their left to their right end."""
+    sides = zip(points, [*points[1:], points[0]], strict=True)
+    crossings = ", ".join(f"CASE WHEN ({a[1]} > y + 0.5::double) <> ({b[1]} > y + 0.5::double) THEN ({a[0]} + (y + 0.5::double - {a[1]}) / {b[1] - a[1] or 1}::double * {b[0] - a[0]})::float::double END" for a, b in sides)
+    held = f"list_sort(list_filter([{crossings}], lambda c: c IS NOT NULL))"
+    return f"list_bool_or(list_transform(range(1, {len(points)}, 2), lambda i: coalesce({held}[i] - 0.5::double <= x AND x <= {held}[i + 1] - 0.5::double, false)))"
 
-@query(f"""WITH {SHAPES}, edges(x0, y0, x1, y1) AS (VALUES {_EDGES}),
-crossed AS (SELECT image_id, x, y, count(*) AS n FROM shapes JOIN edges ON ((y0 > y + 0.5::double) <> (y1 > y + 0.5::double))
-  AND (x0 + (y + 0.5::double - y0) / (y1 - y0)::double * (x1 - x0))::float::double - 0.5::double <= x GROUP BY ALL)
-SELECT image_id, count(*) AS inside FROM crossed WHERE n % 2 = 1 GROUP BY image_id""")
+
+@query(f"WITH {SHAPES} SELECT image_id, count(*) AS inside FROM shapes WHERE {_inside(POLYGON)} GROUP BY image_id")
 def polygon_region(spark, sf_dir):
+    """Pixels of every image that a polygon fills."""
     p = rasters.shapes(spark, sf_dir)
     return p.filter(pixels.inside_polygon(p, POLYGON)).groupBy("image_id").agg(F.count("*").alias("inside"))
 
 
-@query(f"""WITH {SHAPES}, counts AS (SELECT image_id, r, g, b, count(*) AS n FROM shapes WHERE x BETWEEN 4 AND 43 AND y BETWEEN 6 AND 55 AND a > 0 GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b) AS place FROM counts)
-SELECT image_id, r, g, b, n, place FROM ranked WHERE place <= 64""")
+#: A rectangle that leaves the image, read on a grid of at most 300 pixels: 50 x 42 pixels, so each third one and the edges.
+SCAN = f"""{SHAPES}, left_ AS (SELECT image_id, x, y FROM shapes WHERE a > 0 AND NOT ({_WHITE})::float::double <= 0.02::double),
+taken AS (SELECT s.* FROM shapes s JOIN left_ USING (image_id, x, y) WHERE x IN (SELECT 14 + 3 * k FROM range(17) AS u(k) UNION SELECT 63) AND y IN (SELECT 6 + 3 * k FROM range(14) AS u(k) UNION SELECT 47)),
+counts AS (SELECT image_id, r, g, b, count(*) AS n FROM taken GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, r, g, b)::int AS place FROM counts)"""
+
+
+def scanned(spark, sf_dir):
+    p = rasters.shapes(spark, sf_dir)
+    return pixels.colour_counts(p, (14, 6, 80, 42), budget=300, remaining=pixels.key_matte(p, KEYS[:1]))
+
+
+@query(f"WITH {SCAN} SELECT * FROM ranked")
 def region_colour_scan(spark, sf_dir):
-    return pixels.colour_counts(rasters.shapes(spark, sf_dir), (4, 6, 40, 50))
+    """Colours of a rectangle of every image where a white key leaves it solid, most frequent first."""
+    return scanned(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {SCAN}, walk(image_id, place, kept) AS (
+  SELECT DISTINCT image_id, 0, []::STRUCT(r INT, g INT, b INT)[] FROM ranked
+  UNION ALL SELECT w.image_id, w.place + 1, CASE WHEN len(kept) >= 12 OR greatest(abs(c.r - 128), abs(c.g - 64), abs(c.b - 64)) <= 25
+      OR len(list_filter(kept, lambda k: greatest(abs(k.r - c.r), abs(k.g - c.g), abs(k.b - c.b)) <= 20)) > 0 THEN kept ELSE list_append(kept, {{'r': c.r, 'g': c.g, 'b': c.b}}) END
+  FROM walk w JOIN ranked c ON c.image_id = w.image_id AND c.place = w.place + 1),
+done AS (SELECT image_id, arg_max(kept, place) AS kept FROM walk GROUP BY image_id)
+SELECT image_id, i::int AS place, kept[i].r AS r, kept[i].g AS g, kept[i].b AS b FROM done, range(1, 13) AS u(i) WHERE i <= len(kept)""")
+def region_colour_cover(spark, sf_dir):
+    """Of those colours, in order, the ones that neither a listed colour nor an earlier one covers, 12 at most."""
+    return pixels.covering_colours(scanned(spark, sf_dir), 20.5 / 255, [((128 / 255, 64 / 255, 64 / 255), 25.5 / 255)], 12)
 
 
 @query(f"""WITH {NOISE} SELECT image_id, (r >> 3)::int AS r5, (g >> 3)::int AS g5, (b >> 3)::int AS b5, count(*) AS n, sum(r)::bigint AS sum_r, sum(g)::bigint AS sum_g, sum(b)::bigint AS sum_b, sum(r * r + g * g + b * b)::bigint AS squares
@@ -172,16 +208,62 @@ def normal_combine_slopes(spark, sf_dir):
 _AT = "coalesce({0}, {1})"
 
 
-@query(f"""WITH {SHAPES}, lit AS (SELECT image_id, x, y, a, ((0.299::double * r + 0.587::double * g + 0.114::double * b) / 255.0::double)::float::double AS c FROM shapes),
-across AS (SELECT *, coalesce(lag(c) OVER w, c) AS l, coalesce(lead(c) OVER w, c) AS r FROM lit WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
-grid AS (SELECT *, coalesce(lag(l) OVER w, l) AS ul, coalesce(lag(c) OVER w, c) AS uc, coalesce(lag(r) OVER w, r) AS ur, coalesce(lead(l) OVER w, l) AS dl, coalesce(lead(c) OVER w, c) AS dc, coalesce(lead(r) OVER w, r) AS dr
-  FROM across WINDOW w AS (PARTITION BY image_id, x ORDER BY y)),
-slope AS (SELECT image_id, x, y, a, -((3.0::double * (ur - ul) + 10.0::double * (r - l) + 3.0::double * (dr - dl)) / 32.0::double * 3.0::double) AS sx, (3.0::double * (dl - ul) + 10.0::double * (dc - uc) + 3.0::double * (dr - ur)) / 32.0::double * 3.0::double AS sy FROM grid),
-l AS (SELECT *, sqrt(sx * sx + sy * sy + 1.0::double) AS len FROM slope)
-SELECT image_id, x, y, {BYTE.format('sx / len * 0.5::double + 0.5::double')} AS nx, {BYTE.format('sy / len * 0.5::double + 0.5::double')} AS ny, {BYTE.format('1.0::double / len * 0.5::double + 0.5::double')} AS nz, a FROM l""")
+#: Brightness with the mean where nothing is solid, the border repeated once, box means of radius 2, Scharr slopes of both.
+_LIGHT = """means AS (SELECT image_id, (0.299::double * sum(r) / count(*) + 0.587::double * sum(g) / count(*) + 0.114::double * sum(b) / count(*)) / 255.0::double AS mean FROM tinted WHERE a >= 128 GROUP BY image_id),
+lit AS (SELECT t.*, mean, (CASE WHEN a >= 128 THEN (0.299::double * r + 0.587::double * g + 0.114::double * b) / 255.0::double ELSE mean END)::float::double AS c FROM tinted t LEFT JOIN means USING (image_id)),
+frame AS (SELECT image_id, px AS x, py AS y, c FROM lit, range(-1, 65) AS u(px), range(-1, 65) AS v(py) WHERE lit.x = greatest(0, least(63, px)) AND lit.y = greatest(0, least(63, py))),
+across AS (SELECT *, sum(c) OVER w AS s, count(*) OVER w AS n FROM frame WINDOW w AS (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+boxes AS (SELECT image_id, x, y, c, ((sum(s) OVER w) / (sum(n) OVER w))::float::double AS m FROM across WINDOW w AS (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+rows_ AS (SELECT *, lag(c) OVER w AS cl, lead(c) OVER w AS cr, lag(m) OVER w AS ml, lead(m) OVER w AS mr FROM boxes WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
+slopes AS (SELECT image_id, x, y,
+  3.0::double * (3 * (lag(cr) OVER w - lag(cl) OVER w) + 10 * (cr - cl) + 3 * (lead(cr) OVER w - lead(cl) OVER w)) / 32 + 4.0::double * (3 * (lag(mr) OVER w - lag(ml) OVER w) + 10 * (mr - ml) + 3 * (lead(mr) OVER w - lead(ml) OVER w)) / 32 AS dx,
+  3.0::double * (3 * (lead(cl) OVER w - lag(cl) OVER w) + 10 * (lead(c) OVER w - lag(c) OVER w) + 3 * (lead(cr) OVER w - lag(cr) OVER w)) / 32 + 4.0::double * (3 * (lead(ml) OVER w - lag(ml) OVER w) + 10 * (lead(m) OVER w - lag(m) OVER w) + 3 * (lead(mr) OVER w - lag(mr) OVER w)) / 32 AS dy
+  FROM rows_ WINDOW w AS (PARTITION BY image_id, x ORDER BY y)),
+long_ AS (SELECT l.image_id, l.x, l.y, a, mean, dx, dy, sqrt(dx * dx + dy * dy + 1.0::double) AS len FROM lit l JOIN slopes USING (image_id, x, y))"""
+
+
+@query(f"""WITH {NOISE}, {_LIGHT}
+SELECT image_id, x, y, CASE WHEN a = 0 OR mean IS NULL THEN 128 ELSE {BYTE.format('-dx / len * 0.5::double + 0.5::double')} END AS nx,
+  CASE WHEN a = 0 OR mean IS NULL THEN 128 ELSE {BYTE.format('dy / len * 0.5::double + 0.5::double')} END AS ny, CASE WHEN a = 0 OR mean IS NULL THEN 255 ELSE {BYTE.format('1.0::double / len * 0.5::double + 0.5::double')} END AS nz, a FROM long_""")
 def normal_brightness(spark, sf_dir):
-    made = pixels.brightness_normals(rasters.shapes(spark, sf_dir), 3.0)
-    return made
+    """Normals of the noise images from their brightness at two scales."""
+    return pixels.brightness_normals(tinted(spark, sf_dir), 4.0, 2, 3.0)
+
+
+_VECTOR = """parts AS (SELECT m.image_id, m.x, m.y, m.nx / 255.0::double * 2 - 1 AS bx, m.ny / 255.0::double * 2 - 1 AS by_, greatest(m.nz / 255.0::double * 2 - 1, 0.001::double) + 1 AS tz,
+  -(d.nx / 255.0::double * 2 - 1) / greatest(d.nz / 255.0::double * 2 - 1, 0.001::double) * 0.5::double AS ux, -(d.ny / 255.0::double * 2 - 1) / greatest(d.nz / 255.0::double * 2 - 1, 0.001::double) * 0.5::double AS uy
+  FROM maps m JOIN bent d USING (image_id, x, y)),
+turned AS (SELECT *, sqrt(ux * ux + uy * uy + 1.0::double) AS q FROM parts),
+v AS (SELECT image_id, x, y, bx * k - ux / q AS vx, by_ * k - uy / q AS vy, tz * k - 1 / q AS vz FROM (SELECT *, (bx * ux / q + by_ * uy / q + tz / q) / tz AS k FROM turned)),
+l AS (SELECT *, greatest(sqrt(vx * vx + vy * vy + vz * vz), 0.001::double) AS len FROM v)"""
+
+
+@query(f"""WITH {NOISE}, maps AS ({_PLAIN}), bent AS (SELECT image_id, x, y, ny AS nx, nx AS ny, greatest(nz, 200) AS nz FROM maps), {_VECTOR}
+SELECT image_id, x, y, {BYTE.format('vx / len * 0.5::double + 0.5::double')} AS nx, {BYTE.format('vy / len * 0.5::double + 0.5::double')} AS ny, {BYTE.format('vz / len * 0.5::double + 0.5::double')} AS nz FROM l""")
+def normal_combine_reoriented(spark, sf_dir):
+    """The second map turned onto the first, at half its strength."""
+    base = tinted(spark, sf_dir).selectExpr("image_id", "x", "y", "r nx", "g ny", "greatest(b, 128) nz")
+    return pixels.combine_normals(base, base.selectExpr("image_id", "x", "y", "ny nx", "nx ny", "greatest(nz, 200) nz"), 0.5, reoriented=True)
+
+
+def _means(held: str, made: str, *columns: str) -> str:
+    """SQL of the means of columns over the 5 x 5 squares around each pixel, as float32, under m_ and their names."""
+    sums = ", ".join(f"sum({c}) OVER w AS s_{c}" for c in columns)
+    back = ", ".join(f"((sum(s_{c}) OVER w) / (sum(k) OVER w))::float::double AS m_{c}" for c in columns)
+    return f"""{made}_rows AS (SELECT *, count(*) OVER w AS k, {sums} FROM {held} WINDOW w AS (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+{made} AS (SELECT * EXCLUDE (k, {', '.join('s_' + c for c in columns)}), {back} FROM {made}_rows WINDOW w AS (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))"""
+
+
+@query(f"""WITH {NOISE}, start AS (SELECT image_id, x, y, ({_PURPLE})::float::double AS g, (a / 255.0::double)::float::double AS c FROM tinted),
+squares AS (SELECT *, (g * g)::float::double AS gg, (g * c)::float::double AS gc FROM start), {_means('squares', 'one', 'g', 'c', 'gg', 'gc')},
+fits AS (SELECT *, (m_gc - m_g * m_c) / (m_gg - m_g * m_g + 0.000001::double) AS t FROM one),
+lines AS (SELECT image_id, x, y, g, t::float::double AS s, (m_c - t * m_g)::float::double AS o FROM fits), {_means('lines', 'two', 's', 'o')},
+q AS (SELECT image_id, x, y, greatest(0, least(1, m_s * g + m_o)) AS q FROM two)
+SELECT image_id, x, y, (CASE WHEN q < 0.5::double / 255 THEN 0 ELSE q END)::float AS coverage FROM q""")
+def refined_edges(spark, sf_dir):
+    """Alpha of the noise images made to follow the distance from a colour (guided filter, radius 2)."""
+    held = tinted(spark, sf_dir).select("image_id", "x", "y", pixels.stored(pixels.distance(KEYS[1][0])).alias("guide"), pixels.stored(F.col("a") / 255.0).alias("coverage"))
+    return pixels.refined(held, "guide", "coverage", 2).select("image_id", "x", "y", F.col("coverage").cast("float").alias("coverage"))
 
 
 _NAMED = "SELECT row_number() OVER (ORDER BY page_id) - 1 AS batch_index, 'in/Sprite-' || page_id || 'HeroWalk.' || CASE page_id % 3 WHEN 0 THEN 'PNG' WHEN 1 THEN 'jpg' ELSE 'webp' END AS source FROM pages"
@@ -202,7 +284,9 @@ def rename_batch(spark, sf_dir):
 
 @query(f"SELECT batch_index, regexp_extract(source, '([^/]*)\\.([^.]*)$', 1) || '_out.png' AS target FROM ({_NAMED})")
 def default_output_names(spark, sf_dir):
-    return sources(spark, sf_dir).select("batch_index", F.concat(batch.base_name(F.col("source")), F.lit("_out.png")).alias("target"))
+    """Names after a stack whose first enabled operation has the common suffix."""
+    suffix = output_suffix([{"id": "posterize", "enabled": False}, ("remove_background", {}), ("denoise", {})])
+    return sources(spark, sf_dir).select("batch_index", batch.default_target(F.col("source"), suffix).alias("target"))
 
 
 @query("SELECT source, count(*) AS supported FROM (SELECT source, CASE doc_id % 4 WHEN 0 THEN 'a.PNG' WHEN 1 THEN 'b.gif' WHEN 2 THEN 'c' ELSE 'd.webp' END AS f FROM documents) WHERE lower(regexp_extract(f, '\\.([^.]*)$', 1)) IN ('png', 'jpg', 'jpeg', 'bmp', 'tga', 'webp') GROUP BY source")
@@ -221,27 +305,46 @@ def destination_collisions(spark, sf_dir):
     return batch.collisions(table(spark, sf_dir, "part").selectExpr("concat('out/', p_partkey % 150, '.png') target"))
 
 
+@query("""WITH jobs AS (SELECT p_type AS batch, 's' || p_partkey AS source, 't' || (p_partkey // 2 * 2 + CASE WHEN p_size < 49 THEN p_partkey % 2 ELSE 0 END) AS target, p_name AS was, CASE WHEN p_partkey % 61 = 0 THEN 'spoilt' ELSE p_name END AS now FROM part),
+copies AS (SELECT target, any_value(now ORDER BY source) AS now FROM jobs GROUP BY target),
+bad AS (SELECT j.batch, bool_or(j.was <> c.now OR j.target IN (SELECT target FROM jobs GROUP BY target HAVING count(*) > 1)) AS bad FROM jobs j JOIN copies c USING (target) GROUP BY j.batch)
+SELECT batch, source, CASE WHEN bad THEN 'keep' ELSE 'remove' END AS verdict FROM jobs JOIN bad USING (batch)""")
+def source_removal(spark, sf_dir):
+    """Which sources of each batch may go: all of a batch whose copies are all equal and have targets of their own, else none."""
+    jobs = table(spark, sf_dir, "part").selectExpr("p_type batch", "concat('s', p_partkey) source", "concat('t', p_partkey div 2 * 2 + if(p_size < 49, p_partkey % 2, 0)) target", "p_name was", "if(p_partkey % 61 = 0, 'spoilt', p_name) now")
+    sources_ = jobs.select(F.col("source").alias("path"), F.col("was").cast("binary").alias("content"))
+    copies = jobs.groupBy("target").agg(F.min_by("now", "source").cast("binary").alias("content")).withColumnRenamed("target", "path")
+    return batch.removable(sources_, copies, jobs.select("batch", "source", "target"))
+
+
 @query("SELECT p_partkey, 'out/' || p_partkey || '.png' AS target FROM part WHERE p_partkey IN (SELECT s_suppkey FROM supplier)")
 def overwrite_check(spark, sf_dir):
     jobs = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat('out/', p_partkey, '.png') target")
     return batch.overwrites(jobs, table(spark, sf_dir, "supplier").selectExpr("concat('out/', s_suppkey, '.png') target")).select("p_partkey", "target")
 
 
-SPRITES = "SELECT (p_partkey // 256)::bigint AS sheet, p_partkey AS sprite_id, (4 + p_size % 29)::int AS w, (4 + p_partkey % 23)::int AS h FROM part"
+SPRITES = "SELECT (p_partkey // 256)::bigint AS sheet, p_partkey AS sprite_id, CASE WHEN p_partkey % 37 = 5 THEN 0 ELSE 4 + p_size % 29 END::int AS w, (4 + p_partkey % 23)::int AS h FROM part"
 
 
 def sprites(spark, sf_dir):
-    return table(spark, sf_dir, "part").selectExpr("p_partkey div 256 sheet", "p_partkey sprite_id", "cast(4 + p_size % 29 as int) w", "cast(4 + p_partkey % 23 as int) h")
+    return table(spark, sf_dir, "part").selectExpr("p_partkey div 256 sheet", "p_partkey sprite_id", "cast(if(p_partkey % 37 = 5, 0, 4 + p_size % 29) as int) w", "cast(4 + p_partkey % 23 as int) h")
 
 
-GRID = f"""sprites AS ({SPRITES}), numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY sprite_id) - 1 AS n, max(w) OVER (PARTITION BY sheet) + 2 AS cw, max(h) OVER (PARTITION BY sheet) + 2 AS ch FROM sprites),
-grid AS (SELECT sheet, sprite_id, (n % greatest(512 // cw, 1) * cw + 1)::int AS x, (n // greatest(512 // cw, 1) * ch + 1)::int AS y, w, h FROM numbered)"""
+GRID = f"""sprites AS ({SPRITES}),
+numbered AS (SELECT *, count(*) FILTER (w > 0 AND h > 0) OVER (PARTITION BY sheet ORDER BY sprite_id) - 1 AS n, w > 0 AND h > 0 AS live,
+  max(CASE WHEN w > 0 AND h > 0 THEN w + 3 ELSE w END) OVER s AS cw, max(CASE WHEN w > 0 AND h > 0 THEN h + 3 ELSE h END) OVER s AS ch,
+  count(*) FILTER (w > 0 AND h > 0) OVER s AS wanted FROM sprites WINDOW s AS (PARTITION BY sheet)),
+tries(k, sw, sh) AS (SELECT k, least(512 * 2 ** ((k + 1) // 2), 16384)::int, least(256 * 2 ** (k // 2), 16384)::int FROM range(12) AS r(k)),
+sized AS (SELECT sheet, coalesce(min(k) FILTER ((sw - 3) // cw * ((sh - 3) // ch) >= wanted), 11) AS k FROM (SELECT DISTINCT sheet, cw, ch, wanted FROM numbered), tries GROUP BY sheet),
+spots AS (SELECT *, (sw - 3) // cw AS across, (sh - 3) // ch AS down FROM numbered JOIN sized USING (sheet) JOIN tries USING (k)),
+grid AS (SELECT sheet, sprite_id, CASE WHEN live AND n < across * down THEN n % across * cw + 3 ELSE -1 END::int AS x,
+  CASE WHEN live AND n < across * down THEN n // across * ch + 3 ELSE -1 END::int AS y, w, h, sw AS sheet_width, sh AS sheet_height FROM spots)"""
 
 
 @query(f"WITH {GRID} SELECT * FROM grid")
 def grid_packing(spark, sf_dir):
-    return batch.grid_plan(sprites(spark, sf_dir), 512, 1)
+    """Cells of the sheets of sprites: 512 x 256, doubled until all fit, with 3 pixels between sprites."""
+    return batch.grid_plan(sprites(spark, sf_dir), 512, 256, 3)
 
 
 PIVOTS = """overrides AS (SELECT p_partkey AS sprite_id, k AS row, k - 3 AS dx, 2 * k AS dy, k - 2 AS vx, 3 AS vy, (p_partkey + k) % 4 <> 0 AS enabled FROM part, range(3) AS r(k) WHERE p_partkey % 3 = 0),
@@ -260,12 +363,16 @@ def sprite_pivots(spark, sf_dir):
     return batch.pivots(grid_packing(spark, sf_dir), overrides(spark, sf_dir))
 
 
-@query(f"""WITH {GRID}, {PIVOTS}, held AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY sprite_id) - 1 AS m FROM grid JOIN pivots USING (sprite_id)),
-two AS (SELECT sheet, sprite_id, 2 * m AS p, x::double AS c0, y::double AS c1, w::double AS c2, h::double AS c3 FROM held UNION ALL SELECT sheet, sprite_id, 2 * m + 1, pivot_x, pivot_y, dir_x, dir_y FROM held)
-SELECT sheet, sprite_id, (p % 32)::int AS px, (p // 32)::int AS py, c0, c1, c2, c3 FROM two""")
+@query(f"""WITH {GRID}, {PIVOTS}, held AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY sprite_id) - 1 AS m, count(*) OVER (PARTITION BY sheet) AS sprites FROM grid JOIN pivots USING (sprite_id)),
+sides AS (SELECT *, (SELECT min(2 ** j) FROM range(16) AS r(j) WHERE 2 ** j * 2 ** j >= greatest(2 * sprites, 2) OR 2 ** j * 2 ** (j - 1) >= greatest(2 * sprites, 2) AND j > 0)::int AS side, x >= 0 AND w > 0 AND h > 0 AS stands FROM held),
+two AS (SELECT sheet, sprite_id, side, stands, 2 * m AS p, x::double AS c0, y::double AS c1, w::double AS c2, h::double AS c3 FROM sides
+  UNION ALL SELECT sheet, sprite_id, side, stands, 2 * m + 1, pivot_x, pivot_y, dir_x, dir_y FROM sides)
+SELECT sheet, sprite_id, (p % side)::int AS px, (p // side)::int AS py, CASE WHEN stands THEN c0 ELSE 0 END AS c0, CASE WHEN stands THEN c1 ELSE 0 END AS c1,
+  CASE WHEN stands THEN c2 ELSE 0 END AS c2, CASE WHEN stands THEN c3 ELSE 0 END AS c3 FROM two""")
 def lookup_table(spark, sf_dir):
+    """Each sheet's look-up table, as large as its sprites ask for."""
     rects = grid_packing(spark, sf_dir)
-    return batch.lookup_pixels(rects, batch.pivots(rects, overrides(spark, sf_dir)), batch.table_side(256)[0])
+    return batch.lookup_pixels(rects, batch.pivots(rects, overrides(spark, sf_dir)))
 
 
 WORDS = [("steel", "metal"), ("large", "big"), ("brass", "metal"), ("small", "little")]
@@ -276,12 +383,36 @@ def name_advice(spark, sf_dir):
     return batch.advice(table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("name")), WORDS)
 
 
-@query("""WITH ordered AS (SELECT event_type AS key, ts, coalesce(epoch_us(ts) / 1000.0::double - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts)) / 1000.0::double > 600000, true) AS opens FROM events),
-runs AS (SELECT key, ts, sum(opens::int) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS command FROM ordered),
-commands AS (SELECT key, max(ts) AS ts, count(*) AS edits, command FROM runs GROUP BY key, command)
-SELECT key, ts, edits, place::int AS place FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY command DESC) AS place FROM commands) WHERE place <= 1000""")
+@query("""WITH ordered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+beside AS (SELECT b.*, coalesce(a.event_type = b.event_type AND b.event_type <> 'error' AND epoch_us(b.ts) - epoch_us(a.ts) <= 3600000000, false) AS joins
+  FROM ordered b LEFT JOIN ordered a ON a.user_id = b.user_id AND a.i = b.i - 1),
+runs AS (SELECT *, count(*) FILTER (NOT joins) OVER (PARTITION BY user_id ORDER BY i) AS command FROM beside),
+commands AS (SELECT user_id, command, CASE WHEN min(event_type) = 'error' THEN '' ELSE min(event_type) END AS key, max(ts) AS ts, count(*) AS edits FROM runs GROUP BY ALL)
+SELECT user_id AS log, place::int AS place, key, ts, edits
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY command DESC) AS place FROM commands) WHERE place <= 50""")
 def history_merge(spark, sf_dir):
-    return batch.merged_history(table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), "ts"), gap_ms=600_000)
+    """Each user's events as edits of one log: an hour joins edits of a kind, errors have no key, 50 commands a log are kept."""
+    key = F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type"))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("log"), "ts", F.col("event_id").alias("seq"), key.alias("key"))
+    return batch.merged_history(log, gap_ms=3_600_000, cap=50)
+
+
+@query()
+def history_replay(spark, sf_dir):
+    """The same logs with purchases taken as steps back: what is left of each log, and what is undone in it."""
+    move = F.when(F.col("event_type") == "purchase", F.col("event_id") % 40)
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("log"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("key"), move.alias("move"))
+    return batch.replayed_history(log, gap_ms=3_600_000, cap=50)
+
+
+@query("""WITH docs AS (SELECT p_partkey AS doc, CASE WHEN p_size % 9 = 0 THEN 3 WHEN p_size % 9 = 1 THEN 1 ELSE 2 END AS version, p_size, p_type FROM part)
+SELECT doc, k::int AS place, CASE k WHEN 0 THEN 'posterize' WHEN 1 THEN 'denoise' ELSE p_type END AS id, k <> 1 AS enabled,
+  CASE k WHEN 0 THEN '{"levels":' || p_size || ',"dither":"none"}' WHEN 1 THEN '{}' ELSE NULL END AS settings FROM docs, range(3) AS u(k) WHERE version = 2""")
+def stack_documents(spark, sf_dir):
+    """The records of stack documents, one for each part; documents of other versions have none here."""
+    records = "'{\"id\":\"posterize\",\"settings\":{\"levels\":', p_size, ',\"dither\":\"none\"}},{\"id\":\"denoise\",\"enabled\":false,\"settings\":{}},{\"id\":\"', p_type, '\"}'"
+    text = f"concat('{{\"version\":', case when p_size % 9 = 0 then 3 when p_size % 9 = 1 then 1 else 2 end, ',\"stack\":[', {records}, ']}}')"
+    return documents.settings_records(table(spark, sf_dir, "part").selectExpr("p_partkey doc", f"{text} text"))
 
 
 @query("SELECT event_id, (props::json ->> '$.k')::bigint AS k, props::json ->> '$.name' AS name FROM events")
@@ -295,36 +426,133 @@ def whole_stack(spark, sf_dir):
     return apply_stack(rasters.packed(rasters.shapes(spark, sf_dir)), stack)
 
 
-def _stage(name, settings, source=rasters.shapes, before=()):
+def punched(spark, sf_dir):
+    """shapes with scattered half-clear and clear pixels, some beside each other."""
+    p = rasters.shapes(spark, sf_dir)
+    return p.withColumn("a", F.when((F.col("x") * 31 + F.col("y") * 17 + F.col("image_id") * 7) % 23 < 2, F.col("x") * 3 % 200).otherwise(F.col("a")).cast("int"))
+
+
+PUNCHED = SHAPES + """,
+punched AS (SELECT image_id, x, y, r, g, b, CASE WHEN (x * 31 + y * 17 + image_id * 7) % 23 < 2 THEN x * 3 % 200 ELSE a END::int AS a FROM shapes)"""
+
+
+def totals(images: DataFrame) -> DataFrame:
+    """(image_id, shown, sum_r, sum_g, sum_b, sum_a): visible pixels, and sums of each channel weighted by place."""
+    weighed = lambda c: F.sum(F.col(c) * (1 + (F.col("y") * 64 + F.col("x")) % 4093)).alias(f"sum_{c}")
+    return rasters.unpacked(images).groupBy("image_id").agg(F.count_if(F.col("a") > 0).alias("shown"), *(weighed(c) for c in "rgba"))
+
+
+#: SQL of totals over `result`.
+TOTALS = "SELECT image_id::bigint AS image_id, count(*) FILTER (a > 0) AS shown, " + ", ".join(f"sum({c} * (1 + (y * 64 + x) % 4093))::bigint AS sum_{c}" for c in "rgba") + " FROM result GROUP BY image_id"
+
+
+def _stage(name, settings, source=rasters.shapes, before=(), sql=None, as_name=None):
     def run(spark, sf_dir):
         images = rasters.packed(source(spark, sf_dir))
-        return apply_stack(images, [*before, (name, settings)]).select("image_id", "width", "height", F.sha2("data", 256).alias("digest"), "reports")
+        made = apply_stack(images, [*before, (name, settings)])
+        return totals(made) if sql else made.select("image_id", "width", "height", F.sha2("data", 256).alias("digest"), "reports")
 
-    run.__doc__ = f"{name} over every image: a digest of its pixels and what it reports."
-    QUERIES[f"stack_{name}"] = run
+    run.__doc__ = f"{name} over every image: " + ("its pixels' weighted sums." if sql else "a digest of its pixels and what it reports.")
+    as_name = as_name or f"stack_{name}"
+    QUERIES[as_name] = run
+    if sql:
+        ORACLES[as_name] = f"WITH RECURSIVE {sql} {TOTALS}"
 
 
 MATTE = ("remove_background", {})
 QUERIES["whole_stack"] = whole_stack
-_stage("remove_background", {})
+_stage("remove_background", {}, as_name="stack_matte")
+# What the border reaches through white or clear pixels, four ways.
+_stage("remove_background", {"edge_width": 0, "bleed_radius": 0, "decontaminate": False}, sql=f"""{SHAPES},
+gone(image_id, x, y) AS (SELECT image_id, x, y FROM shapes WHERE (x IN (0, 63) OR y IN (0, 63)) AND (a = 0 OR ({_WHITE})::float::double <= 0.02::double)
+  UNION SELECT s.image_id, s.x, s.y FROM gone o JOIN shapes s ON s.image_id = o.image_id AND abs(s.x - o.x) + abs(s.y - o.y) = 1 AND s.x BETWEEN o.x - 1 AND o.x + 1 WHERE s.a = 0 OR ({_WHITE.replace('(r ', '(s.r ').replace('(g ', '(s.g ').replace('(b ', '(s.b ')})::float::double <= 0.02::double),
+result AS (SELECT s.image_id, s.x, s.y, r, g, b, CASE WHEN o.x IS NULL THEN a ELSE 0 END AS a FROM shapes s LEFT JOIN gone o USING (image_id, x, y))""")
 _stage("island_picker", {"islands": [{"picks": [{"point": (0, 0), "color_tolerance": 0.2}]}, {"mode": "add", "picks": [{"point": (8, 8), "color_tolerance": 0.1}]}]})
 _stage("remove_crevice", {"reach": 2}, before=[MATTE])
 _stage("refine_edges", {"radius": 2, "floor": 0.1}, before=[MATTE])
 _stage("edge_cleanup", {"auto_color": True, "inner": 1.0, "outer": 1.5}, before=[MATTE])
-_stage("polygon_edit", {"regions": [{"points": POLYGON}, {"points": [(0, 0), (20, 0), (20, 20)], "mode": "add"}]}, before=[MATTE])
-_stage("brush_edit", {"strokes": [{"points": [(4, 4), (40, 20)], "radius": 5, "sharpness": 0.5}, {"points": [(50, 50)], "radius": 8, "mode": "add"}]}, before=[MATTE])
+_stage("polygon_edit", {"regions": [{"points": POLYGON}, {"points": TRIANGLE, "mode": "add"}]}, tinted, sql=f"""{NOISE},
+result AS (SELECT image_id, x, y, r, g, b, CASE WHEN {_inside(TRIANGLE)} THEN 255 WHEN {_inside(POLYGON)} THEN 0 ELSE a END AS a FROM tinted)""")
+# A line of stamps of radius 5 (reach 4.5, half of it at full strength) takes away, one stamp of radius 8 adds at full strength.
+_stage("brush_edit", {"strokes": [{"points": [(4, 9), (40, 9)], "radius": 5, "sharpness": 0.5}, {"points": [(50, 50)], "radius": 8, "sharpness": 1.0, "mode": "add"}]}, tinted, sql=f"""{NOISE},
+near AS (SELECT *, sqrt((least(abs(x - 4), abs(x - 40)) * (x NOT BETWEEN 4 AND 40)::int) ** 2 + (y - 9) ** 2) AS d1, sqrt((x - 50) ** 2 + (y - 50) ** 2) AS d2 FROM tinted),
+touch AS (SELECT *, (CASE WHEN d1 > 4.5::double THEN 0 WHEN d1 <= 2.25::double THEN 1 ELSE (4.5::double - d1) / 2.25::double END)::float::double AS t1, d2 <= 7.5::double AS on2 FROM near),
+shown AS (SELECT *, CASE WHEN t1 > 0 THEN (a / 255.0::double - a / 255.0::double * t1)::float::double ELSE a / 255.0::double END AS v FROM touch),
+result AS (SELECT image_id, x, y, r, g, b, CASE WHEN on2 THEN 255 WHEN t1 > 0 THEN {BYTE.format('v')} ELSE a END AS a FROM shown)""")
 _stage("exclude_tiles", {"picks": [{"point": (8, 8)}, {"point": (40, 40)}]}, before=[MATTE])
 _stage("remove_minimum_area", {"size": 5}, before=[MATTE])
-_stage("remove_lines", {"thickness": 2, "detached_only": False}, before=[MATTE])
-_stage("fill_pinholes", {"max_area": 4}, tinted)
-_stage("hsv_adjust", {"regions": [{"rect": (0, 0, 40, 40), "hue": 0.3, "colorize": 0.5}]}, tinted)
+# Opening of the solid pixels by 3 x 3, and the softer pixels that hang on what it keeps.
+_stage("remove_lines", {"thickness": 2, "detached_only": False}, tinted, sql=f"""{NOISE},
+solid AS (SELECT image_id, x, y FROM tinted WHERE a >= 128),
+cores AS (SELECT s.image_id, s.x, s.y FROM solid s JOIN solid q ON q.image_id = s.image_id AND q.x BETWEEN s.x - 1 AND s.x + 1 AND q.y BETWEEN s.y - 1 AND s.y + 1 GROUP BY ALL HAVING count(*) = 9),
+opened AS (SELECT DISTINCT s.image_id, s.x, s.y FROM solid s JOIN cores c ON c.image_id = s.image_id AND c.x BETWEEN s.x - 1 AND s.x + 1 AND c.y BETWEEN s.y - 1 AND s.y + 1),
+kept(image_id, x, y) AS (SELECT image_id, x, y FROM opened
+  UNION SELECT t.image_id, t.x, t.y FROM kept k JOIN tinted t ON t.image_id = k.image_id AND abs(t.x - k.x) + abs(t.y - k.y) = 1 AND t.x BETWEEN k.x - 1 AND k.x + 1 WHERE t.a BETWEEN 1 AND 127),
+result AS (SELECT t.image_id, t.x, t.y, r, g, b, CASE WHEN k.x IS NULL THEN 0 ELSE a END AS a FROM tinted t LEFT JOIN kept k USING (image_id, x, y))""")
+# Holes of one or two pixels inside, filled with the mean of the opaque pixels around them (added in order of place).
+_stage("fill_pinholes", {"max_area": 2}, punched, sql=f"""{PUNCHED},
+open_ AS (SELECT image_id, x, y, x IN (0, 63) OR y IN (0, 63) AS rim FROM punched WHERE a < 255),
+beside AS (SELECT p.image_id, p.x, p.y, p.rim, q.x AS qx, q.y AS qy, q.rim AS qrim FROM open_ p LEFT JOIN open_ q ON q.image_id = p.image_id AND abs(q.x - p.x) + abs(q.y - p.y) = 1),
+counts AS (SELECT image_id, x, y, any_value(rim) AS rim, count(qx) AS n, min(qx) AS qx, min(qy) AS qy, bool_or(qrim) AS qrim FROM beside GROUP BY ALL),
+holes AS (SELECT image_id, x, y, y * 64 + x AS hole FROM counts WHERE n = 0 AND NOT rim
+  UNION ALL SELECT c.image_id, c.x, c.y, least(c.y * 64 + c.x, d.y * 64 + d.x) FROM counts c JOIN counts d ON d.image_id = c.image_id AND d.x = c.qx AND d.y = c.qy WHERE c.n = 1 AND d.n = 1 AND NOT c.rim AND NOT d.rim),
+around AS (SELECT DISTINCT h.image_id, hole, p.y * 64 + p.x AS spot, p.r, p.g, p.b FROM holes h JOIN punched p ON p.image_id = h.image_id AND p.x BETWEEN h.x - 1 AND h.x + 1 AND p.y BETWEEN h.y - 1 AND h.y + 1 WHERE p.a = 255),
+sums AS (SELECT image_id, hole, 1.0::double / count(*) AS share, {', '.join(f"list_reduce(list({c} * (1.0::double / 255) ORDER BY spot), lambda m, n: m + n) AS {c}" for c in 'rgb')} FROM around GROUP BY image_id, hole),
+fills AS (SELECT h.image_id, h.x, h.y, {', '.join(BYTE.format(f'{c} * share') + f' AS f{c}' for c in 'rgb')} FROM holes h JOIN sums USING (image_id, hole)),
+result AS (SELECT p.image_id, p.x, p.y, coalesce(fr, r) AS r, coalesce(fg, g) AS g, coalesce(fb, b) AS b, CASE WHEN f.x IS NULL THEN a ELSE 255 END AS a FROM punched p LEFT JOIN fills f USING (image_id, x, y))""")
+# The turned colour mixed half and half with a tint of the same hue: its lightness is the pixel's, its chroma full.
+_TINT = "c[{0}] + ({1} + (light - chroma * 0.5::double) - c[{0}]) * 0.5::double"
+_stage("hsv_adjust", {"regions": [{"rect": (0, 0, 40, 40), "hue": 0.3, "colorize": 0.5}]}, tinted, sql=f"""{NOISE}{_hsv(0.3, 1.0, 1.0)},
+tint AS (SELECT * EXCLUDE t, light AS light, 1.0::double - abs(2.0::double * light - 1.0::double) AS chroma, 0.3::double * 6.0::double - 1 AS t FROM (SELECT *, greatest(0, least(1, (hi + lowest) * 0.5::double)) AS light FROM made)),
+result AS (SELECT image_id, x, y, CASE WHEN x < 40 AND y < 40 THEN {BYTE.format(_TINT.format(1, 'chroma * (1.0::double - t)'))} ELSE r END AS r,
+  CASE WHEN x < 40 AND y < 40 THEN {BYTE.format(_TINT.format(2, 'chroma'))} ELSE g END AS g, CASE WHEN x < 40 AND y < 40 THEN {BYTE.format(_TINT.format(3, '0.0::double'))} ELSE b END AS b, a FROM tint)""")
 _stage("random_hsv_tiles", {"seed": 7, "saturation": (0.5, 1.5)}, before=[MATTE])
 _stage("posterize", {"palette": "best", "colors": 8, "dither": "floyd"}, before=[MATTE])
-_stage("smooth_blocks", {}, tinted)
-_stage("smooth_color", {}, tinted)
-_stage("smooth_halos", {}, tinted)
-_stage("denoise", {}, tinted)
-_stage("neural_remove_background", {})
+_CHANNELS = "chans AS (SELECT image_id, x, y, c, ([r, g, b][c] * (1.0::double / 255))::float::double AS v FROM {0}, range(1, 4) AS u(c))"
+_BACK = "(SELECT image_id, x, y, max(o) FILTER (c = 1) AS r, max(o) FILTER (c = 2) AS g, max(o) FILTER (c = 3) AS b FROM {0} GROUP BY image_id, x, y)"
+
+
+def _deblocked(held: str, made: str, along: str, across: str) -> str:
+    """SQL of one pass over the block borders along an axis: three values on either side of each eighth, where they are even."""
+    l = "l[edge + 1 {0}]"
+    p, q = [l.format(f"- {i + 1}") for i in range(3)], [l.format(f"+ {i}") for i in range(3)]
+    even = lambda z: f"abs({z[0]} - {z[1]}) + abs({z[1]} - {z[2]}) <= 0.06::double"
+    moved = f"CASE WHEN {along} < edge THEN 1 ELSE -1 END * (({q[0]} - {p[0]}) * (0.5::double * (3 - i) / 3.0::double))"
+    return f"""{made}_lines AS (SELECT image_id, {across}, c, list(v ORDER BY {along}) AS l FROM {held} GROUP BY ALL),
+{made}_at AS (SELECT image_id, {across}, c, l, k::int AS {along}, ((k + 3) // 8 * 8)::int AS edge, CASE WHEN k < (k + 3) // 8 * 8 THEN (k + 3) // 8 * 8 - 1 - k ELSE k - (k + 3) // 8 * 8 END AS i FROM {made}_lines, range(64) AS u(k)),
+{made} AS (SELECT image_id, x, y, c, CASE WHEN edge BETWEEN 8 AND 61 AND i < 3 AND abs({q[0]} - {p[0]}) <= 0.06::double AND {even(p)} AND {even(q)}
+  THEN greatest(0, least(1, l[{along} + 1] + {moved}))::float::double ELSE l[{along} + 1] END AS v FROM {made}_at)"""
+
+
+_stage("smooth_blocks", {}, tinted, sql=f"""{NOISE}, {_CHANNELS.format('tinted')}, {_deblocked('chans', 'first', 'x', 'y')}, {_deblocked('first', 'second', 'y', 'x')},
+bytes_ AS (SELECT image_id, x, y, c, {BYTE.format('v')} AS o FROM second),
+result AS (SELECT m.*, a FROM {_BACK.format('bytes_')} m JOIN tinted USING (image_id, x, y))""")
+# Both chroma channels as means weighted by nearness of place (spread 1) and of luma (in 1023 steps, spread 0.135).
+_stage("smooth_color", {}, tinted, sql=f"""{NOISE}, lit AS (SELECT image_id, x, y, r * (1.0::double / 255) AS r, g * (1.0::double / 255) AS g, b * (1.0::double / 255) AS b FROM tinted),
+ycc AS (SELECT image_id, x, y, (0.299::double * r + 0.587::double * g + 0.114::double * b)::float::double AS l, (-0.168736::double * r - 0.331264::double * g + 0.5::double * b + 0.5::double)::float::double AS cb,
+  (0.5::double * r - 0.418688::double * g - 0.081312::double * b + 0.5::double)::float::double AS cr FROM lit),
+pairs AS (SELECT p.image_id, p.x, p.y, p.l, p.cb, p.cr, q.cb AS qb, q.cr AS qr, exp(-((q.x - p.x) ** 2 + (q.y - p.y) ** 2) / 2.0::double) * exp(-((least(floor(abs(q.l - p.l) * 1023 + 0.5::double), 1023) / 1023.0::double) ** 2) / (2.0::double * 0.135::double * 0.135::double)) AS w
+  FROM ycc p JOIN ycc q ON q.image_id = p.image_id AND q.x BETWEEN p.x - 2 AND p.x + 2 AND q.y BETWEEN p.y - 2 AND p.y + 2),
+means AS (SELECT image_id, x, y, l, cb + (sum(w * qb) / sum(w) - cb) - 0.5::double AS u, cr + (sum(w * qr) / sum(w) - cr) - 0.5::double AS v FROM pairs GROUP BY image_id, x, y, l, cb, cr),
+result AS (SELECT m.image_id, m.x, m.y, {BYTE.format('l + 1.402::double * v')} AS r, {BYTE.format('l - 0.344136::double * u - 0.714136::double * v')} AS g, {BYTE.format('l + 1.772::double * u')} AS b, a FROM means m JOIN tinted t ON t.image_id = m.image_id AND t.x = m.x AND t.y = m.y)""")
+# In 8 x 8 blocks of a wide range: means (spread 1.2) of the neighbours on a value's side of the block's middle.
+_stage("smooth_halos", {}, tinted, sql=f"""{NOISE}, {_CHANNELS.format('tinted')},
+blocks AS (SELECT image_id, x // 8 AS bx, y // 8 AS by_, c, min(v) AS low, max(v) AS high FROM chans GROUP BY ALL),
+held AS (SELECT p.*, (low + high) * 0.5::double AS middle, high - low >= 0.15::double AS wide FROM chans p JOIN blocks k ON k.image_id = p.image_id AND k.c = p.c AND bx = x // 8 AND by_ = y // 8),
+pairs AS (SELECT p.image_id, p.x, p.y, p.c, p.v, p.wide, q.v AS o, exp(-((q.x - p.x) ** 2 + (q.y - p.y) ** 2) / (2.0::double * 1.2::double * 1.2::double)) * ((q.v >= p.middle) = (p.v >= p.middle))::int AS w
+  FROM held p JOIN chans q ON q.image_id = p.image_id AND q.c = p.c AND q.x BETWEEN p.x - 2 AND p.x + 2 AND q.y BETWEEN p.y - 2 AND p.y + 2),
+bytes_ AS (SELECT image_id, x, y, c, {BYTE.format('CASE WHEN wide THEN greatest(0, least(1, v + (sum(w * o) / sum(w) - v)))::float::double ELSE v END')} AS o FROM pairs GROUP BY image_id, x, y, c, v, wide),
+result AS (SELECT m.*, a FROM {_BACK.format('bytes_')} m JOIN tinted USING (image_id, x, y))""")
+# A filter in place of a network: the mean of a pixel and its four neighbours, mixed in by 0.637.
+_stage("denoise", {"model": models.soft_denoiser, "blend": 0.637}, tinted, sql=f"""{NOISE},
+lit AS (SELECT image_id, x, y, c, [r, g, b][c] * (1.0::double / 255) AS v FROM tinted, range(1, 4) AS u(c)),
+rows_ AS (SELECT *, lead(v) OVER w AS r, lag(v) OVER w AS l FROM lit WINDOW w AS (PARTITION BY image_id, c, y ORDER BY x)),
+both_ AS (SELECT *, lead(v) OVER w AS d, lag(v) OVER w AS u FROM rows_ WINDOW w AS (PARTITION BY image_id, c, x ORDER BY y)),
+bytes_ AS (SELECT image_id, x, y, c, {BYTE.format('v + (greatest(0, least(1, (v + coalesce(r, 0) + coalesce(l, 0) + coalesce(d, 0) + coalesce(u, 0)) / (1.0::double + (r IS NOT NULL)::int + (l IS NOT NULL)::int + (d IS NOT NULL)::int + (u IS NOT NULL)::int))) - v) * 0.637::double')} AS o FROM both_),
+result AS (SELECT m.*, a FROM {_BACK.format('bytes_')} m JOIN tinted USING (image_id, x, y))""")
+_stage("neural_remove_background", {"model": models.dark_subject, "matte": "network"}, tinted, sql=f"""{NOISE},
+result AS (SELECT image_id, x, y, r, g, b, {BYTE.format('a * (1.0::double / 255) * ((255 - greatest(r, g, b)) * (1.0::double / 255))::float::double')} AS a FROM tinted)""")
+_stage("neural_remove_background", {"model": models.dark_subject}, as_name="stack_neural_matte")
 
 
 @query()
@@ -350,9 +578,9 @@ for _method in ("shelf", "original", "tight"):
     _plan(_method)
 
 
-def _normal(name, layers):
+def _normal(name, layers, model=None):
     def run(spark, sf_dir):
-        made = normals.normal_maps(apply_stack(rasters.packed(rasters.shapes(spark, sf_dir)), [MATTE]), layers)
+        made = normals.normal_maps(apply_stack(rasters.packed(rasters.shapes(spark, sf_dir)), [MATTE]), layers, model=model)
         return made.withColumn("data", F.sha2("data", 256))
 
     QUERIES[f"normal_map_{name}"] = run
@@ -360,6 +588,7 @@ def _normal(name, layers):
 
 _normal("round_edges", [{"kind": "round_edges"}])
 _normal("color_regions", [{"kind": "color_regions"}])
+_normal("neural", [{"kind": "neural", "strength": 2.0}], models.leaning_normals)
 _normal("layers", [{"kind": "round_edges"}, {"kind": "brightness", "combine": "reoriented", "opacity": 0.5}])
 
 
@@ -369,10 +598,11 @@ def upscaled_images(spark, sf_dir):
     return models.upscale(rasters.packed(tinted(spark, sf_dir)), 2, sharpen=0.5).withColumn("data", F.sha2("data", 256))
 
 
-@query("""SELECT p_partkey, p_name AS prompt, (p_size * 20 // 8 * 8)::int AS width FROM part""")
+@query("""SELECT p_partkey, p_name AS prompt, greatest(p_size * 20 // 8 * 8, 8)::int AS width, greatest(p_size // 8 * 8, 8)::int AS height, p_partkey::bigint AS seed FROM part""")
 def generation_sizes(spark, sf_dir):
-    """What a generation job asks for: sizes go down to multiples of 8."""
-    return table(spark, sf_dir, "part").selectExpr("p_partkey", "p_name prompt", "cast(p_size * 20 div 8 * 8 as int) width")
+    """What the graphs of generation jobs ask for: prompts, seeds, and sizes that go down to multiples of 8."""
+    jobs = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_name prompt", "p_size * 20 width", "p_size height", "p_partkey seed")
+    return models.generation_jobs(jobs, "checkpoint").select("p_partkey", F.get_json_object("graph", "$.prompt.2.inputs.text").alias("prompt"), *(F.get_json_object("graph", f"$.prompt.4.inputs.{c}").cast("int").alias(c) for c in ("width", "height")), F.get_json_object("graph", "$.prompt.5.inputs.seed").cast("long").alias("seed"))
 
 
 @query(f"""WITH {NOISE}, cut AS (SELECT image_id, x, y, lum FROM noise WHERE lum < 128),

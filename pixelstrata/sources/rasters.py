@@ -14,11 +14,17 @@ PACKED = "image_id long, width int, height int, data binary"
 LONG = "image_id long, x int, y int, r int, g int, b int, a int"
 
 
+def _slots(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows, and one more row with nothing but its key for each key that is missing in an image of `size` keys."""
+    image = F.floor(F.col(key) / size)
+    keys = rows.select(image.alias("i")).distinct().select(F.explode(F.sequence(F.col("i") * size, F.col("i") * size + size - 1)).alias(key))
+    return keys.join(rows, key, "left")
+
+
 def noise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, x, y, lum): a 64 x 64 image of every 64 vectors of embeddings, complete ones only."""
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    whole = v.agg(F.expr("count(*) div 64").alias("images"))
-    cells = v.join(F.broadcast(whole), F.expr("vec_id div 64 < images")).select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    """(image_id, x, y, lum): a 64 x 64 image of every 64 vectors of embeddings; cells of missing vectors are 0."""
+    v = _slots(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), "vec_id", 64)
+    cells = v.select("vec_id", F.posexplode(F.coalesce("embedding", F.array_repeat(F.lit(-0.5).cast("float"), 64))).alias("i", "v"))
     lum = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("v").cast("double") + 0.5) * 255.0)))
     return cells.select(
         F.expr("cast(vec_id div 64 as int)").alias("image_id"), F.expr("cast((vec_id % 8) * 8 + i % 8 as int)").alias("x"),
@@ -26,16 +32,17 @@ def noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, x, y, r, g, b, a): 16 discs on white for every 16 parts, with one ring of half tones."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_retailprice")
-    whole = part.agg(F.expr("count(*) div 16").alias("images"))
-    cells = part.join(F.broadcast(whole), F.expr("p_partkey div 16 < images")).selectExpr(
+    """(image_id, x, y, r, g, b, a): 16 discs on white for every 16 parts, with one ring of half tones; cells of missing parts
+    are clear."""
+    part = _slots(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_retailprice"), "p_partkey", 16)
+    cells = part.selectExpr(
         "cast(p_partkey div 16 as int) image_id", "cast(p_partkey % 16 as int) cell", "2 + p_size % 6 rad", "cast(floor(p_retailprice) as int) pr")
     grid = cells.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(255)))).selectExpr(
         "image_id", "cast((cell % 4) * 16 + g % 16 as int) x", "cast((cell div 4) * 16 + g div 16 as int) y", "rad", "pr",
         "(g % 16 - 8) * (g % 16 - 8) + (g div 16 - 8) * (g div 16 - 8) dd")
-    tone = lambda c: f"cast(case when dd <= rad * rad then {c} when dd <= (rad + 1) * (rad + 1) then ({c} + 255) div 2 else 255 end as int)"
-    return grid.selectExpr("image_id", "x", "y", f"{tone('pr % 200')} r", f"{tone('pr * 7 % 200')} g", f"{tone('pr * 13 % 200')} b", "255 a")
+    tone = lambda c: f"cast(case when rad is null then 0 when dd <= rad * rad then {c} when dd <= (rad + 1) * (rad + 1) then ({c} + 255) div 2 else 255 end as int)"
+    clear = "case when rad is null then 0 else 255 end a"
+    return grid.selectExpr("image_id", "x", "y", f"{tone('pr % 200')} r", f"{tone('pr * 7 % 200')} g", f"{tone('pr * 13 % 200')} b", clear)
 
 
 def packed(pixels: DataFrame) -> DataFrame:

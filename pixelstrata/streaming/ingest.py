@@ -22,26 +22,30 @@ def image_stream(spark: SparkSession, folder: str, stack: list, per_trigger: int
 
 
 def merged_edits(edits: DataFrame, gap_ms: int = 600) -> DataFrame:
-    """(key, opened, ts, edits): from a stream or table of edits (key, ts), one row for each command once no further edit of
-    its key came within gap_ms, by the event-time watermark of the stream."""
+    """(log, key, opened, ts, edits): from a stream or table of edits (log, ts, seq, key), the commands of batch.merged_history,
+    one row each once the log's next command opened, or nothing came within gap_ms by the event-time watermark of the stream.
+    The state of a log is its newest command."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def run(log: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out = []
         if state.hasTimedOut:
-            out.append((key[0], *state.get))
+            out.append((log[0], *state.get))
             state.remove()
         else:
-            times = sorted(t for b in batches for t in b["ms"].tolist())
-            opened, last, n = state.get if state.exists else (times[0], times[0], 0)
-            for t in times:
-                if t - last > gap_ms:
-                    out.append((key[0], opened, last, n))
-                    opened, n = t, 0
-                last, n = max(t, last), n + 1
-            state.update((opened, last, n))
-            state.setTimeoutTimestamp(max(last + gap_ms + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "opened_ms", "ms", "edits"])
-
-    held = edits.withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    merged = held.groupBy("key").applyInPandasWithState(run, "key string, opened_ms long, ms long, edits long", "opened long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
-    return merged.select("key", F.timestamp_millis("opened_ms").alias("opened"), F.timestamp_millis("ms").alias("ts"), "edits")
+            rows = sorted((t, s, "" if k is None else k) for b in batches for t, s, k in zip(b["us"].tolist(), b["seq"].tolist(), b["key"], strict=True))
+            top = list(state.get) if state.exists else None
+            for t, _, key in rows:
+                if top and key and key == top[0] and t - top[2] <= gap_ms * 1000:
+                    top[2], top[3] = max(t, top[2]), top[3] + 1
+                    continue
+                if top:
+                    out.append((log[0], *top))
+                top = [key, t, t, 1]
+            state.update(tuple(top))
+            state.setTimeoutTimestamp(max(top[2] // 1000 + gap_ms + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["log", "key", "opened_us", "us", "edits"])
+
+    kind = edits.schema["log"].dataType.simpleString()
+    held = edits.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    merged = held.groupBy("log").applyInPandasWithState(run, f"log {kind}, key string, opened_us long, us long, edits long", "key string, opened long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return merged.select("log", "key", F.timestamp_micros("opened_us").alias("opened"), F.timestamp_micros("us").alias("ts"), "edits")

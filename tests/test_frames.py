@@ -65,19 +65,26 @@ def test_files_streams_and_sinks(spark, tmp_path):
     assert streamed == {r.data for r in apply_stack(images, stack).collect()}
 
 
+EDITS = [("p", "a", 10_000 + t, i) for i, t in enumerate((0, 500, 900, 2000, 2100))] + [("p", "b", 12_200, 5), ("p", "a", 12_300, 6), ("p", "", 12_310, 7), ("p", "", 12_320, 8), ("q", "a", 10_000, 9), ("q", "a", 10_000, 10), ("q", None, 10_100, 11), ("q", "a", 10_200, 12)]
+
+
+def edits_frame(spark):
+    return spark.createDataFrame(EDITS, "log string, key string, ms long, seq long").select("log", "key", F.timestamp_millis("ms").alias("ts"), "seq")
+
+
 def test_streamed_edits_equal_batch(spark, tmp_path):
-    rows = [("a", 10_000 + t) for t in (0, 500, 900, 2000, 2100)] + [("b", 10_100)]
-    held = spark.createDataFrame(rows, "key string, ms long").select("key", F.timestamp_millis("ms").alias("ts"))
-    want = {(r.key, r.ts, r.edits) for r in batch.merged_history(held).collect()}
+    held = edits_frame(spark)
+    want = {(r.log, r.key or "", r.ts, r.edits) for r in batch.merged_history(held).collect()}
+    assert len(want) == 9
     source = f"file://{tmp_path}/edits"
     held.coalesce(1).write.parquet(source)
     stream = spark.readStream.schema(held.schema).parquet(source).withWatermark("ts", "0 seconds")
     query = merged_edits(stream).writeStream.format("memory").queryName("edits").option("checkpointLocation", f"file://{tmp_path}/c2").start()
     query.processAllAvailable()
-    spark.createDataFrame([("z", 60_000)], "key string, ms long").select("key", F.timestamp_millis("ms").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+    spark.createDataFrame([("z", "z", 60_000, 99)], "log string, key string, ms long, seq long").select("log", "key", F.timestamp_millis("ms").alias("ts"), "seq").coalesce(1).write.mode("append").parquet(source)
     for _ in range(20):
         query.processAllAvailable()
-        got = {(r.key, r.ts, r.edits) for r in spark.table("edits").collect()}
+        got = {(r.log, r.key, r.ts, r.edits) for r in spark.table("edits").collect()}
         if want <= got:
             break
         time.sleep(0.5)
@@ -85,6 +92,51 @@ def test_streamed_edits_equal_batch(spark, tmp_path):
     assert want <= got
 
 
+def test_history_is_one_log(spark):
+    rows = sorted(((r.log, r.place, r.key, r.edits) for r in batch.merged_history(edits_frame(spark)).collect()), key=str)
+    assert [(k, n) for log, _, k, n in rows if log == "p"] == [("", 1), ("", 1), ("a", 1), ("b", 1), ("a", 2), ("a", 3)]
+    assert [(k, n) for log, _, k, n in rows if log == "q"] == [("a", 1), (None, 1), ("a", 2)]
+    assert [r.place for r in batch.merged_history(edits_frame(spark), cap=2).filter("log = 'p'").collect()] == [1, 2]
+    model = lambda moves, cap=1000: batch.replayed(moves, 600, cap)
+    assert model([(0, "a", None), (10, "b", None), (20, "a", None)]) == ([["a", 0, 1], ["b", 10, 1], ["a", 20, 1]], 2)
+    assert model([(0, "a", None), (10, "b", None), (15, "", 0), (20, "a", None)]) == ([["a", 0, 1], ["a", 20, 1]], 1)
+    assert model([(0, "a", None), (5, "", -1), (9, "b", None)]) == ([["b", 9, 1]], 0)
+    assert model([(i * 1000, "a", None) for i in range(5)], 3) == ([["a", 2000, 1], ["a", 3000, 1], ["a", 4000, 1]], 2)
+    moved = edits_frame(spark).withColumn("move", F.lit(None).cast("int"))
+    same = {(r.log, r.place, r.key or "", r.ts, r.edits) for r in batch.replayed_history(moved).collect()}
+    assert same == {(r.log, r.place, r.key or "", r.ts, r.edits) for r in batch.merged_history(edits_frame(spark)).collect()}
+    undone = batch.replayed_history(moved.withColumn("move", F.when(F.col("seq") == 8, 1)).filter("log = 'p'")).orderBy("place").collect()
+    assert [r.undone for r in undone] == [True] * 3 + [False] * 2
+
+
+def grid_model(sizes, width, height, padding):
+    """Cells on the first sheet that has enough, by plain counting."""
+    side, turn = [width, height], 0
+    cell = [max((s[k] + padding if min(s) > 0 else s[k]) for s in sizes) for k in (0, 1)]
+    live = [i for i, s in enumerate(sizes) if min(s) > 0]
+    while True:
+        across, down = [max(side[k] - padding, 0) // cell[k] for k in (0, 1)]
+        if across * down >= len(live) or min(side) >= 16384:
+            return {i: (n % across * cell[0] + padding, n // across * cell[1] + padding) for n, i in enumerate(live[: across * down])}, *side
+        turn = 1 - turn if side[turn] >= 16384 else turn
+        side[turn] = min(2 * side[turn], 16384)
+        turn = 1 - turn
+
+
+def test_grid_plans(spark):
+    rng = np.random.default_rng(3)
+    for width, height, padding in ((16, 16, 0), (64, 8, 2), (3, 3, 1), (10_000, 9, 16)):
+        sizes = [(int(a), int(b)) for a, b in rng.integers(0, 12, (40, 2))]
+        rows = spark.createDataFrame([(0, i, w, h) for i, (w, h) in enumerate(sizes)], "sheet long, sprite_id long, w int, h int")
+        want, w, h = grid_model(sizes, width, height, padding)
+        got = batch.grid_plan(rows, width, height, padding).collect()
+        assert {r.sprite_id: (r.x, r.y) for r in got if r.x >= 0} == want and {(r.sheet_width, r.sheet_height) for r in got} == {(w, h)}
+        places, *side = packing.place(sizes, "grid", width, height, padding)
+        assert {i: p for i, p in enumerate(places) if p} == want and side == [w, h]
+    assert batch.grid_plan(rows, 24, 24, 0, expand=False).filter("x >= 0").count() == 4
+    assert batch.sheet_sizes(10_000, 3, True)[:4] == [(10_000, 3), (16_384, 3), (16_384, 6), (16_384, 12)]
+
+
 def test_jobs(spark):
     jobs = spark.createDataFrame([("s1", "t1"), ("s2", "t2")], "source string, target string")
     was = spark.createDataFrame([("s1", b"1"), ("s2", b"2")], "path string, content binary")
@@ -97,7 +149,9 @@ def test_jobs(spark):
     titled = [r.target for r in batch.renamed(names, counter=False, case="title").orderBy("batch_index").collect()]
     assert titled == ["Hero Walk Cycle Two.png", "B", "C.tga"]
     assert [r.target for r in batch.renamed(names, base="x", start=-1, step=1, at_end=False).orderBy("batch_index").collect()] == ["-01_x.png", "00_x", "01_x.tga"]
-    assert batch.table_side(1) == (2, 1) and batch.table_side(5) == (4, 4)
+    assert [batch.table_side(n) for n in (0, 1, 2, 3, 5, 9)] == [(2, 1), (2, 1), (2, 2), (4, 2), (4, 4), (8, 4)]
+    widths = spark.range(40).select(batch.table_width(F.col("id").cast("int")).alias("w")).collect()
+    assert [r.w for r in widths] == [batch.table_side(n)[0] for n in range(40)]
 
 
 def test_cut_and_build(spark):

@@ -1,5 +1,6 @@
 """Kernels against plain queue models on random grids, and the properties that operations promise."""
 
+import json
 from collections import deque
 
 import numpy as np
@@ -205,12 +206,67 @@ def test_settings_round_trip_and_migration():
     assert not warnings and [r["id"] for r in back] == list(STAGES) and documents.encode_stack(back) == text
     back, warnings = documents.decode_stack('{"version": 2, "stack": [{"id": "nothing"}, {"id": "posterize", "settings": {"levels": 99, "colors": "x", "strength": -3}}]}')
     assert warnings == ["unknown operation"] and back[0]["settings"]["levels"] == 32 and back[0]["settings"]["colors"] == 16 and back[0]["settings"]["strength"] == 0
-    old, _ = documents.decode_stack('{"version": 1, "operations": {"remove_background": {"edge_width": 5, "crevice_reach": 2, "regions": [{"points": [[0, 0], [1, 0], [1, 1]]}]}}}')
-    assert [r["id"] for r in old] == ["polygon_edit", "remove_background", "remove_crevice"] and old[1]["settings"]["edge_width"] == 5
+    old = lambda block: {r["id"]: r["settings"] for r in documents.decode_stack(json.dumps({"version": 1, "operations": {"remove_background": block}}))[0]}
+    assert list(old({})) == ["remove_background", "edge_cleanup"] and old({})["edge_cleanup"] == STAGES["edge_cleanup"].settings({})
+    some = old({"edge_width": 5, "crevice_reach": 2, "polygons": {"regions": [{"points": [[0, 0], [1, 0], [1, 1]]}]}, "islands": {"entries": [{"picks": []}]}, "alpha_floor": 0.2, "edge_cleanup": False, "refine_radius": 7})
+    assert list(some) == ["polygon_edit", "remove_background", "island_picker", "remove_crevice", "refine_edges"]
+    assert some["remove_background"]["edge_width"] == some["island_picker"]["edge_width"] == 5 and some["remove_crevice"] == {"reach": 2, "tolerance": 0.5}
+    assert some["refine_edges"] == {"radius": 0, "floor": 0.2, "ceiling": 1.0} and old({"refine_edges": True})["refine_edges"]["radius"] == 2
+    assert "refine_edges" in old({"alpha_ceiling": 0.5}) and old({"inner_stroke_width": 2, "auto_stroke_color": True})["edge_cleanup"]["inner"] == 2
+    assert [r["id"] for r in documents.decode_stack('{"version": 1}')[0]] == ["remove_background", "edge_cleanup"]
+    assert documents.decode_stack('{"version": 1, "operations": 3}')[0] == []
     assert documents.decode_stack('{"version": 3}') == ([], ["newer version"]) and documents.decode_stack("x")[0] == []
     assert STAGES["random_hsv_tiles"].settings({"hue": (0.4, -0.9)})["hue"] == (-0.5, 0.4)
 
 
+def packing_model(sizes, method, width, height):
+    """Places on one sheet by plain search over cells that are taken: None from the first that does not fit on."""
+    order = [i for i, s in enumerate(sizes) if min(s) > 0]
+    if method in ("shelf", "tight"):
+        order.sort(key=lambda i: (-sizes[i][1], -sizes[i][0], i))
+    places, rows, tops = [None] * len(sizes), [], [0] * width
+    for i in order:
+        w, h = sizes[i]
+        if w > width:
+            return places
+        if method == "tight":
+            y, x = min((max(tops[x : x + w]), x) for x in range(width - w + 1))
+        else:
+            if not rows or rows[-1][1] + w > width:
+                rows.append([sum(r[2] for r in rows), 0, 0])
+            y, x = rows[-1][0], rows[-1][1]
+        if y + h > height:
+            return places
+        if method == "tight":
+            tops[x : x + w] = [y + h] * w
+        else:
+            rows[-1][1:] = [x + w, max(rows[-1][2], h)]
+        places[i] = (x, y)
+    return places
+
+
+@pytest.mark.parametrize("method", ["shelf", "original", "tight"])
+def test_packing_is_the_model(method):
+    for _ in range(60):
+        sizes = [(int(w), int(h)) for w, h in RNG.integers(0, 9, (int(RNG.integers(1, 25)), 2))]
+        width, height = int(RNG.integers(1, 30)), int(RNG.integers(1, 30))
+        assert packing.METHODS[method](sizes, width, height) == packing_model(sizes, method, width, height)
+        padding = int(RNG.integers(0, 4))
+        places, w, h = packing.place(sizes, method, width, height, padding)
+        padded = [(a + padding, b + padding) if min(a, b) > 0 else (a, b) for a, b in sizes]
+        assert places == [p and (p[0] + padding, p[1] + padding) for p in packing_model(padded, method, max(w - padding, 0), max(h - padding, 0))]
+        assert all((p is None) == (min(s) == 0) for p, s in zip(places, sizes, strict=True))
+        smaller = (w // 2, h) if w > width and (w // width > h // height or h == height) else (w, h // 2)
+        if (w, h) != (width, height):
+            tried = packing_model(padded, method, max(smaller[0] - padding, 0), max(smaller[1] - padding, 0))
+            assert sum(p is not None for p in tried) < sum(min(s) > 0 for s in sizes)
+
+
+def test_padding_stands_once_between_sprites():
+    assert packing.place([(10, 10), (10, 10)], "shelf", 64, 64, 2)[0] == [(2, 2), (14, 2)]
+    assert packing.place([(9000, 5), (9000, 5)], "original", 10_000, 4)[1:] == (16_384, 16) and packing.place([(10, 10), (0, 4)], "tight", 16, 16)[1:] == (16, 16)
+
+
 @pytest.mark.parametrize("method", sorted(packing.METHODS))
 def test_packing_places_all_apart(method):
     sizes = [(int(w), int(h)) for w, h in RNG.integers(3, 20, (60, 2))]
