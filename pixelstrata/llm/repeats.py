@@ -130,11 +130,11 @@ def staged_runs(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
 def shared(runs: DataFrame, apart: str) -> DataFrame:
     """The runs of groups for which `apart` holds (of x and y, the smallest and largest doc, and the number of places), staged.
 
-    Joins here keep all rows of their left side, and the rows are chosen after them: the work does not depend on how
-    much repeats, and a group of any size can be dealt to several tasks."""
+    Joins with runs keep all rows of their left side, and rows are chosen after them: the rows that a join makes do not
+    depend on how much repeats, and a group of any size can be dealt to several tasks."""
     seen = staged(runs.groupBy("g").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count("*").alias("places")).filter(apart).select("g", "x", "y"))
     out = staged(runs.join(seen, "g", "left").filter("coalesce(x <= doc and doc <= y, false)").drop("x", "y"))
-    drop_staged(runs, seen)
+    drop_staged(seen)
     return out
 
 

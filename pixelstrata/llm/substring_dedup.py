@@ -136,10 +136,10 @@ def _stream(width: int):
     return run
 
 
-def _judged(rows: DataFrame) -> DataFrame:
+def _judged(rows: DataFrame, several: DataFrame) -> DataFrame:
     """Rows (g, c, doc, ...) of a class that has a smaller document (m, its smallest), and the first rows of classes of groups
-    (k: the group's classes) that differ and have several documents; staged."""
-    classes = staged(rows.groupBy("g", "c").agg(F.min("doc").alias("m")))
+    (k: the group's classes) that differ and have several documents; staged. several: all rows of such groups, at least."""
+    classes = staged(several.groupBy("g", "c").agg(F.min("doc").alias("m")))
     groups = classes.groupBy("g").agg(F.count("*").alias("k"), F.min("m").alias("x"), F.max("m").alias("y"))
     groups = staged(groups.filter("k > 1 and x < y").select("g", "k"))
     known = rows.join(classes.join(groups, "g", "left"), ["g", "c"], "left")
@@ -151,9 +151,10 @@ def _judged(rows: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     """(doc, at, size): word ranges of docs (doc, row, text) that go, staged; their union is what goes."""
     later = F.expr(f"cast(n + {width} - 1 as bigint)").alias("size")
-    runs = shared(staged_runs(docs, "words", width, GRAM), "x < y")
-    judged = _judged(runs)
-    drop_staged(runs)
+    runs = staged_runs(docs, "words", width, GRAM)
+    several = shared(runs, "x < y")
+    judged = _judged(runs, several)
+    drop_staged(runs, several)
     found = [judged.filter("doc > m").select("doc", "at", later)]
     held = contexts(docs, judged.filter("doc = m").withColumn("times", F.lit(1).cast("long")), "words", width, GRAM)
     made = [judged, held]
@@ -164,7 +165,7 @@ def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
         if large.isEmpty():
             break
         parts = halves(large, "words", width)
-        judged = _judged(parts)
+        judged = _judged(parts, parts)
         drop_staged(parts)
         found.append(judged.filter("doc > m").select("doc", "at", later))
         held = judged.filter("doc = m")

@@ -129,12 +129,13 @@ def _sorted_blocks(width: int):
     return run
 
 
-def _judged(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _judged(rows: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For rows (g, c, doc, at, n, p; times: how often a row's context stands, 1 without the column): those whose class stands
-    more often than once but the row itself does not, and one row of each class of a group whose k classes are to be sorted; and the staged table of both."""
+    more often than once but the row itself does not, and one row of each class of a group whose k classes are to be sorted;
+    and the staged table of both. several: all rows of groups that have more than one, at least."""
     times = F.sum("times") if "times" in rows.columns else F.count("*")
     own = F.col("times") if "times" in rows.columns else F.lit(1)
-    classes = staged(rows.groupBy("g", "c").agg(times.alias("total"), *(F.first(x).alias(f"first_{x}") for x in ("doc", "at"))))
+    classes = staged(several.groupBy("g", "c").agg(times.alias("total"), *(F.first(x).alias(f"first_{x}") for x in ("doc", "at"))))
     sizes = classes.groupBy("g").agg(F.count("*").alias("k"), F.min("total").alias("fewest"))
     sizes = staged(sizes.filter("k > 1 and fewest = 1").select("g", "k"))
     known = rows.withColumn("times", own.cast("long")).join(classes.join(sizes, "g", "left"), ["g", "c"], "left")
@@ -148,9 +149,10 @@ def _judged(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def repeated_ranges(docs: DataFrame, width: int = 200) -> DataFrame:
     """(doc, at, size): byte ranges of docs (doc, row, text) that go, staged; their union is what goes."""
     whole_size = F.expr(f"cast(n + {width} - 1 as bigint)").alias("size")
-    runs = shared(staged_runs(docs, "bytes", width, GRAM), "places > 1")
-    whole, kept, judged = _judged(runs)
-    drop_staged(runs)
+    runs = staged_runs(docs, "bytes", width, GRAM)
+    several = shared(runs, "places > 1")
+    whole, kept, judged = _judged(runs, several)
+    drop_staged(runs, several)
     found = [whole.select("doc", "at", whole_size)]
     held = contexts(docs, kept, "bytes", width, GRAM)
     made = [judged, held]
@@ -161,7 +163,7 @@ def repeated_ranges(docs: DataFrame, width: int = 200) -> DataFrame:
         if large.isEmpty():
             break
         parts = halves(large, "bytes", width)
-        whole, held, judged = _judged(parts)
+        whole, held, judged = _judged(parts, parts)
         drop_staged(parts)
         found.append(whole.select("doc", "at", whole_size))
         made.append(judged)
