@@ -31,7 +31,7 @@ from .tables import drop_staged, staged
 from .textkernels import SPACE, blocks, words
 
 GRAM = 8
-SHARD = 1000  # contexts, each of at most 2 * width words
+SHARD = 250  # contexts, each of at most 2 * width words
 
 
 class SuffixAutomaton:

@@ -31,7 +31,7 @@ from .repeats import by_place, contexts, covered, entries, halves, keyed, shared
 from .tables import drop_staged, staged
 from .textkernels import blocks
 
-GRAM, GROUP, BLOCK_BYTES = 40, 1000, 2 << 20
+GRAM, GROUP, BLOCK_BYTES = 40, 400, 2 << 20
 PERIOD = 32
 #: Every difference modulo PERIOD is one of two members: 0..5 minus 5, 11, 17, 23, 29.
 COVER = np.array([*range(6), *range(11, 30, 6)])
