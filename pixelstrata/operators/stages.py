@@ -211,30 +211,32 @@ def _restored(c: Canvas):
     inner = inner.ravel()
     grid = c.grid(cover)
     pull = [sum(d[axis] * shifted(grid, *d, 0.0) for d in EIGHT) for axis in (0, 1)]
-    for i, face in zip(cells[facing >= 0], facing[facing >= 0], strict=True):
-        if ruled[face]:
-            continue
-        anchor = i if solid[i] else face
-        if not (c.force is not None and c.force[anchor]) and seen[anchor] < 0.5:
-            continue
-        own = NONE if c.key_of is None else (c.key_of[face] if c.key_of[face] >= 0 else c.key_of[i])
-        key = c.keys[own][0] if 0 <= own < len(c.keys) else (c.keys[0][0] if c.keys else np.zeros(3))
-        y, x = divmod(int(i), c.w)
-        dy, dx = pull[0][y, x], pull[1][y, x]
-        length, subject = np.sqrt(dx * dx + dy * dy), -1
-        if length > GUARD:
-            for step in (1, 2):
-                sy, sx = y + int(half_up(dy / length * step)), x + int(half_up(dx / length * step))
-                if not (0 <= sy < c.h and 0 <= sx < c.w) or cover[sy * c.w + sx] < 0.995:
-                    break
-                subject = sy * c.w + sx
-        if subject < 0 and c.nearest is not None:
-            subject = c.nearest[i]
-        if subject < 0 or not inner[subject]:
-            continue
-        reference = chebyshev(c.rgb[subject], key)
-        if reference > GUARD:
-            out[i] = stored(np.clip(chebyshev(c.rgb[i], key) / reference, 0.0, 1.0))
+    i, face = cells[facing >= 0], facing[facing >= 0]
+    anchor = np.where(solid[i], i, face)
+    forced = np.zeros(len(i), bool) if c.force is None else c.force[anchor] > 0
+    fits = ~ruled[face] & (forced | (seen[anchor] >= 0.5))
+    i, face = i[fits], face[fits]
+    y, x = np.divmod(i, c.w)
+    dy, dx = pull[0][y, x], pull[1][y, x]
+    length = np.sqrt(dx * dx + dy * dy)
+    subject, going = np.full(len(i), -1), length > GUARD
+    length = np.where(going, length, 1.0)
+    for step in (1, 2):
+        sy, sx = y + half_up(dy / length * step).astype(int), x + half_up(dx / length * step).astype(int)
+        going = going & (sy >= 0) & (sy < c.h) & (sx >= 0) & (sx < c.w)
+        there = np.where(going, sy * c.w + sx, 0)
+        going = going & (cover[there] >= 0.995)
+        subject = np.where(going, there, subject)
+    if c.nearest is not None:
+        subject = np.where(subject < 0, c.nearest[i], subject)
+    fits = (subject >= 0) & inner[np.maximum(subject, 0)]
+    i, face, subject = i[fits], face[fits], subject[fits]
+    own = np.full(len(i), NONE) if c.key_of is None else np.where(c.key_of[face] >= 0, c.key_of[face], c.key_of[i])
+    keys = np.array([k[0] for k in c.keys] or [np.zeros(3)])
+    key = keys[np.where((own >= 0) & (own < len(c.keys)), own, 0)]
+    reference = chebyshev(c.rgb[subject], key)
+    fits = reference > GUARD
+    out[i[fits]] = stored(np.clip(chebyshev(c.rgb[i[fits]], key[fits]) / reference[fits], 0.0, 1.0))
     return out
 
 
