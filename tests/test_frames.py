@@ -137,6 +137,102 @@ def test_grid_plans(spark):
     assert batch.sheet_sizes(10_000, 3, True)[:4] == [(10_000, 3), (16_384, 3), (16_384, 6), (16_384, 12)]
 
 
+def test_jpg_and_bmp_are_read(spark, tmp_path):
+    jvm = spark._jvm
+    picture = jvm.java.awt.image.BufferedImage(8, 6, 1)
+    for y in range(6):
+        for x in range(8):
+            picture.setRGB(x, y, (200 << 16) | (10 * y << 8) | 30)
+    for name, kind in (("a.JPG", "jpg"), ("b.bmp", "bmp")):
+        assert jvm.javax.imageio.ImageIO.write(picture, kind, jvm.java.io.File(str(tmp_path / name)))
+    (tmp_path / "c.jpeg").write_bytes(b"no")
+    read = {r.path.rsplit("/", 1)[1]: r for r in files.read_images(spark, f"file://{tmp_path}").collect()}
+    exact = np.frombuffer(read["b.bmp"].data, np.uint8).reshape(6, 8, 4)
+    assert exact[5, 0].tolist() == [200, 50, 30, 255] and read["c.jpeg"].error and read["c.jpeg"].data is None
+    near = np.frombuffer(read["a.JPG"].data, np.uint8).reshape(6, 8, 4).astype(int)
+    assert np.abs(near[..., :3] - exact[..., :3].astype(int)).max() < 40 and (near[..., 3] == 255).all()
+
+
+def test_sinks_and_sidecars(spark, tmp_path):
+    rows = spark.createDataFrame([("a/x.bin", b"1"), ("y.bin", None), ("z.bin", b"")], "target string, content binary")
+    done = {r.target: r for r in files.write_files(rows, f"file://{tmp_path}/out").collect()}
+    assert done["y.bin"].error == "no content" and done["a/x.bin"].bytes == 1 and done["z.bin"].error is None
+    assert (tmp_path / "out/a/x.bin").read_bytes() == b"1" and {p.name for p in (tmp_path / "out").rglob("*") if p.is_file()} == {"x.bin", "z.bin"}
+    given = spark.createDataFrame([("s", b"1"), ("t", b"2")], "path string, content binary")
+    assert [(r.target, bytes(r.content)) for r in files.copies(given, spark.createDataFrame([("t", "u")], "source string, target string")).collect()] == [("u", b"2")]
+    made = files.sidecars(spark.createDataFrame([("in/a.png", "{}"), ("in/b.c.png", None)], "path string, text string")).collect()
+    assert [r.target for r in made] == ["a.stack", "b.c.stack"] and files.unpack_sidecar(bytes(made[0].content)) == ("{}", None) and made[1].content is None
+    newer, damaged = b"PXST\x02\0\0\0", files.pack_sidecar("x")[:-1]
+    held = spark.createDataFrame([("a", bytes(made[0].content)), ("b", newer), ("c", damaged), ("d", b"{}"), ("e", None)], "path string, content binary")
+    assert {r.path: (r.text, r.error) for r in files.read_sidecars(held).collect()} == {"a": ("{}", None), "b": (None, "newer container"), "c": (None, "damaged sidecar"), "d": (None, "no sidecar"), "e": (None, "no sidecar")}
+    old = spark.createDataFrame([("a_old.json", b'{"stack": []}'), ("b_old.json", b'{"version": 1, "operations": {}}'), ("c_old.json", b"no"), ("d_old.json", b'{"x": 1}'), ("e.json", b'{"stack": []}')], "path string, content binary")
+    there = spark.createDataFrame([("a.stack", files.pack_sidecar("{}")), ("b.stack", b"other")], "path string, content binary")
+    moved = files.converted(old, there, "_old.json").collect()
+    assert [(r.path, r.target, files.unpack_sidecar(bytes(r.content))[0]) for r in moved] == [("b_old.json", "b.stack", '{"version": 1, "operations": {}}')]
+
+
+def test_sheets_as_files(spark):
+    sizes = spark.createDataFrame([(s, i, 3 + i % 4, 4) for s in (0, 1) for i in range(5)], "sheet long, sprite_id long, w int, h int").withColumn("sprite_id", F.col("sheet") * 10 + F.col("sprite_id"))
+    rects = batch.grid_plan(sizes, 16, 16, 1)
+    none = spark.createDataFrame([], "row int, sprite_id long, dx int, dy int, vx int, vy int, enabled boolean")
+    lookups = batch.lookup_pixels(rects, batch.pivots(rects, none))
+    blank = np.full((4, 4, 4), 255, np.uint8).tobytes()
+    sheets = spark.createDataFrame([(0, "s0", 4, 4, blank), (1, "s1", 4, 4, None)], "image_id long, name string, width int, height int, data binary")
+    made = {r.target: r for r in files.sheet_files(sheets, lookups, sheets.drop("name").filter("image_id = 0")).collect()}
+    assert set(made) == {"s0.png", "s0_lut.bin", "s0_normal.png", "s1.png"} and made["s1.png"].error and made["s1.png"].content is None
+    table = bytes(made["s0_lut.bin"].content)
+    w, h = np.frombuffer(table[:8], "<u4")
+    values = np.frombuffer(table[8:], "<f4").reshape(h, w, 4)
+    assert (w, h) == batch.table_side(5) and values[0, 0].tolist() == [1, 1, 3, 4] and values[0, 1].tolist() == [2.5, 3, 0, 1] and not values.reshape(-1, 4)[10:].any()
+
+
+def test_networks_and_cache(spark):
+    from pixelstrata.operators import models
+
+    both = lambda *names: [f"{n}.{e}" for n in names for e in ("param", "bin")]
+    assert models.network_scales(both("m-x2", "m-x4"), "a/m") == [2, 4] and models.network_scales(both("p-x4plus"), "a/p-x4plus") == [4]
+    assert models.network_scales(["m-x2.param"], "a/m") == [] and models.network_files(both("n-x3"), "n/", 3) == ("n-x3.param", "n-x3.bin")
+    images, arrays = some_images(spark)
+    key = models.network_signature("e", "m", 0, 2, False)
+    first = models.cached_upscale(images, None, key, scale=2)
+    cache = spark.createDataFrame(first.filter("image_id < 2").collect(), first.schema)
+    again = {r.image_id: bytes(r.data) for r in models.cached_upscale(images, cache.withColumn("data", F.when(F.col("image_id") == 0, F.lit(b"held")).otherwise(F.col("data"))), key, scale=2).collect()}
+    assert again[0] == b"held" and again[1] == again[1] == models.doubled(arrays[1]).tobytes() and again[2] == models.doubled(arrays[2]).tobytes()
+    assert models.cached_upscale(images, cache, "other", scale=2).filter("data = X'68656c64'").count() == 0
+
+
+def test_colour_scan(spark):
+    rng = np.random.default_rng(9)
+    image = rng.integers(0, 3, (21, 17, 4)).astype(np.uint8) * 40
+    image[..., 3] = rng.choice([0, 255], (21, 17), p=[0.1, 0.9])
+    left = rng.choice([0, 200, 255], (21, 17))
+    frame = rasters.unpacked(spark.createDataFrame([(0, 17, 21, image.tobytes())], rasters.PACKED))
+    remaining = spark.createDataFrame([(0, x, y, int(left[y, x])) for y in range(21) for x in range(17)], "image_id long, x int, y int, a int")
+    for (x, y, w, h), budget in (((2, 3, 10, 9), 4096), ((-3, 5, 40, 40), 30), ((0, 0, 17, 21), 7), ((4, 4, 1, 1), 1)):
+        x0, y0, x1, y1 = max(x, 0), max(y, 0), min(x + w, 17) - 1, min(y + h, 21) - 1
+        stops = lambda a, b, s: sorted({*range(a, b, s), b})
+        step = max(int(np.ceil(np.sqrt((x1 - x0 + 1) * (y1 - y0 + 1) / budget))), 1)
+        while len(stops(x0, x1, step)) * len(stops(y0, y1, step)) > budget and step < 64:
+            step += 1
+        for rest in (None, remaining):
+            count = {}
+            for v in stops(y0, y1, step):
+                for u in stops(x0, x1, step):
+                    if image[v, u, 3] and (rest is None or left[v, u] == 255):
+                        c = tuple(image[v, u, :3].tolist())
+                        count[c] = count.get(c, 0) + 1
+            want = [(*c, n) for c, n in sorted(count.items(), key=lambda e: (-e[1], e[0]))]
+            got = pixels.colour_counts(frame, (x, y, w, h), budget=budget, remaining=rest).orderBy("place").collect()
+            assert [(r.r, r.g, r.b, r.n) for r in got] == want
+    assert pixels.colour_counts(frame, (30, 0, 5, 5)).count() == 0
+    kept = []
+    for r in (counts := pixels.colour_counts(frame, (0, 0, 17, 21)).orderBy("place").collect()):
+        if len(kept) < 3 and max(r.r, r.g, r.b) > 40 and all(max(abs(r.r - k[0]), abs(r.g - k[1]), abs(r.b - k[2])) > 40 for k in kept):
+            kept.append((r.r, r.g, r.b))
+    cover = pixels.covering_colours(pixels.colour_counts(frame, (0, 0, 17, 21)), 41 / 255, [((0, 0, 0), 41 / 255)], 3).orderBy("place").collect()
+    assert counts and [(r.r, r.g, r.b) for r in cover] == kept
+
+
 def test_jobs(spark):
     jobs = spark.createDataFrame([("s1", "t1"), ("s2", "t2")], "source string, target string")
     was = spark.createDataFrame([("s1", b"1"), ("s2", b"2")], "path string, content binary")
