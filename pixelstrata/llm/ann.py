@@ -11,7 +11,10 @@ scored exactly, in double precision, on the original vectors; no number of candi
 Equal vectors are one row of the index (with their smallest `k + 1` ids, all that a result of k can name), so a vector that
 is repeated a million times is one code and no hot group. Codebooks are fitted on at most SAMPLE vectors (those of
 smallest hash); every vector is indexed. Where the codes separate little (no structure, or groups of near copies) more rows
-are scored exactly, by one matrix product a chunk. Queries come in blocks of QUERIES rows, each held against all codes.
+are scored exactly, by one matrix product a chunk. Queries come in blocks of QUERIES rows, each held against all codes. Rows
+are sorted by code, so that a chunk of them is a cell of the first books: a query looks into a chunk only if the angle to its
+mean direction, less the chunk's widest, can reach the best so far. On vectors with structure that leaves few chunks; on vectors
+without any (the tables here) it leaves all, and no index by cells could reach the asked recall with less.
 
 Defined cases: null or empty vectors, vectors that hold null or non-finite components, zero vectors and null ids take no part;
 neither do vectors whose dimension is not the most common one (the larger of equally common ones); repeated rows of an
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import staged
+from .tables import drop_staged, staged
 
 BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 3, 1
 SAMPLE, QUERIES, CHUNK, PAIRS = 10_000, 2048, 2048, 16_384
@@ -171,6 +174,18 @@ def reaching(near: np.ndarray, held: np.ndarray, least: np.ndarray, slack: float
     return (near >= cut - np.float32(slack)) | (t <= -c)
 
 
+def in_reach(x: np.ndarray, queries: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The queries that some row of x can be as near to as `least`: those whose angle to the rows' mean direction, less the widest
+    angle of a row to it, is no more than that of `least`."""
+    mean = x.sum(0)
+    length = np.sqrt((mean * mean).sum())
+    if length < 1e-9 * len(x):
+        return np.arange(len(queries))
+    mean /= length
+    angle = lambda c: np.arccos(np.clip(c, -1.0, 1.0))
+    return np.flatnonzero(angle(queries @ mean) - angle((x @ mean).min()) <= angle(least) + 1e-6)
+
+
 def _scan(books, queries, k: int):
     """(query, class, score): the best k + 1 classes of this task for each query of the block, by exact score."""
 
@@ -199,22 +214,25 @@ def _scan(books, queries, k: int):
                 codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(part.num_rows, -1)
                 v = np.frombuffer(b"".join(part.column("v").to_pylist()), np.float64).reshape(part.num_rows, -1)
                 classes = np.asarray(part.column("class"))
-                near = tables[0][codes[:, 0]].copy()
+                asked = in_reach(unit(v), u, least) if len(of) else np.arange(len(ids))
+                if not len(asked):
+                    continue
+                near = tables[0][:, asked][codes[:, 0]]
                 for m in range(1, codes.shape[1]):
-                    near += tables[m][codes[:, m]]
+                    near += tables[m][:, asked][codes[:, m]]
                 near /= np.maximum(np.asarray(part.column("norm")), SHORT).astype(np.float32)[:, None]
                 fresh = np.ones(near.shape, bool)
-                if not len(of) and len(ids):
+                if not len(of):
                     count = min(k + 1, part.num_rows)
                     lead = np.argpartition(-near, count - 1, 0)[:count]
                     np.put_along_axis(fresh, lead, False, 0)
                     add(lead.ravel(), np.tile(np.arange(len(ids)), count), v, classes)
-                fresh &= reaching(near, np.asarray(part.column("held")), least, slack)
+                fresh &= reaching(near, np.asarray(part.column("held")), least[asked], slack)
                 if fresh.sum() * 32 > fresh.size:
-                    fresh &= unit(v) @ u.T >= least - 1e-9
+                    fresh &= unit(v) @ u[asked].T >= least[asked] - 1e-9
                 rows, at = np.nonzero(fresh)
                 if len(rows):
-                    add(rows, at, v, classes)
+                    add(rows, asked[at], v, classes)
         yield pa.record_batch([pa.array(ids[of]), pa.array(who), pa.array(score)], names=["query", "class", "score"])
 
     return run
@@ -243,13 +261,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     for block in range(blocks):
         own = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").toArrow()
         held = spark.sparkContext.broadcast((own["id"].to_numpy(), level(matrix(own["v"].combine_chunks())) if own.num_rows else np.zeros((0, x.shape[1]))))
-        found = codes.mapInArrow(_scan(books, held, k), "query long, class long, score double")
+        found = codes.sortWithinPartitions("code").mapInArrow(_scan(books, held, k), "query long, class long, score double")
         near = found if near is None else near.union(found)
     if near is None:
         return spark.createDataFrame([], schema)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "class")
     picked = near.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
     scored = picked.join(classes.select("class", "ids"), "class")
+    drop_staged(rows)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     named = scored.select("query", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query")
     return named.select(F.col("query").alias("query_id"), F.row_number().over(order).alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
