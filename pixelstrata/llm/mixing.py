@@ -7,8 +7,8 @@ sizes (size class, salt, size, doc_id), one offset is added, and a document is e
 stretch of the sum crosses; so each stretch of sizes contributes its share and the taken words come near the target.
 
 The sum is taken in three levels: row numbers within (source, size class, salt), running counts over the salts of a size class,
-and over a source's size classes, of which it has a bounded number. Salts come from a hash of the id and number a SALT_ROWS-th
-of all rows, so a source or size with a third of all rows is never in one task. The offset is
+and over a source's size classes, of which it has a bounded number. Salts come from a hash of the id, one for each GROUP rows
+of the source and size class, so a source or size with a third of all rows makes more groups, not larger ones. The offset is
 uniform in 0..1, a hash of the seed and the source's place: reruns agree.
 
 Defined cases: a null or wordless text has size 0 and takes 0; a source of no words has target 0; repeated rows count
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .tables import staged
 
 WEIGHTS, FACTOR, CAP = (5, 2, 1), 1.5, 2.0
-SALT_ROWS = 20_000
+GROUP = 500
 
 
 def word_count(text: Column) -> Column:
@@ -61,36 +61,36 @@ def size_class(size: Column) -> Column:
     return F.when(size < 16, size).otherwise(octave * 16 + F.expr("shiftright(size, length(bin(size)) - 4)"))
 
 
-def _salt(docs: DataFrame) -> Column:
-    """The salt of the rows of docs: a hash of the id (or else the text), by the number of rows."""
-    salts = docs.agg(F.floor(F.count("*") / SALT_ROWS) + 1).first()[0]
-    return F.pmod(hashed(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))), F.lit(salts)).alias("salt")
-
-
 def _copies(held: DataFrame, seed: int) -> DataFrame:
+    """held (source, size, mark, doc_id, ...) with source_size, target and copies; mark is the hash that salts come from."""
     held = held.withColumn("class", size_class(F.col("size")))
-    groups = staged(held.groupBy("source", "class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
-    sizes = staged(targets(groups.groupBy("source").agg(F.sum("words").alias("source_size"))))
+    classes = staged(held.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    sizes = staged(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size"))))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    classes = groups.groupBy("source", "class").agg(F.sum("n").alias("n"))
-    classes = classes.select(F.col("source").alias("s"), F.col("class").alias("c"), before(Window.partitionBy("source").orderBy("class")).alias("class_start"))
-    salts = groups.select("source", "class", "salt", before(Window.partitionBy("source", "class").orderBy("salt")).alias("salt_start"))
-    levels = salts.join(F.broadcast(sizes.withColumnRenamed("source", "s")), salts["source"].eqNullSafe(F.col("s"))).drop("s")
-    levels = levels.join(classes, levels["source"].eqNullSafe(F.col("s")) & (levels["class"] == F.col("c")))
-    levels = levels.select(levels["source"].alias("s"), F.col("class").alias("c"), F.col("salt").alias("t"), (F.col("class_start") + F.col("salt_start")).alias("start"), "place", "source_size", "target").drop("class")
+    starts = classes.select("source", "class", (F.floor(F.col("n") / GROUP) + 1).alias("salts"), before(Window.partitionBy("source").orderBy("class")).alias("class_start"))
+    starts = starts.withColumnsRenamed({"source": "s", "class": "c"}).join(sizes, F.col("s").eqNullSafe(F.col("source"))).drop("source")
+    here = lambda rows: rows["source"].eqNullSafe(F.col("s")) & (rows["class"] == F.col("c"))
+    salted = held.join(starts, here(held)).withColumn("salt", F.pmod("mark", "salts")).drop("s", "c", "salts", "mark")
+    groups = staged(salted.groupBy("source", "class", "salt").agg(F.count("*").alias("n")))
+    order = Window.partitionBy("source", "class").orderBy("salt")
+    levels = groups.select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("salt").alias("t"), before(order).alias("salt_start"))
     own = Window.partitionBy("source", "class", "salt").orderBy("size", "doc_id")
-    ranked = held.withColumn("rank", F.row_number().over(own))
-    out = ranked.join(levels, ranked["source"].eqNullSafe(levels["s"]) & (ranked["class"] == levels["c"]) & (ranked["salt"] == levels["t"]))
+    ranked = salted.withColumn("rank", F.row_number().over(own))
+    out = ranked.join(levels, here(ranked) & (ranked["salt"] == F.col("t")))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    number = (F.col("start") + F.col("rank")).cast("double")
+    number = (F.col("class_start") + F.col("salt_start") + F.col("rank")).cast("double")
     offset = hashed(F.concat(F.lit(f"{seed}:"), F.col("place").cast("string"))) / F.lit(2.0**32)
     copies = F.floor(offset + expected * number) - F.floor(offset + expected * (number - 1.0))
-    return out.withColumn("copies", copies).drop("class", "salt", "rank", "start", "place", "s", "c", "t")
+    return out.withColumn("copies", copies).drop("class", "salt", "rank", "class_start", "salt_start", "place", "s", "c", "t")
+
+
+def _mark() -> Column:
+    return hashed(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))).alias("mark")
 
 
 def mix_report(docs: DataFrame, seed: int = 0) -> DataFrame:
     """(doc_id, size, source_size, target, taken): the words the mix takes of each document."""
-    held = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _salt(docs))
+    held = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _mark()))
     return _copies(held, seed).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -98,6 +98,6 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself: each row of docs once for each of its copies, all columns kept, and its number from 1 in `copy`
     (a column of that name is replaced)."""
     carried = docs.drop("copy")
-    held = carried.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), _salt(docs))
+    held = carried.select(F.struct("*").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), _mark())
     kept = _copies(held, seed).filter("copies > 0")
     return kept.select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))

@@ -167,8 +167,9 @@ FROM split s LEFT JOIN judged USING (doc_id) GROUP BY s.doc_id
 WITH held AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size FROM documents),
 classed AS (
-  SELECT *, CASE WHEN size < 16 THEN size ELSE length(bin(size)) * 16 + (size >> (length(bin(size)) - 4)) END AS class,
-    ('0x' || substr(md5(coalesce(doc_id::varchar, text, '')), 1, 8))::bigint % ((SELECT count(*) FROM documents) // 20000 + 1) AS salt FROM held),
+  SELECT *, CASE WHEN size < 16 THEN size ELSE length(bin(size)) * 16 + (size >> (length(bin(size)) - 4)) END AS class FROM held),
+salted AS (
+  SELECT *, ('0x' || substr(md5(coalesce(doc_id::varchar, text, '')), 1, 8))::bigint % (count(*) OVER (PARTITION BY source, class) // 500 + 1) AS salt FROM classed),
 sizes AS (
   SELECT source, sum(size)::double AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM held GROUP BY source),
 weighed AS (SELECT *, [5, 2, 1][((place - 1) % 3 + 1)::int]::double AS weight, source_size * 2 AS cap FROM sizes),
@@ -182,7 +183,7 @@ numbered AS (
   SELECT c.doc_id, c.size, t.source_size, t.target, ('0x' || substr(md5('0:' || t.place), 1, 8))::bigint / 4294967296::double AS u,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS e,
     (row_number() OVER (PARTITION BY c.source ORDER BY class, salt, size, doc_id))::double AS r
-  FROM classed c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source)
+  FROM salted c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size::bigint AS source_size, target, (floor(u + e * r) - floor(u + e * (r - 1)))::bigint * size AS taken
 FROM numbered
 """,
