@@ -11,7 +11,8 @@ are found by partly aggregated minima (see components), so a canonical target of
 
 Defined cases: null urls or urls without "://" have an empty host and path, fit no rule, have no aliases and get the
 default; null or empty html has no links; repeated rows return a row each; relative links hold from the
-page's <base>, or else its url, with dot segments removed; links of schemes without "://" (mailto:) are ignored; null page_ids return their row; other columns are ignored.
+page's <base>, or else its url, with dot segments removed; links of schemes without "://" (mailto:) are ignored, and so are
+tags in comments and in the text of scripts, styles and titles; null page_ids return their row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +32,14 @@ RULES = (
     ("block", "com", "/de/"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TAG = r"(?is)<{}\b[^>]*>"
-REFRESH = r"""(?is)(?<![-\w])http-equiv\s*=\s*["']?\s*refresh(?=["'\s/>])"""
-#: The url of a refresh's content, with or without "url=".
-CONTENT = r"""(?is)(?<![-\w])content\s*=\s*["']?\s*+(?:[\d.]*+\s*[;,]?\s*url\s*=\s*["']?|[\d.]++(?:\s*+[;,]|\s)\s*+(?![;,]|url\s*=))([^"'>\s]+)"""
-CANONICAL = r"""(?is)(?<![-\w])rel\s*=\s*(?:"[^"]*?(?<![^"\s])canonical(?![^"\s])|'[^']*?(?<![^'\s])canonical(?![^'\s])|canonical(?=[\s/>]))"""
-HREF = r"""(?is)(?<![-\w])href\s*=\s*["']?\s*([^"'>\s]+)"""
-BASE = r"""(?is)<base\b[^>]*?(?<![-\w])href\s*=\s*["']?\s*([^"'>\s]+)"""
+#: What holds no tags: comments, and the text of these elements.
+OPAQUE = r"(?is)<!--.*?(?:-->|$)|<(script|style|title|textarea)\b[^>]*>.*?(?:</\1\s*>|$)"
+#: A tag; ">" may stand in a quoted value. Possessive, so that it is matched without recursion and in one pass.
+TAG = r"""(?is)<{}(?=[\s/>])(?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+>"""
+#: An attribute of a tag: its name, then its value with or without quotes.
+ATTRIBUTE = r"""(?s)[\s"'/]([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?+"""
+#: A refresh's content: seconds and a separator, then the url, with or without "url=" and quotes.
+CONTENT = r"""(?is)^\s*+(?:[\d.]++\s*+(?:[;,]|(?<=\s))\s*+(?:url\s*+=\s*+)?+|[\d.]*+\s*+[;,]?+\s*+url\s*+=\s*+)(?:"([^"]*+).*|'([^']*+).*|([^"'].*))$"""
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -78,7 +80,7 @@ def without_dots(rest: Column) -> Column:
 
 def resolved(base: Column, link: Column) -> Column:
     """A link as a url: absolute, or relative to the scheme, host, path or query of base; null for schemes without "://"."""
-    plain = F.replace(link, F.lit("&amp;"), F.lit("&"))
+    plain = link
     at = lambda pattern: F.regexp_extract(base, pattern, 1)
     host = at(r"(?s)^(.*?://[^/?#]*)")
     folder = F.coalesce(F.nullif(at(r"(?s)^.*?://[^/?#]*(/[^?#]*/|/)"), F.lit("")), F.lit("/"))
@@ -93,14 +95,29 @@ def resolved(base: Column, link: Column) -> Column:
     )
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name, without quotes and outer space; null without one."""
+    at = F.array_position(F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 1), F.lower), name)
+    given = F.when(at > 0, F.element_at(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 2), F.greatest(at, F.lit(1)).cast("int")))
+    return F.replace(F.regexp_replace(given, r"""(?s)^(["'])?\s*(.*?)\s*(["'])?$""", "$2"), F.lit("&amp;"), F.lit("&"))
+
+
+def refresh_url(content: Column) -> Column:
+    """Where a refresh's content leads; empty without a url."""
+    return F.trim(F.concat(*[F.coalesce(F.regexp_extract(content, CONTENT, i), F.lit("")) for i in (1, 2, 3)]))
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): distinct edges between nodes, from each page's url to its redirect target and its canonical link."""
-    links = F.filter(F.regexp_extract_all("html", F.lit(TAG.format("link")), 0), lambda t: F.regexp_like(t, F.lit(CANONICAL)))
-    metas = F.filter(F.regexp_extract_all("html", F.lit(TAG.format("meta")), 0), lambda t: F.regexp_like(t, F.lit(REFRESH)))
-    targets = F.concat(F.transform(links, lambda t: F.regexp_extract(t, HREF, 1)), F.transform(metas, lambda t: F.regexp_extract(t, CONTENT, 1)))
     marked = pages.filter("html is not null and instr(url, '://') > 0").filter(F.regexp_like("html", F.lit(r"(?i)canonical|refresh")))
-    base = F.coalesce(resolved(F.col("url"), F.regexp_extract("html", BASE, 1)), F.col("url"))
-    found = marked.select("url", base.alias("base"), F.explode(targets).alias("link"))
+    plain = marked.select("url", F.regexp_replace("html", OPAQUE, " ").alias("html"))
+    tags = lambda name: F.regexp_extract_all("html", F.lit(TAG.format(name)), 0)
+    canonical = lambda t: F.array_contains(F.split(F.lower(F.coalesce(attribute(t, "rel"), F.lit(""))), r"\s+"), "canonical")
+    links = F.transform(F.filter(tags("link"), canonical), lambda t: attribute(t, "href"))
+    metas = F.transform(F.filter(tags("meta"), lambda t: F.lower(attribute(t, "http-equiv")) == "refresh"), lambda t: refresh_url(attribute(t, "content")))
+    based = F.get(F.filter(F.transform(tags("base"), lambda t: attribute(t, "href")), lambda h: h.isNotNull()), F.lit(0))
+    base = F.coalesce(resolved(F.col("url"), based), F.col("url"))
+    found = plain.select("url", base.alias("base"), F.explode(F.concat(links, metas)).alias("link"))
     ends = found.select(node(F.col("url")).alias("a"), node(resolved(F.col("base"), F.col("link"))).alias("b"))
     return ends.filter("b is not null and a <> b").distinct()
 

@@ -428,6 +428,74 @@ def test_urls(spark):
     assert got[10] == ("b.net", "/q", None, "allow") and got[11] == ("org", "", None, "allow")
 
 
+def aliases_by_parser(url, html):
+    """The targets of a page by Python's own parser and url functions."""
+    from html.parser import HTMLParser
+    from urllib.parse import urldefrag, urljoin
+
+    found, base = [], [None]
+
+    class Reader(HTMLParser):
+        CDATA_CONTENT_ELEMENTS = ("script", "style", "title", "textarea")
+
+        def handle_starttag(self, tag, attrs):
+            own = {}
+            for k, v in attrs:
+                own.setdefault(k, (v or "").strip())
+            if tag == "base" and "href" in own and base[0] is None:
+                base[0] = own["href"]
+            if tag == "link" and "canonical" in own.get("rel", "").lower().split() and own.get("href"):
+                found.append(own["href"])
+            if tag == "meta" and own.get("http-equiv", "").lower() == "refresh":
+                rest = own.get("content", "").lstrip().lstrip("0123456789.").lstrip().lstrip(";,").strip()
+                if rest.lower().startswith("url") and rest[3:].lstrip().startswith("="):
+                    rest = rest[3:].lstrip()[1:].strip()
+                if rest[:1] in ("'", '"'):
+                    rest = rest[1:].split(rest[0])[0]
+                if rest:
+                    found.append(rest.strip())
+
+        handle_startendtag = handle_starttag
+
+    Reader().feed(html)
+    start = urljoin(url, base[0]) if base[0] else url
+    return {urldefrag(t)[0] for t in (urljoin(start, f) for f in found) if "://" in t}
+
+
+def test_edges_equal_a_parser(spark):
+    from pixelstrata.llm.url_filter import alias_edges
+
+    rng = random.Random(12)
+    hrefs = ["page.html", "../up", "./x/../y", "?q=1&amp;r=2", "/abs/p", "//other.net/z", "http://h.org/a#frag", "mailto:me@x.org", " spaced.html ", "a/b/"]
+    noise = ['<p title="rel=canonical href=/no">', "<!-- <link rel=canonical href=/commented> -->", "<script>'<link rel=canonical href=/script>'</script>", "<title><meta http-equiv=refresh content='0;url=/t'></title>", '<link rel="stylesheet" href="/css" data-rel="canonical">', "<meta name=refresh content='0; url=/n'>", "text > more < text", '<img alt="a > b" src=x>']
+    rows = []
+    for i in range(300):
+        href = rng.choice(hrefs)
+        quote = rng.choice(['"', "'"])
+        attributes = {
+            "link": [f'rel={quote}{rng.choice(["canonical", "nofollow CANONICAL", "canonical x", "canonicals", "next"])}{quote}', f"href={quote}{href}{quote}", rng.choice(['title="a > b"', "crossorigin", 'data-x="1"'])],
+            "meta": [f"http-equiv={quote}{rng.choice(['refresh', 'Refresh', 'content-type'])}{quote}", f'content={quote}{rng.choice(["0;url=", "5; URL = ", "0, ", "1.5 ;url=", "3 "])}{href.strip()}{quote}', "name=x"],
+        }
+        kind = rng.choice(["link", "meta"])
+        rng.shuffle(attributes[kind])
+        tag = f"<{rng.choice([kind, kind.upper()])} {rng.choice([' ', chr(10)]).join(attributes[kind])}{rng.choice(['', '/', ' /'])}>"
+        parts = [rng.choice(noise), tag, rng.choice(noise)] + ([f'<base href="{rng.choice(["/b/", "http://b.net/c/d", "sub/"])}">'] if rng.random() < 0.3 else [])
+        rng.shuffle(parts)
+        rows.append((i, f"http://h.net/d/e{i}.html?x", "<html>" + "\n".join(parts)))
+    got = {}
+    for r in alias_edges(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        got.setdefault(r.a, set()).add(r.b)
+    want = {u: t - {u} for _, u, h in rows if (t := aliases_by_parser(u, h)) - {u}}
+    assert len(want) > 100 and got == want
+
+
+def test_long_and_broken_html(spark):
+    link = '<link rel="canonical" href="http://example.org/es/x">'
+    rows = [(1, "http://a.net/1", "<link " + 'a="" ' * 30_000 + 'rel=canonical href="http://example.org/es/x">'), (2, "http://a.net/2", '<link "' * 50_000 + link), (3, "http://a.net/3", "x" * 2_000_000 + link + "<!--" + link), (4, "http://a.net/4", "<!-- " + link * 1000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_verdicts(pages).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow"}
+
+
 def test_relative_links(spark):
     link = '<link rel="canonical" href="{}">'
     refresh = '<meta http-equiv="refresh" content="0; url={}">'
