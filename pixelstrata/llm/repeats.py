@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import drop_staged, staged
+from .tables import staged
 from .textkernels import SPACE, blocks, mix, powers, span_hashes, word_hashes, words
 
 PLACES = 24  # low bits of a key that hold a position; texts are cut into pieces below this length
@@ -127,15 +127,19 @@ def staged_runs(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
     return staged(docs.mapInArrow(run, "g long, c long, doc long, at long, n int, p int"))
 
 
+def split_side(table: DataFrame, other: str) -> DataFrame:
+    """A table by g as a join's right side, dealt out by another column first: so the join has an exchange of its own on either
+    side, and adaptive execution can split the rows of one g over several tasks."""
+    return table.repartition("g", other)
+
+
 def shared(runs: DataFrame, apart: str) -> DataFrame:
-    """The runs of groups for which `apart` holds (of x and y, the smallest and largest doc, and the number of places), staged.
+    """The runs of groups for which `apart` holds (of x and y, the smallest and largest doc, and the number of places).
 
     Joins with runs keep all rows of their left side, and rows are chosen after them: the rows that a join makes do not
-    depend on how much repeats, and a group of any size can be dealt to several tasks."""
-    seen = staged(runs.groupBy("g").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count("*").alias("places")).filter(apart).select("g", "x", "y"))
-    out = staged(runs.join(seen, "g", "left").filter("coalesce(x <= doc and doc <= y, false)").drop("x", "y"))
-    drop_staged(seen)
-    return out
+    depend on how much repeats."""
+    seen = runs.groupBy("g").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count("*").alias("places")).filter(apart).select("g", "x", "y")
+    return runs.join(split_side(seen, "x"), "g", "left").filter("coalesce(x <= doc and doc <= y, false)").drop("x", "y")
 
 
 def by_place(spans: DataFrame, *fields: str) -> DataFrame:

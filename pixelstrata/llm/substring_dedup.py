@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import by_place, contexts, covered, entries, halves, keyed, shared, staged_runs
+from .repeats import by_place, contexts, covered, entries, halves, keyed, shared, split_side, staged_runs
 from .tables import drop_staged, staged
 from .textkernels import SPACE, blocks, words
 
@@ -139,22 +139,19 @@ def _stream(width: int):
 def _judged(rows: DataFrame, several: DataFrame) -> DataFrame:
     """Rows (g, c, doc, ...) of a class that has a smaller document (m, its smallest), and the first rows of classes of groups
     (k: the group's classes) that differ and have several documents; staged. several: all rows of such groups, at least."""
-    classes = staged(several.groupBy("g", "c").agg(F.min("doc").alias("m")))
+    classes = several.groupBy("g", "c").agg(F.min("doc").alias("m"))
     groups = classes.groupBy("g").agg(F.count("*").alias("k"), F.min("m").alias("x"), F.max("m").alias("y"))
-    groups = staged(groups.filter("k > 1 and x < y").select("g", "k"))
-    known = rows.join(classes.join(groups, "g", "left"), ["g", "c"], "left")
-    out = staged(known.filter("coalesce(doc > m, false) or coalesce(doc = m and k > 1, false)"))
-    drop_staged(classes, groups)
-    return out
+    groups = groups.filter("k > 1 and x < y").select("g", "k")
+    known = rows.join(classes.join(split_side(groups, "k"), "g", "left"), ["g", "c"], "left")
+    return staged(known.filter("coalesce(doc > m, false) or coalesce(doc = m and k > 1, false)"))
 
 
 def repeated_spans(docs: DataFrame, width: int = 50) -> DataFrame:
     """(doc, at, size): word ranges of docs (doc, row, text) that go, staged; their union is what goes."""
     later = F.expr(f"cast(n + {width} - 1 as bigint)").alias("size")
     runs = staged_runs(docs, "words", width, GRAM)
-    several = shared(runs, "x < y")
-    judged = _judged(runs, several)
-    drop_staged(runs, several)
+    judged = _judged(runs, shared(runs, "x < y"))
+    drop_staged(runs)
     found = [judged.filter("doc > m").select("doc", "at", later)]
     held = contexts(docs, judged.filter("doc = m").withColumn("times", F.lit(1).cast("long")), "words", width, GRAM)
     made = [judged, held]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dup import groups
-from .repeats import by_place, contexts, covered, entries, halves, keyed, shared, staged_runs
+from .repeats import by_place, contexts, covered, entries, halves, keyed, shared, split_side, staged_runs
 from .tables import drop_staged, staged
 from .textkernels import blocks
 
@@ -137,10 +137,10 @@ def _judged(rows: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame,
     own = F.col("times") if "times" in rows.columns else F.lit(1)
     classes = staged(several.groupBy("g", "c").agg(times.alias("total"), *(F.first(x).alias(f"first_{x}") for x in ("doc", "at"))))
     sizes = classes.groupBy("g").agg(F.count("*").alias("k"), F.min("total").alias("fewest"))
-    sizes = staged(sizes.filter("k > 1 and fewest = 1").select("g", "k"))
-    known = rows.withColumn("times", own.cast("long")).join(classes.join(sizes, "g", "left"), ["g", "c"], "left")
+    sizes = sizes.filter("k > 1 and fewest = 1").select("g", "k")
+    known = rows.withColumn("times", own.cast("long")).join(classes.join(split_side(sizes, "k"), "g", "left"), ["g", "c"], "left")
     out = staged(known.filter("coalesce(total > times and times = 1, false) or coalesce(k > 1 and doc = first_doc and at = first_at, false)"))
-    drop_staged(classes, sizes)
+    drop_staged(classes)
     whole = out.filter("total > times and times = 1").select("doc", "at", "n")
     kept = out.filter("k > 1 and doc = first_doc and at = first_at").withColumn("times", F.col("total"))
     return whole, kept.drop("c", "total", "first_doc", "first_at"), out
@@ -150,9 +150,8 @@ def repeated_ranges(docs: DataFrame, width: int = 200) -> DataFrame:
     """(doc, at, size): byte ranges of docs (doc, row, text) that go, staged; their union is what goes."""
     whole_size = F.expr(f"cast(n + {width} - 1 as bigint)").alias("size")
     runs = staged_runs(docs, "bytes", width, GRAM)
-    several = shared(runs, "places > 1")
-    whole, kept, judged = _judged(runs, several)
-    drop_staged(runs, several)
+    whole, kept, judged = _judged(runs, shared(runs, "places > 1"))
+    drop_staged(runs)
     found = [whole.select("doc", "at", whole_size)]
     held = contexts(docs, kept, "bytes", width, GRAM)
     made = [judged, held]
