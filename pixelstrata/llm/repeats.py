@@ -134,12 +134,13 @@ def split_side(table: DataFrame, other: str) -> DataFrame:
 
 
 def shared(runs: DataFrame, apart: str) -> DataFrame:
-    """The runs of groups for which `apart` holds (of x and y, the smallest and largest doc, and the number of places).
+    """The runs of groups for which `apart` holds (of x and y, the smallest and largest doc, and the number of places), staged:
+    what follows groups by g and c, and would else ask the join to keep each g in one task.
 
     Joins with runs keep all rows of their left side, and rows are chosen after them: the rows that a join makes do not
     depend on how much repeats."""
     seen = runs.groupBy("g").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count("*").alias("places")).filter(apart).select("g", "x", "y")
-    return runs.join(split_side(seen, "x"), "g", "left").filter("coalesce(x <= doc and doc <= y, false)").drop("x", "y")
+    return staged(runs.join(split_side(seen, "x"), "g", "left").filter("coalesce(x <= doc and doc <= y, false)").select("g", "c", "doc", "at"))
 
 
 def by_place(spans: DataFrame, *fields: str) -> DataFrame:

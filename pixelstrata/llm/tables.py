@@ -73,6 +73,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+def staged_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows, staged; what make staged on its way is deleted."""
+    before = set(_made)
+    out = staged(make())
+    for path in [p for p in _made if p not in before and p != out.staged_path]:
+        _delete(spark, path)
+    return out
+
+
 def with_ids(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """stage over docs, a stage that carries all columns, in which equal doc_ids mean equal texts: rows with a null doc_id, and
     rows whose text is not the smallest of their doc_id's texts, are documents of their own, after all others, and

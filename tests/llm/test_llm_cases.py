@@ -111,6 +111,23 @@ def test_stages_judge_each_text_of_a_repeated_id(spark):
     assert with_ids(frame, lambda d: d).columns == frame.columns and sorted(map(str, with_ids(frame, lambda d: d).collect())) == sorted(map(str, frame.collect()))
 
 
+def test_pairs_at_the_threshold_share_a_key():
+    """Of pairs of a similarity of 0.75 to 0.8, all share a key and are within the signature distance."""
+    from pixelstrata.llm.near_dup import CHUNKS, ERRORS, FAR, WIDTH, signature
+
+    rng = np.random.default_rng(13)
+    missed = 0
+    for _ in range(3000):
+        n = int(rng.integers(8, 300))
+        shared = rng.integers(0, 1 << 63, -(-n * 3 // 4), dtype=np.uint64)
+        own = rng.integers(0, 1 << 63, n - len(shared), dtype=np.uint64)
+        cut = len(own) // 2
+        a, b = np.concatenate([shared, own[:cut]]), np.concatenate([shared, own[cut:]])
+        differ = (signature(a) != signature(b)).reshape(CHUNKS, WIDTH)
+        missed += (differ.sum(1) > ERRORS).all() or differ.sum() > FAR
+    assert missed == 0
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, i) for i in range(101, 140)] + [(i, i + 1) for i in range(200, 260)] + [(5, None), (7, 7)]
@@ -178,6 +195,37 @@ def test_quality(spark, odd):
     assert {r.p_top for r in graded(docs, nothing).collect()} == {1.0}
 
 
+def test_fit_is_near_the_dense_optimum():
+    """The ordinal model's likelihood and probabilities against plain gradient descent over a dense matrix."""
+    from pixelstrata.llm.quality import fit
+
+    rng = np.random.default_rng(14)
+    n, names = 400, np.array([11, 500, 70_000, 900_000])
+    grade = rng.integers(0, 3, n)
+    odds = np.array([[0.8, 0.5, 0.2], [0.7, 0.3, 0.3], [0.5, 0.5, 0.1], [0.9, 0.6, 0.4]])
+    x = (rng.random((n, 4)) < odds.T[grade]).astype(float)
+    row, column = np.nonzero(x)
+    model = fit(row, names[column], grade)
+    chosen = np.flatnonzero(model.weights[names])
+    assert len(chosen) >= 3 and (np.diff(model.thresholds) > 0).all()
+
+    def loss(w, cut):
+        below = 1 / (1 + np.exp(-(cut[None] - (x[:, chosen] @ w)[:, None])))
+        edges = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], 1)
+        return -np.log(np.maximum(np.diff(edges, axis=1)[np.arange(n), grade], 1e-12)).mean() + 0.5e-5 * (w * w).sum()
+
+    at = np.concatenate([np.zeros(len(chosen)), [-0.7, 0.7]])
+    value = lambda v: loss(v[: len(chosen)], v[len(chosen) :])
+    for _ in range(1500):
+        slope = np.array([(value(at + e) - value(at - e)) / 2e-5 for e in np.eye(len(at)) * 1e-5])
+        at = at - slope
+    own = loss(model.weights[names[chosen]], model.thresholds)
+    assert value(at) - 1e-6 <= own <= value(at) + 2e-3
+    score, ours = x[:, chosen] @ at[: len(chosen)], x[:, chosen] @ model.weights[names[chosen]]
+    tail = lambda s, cut: 1 - 1 / (1 + np.exp(-(cut[-1] - s)))
+    assert np.abs(tail(score, at[len(chosen) :]) - tail(ours, model.thresholds)).max() < 0.05
+
+
 def test_decontamination(spark, odd):
     words = PASSAGE.split()
     items = [(1, PASSAGE), (2, " ".join(words[:30]).upper()), (2, " ".join(words[:30]).upper()), (3, None), (4, ""), (5, "one two"), (6, " ".join(words[:40] + [f"q{i}" for i in range(40)])), (None, "nowhere at all to be found")]
@@ -394,6 +442,29 @@ def test_nearest(spark):
     assert nearest(few, few.filter("vec_id = 0")).count() == 2
 
 
+def test_nearest_ties_clashing_columns_and_recall(spark):
+    rng = np.random.default_rng(2)
+    ray = rng.normal(size=16)
+    line = [(i, (ray * (1 + i % 7)).tolist()) for i in range(900)]
+    vectors = spark.createDataFrame(line, "vec_id long, embedding array<double>")
+    clashing = vectors.selectExpr("*", "1 as id", "2 as v", "3 as class", "4 as code", "5 as score", "6 as rank", "7 as query")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in nearest(clashing, clashing.filter("vec_id in (0, 450)")).collect())
+    scores = {q: [float(np.dot(line[q][1], line[i][1]) / (np.sqrt(np.dot(line[q][1], line[q][1])) * np.sqrt(np.dot(line[i][1], line[i][1])))) for i in range(900)] for q in (0, 450)}
+    best = lambda q: sorted((i for i in range(900) if i != q), key=lambda i: (-round(scores[q][i], 12), i))[:5]
+    exact = all(abs(s - 1) < 1e-15 for own in scores.values() for s in own)
+    assert not exact or got == [(q, r + 1, i) for q in (0, 450) for r, i in enumerate(best(q))]
+    assert all(abs(scores[q][i] - 1) < 1e-12 for q, _, i in got) and len(got) == 10
+    for n in (100, 2000, 8000):
+        x = rng.normal(size=(n, 24))
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        found = {}
+        for r in nearest(frame, frame.filter("vec_id % 50 = 0")).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = sum(len(found[q] & set(np.argsort(-np.where(np.arange(n) == q, -2, u @ u[q]))[:5].tolist())) for q in found)
+        assert hits == 5 * len(found) == 5 * -(-n // 50)
+
+
 def test_nearest_in_groups_of_near_and_scaled_copies(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(6000, 64))
