@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
 documents. The last emits each document once for each of its copies in the mix, numbered in `copy`. Rows
-without a doc_id are judged like the rest, each as a document of its own.
+without a doc_id, and further texts of a repeated doc_id, are judged like the rest, each as a document of its own.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pixelstrata.llm.mixing import mixed
 from pixelstrata.llm.near_dup import without_copies
 from pixelstrata.llm.quality import selected, trained
 from pixelstrata.llm.substring_dedup import without_repeats
-from pixelstrata.llm.tables import staged, table, with_ids
+from pixelstrata.llm.tables import drop_staged, staged_alone, table, with_ids
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again by the next."""
+    """All stages over documents, each written to the shared folder and read again by the next. What the last one reads stays
+    there; the rest is deleted on the way."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = staged(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        kept = staged_alone(spark, lambda rows=docs, step=stage: step(spark, rows, sf_dir))
+        drop_staged(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)

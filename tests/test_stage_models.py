@@ -487,3 +487,111 @@ def test_png_filters():
         want = plain.reshape(h, w, channels)
         assert (width, height) == (w, h) and (got[..., 0] == want[..., 0]).all()
         assert (got[..., 3] == (want[..., -1] if channels in (2, 4) else 255)).all()
+
+
+def four(i, h, w):
+    y, x = divmod(i, w)
+    return [v * w + u for v, u in ((y, x - 1), (y, x + 1), (y - 1, x), (y + 1, x)) if 0 <= v < h and 0 <= u < w]
+
+
+def test_islands_are_taken_by_the_queue():
+    taken = 0
+    for _ in range(150):
+        c = canvas(colours=4)
+        picks = [{"point": (int(RNG.integers(0, c.w)), int(RNG.integers(0, c.h))), "color_tolerance": 0.3} for _ in range(3)]
+        rgb, alpha = c.data[:, :3] * (1.0 / 255.0), c.data[:, 3].tolist()
+        mask, key, keys = [a == 0 for a in alpha], [CLEAR if a == 0 else NONE for a in alpha], []
+        gone = set()
+        for p in picks:
+            seed = p["point"][1] * c.w + p["point"][0]
+            if mask[seed]:
+                continue
+            keys.append(rgb[seed])
+            mask[seed], key[seed], queue = True, len(keys) - 1, deque([seed])
+            gone.add(seed)
+            while queue:
+                i = queue.popleft()
+                for j in four(i, c.h, c.w):
+                    if not mask[j] and key[i] >= 0 and np.abs(rgb[j] - keys[key[i]]).max() <= 0.3:
+                        mask[j], key[j] = True, key[i]
+                        gone.add(j)
+                        queue.append(j)
+        stages.island_picker(c, {"islands": [{"picks": picks}], "edge_width": 0})
+        if gone:
+            assert (c.mask == BACKGROUND).tolist() == mask and c.key_of.tolist() == key
+        assert [a == 0 for a in c.data[:, 3].tolist()] == [i in gone or a == 0 for i, a in enumerate(alpha)]
+        taken += len(gone)
+    assert taken
+
+
+def test_islands_are_kept_by_the_queue():
+    for _ in range(150):
+        c = canvas(colours=4)
+        picks = [{"point": (int(RNG.integers(0, c.w)), int(RNG.integers(0, c.h))), "color_tolerance": 0.3} for _ in range(3)]
+        rgb, kept = c.data[:, :3] * (1.0 / 255.0), set()
+        for p in picks:
+            seed = p["point"][1] * c.w + p["point"][0]
+            if seed in kept:
+                continue
+            kept.add(seed)
+            queue = deque([seed])
+            while queue:
+                for j in four(queue.popleft(), c.h, c.w):
+                    if j not in kept and np.abs(rgb[j] - rgb[seed]).max() <= 0.3:
+                        kept.add(j)
+                        queue.append(j)
+        stages.island_picker(c, {"islands": [{"mode": "add", "picks": picks}], "edge_width": 0})
+        assert np.flatnonzero(c.protect).tolist() == sorted(kept)
+        assert c.compose()[sorted(kept), 3].tolist() == [255] * len(kept)
+
+
+def test_segmentation_is_background_from_the_border():
+    for n in range(150):
+        c = canvas()
+        p, contiguous = RNG.integers(0, 256, (c.h, c.w)), bool(n % 2)
+        flat = p.ravel()
+        want = [2 if c.data[i, 3] == 0 else 1 if flat[i] < 0.5 * 255 else 0 for i in range(c.n)]
+        if contiguous:
+            rim = [i for i in range(c.n) if want[i] and (i % c.w in (0, c.w - 1) or i // c.w in (0, c.h - 1))]
+            reached, queue = set(rim), deque(rim)
+            while queue:
+                for j in four(queue.popleft(), c.h, c.w):
+                    if want[j] and j not in reached:
+                        reached.add(j)
+                        queue.append(j)
+            want = [0 if w == 1 and i not in reached else w for i, w in enumerate(want)]
+        ground = [i for i in range(c.n) if want[i] == 1]
+        rim = [i for i in ground if any(want[j] == 0 for j in four(i, c.h, c.w))] or ground
+        stages.neural_remove_background(c, {"model": lambda a, p=p: p, "matte": "analytic", "threshold": 0.5, "contiguous": contiguous, "edge_width": 2, "edge_tolerance": 0.0, "bleed_radius": 4, "decontaminate": True})
+        if not ground or 0 not in want:
+            assert c.mask is None
+            continue
+        assert np.flatnonzero(c.mask == BACKGROUND).tolist() == [i for i in range(c.n) if want[i]]
+        assert np.allclose(c.keys[0][0], c.data[rim, :3].mean(0) / 255.0, atol=1e-6)
+
+
+def test_refinement_is_the_guided_filter():
+    for _ in range(60):
+        c = canvas(colours=9)
+        c.add_key(RNG.random(3), 0.1)
+        c.coverage = stages.stored(RNG.random(c.n))
+        h, w, r = c.h, c.w, int(RNG.integers(1, 4))
+        guide = [F32(np.abs(c.data[i, :3] * (1.0 / 255.0) - c.keys[0][0]).max()) for i in range(c.n)]
+        cover = c.coverage.tolist()
+
+        def mean(values):
+            out = []
+            for i in range(h * w):
+                y, x = divmod(i, w)
+                area = [values[v * w + u] for v in range(max(y - r, 0), min(y + r + 1, h)) for u in range(max(x - r, 0), min(x + r + 1, w))]  # noqa: B023
+                out.append(F32(sum(area) / len(area)))
+            return out
+
+        mg, mc = mean(guide), mean(cover)
+        mgg, mgc = mean([F32(g * g) for g in guide]), mean([F32(g * v) for g, v in zip(guide, cover, strict=True)])
+        slope = [(d - a * b) / (e - a * a + 1e-6) for a, b, e, d in zip(mg, mc, mgg, mgc, strict=True)]
+        ms, mo = mean([F32(s) for s in slope]), mean([F32(b - s * a) for s, a, b in zip(slope, mg, mc, strict=True)])
+        q = [min(max(s * g + o, 0.0), 1.0) for s, g, o in zip(ms, guide, mo, strict=True)]
+        want = [0.0 if v < 0.5 / 255 else F32(min(max((v - 0.1) / 0.8, 0.0), 1.0)) for v in q]
+        stages.refine_edges(c, {"radius": r, "floor": 0.1, "ceiling": 0.9})
+        assert np.allclose(c.coverage, want, atol=2e-5)
