@@ -151,7 +151,10 @@ def _encode(books):
                 norms = np.sqrt((made * made).sum(1))
                 held = np.where(norms < SHORT, -1.0, (x * made).sum(1) / np.maximum(norms, SHORT))
                 raw = [pa.array([r.tobytes() for r in rows], pa.binary()) for rows in (v, codes)]
-                yield pa.record_batch([batch.column("class"), *raw, pa.array(norms), pa.array(np.clip(held, -1, 1))], names=["class", "v", "code", "norm", "held"])
+                yield pa.record_batch(
+                    [batch.column("class"), *raw, pa.array(norms), pa.array(np.clip(held, -1, 1))],
+                    names=["class", "v", "code", "norm", "held"]
+                )
 
     return run
 

@@ -33,7 +33,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _towards(both, _least(both)).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = _towards(large, down).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        small = _towards(large, down).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(
+            down.select(F.col("u").alias("a"), F.col("m").alias("b"))
+        )
         after = staged(small.distinct())
         drop_staged(now)
         now = after

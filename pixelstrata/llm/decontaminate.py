@@ -41,7 +41,10 @@ def _item_sets(k: int):
         for batch, data, offsets in blocks(batches):
             hashes, begin = shingles(*word_hashes(data, offsets, lower=True), k)
             sets = [np.unique(hashes[begin[i] : begin[i + 1]]) for i in range(batch.num_rows)]
-            yield pa.record_batch([batch.column("item_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["item_id", "n", "members"])
+            yield pa.record_batch(
+                [batch.column("item_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["item_id", "n", "members"]
+            )
 
     return run
 
@@ -113,7 +116,10 @@ class Index:
 def contaminations(docs: DataFrame, benchmark: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment): the items of which a document holds `percent` of the shingles."""
     spark = docs.sparkSession
-    items = staged(benchmark.select("item_id", "text").mapInArrow(_item_sets(k), f"item_id {benchmark.schema['item_id'].dataType.simpleString()}, n long, members binary").distinct())
+    items = staged(
+        benchmark.select("item_id", "text")
+        .mapInArrow(_item_sets(k), f"item_id {benchmark.schema['item_id'].dataType.simpleString()}, n long, members binary").distinct()
+    )
     total = items.agg(F.sum("n")).first()[0] or 0
     slices = -(-total // ITEM_SHINGLES) or 1
     kind, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"]
@@ -121,7 +127,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, percent: int = 75, k:
     for part in range(slices):
         own = items.filter(F.pmod(F.xxhash64("members"), F.lit(slices)) == part).orderBy("item_id").collect()
         index = spark.sparkContext.broadcast(Index([r.item_id for r in own], [np.frombuffer(r.members, np.uint64) for r in own], percent))
-        hits = docs.select("doc_id", "text").mapInArrow(_search(index, to_arrow_type(item.dataType), percent, k), f"doc_id {kind}, item_id {item.dataType.simpleString()}, n_item long, n_shared long, containment double")
+        hits = docs.select("doc_id", "text").mapInArrow(
+            _search(index, to_arrow_type(item.dataType), percent, k),
+            f"doc_id {kind}, item_id {item.dataType.simpleString()}, n_item long, n_shared long, containment double"
+        )
         found = hits if found is None else found.union(hits)
     drop_staged(items)
     return found
@@ -147,7 +156,13 @@ def _search(index, item_type: pa.DataType, percent: int, k: int):
                     sizes.append(len(wanted))
                     shared.append(n)
             share = [a / b for a, b in zip(shared, sizes, strict=True)]
-            yield pa.record_batch([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(ids, item_type), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()), pa.array(share, pa.float64())], names=["doc_id", "item_id", "n_item", "n_shared", "containment"])
+            yield pa.record_batch(
+                [
+                    batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(ids, item_type), pa.array(sizes, pa.int64()),
+                    pa.array(shared, pa.int64()), pa.array(share, pa.float64())
+                ],
+                names=["doc_id", "item_id", "n_item", "n_shared", "containment"]
+            )
 
     return run
 

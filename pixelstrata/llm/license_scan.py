@@ -264,7 +264,10 @@ def rules() -> tuple[Rule, ...]:
     named = [made(label, keyword, (priority, weight), form.format(f"(?:{name})")) for label, keyword, name in FAMILIES for _, priority, weight, form in FORMS]
     operand = rf"(?:{'|'.join(pattern for _, _, pattern, _ in MARKS)})(?: with(?: [^ ]+){{1,4}}? exception(?: \d+){{0,2}})?"
     spdx = [made(label, keyword, SPDX, rf"spdx license identifier (?:{operand} (?:or|and) ){{0,6}}({pattern})") for label, keyword, pattern, _ in MARKS]
-    tagged = [made(label, keyword, TAGGED, rf"licen[cs]ed? (?:(?:is|as|type|name|under|the|an?) ){{0,3}}({pattern})") for label, keyword, pattern, at in MARKS if at != "spdx"]
+    tagged = [
+        made(label, keyword, TAGGED, rf"licen[cs]ed? (?:(?:is|as|type|name|under|the|an?) ){{0,3}}({pattern})") for label, keyword, pattern,
+        at in MARKS if at != "spdx"
+    ]
     bare = [made(label, keyword, BARE, pattern) for label, keyword, pattern, at in MARKS if at == "bare"]
     return (*named, *spdx, *tagged, *bare, *(made(label, keyword, BODY, pattern) for label, keyword, pattern in BODIES))
 
@@ -331,9 +334,25 @@ def license_scan(docs: DataFrame) -> DataFrame:
                     base, found = scan(whole[a:b].decode())
                     names = {label for _, label in base}
                     score = max([w for *_, w in found] + [1.0] * bool(base), default=0.0)
-                    rows[i] = (len(base), min(base)[0] if base else None, max(base)[0] if base else None, ",".join(sorted(names)), ",".join(sorted(names | {x[2] for x in found})), score, [dict(zip(("first_word", "last_word", "label", "weight"), x, strict=True)) for x in found])
-            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(detection)), strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(counts), *columns], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"])
+                    rows[i] = (
+                        len(base), min(base)[0] if base else None, max(base)[0] if base else None, ",".join(sorted(names)),
+                        ",".join(sorted(names | {x[2] for x in found})), score,
+                        [dict(zip(("first_word", "last_word", "label", "weight"), x, strict=True)) for x in found]
+                    )
+            columns = [
+                pa.array(list(c), t) for c,
+                t in zip(
+                    zip(*rows, strict=True),
+                    (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(detection)), strict=True
+                )
+            ]
+            yield pa.record_batch(
+                [batch.column("doc_id"), pa.array(counts), *columns],
+                names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<first_word:bigint,last_word:bigint,label:string,weight:double>>")
+    return docs.select("doc_id", "text").mapInArrow(
+        run,
+        f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<first_word:bigint,last_word:bigint,label:string,weight:double>>"
+    )

@@ -67,7 +67,10 @@ def _copies(held: DataFrame, seed: int) -> DataFrame:
     classes = staged(held.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     sizes = staged(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size"))))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = classes.select("source", "class", (F.floor(F.col("n") / GROUP) + 1).alias("salts"), before(Window.partitionBy("source").orderBy("class")).alias("class_start"))
+    starts = classes.select(
+        "source", "class", (F.floor(F.col("n") / GROUP) + 1).alias("salts"),
+        before(Window.partitionBy("source").orderBy("class")).alias("class_start")
+    )
     starts = starts.withColumnsRenamed({"source": "s", "class": "c"}).join(sizes, F.col("s").eqNullSafe(F.col("source"))).drop("source")
     here = lambda rows: rows["source"].eqNullSafe(F.col("s")) & (rows["class"] == F.col("c"))
     salted = held.join(starts, here(held)).withColumn("salt", F.pmod("mark", "salts")).drop("s", "c", "salts", "mark")

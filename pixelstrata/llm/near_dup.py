@@ -65,7 +65,13 @@ def _sign(k: int):
                     size[i], one[i], two[i] = len(own), own.sum(), (own * (own >> np.uint64(7) | np.uint64(1))).sum()
                     signs[i] = signature(own)
             lanes = signs.view(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(pa.array(np.ascontiguousarray(lanes[:, j])) for j in range(LANES))], names=["doc_id", "n", "h1", "h2", *_lanes()])
+            yield pa.record_batch(
+                [
+                    batch.column("doc_id"), pa.array(size), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
+                    *(pa.array(np.ascontiguousarray(lanes[:, j])) for j in range(LANES))
+                ],
+                names=["doc_id", "n", "h1", "h2", *_lanes()]
+            )
 
     return run
 
@@ -157,7 +163,10 @@ def _sets(k: int):
         for batch, data, offsets in blocks(batches):
             hashes, begin = shingles(*word_hashes(data, offsets, lower=True), k)
             rows = [np.unique(hashes[begin[i] : begin[i + 1]]).tobytes() for i in range(batch.num_rows)]
-            yield pa.record_batch([batch.column("family"), batch.column("parts"), batch.column("doc_id"), pa.array(rows, pa.binary())], names=["family", "parts", "id", "members"])
+            yield pa.record_batch(
+                [batch.column("family"), batch.column("parts"), batch.column("doc_id"), pa.array(rows, pa.binary())],
+                names=["family", "parts", "id", "members"]
+            )
 
     return run
 
@@ -225,20 +234,30 @@ def _of_one_id(marks: DataFrame, reps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text); see the module's text."""
-    marks = staged(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign(k), "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"{x} long" for x in _lanes())))
-    reps = staged(marks.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in _lanes())))
+    marks = staged(
+        docs.select(F.col("doc_id").cast("long"), "text")
+        .mapInArrow(_sign(k), "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"{x} long" for x in _lanes()))
+    )
+    reps = staged(
+        marks.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2")
+        .agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in _lanes()))
+    )
     keys = reps.select("rep", *_lanes()).mapInArrow(_keys, "key long, rep long")
     shared = keys.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y").select("key")
     dealt = keys.join(shared, "key").join(reps.select("rep", "n", *_lanes()), "rep").repartition("key").sortWithinPartitions("key")
     families = staged(connected_components(dealt.mapInArrow(_near(percent), "a long, b long")).withColumnRenamed("component", "family"))
     sizes = families.join(reps.select(F.col("rep").alias("id"), "n"), "id").groupBy("family").agg(F.ceil(F.sum("n") / FAMILY).cast("int").alias("parts"))
     owned = docs.select(F.col("doc_id").cast("long"), "text").join(families.join(sizes, "family").withColumnRenamed("id", "doc_id"), "doc_id")
-    sets = owned.mapInArrow(_sets(k), "family long, parts int, id long, members binary").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sets = owned.mapInArrow(_sets(k), "family long, parts int, id long, members binary").withColumn(
+        "block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    )
     paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     paired = paired.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "members")
     links = paired.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
     found = connected_components(links.union(_of_one_id(marks, reps)))
-    member = reps.select("n", "h1", "h2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
+    member = reps.select("n", "h1", "h2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "n", "h1", "h2", F.coalesce("component", "rep").alias("component")
+    )
     out = marks.select("doc_id", "n", "h1", "h2").join(member, ["n", "h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = staged(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")))

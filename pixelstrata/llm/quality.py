@@ -132,7 +132,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, feature = features(data, offsets)
         pairs = np.unique(row << BITS | feature)
         ids, grades = np.asarray(batch.column("doc_id")), np.asarray(batch.column("grade"))
-        yield pa.record_batch([pa.array(ids[pairs >> BITS]), pa.array(grades[pairs >> BITS]), pa.array((pairs & ((1 << BITS) - 1)).astype(np.int32))], names=["doc_id", "grade", "feature"])
+        yield pa.record_batch(
+            [pa.array(ids[pairs >> BITS]), pa.array(grades[pairs >> BITS]), pa.array((pairs & ((1 << BITS) - 1)).astype(np.int32))],
+            names=["doc_id", "grade", "feature"]
+        )
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
@@ -142,7 +145,9 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal
     grade = F.when(F.col("quality") <= 0, 0).when(F.coalesce("toxic", F.lit(0)) > 0, 1).otherwise(2)
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(grade).alias("grade"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("text").alias("text")).persist()
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").groupBy("doc_id").agg(
+        F.first("grade").alias("grade"), F.min("text").alias("text")
+    ).persist()
     rows = texts.select("doc_id", "grade").orderBy("doc_id").toArrow()
     ids, grades = rows["doc_id"].to_numpy(), rows["grade"].to_numpy().astype(np.int64)
     if len(np.unique(grades)) < 2:
@@ -175,7 +180,10 @@ def graded(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
             scores = own.scores(data, offsets)
             below = own.at_most(scores)
             top = 1 - below[:, -1] if below.shape[1] else np.ones(len(scores))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(scores), pa.array((1 - below).sum(1)), pa.array(top), pa.array(top >= keep)], names=["doc_id", "score", "expected_grade", "p_top", "kept"])
+            yield pa.record_batch(
+                [batch.column("doc_id"), pa.array(scores), pa.array((1 - below).sum(1)), pa.array(top), pa.array(top >= keep)],
+                names=["doc_id", "score", "expected_grade", "p_top", "kept"]
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, expected_grade double, p_top double, kept boolean")

@@ -122,7 +122,13 @@ def staged_runs(docs: DataFrame, unit: str, width: int, gram: int) -> DataFrame:
             row, lo, stop, place, anchor, context = all_runs(symbols, first, width, gram)
             at = (_whole(batch.column("row"))[row] << 32) + lo
             counts = ((stop - lo - width + 1).astype(np.int32), (place - lo).astype(np.int32))
-            yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), batch.column("doc").take(pa.array(row)), pa.array(at), *map(pa.array, counts)], names=["g", "c", "doc", "at", "n", "p"])
+            yield pa.record_batch(
+                [
+                    pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), batch.column("doc").take(pa.array(row)),
+                    pa.array(at), *map(pa.array, counts)
+                ],
+                names=["g", "c", "doc", "at", "n", "p"]
+            )
 
     return staged(docs.mapInArrow(run, "g long, c long, doc long, at long, n int, p int"))
 
@@ -185,7 +191,10 @@ def contexts(docs: DataFrame, rows: DataFrame, unit: str, width: int, gram: int)
             body = pa.array([data[i:j].tobytes() for i, j in zip(x, y, strict=True)], pa.binary())
             place = (_whole(batch.column("row"))[row] << 32) + lo
             fixed = (np.zeros(len(row), np.int32), np.full(len(row), width - gram, np.int32))
-            columns = [pa.array(g), pa.array(k), pa.array(times), batch.column("doc").take(pa.array(row)), pa.array(place), pa.array(p), *map(pa.array, fixed), body]
+            columns = [
+                pa.array(g), pa.array(k), pa.array(times), batch.column("doc").take(pa.array(row)), pa.array(place), pa.array(p),
+                *map(pa.array, fixed), body
+            ]
             yield pa.record_batch(columns, names=["g", "k", "times", "doc", "at", "p", "u", "v", "body"])
 
     return staged(docs.join(by_place(rows, *fields[1:]), ["doc", "row"]).mapInArrow(run, CONTEXT))

@@ -194,7 +194,10 @@ def _clean(texts: bool):
             removed = np.concatenate([[0], np.cumsum(gone)])[first]
             out = [left[cuts[i] : cuts[i + 1]] for i in range(batch.num_rows)]
             last_column = pa.array(out, pa.binary()).cast(pa.string()) if texts else pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())
-            yield pa.record_batch([batch.column("doc"), pa.array(np.diff(first)), pa.array(np.diff(removed)), last_column], names=["doc", "n_words", "n_removed", "kept"])
+            yield pa.record_batch(
+                [batch.column("doc"), pa.array(np.diff(first)), pa.array(np.diff(removed)), last_column],
+                names=["doc", "n_words", "n_removed", "kept"]
+            )
 
     return run
 

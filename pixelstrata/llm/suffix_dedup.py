@@ -108,7 +108,10 @@ def _sorted_blocks(width: int):
         bucket = np.repeat(np.arange(len(held)), [t.num_rows for t in held])
         once = rows["times"].to_numpy() == 1
         out: list[tuple[int, int, int]] = []
-        for doc, at, single, hit in zip(rows["doc"].to_pylist(), rows["at"].to_pylist(), once, repeated_windows(bodies, rows["p"].to_numpy(), bucket, width), strict=True):
+        for doc, at, single, hit in zip(
+            rows["doc"].to_pylist(), rows["at"].to_pylist(), once, repeated_windows(bodies, rows["p"].to_numpy(), bucket, width),
+            strict=True
+        ):
             if single and hit.any():
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
                 out += [(doc, at + x, y - 1 + width - x) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
@@ -190,7 +193,10 @@ def _clean(texts: bool):
             size = offsets - removed
             out = [left[size[i] : size[i + 1]] for i in range(batch.num_rows)]
             last = pa.array(out, pa.binary()) if texts else pa.array([hashlib.sha256(x).hexdigest() for x in out], pa.string())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(np.diff(removed)), pa.array(np.diff(spans)), last], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.record_batch(
+                [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(np.diff(removed)), pa.array(np.diff(spans)), last],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+            )
 
     return run
 
@@ -200,4 +206,6 @@ def suffix_dedup(docs: DataFrame, width: int = 200, texts: bool = False) -> Data
     own = keyed(docs, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), "doc_id")
     spans = by_place(repeated_ranges(own.select("doc", "row", "text"), width), "size")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return own.join(spans, ["doc", "row"], "left").mapInArrow(_clean(texts), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept {'binary' if texts else 'string'}")
+    return own.join(spans, ["doc", "row"], "left").mapInArrow(
+        _clean(texts), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept {'binary' if texts else 'string'}"
+    )

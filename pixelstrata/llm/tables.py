@@ -88,7 +88,10 @@ def with_ids(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFr
     have their own doc_id again in what it returns. Those rows are staged, so that their numbers hold."""
     own, kind = "pixelstrata_doc_id", docs.schema["doc_id"].dataType
     texts = docs.filter("doc_id is not null").groupBy("doc_id")
-    clash = staged(texts.agg(F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y")).filter("x < y").select("doc_id", F.col("x").alias(f"{own}_text")))
+    clash = staged(
+        texts.agg(F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y")).filter("x < y")
+        .select("doc_id", F.col("x").alias(f"{own}_text"))
+    )
     rows = docs.withColumn(own, F.col("doc_id"))
     named, others = rows.filter("doc_id is not null"), rows.filter("doc_id is null")
     if not clash.isEmpty():

@@ -214,7 +214,10 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
         own = counter(vocabulary)
         for batch, _, offsets in blocks(batches):
             totals = [own.total(t) if t else 0 for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(offsets[1:] - offsets[:-1]), pa.array(totals, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            yield pa.record_batch(
+                [batch.column("doc_id"), pa.array(offsets[1:] - offsets[:-1]), pa.array(totals, pa.int64())],
+                names=["doc_id", "n_bytes", "n_tokens"]
+            )
 
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

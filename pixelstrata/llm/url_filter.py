@@ -131,7 +131,10 @@ def url_verdicts(pages: DataFrame, rules=RULES, default: str = "allow") -> DataF
     ruled = members.withColumn("at", F.struct(*[c.alias(n) for c, n in zip(host_and_path(F.col("id")), ("host", "path"), strict=True)]))
     ruled = ruled.select("id", "component", decide(F.col("at.host"), F.col("at.path"), rules)["verdict"].alias("own"))
     spread = ruled.groupBy("component").agg(F.bool_or(F.col("own") == "allow").alias("allowed"), F.bool_or(F.col("own") == "block").alias("blocked"))
-    spread = spread.select("component", F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block").otherwise(default).alias("spread"))
+    spread = spread.select(
+        "component",
+        F.when(F.coalesce("allowed", F.lit(False)), "allow").when(F.coalesce("blocked", F.lit(False)), "block").otherwise(default).alias("spread")
+    )
     aliases = members.join(spread, "component").select(F.col("id").alias("node"), "spread")
     out = judged.withColumn("node", node(F.col("url"))).join(aliases, "node", "left")
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", "spread", F.lit(default)).alias("verdict"))

@@ -41,7 +41,11 @@ def test_empty_tables(spark, odd):
     bench = spark.createDataFrame([], "item_id long, text string")
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
-    for made in (near_duplicates(none), token_counts(none, VOCABULARY), license_scan(none), graded(none, trained(none, labels)), contaminations(none, bench), substring_dedup(none), suffix_dedup(none), mix_report(none), mixed(none), nearest(vectors, vectors), url_verdicts(pages), without_copies(none), without_repeats(none), decontaminated(none, bench)):
+    for made in (
+        near_duplicates(none), token_counts(none, VOCABULARY), license_scan(none), graded(none, trained(none, labels)),
+        contaminations(none, bench), substring_dedup(none), suffix_dedup(none), mix_report(none), mixed(none), nearest(vectors, vectors),
+        url_verdicts(pages), without_copies(none), without_repeats(none), decontaminated(none, bench)
+    ):
         assert made.count() == 0
 
 
@@ -91,7 +95,10 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_one_id_with_several_near_duplicates(spark):
     one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
-    rows = [(1, one), (1, two), (2, one + " more"), (3, two + " more"), (5, "own text of this document"), (5, one + " less"), (6, "own text of this document"), (1, one), (7, ""), (7, two)]
+    rows = [
+        (1, one), (1, two), (2, one + " more"), (3, two + " more"), (5, "own text of this document"), (5, one + " less"),
+        (6, "own text of this document"), (1, one), (7, ""), (7, two)
+    ]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     got = near_duplicates(frame).collect()
     assert len(got) == len(rows)
@@ -130,7 +137,9 @@ def test_pairs_at_the_threshold_share_a_key():
 
 def test_components(spark):
     rng = random.Random(1)
-    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, i) for i in range(101, 140)] + [(i, i + 1) for i in range(200, 260)] + [(5, None), (7, 7)]
+    edges = [
+        (rng.randrange(60), rng.randrange(60)) for _ in range(45)
+    ] + [(100, i) for i in range(101, 140)] + [(i, i + 1) for i in range(200, 260)] + [(5, None), (7, 7)]
     parent = {}
     find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
     for a, b in edges:
@@ -186,7 +195,9 @@ def test_license_marks_and_bodies(spark):
 def test_quality(spark, odd):
     good, bad = ["fine words here"] * 30, ["fine words idiot here"] * 30
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)] + [(99, None), (None, "x")], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, 1, int(i >= 30)) for i in range(60)] + [(None, 1, 1), (5, None, 0), (1000, 0, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame(
+        [(i, 1, int(i >= 30)) for i in range(60)] + [(None, 1, 1), (5, None, 0), (1000, 0, 0)], "doc_id long, quality int, toxic int"
+    )
     model = trained(docs, labels)
     kept = {r.doc_id for r in graded(docs, model).collect() if r.kept}
     assert kept == {*range(30), 99, None}
@@ -228,7 +239,10 @@ def test_fit_is_near_the_dense_optimum():
 
 def test_decontamination(spark, odd):
     words = PASSAGE.split()
-    items = [(1, PASSAGE), (2, " ".join(words[:30]).upper()), (2, " ".join(words[:30]).upper()), (3, None), (4, ""), (5, "one two"), (6, " ".join(words[:40] + [f"q{i}" for i in range(40)])), (None, "nowhere at all to be found")]
+    items = [
+        (1, PASSAGE), (2, " ".join(words[:30]).upper()), (2, " ".join(words[:30]).upper()), (3, None), (4, ""), (5, "one two"),
+        (6, " ".join(words[:40] + [f"q{i}" for i in range(40)])), (None, "nowhere at all to be found")
+    ]
     bench = spark.createDataFrame([(i, t, "c", 1) for i, t in items], "item_id long, text string, doc_id string, n int")
     got = {(r.doc_id, r.item_id) for r in contaminations(odd, bench).collect()}
     assert got == {(8, 1), (9, 1), (8, 2), (9, 2), (4, 5), (5, 5), (None, 5)}
@@ -262,7 +276,10 @@ def test_rows_without_ids_are_judged(spark, tmp_path):
     import corpus_pipeline as stages
 
     item = " ".join(f"q{i}" for i in range(30))
-    rows = [(None, PASSAGE, "a"), (None, PASSAGE, "b"), (7, PASSAGE + " end", "c"), (None, f"x {item} y", "d"), (None, "own text", "e"), (None, "", "f"), (None, "", "g"), (None, None, "h")]
+    rows = [
+        (None, PASSAGE, "a"), (None, PASSAGE, "b"), (7, PASSAGE + " end", "c"), (None, f"x {item} y", "d"), (None, "own text", "e"),
+        (None, "", "f"), (None, "", "g"), (None, None, "h")
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     assert sorted(r.source for r in stages.near_copies(spark, docs, "").collect()) == ["c", "d", "e", "f", "g", "h"]
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -415,7 +432,9 @@ def test_mixing(spark, odd):
     assert all(r.taken in (0, r.size, 2 * r.size) and (r.size or not r.taken) for r in rows)
     assert sorted(map(str, rows)) == sorted(map(str, mix_report(odd.repartition(7)).collect()))
     docs = spark.createDataFrame([(i, "w " * (i % 50), "abc"[i % 3] if i % 7 else None) for i in range(3000)], "doc_id long, text string, source string")
-    by = mix_report(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w"), F.first("source_size").alias("s")).collect()
+    by = mix_report(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(
+        F.sum("taken").alias("t"), F.first("target").alias("w"), F.first("source_size").alias("s")
+    ).collect()
     assert abs(sum(r.w for r in by) - 1.5 * sum(r.s for r in by)) < 1e-6 and all(abs(r.t - r.w) <= 0.01 * r.s + 200 and r.w <= 2 * r.s for r in by)
     made = mixed(odd)
     assert made.columns == [c for c in odd.columns if c != "copy"] + ["copy"]
@@ -431,7 +450,10 @@ def test_mixing_offsets_and_salts(spark):
 
 def test_nearest(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(i, [1.0, 0.0, 0.0]) for i in range(20)] + [(30, [0.0, 1.0, 0.0]), (31, [2.0, 0.0, 0.0]), (32, None), (33, [0.0, 0.0, 0.0]), (34, [nan, 1.0, 0.0]), (35, [inf, 0.0, 0.0]), (36, [1.0, None, 0.0]), (None, [1.0, 0.0, 0.0]), (37, [1.0, 2.0]), (30, [0.0, 1.0, 0.0]), (38, [])]
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(20)] + [
+        (30, [0.0, 1.0, 0.0]), (31, [2.0, 0.0, 0.0]), (32, None), (33, [0.0, 0.0, 0.0]), (34, [nan, 1.0, 0.0]), (35, [inf, 0.0, 0.0]),
+        (36, [1.0, None, 0.0]), (None, [1.0, 0.0, 0.0]), (37, [1.0, 2.0]), (30, [0.0, 1.0, 0.0]), (38, [])
+    ]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
     for r in nearest(vectors, vectors.filter("vec_id in (0, 30, 32, 33, 34)")).collect():
@@ -449,7 +471,10 @@ def test_nearest_ties_clashing_columns_and_recall(spark):
     vectors = spark.createDataFrame(line, "vec_id long, embedding array<double>")
     clashing = vectors.selectExpr("*", "1 as id", "2 as v", "3 as class", "4 as code", "5 as score", "6 as rank", "7 as query")
     got = sorted((r.query_id, r.rank, r.vec_id) for r in nearest(clashing, clashing.filter("vec_id in (0, 450)")).collect())
-    scores = {q: [float(np.dot(line[q][1], line[i][1]) / (np.sqrt(np.dot(line[q][1], line[q][1])) * np.sqrt(np.dot(line[i][1], line[i][1])))) for i in range(900)] for q in (0, 450)}
+    scores = {
+        q: [float(np.dot(line[q][1], line[i][1]) / (np.sqrt(np.dot(line[q][1], line[q][1])) * np.sqrt(np.dot(line[i][1], line[i][1])))) for i in range(900)]
+        for q in (0, 450)
+    }
     best = lambda q: sorted((i for i in range(900) if i != q), key=lambda i: (-round(scores[q][i], 12), i))[:5]
     exact = all(abs(s - 1) < 1e-15 for own in scores.values() for s in own)
     assert not exact or got == [(q, r + 1, i) for q in (0, 450) for r, i in enumerate(best(q))]
@@ -538,7 +563,12 @@ def test_edges_equal_a_parser(spark):
 
     rng = random.Random(12)
     hrefs = ["page.html", "../up", "./x/../y", "?q=1&amp;r=2", "/abs/p", "//other.net/z", "http://h.org/a#frag", "mailto:me@x.org", " spaced.html ", "a/b/"]
-    noise = ['<p title="rel=canonical href=/no">', "<!-- <link rel=canonical href=/commented> -->", "<script>'<link rel=canonical href=/script>'</script>", "<title><meta http-equiv=refresh content='0;url=/t'></title>", '<link rel="stylesheet" href="/css" data-rel="canonical">', "<meta name=refresh content='0; url=/n'>", "text > more < text", '<img alt="a > b" src=x>']
+    noise = [
+        '<p title="rel=canonical href=/no">', "<!-- <link rel=canonical href=/commented> -->",
+        "<script>'<link rel=canonical href=/script>'</script>", "<title><meta http-equiv=refresh content='0;url=/t'></title>",
+        '<link rel="stylesheet" href="/css" data-rel="canonical">', "<meta name=refresh content='0; url=/n'>", "text > more < text",
+        '<img alt="a > b" src=x>'
+    ]
     rows = []
     for i in range(300):
         href = rng.choice(hrefs)
@@ -550,7 +580,9 @@ def test_edges_equal_a_parser(spark):
         kind = rng.choice(["link", "meta"])
         rng.shuffle(attributes[kind])
         tag = f"<{rng.choice([kind, kind.upper()])} {rng.choice([' ', chr(10)]).join(attributes[kind])}{rng.choice(['', '/', ' /'])}>"
-        parts = [rng.choice(noise), tag, rng.choice(noise)] + ([f'<base href="{rng.choice(["/b/", "http://b.net/c/d", "sub/"])}">'] if rng.random() < 0.3 else [])
+        parts = [rng.choice(noise), tag, rng.choice(noise)] + (
+            [f'<base href="{rng.choice(["/b/", "http://b.net/c/d", "sub/"])}">'] if rng.random() < 0.3 else []
+        )
         rng.shuffle(parts)
         rows.append((i, f"http://h.net/d/e{i}.html?x", "<html>" + "\n".join(parts)))
     got = {}
@@ -562,7 +594,11 @@ def test_edges_equal_a_parser(spark):
 
 def test_long_and_broken_html(spark):
     link = '<link rel="canonical" href="http://example.org/es/x">'
-    rows = [(1, "http://a.net/1", "<link " + 'a="" ' * 30_000 + 'rel=canonical href="http://example.org/es/x">'), (2, "http://a.net/2", '<link "' * 50_000 + link), (3, "http://a.net/3", "x" * 2_000_000 + link + "<!--" + link), (4, "http://a.net/4", "<!-- " + link * 1000)]
+    rows = [
+        (1, "http://a.net/1", "<link " + 'a="" ' * 30_000 + 'rel=canonical href="http://example.org/es/x">'),
+        (2, "http://a.net/2", '<link "' * 50_000 + link), (3, "http://a.net/3", "x" * 2_000_000 + link + "<!--" + link),
+        (4, "http://a.net/4", "<!-- " + link * 1000)
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.page_id: r.verdict for r in url_verdicts(pages).collect()} == {1: "block", 2: "block", 3: "block", 4: "allow"}
 
@@ -575,9 +611,16 @@ def test_relative_links(spark):
         '<link rel="nofollow canonical" href="page.html">', "<link href=page.html rel='x canonical y'>", link.format("/x/../d/page.html"), '<base href="/d/"><link rel=canonical href="page.html#f">', link.format("//h.net/d/page.html"),
     ]
     rows = [(i, f"http://h.net/d/a{i}?x#y", t) for i, t in enumerate(tags)]
-    off = [link.format("mailto:page.html"), '<meta http-equiv="refresh" content="5"/>', '<link rel="canonicals" href="page.html">', '<meta name="refresh" content="0;url=page.html">', link.format("login?next=http://h.net/d/page.html")]
+    off = [
+        link.format("mailto:page.html"), '<meta http-equiv="refresh" content="5"/>', '<link rel="canonicals" href="page.html">',
+        '<meta name="refresh" content="0;url=page.html">', link.format("login?next=http://h.net/d/page.html")
+    ]
     rows += [(100 + i, f"http://h.net/d/b{i}", t) for i, t in enumerate(off)]
-    rows += [(200, "http://h.net/d/page.html", None), (201, "http://h.net/q?id=1", link.format("d/page.html")), (202, "http://h.net/q", link.format("?id=1")), (203, "http://g.net", link.format("page.html")), (204, "http://g.net/page.html", None)]
+    rows += [
+        (200, "http://h.net/d/page.html", None), (201, "http://h.net/q?id=1", link.format("d/page.html")),
+        (202, "http://h.net/q", link.format("?id=1")), (203, "http://g.net", link.format("page.html")),
+        (204, "http://g.net/page.html", None)
+    ]
     rows[8] = (8, "http://h.net/e/a8", tags[8])
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     rules = (("block", "h.net", "/d/page.html"), ("block", "g.net", "/page.html"))

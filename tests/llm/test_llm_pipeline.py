@@ -39,11 +39,18 @@ def corpus(spark, tmp_path_factory):
             words = [word() for _ in range(30)] + ["idiot", "idiot", "scum"]
         rows.append((rng.randrange(10_000) if rng.random() < 0.95 else None, " ".join(words), "en", rng.choice(["a", "b", None]), 0, kind))
     ids = [r[0] for r in rows]
-    rows += [(next(i for i in ids if i is not None), "another text of this id", "en", "a", 0, "clean"), (7, None, None, None, None, "clean"), (8, "", "en", "c", 0, "clean")]
+    rows += [
+        (next(i for i in ids if i is not None), "another text of this id", "en", "a", 0, "clean"), (7, None, None, None, None, "clean"),
+        (8, "", "en", "c", 0, "clean")
+    ]
     at = tmp_path_factory.mktemp("corpus")
     spark.createDataFrame([r[:5] for r in rows], SCHEMA).repartition(3).write.parquet(f"{at}/documents.parquet")
-    spark.createDataFrame([(r[0], 1, int(r[5] == "toxic"), "x") for r in rows], "doc_id long, quality int, toxic int, text string").write.parquet(f"{at}/labels.parquet")
-    spark.createDataFrame([(i, " ".join(w), "y") for i, w in enumerate(items)], "item_id int, text string, source string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame(
+        [(r[0], 1, int(r[5] == "toxic"), "x") for r in rows], "doc_id long, quality int, toxic int, text string"
+    ).write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(
+        [(i, " ".join(w), "y") for i, w in enumerate(items)], "item_id int, text string, source string"
+    ).write.parquet(f"{at}/benchmark.parquet")
     return str(at)
 
 
@@ -134,10 +141,16 @@ def test_run_is_the_stages_and_leaves_little(spark, corpus, tmp_path):
 
 
 def test_awkward_and_empty_tables(spark, corpus, tmp_path):
-    odd = [(1, None, None, None, None), (2, "", "en", "a", 0), (4, "one two", "en", None, 7), (4, "one two", "en", None, 7), (4, "other", "en", None, 5), (None, "one two", "en", "b", 7), (None, None, None, None, None), (6, LONG, "en", "b", 1), (9, LONG + " end", "en", "c", 1)]
+    odd = [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (4, "one two", "en", None, 7), (4, "one two", "en", None, 7),
+        (4, "other", "en", None, 5), (None, "one two", "en", "b", 7), (None, None, None, None, None), (6, LONG, "en", "b", 1),
+        (9, LONG + " end", "en", "c", 1)
+    ]
     for name, rows in (("odd", odd), ("none", [])):
         at = f"{tmp_path}/{name}"
-        docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as n", "2 as row", "3 as doc", "4 as entries", "5 as copy", "6 as mark", "7 as class", "8 as family")
+        docs = spark.createDataFrame(rows, SCHEMA).selectExpr(
+            "*", "1 as n", "2 as row", "3 as doc", "4 as entries", "5 as copy", "6 as mark", "7 as class", "8 as family"
+        )
         docs.write.parquet(f"{at}/documents.parquet")
         for table in ("labels", "benchmark"):
             spark.read.parquet(f"{corpus}/{table}.parquet").filter("false").write.parquet(f"{at}/{table}.parquet")

@@ -44,7 +44,9 @@ def test_license_scan(spark):
         hits += len(places)
         at, labels = [a for a, _ in places], sorted({x for _, x in places})
         r = got[i]
-        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(places), min(at, default=None), max(at, default=None), ",".join(labels))
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (
+            len(words), len(places), min(at, default=None), max(at, default=None), ",".join(labels)
+        )
         assert set(labels) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
     assert len(got) == len(documents(spark))
 
