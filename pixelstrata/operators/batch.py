@@ -38,7 +38,10 @@ def cased(name: Column, case: str) -> Column:
     return {"keep": name, "lower": F.lower(name), "upper": F.upper(name), "title": F.initcap(words)}[case]
 
 
-def renamed(batch: DataFrame, base="", find="", replace="", prefix="", suffix="", counter=True, start=1, step=1, digits=2, at_end=True, separator="_", case="keep") -> DataFrame:
+def renamed(
+    batch: DataFrame, base="", find="", replace="", prefix="", suffix="", counter=True, start=1, step=1, digits=2, at_end=True,
+    separator="_", case="keep"
+) -> DataFrame:
     """(batch_index, source, target): new names of a batch (batch_index from 0, source path); extensions stay, in lower case."""
     name = F.lit(base) if base else base_name(F.col("source"))
     name = F.replace(name, F.lit(find), F.lit(replace)) if find else name
@@ -117,7 +120,10 @@ def grid_plan(sizes: DataFrame, width: int, height: int, padding: int = 0, expan
     inside = F.col("real") & (F.col("n") < F.col("across") * F.col("down"))
     at = lambda cell, size: F.when(inside, cell * F.col(size) + padding).otherwise(-1).cast("int")
     column, row = F.col("n") % F.greatest(F.col("across"), F.lit(1)), F.floor(F.col("n") / F.greatest(F.col("across"), F.lit(1)))
-    return placed.select("sheet", "sprite_id", at(column, "cw").alias("x"), at(row, "ch").alias("y"), "w", "h", F.col("sw").alias("sheet_width"), F.col("sh").alias("sheet_height"))
+    return placed.select(
+        "sheet", "sprite_id", at(column, "cw").alias("x"), at(row, "ch").alias("y"), "w", "h", F.col("sw").alias("sheet_width"),
+        F.col("sh").alias("sheet_height")
+    )
 
 
 def table_side(sprites: int) -> tuple[int, int]:
@@ -135,13 +141,18 @@ def lookup_pixels(rects: DataFrame, pivots: DataFrame) -> DataFrame:
     """(sheet, sprite_id, px, py, c0..c3): pixel 2n holds a sprite's rectangle, pixel 2n + 1 its pivot and direction, in a table as
     large as its sheet's sprites ask for; all values of a sprite that stands nowhere (x -1) are 0."""
     sheet = Window.partitionBy("sheet")
-    held = rects.join(pivots, "sprite_id").withColumn("n", F.row_number().over(sheet.orderBy("sprite_id")) - 1).withColumn("width", table_width(F.count("*").over(sheet)))
+    held = rects.join(pivots, "sprite_id").withColumn(
+        "n", F.row_number().over(sheet.orderBy("sprite_id")) - 1
+    ).withColumn("width", table_width(F.count("*").over(sheet)))
     stands = (F.col("x") >= 0) & (F.col("w") > 0) & (F.col("h") > 0)
     four = lambda *names: F.array(*[F.when(stands, F.col(c).cast("double")).otherwise(F.lit(0.0)) for c in names])
     both = F.array(four("x", "y", "w", "h"), four("pivot_x", "pivot_y", "dir_x", "dir_y"))
     out = held.select("sheet", "sprite_id", "n", "width", F.posexplode(both).alias("k", "c"))
     at = F.col("n") * 2 + F.col("k")
-    return out.select("sheet", "sprite_id", (at % F.col("width")).cast("int").alias("px"), F.floor(at / F.col("width")).cast("int").alias("py"), *(F.col("c")[i].alias(f"c{i}") for i in range(4)))
+    return out.select(
+        "sheet", "sprite_id", (at % F.col("width")).cast("int").alias("px"), F.floor(at / F.col("width")).cast("int").alias("py"),
+        *(F.col("c")[i].alias(f"c{i}") for i in range(4))
+    )
 
 
 def pivots(rects: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -216,4 +227,6 @@ def replayed_history(log: DataFrame, gap_ms: int = 600, cap: int = 1000) -> Data
 
     kind = log.schema["log"].dataType.simpleString()
     us = log.withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")))
-    return us.select("log", "ts", "seq", "key", "move").groupBy("log").applyInPandas(run, f"log {kind}, place int, key string, ts timestamp, edits long, undone boolean")
+    return us.select("log", "ts", "seq", "key", "move").groupBy("log").applyInPandas(
+        run, f"log {kind}, place int, key string, ts timestamp, edits long, undone boolean"
+    )

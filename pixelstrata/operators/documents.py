@@ -14,7 +14,13 @@ FORMAT, VERSION = "pixelstrata-stack", 2
 
 
 def encode_stack(records: list[dict]) -> str:
-    plain = [{"id": r["id"], "enabled": r.get("enabled", True), "folded": r.get("folded", False), "settings": {k: v for k, v in r.get("settings", {}).items() if k != "model"}} for r in records]
+    plain = [
+        {
+            "id": r["id"], "enabled": r.get("enabled", True), "folded": r.get("folded", False),
+            "settings": {k: v for k, v in r.get("settings", {}).items() if k != "model"}
+        }
+        for r in records
+    ]
     return json.dumps({"format": FORMAT, "version": VERSION, "stack": plain}, sort_keys=True)
 
 
@@ -82,7 +88,13 @@ def migrated(doc: dict) -> list[dict]:
     if not isinstance(block, dict):
         return []
     lists = ("polygons", "islands", "remove_colors")
-    read = {id: {k: _listed(block[old]) if old in lists and old in block else _fitting(default, block.get(old, default)) for k, (old, default) in fields.items()} for id, fields in V1_FIELDS.items()}
+    read = {
+        id: {
+            k: _listed(block[old]) if old in lists and old in block else _fitting(default, block.get(old, default)) for k,
+            (old, default) in fields.items()
+        } for id,
+        fields in V1_FIELDS.items()
+    }
     flag = lambda name, default: _fitting(default, block.get(name, default))
     if not flag("refine_edges", False):
         read["refine_edges"]["radius"] = 0
@@ -109,4 +121,6 @@ def settings_records(stacks: DataFrame) -> DataFrame:
     """(doc, place, id, enabled, settings) of each record of stack documents (doc, text); settings stay JSON."""
     schema = "struct<version:int,stack:array<struct<id:string,enabled:boolean,settings:string>>>"
     held = stacks.withColumn("d", F.from_json("text", schema)).filter(F.col("d.version") == VERSION)
-    return held.select("doc", F.posexplode("d.stack").alias("place", "r")).select("doc", "place", "r.id", F.coalesce("r.enabled", F.lit(True)).alias("enabled"), "r.settings")
+    return held.select("doc", F.posexplode("d.stack").alias("place", "r")).select(
+        "doc", "place", "r.id", F.coalesce("r.enabled", F.lit(True)).alias("enabled"), "r.settings"
+    )

@@ -69,7 +69,10 @@ def doubled(rgba: np.ndarray) -> np.ndarray:
     return np.repeat(np.repeat(rgba, 2, 0), 2, 1)
 
 
-def upscaled(rgba: np.ndarray, scale: int, model: Callable[[np.ndarray, int], np.ndarray] | None = None, single_pass: bool = False, noise: int = -1, tta: bool = False) -> np.ndarray:
+def upscaled(
+    rgba: np.ndarray, scale: int, model: Callable[[np.ndarray, int], np.ndarray] | None = None, single_pass: bool = False, noise: int = -1,
+    tta: bool = False
+) -> np.ndarray:
     """Repeated doubling up to scale (a power of two, 1..32), or one pass of a network of that scale (2..4); tta averages the eight
     turns and mirrors of the image."""
     step = (lambda x: model(x, noise)) if model else doubled
@@ -102,7 +105,13 @@ def upscale(images: DataFrame, scale: int = 2, sharpen: float = 0.0, model=None,
                 if data is not None:
                     made = sharpened(upscaled(np.frombuffer(data, np.uint8).reshape(h, w, 4), scale, model, single_pass, noise, tta), sharpen)
                     h, w, data = made.shape[0], made.shape[1], np.ascontiguousarray(made).tobytes()
-                yield pa.record_batch([batch.column("image_id").slice(i, 1), pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([data], pa.binary()), pa.array([model is not None])], names=["image_id", "width", "height", "data", "exact"])
+                yield pa.record_batch(
+                    [
+                        batch.column("image_id").slice(i, 1), pa.array([w], pa.int32()), pa.array([h], pa.int32()),
+                        pa.array([data], pa.binary()), pa.array([model is not None])
+                    ],
+                    names=["image_id", "width", "height", "data", "exact"]
+                )
 
     return images.select("image_id", "width", "height", "data").mapInArrow(run, "image_id long, width int, height int, data binary, exact boolean")
 
@@ -112,7 +121,11 @@ def network_signature(engine: str, model: str, noise: int, scale: int, tta: bool
     return json.dumps([engine, model, noise, scale, tta])
 
 
-def generation_graph(checkpoint: str, prompt: str, negative: str = "", width: int = 512, height: int = 512, seed: int = 0, steps: int = 20, cfg: float = 7.0, sampler: str = "euler", scheduler: str = "normal", loras: tuple[tuple[str, float], ...] = (), clip_skip: int = 1, prefix: str = "pixelstrata") -> str:
+def generation_graph(
+    checkpoint: str, prompt: str, negative: str = "", width: int = 512, height: int = 512, seed: int = 0, steps: int = 20, cfg: float = 7.0,
+    sampler: str = "euler", scheduler: str = "normal", loras: tuple[tuple[str, float], ...] = (), clip_skip: int = 1,
+    prefix: str = "pixelstrata"
+) -> str:
     """The node graph of an image job as JSON: checkpoint, up to two LoRAs, clip skip, prompts, sampler, decode, save. Sizes go
     down to multiples of 8. Sending it is left to a client of the service, which is not part of this library."""
     nodes: dict[str, dict] = {}
@@ -130,7 +143,13 @@ def generation_graph(checkpoint: str, prompt: str, negative: str = "", width: in
         clip = [node("CLIPSetLastLayer", stop_at_clip_layer=-clip_skip, clip=clip), 0]
     positive, against = ([node("CLIPTextEncode", text=t, clip=clip), 0] for t in (prompt, negative))
     empty = [node("EmptyLatentImage", width=max(width // 8 * 8, 8), height=max(height // 8 * 8, 8), batch_size=1), 0]
-    made = [node("KSampler", seed=seed, steps=steps, cfg=cfg, sampler_name=sampler, scheduler=scheduler, denoise=1.0, model=model, positive=positive, negative=against, latent_image=empty), 0]
+    made = [
+        node(
+            "KSampler", seed=seed, steps=steps, cfg=cfg, sampler_name=sampler, scheduler=scheduler, denoise=1.0, model=model,
+            positive=positive, negative=against, latent_image=empty
+        ),
+        0
+    ]
     node("SaveImage", filename_prefix=prefix, images=[node("VAEDecode", samples=made, vae=vae), 0])
     return json.dumps({"prompt": nodes})
 
@@ -167,6 +186,8 @@ def cached_upscale(images: DataFrame, cache: DataFrame | None, signature: str, *
     made = lambda rows: upscale(rows, **settings).join(rows.select("image_id", "source", "signature"), "image_id")
     if cache is None:
         return made(keyed)
-    held = cache.filter(F.col("signature") == signature).select("source", "signature", *(F.col(c) for c in ("width", "height", "data", "exact"))).dropDuplicates(["source"])
+    held = cache.filter(F.col("signature") == signature).select(
+        "source", "signature", *(F.col(c) for c in ("width", "height", "data", "exact"))
+    ).dropDuplicates(["source"])
     known = keyed.select("image_id", "source").join(held, "source").select("image_id", "width", "height", "data", "exact", "source", "signature")
     return known.unionByName(made(keyed.join(held, "source", "left_anti")))

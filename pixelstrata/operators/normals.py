@@ -142,7 +142,13 @@ def normal_maps(images: DataFrame, layers: list[dict], clean: bool = True, flip_
             out = []
             for i in range(batch.num_rows):
                 w, h, data = (batch.column(c)[i].as_py() for c in ("width", "height", "data"))
-                out.append(None if data is None or len(data) != 4 * w * h else normal_map(np.frombuffer(data, np.uint8).reshape(h, w, 4), layers, clean, flip_green, model).tobytes())
-            yield pa.record_batch([batch.column("image_id"), batch.column("width"), batch.column("height"), pa.array(out, pa.binary())], names=["image_id", "width", "height", "data"])
+                out.append(
+                    None if data is None or len(data) != 4 * w * h
+                    else normal_map(np.frombuffer(data, np.uint8).reshape(h, w, 4), layers, clean, flip_green, model).tobytes()
+                )
+            yield pa.record_batch(
+                [batch.column("image_id"), batch.column("width"), batch.column("height"), pa.array(out, pa.binary())],
+                names=["image_id", "width", "height", "data"]
+            )
 
     return images.select("image_id", "width", "height", "data").mapInArrow(run, "image_id long, width int, height int, data binary")

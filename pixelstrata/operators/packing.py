@@ -32,7 +32,10 @@ def objects(images: DataFrame) -> DataFrame:
             found, stray = boxes(label, w), int(((label < 0) & (alpha > 0)).sum())
             area = np.bincount(label[label >= 0], alpha[label >= 0], len(found))
             rows = [(image, n, b[0], b[1], b[2] - b[0] + 1, b[3] - b[1] + 1, float(area[n]), stray) for n, b in enumerate(found.tolist())]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["image_id", "label", "x", "y", "w", "h", "area", "stray"]).astype({"image_id": "int64", "label": "int32", "x": "int32", "y": "int32", "w": "int32", "h": "int32", "area": "float64", "stray": "int64"}), preserve_index=False)
+            yield pa.RecordBatch.from_pandas(
+                pd.DataFrame(rows, columns=["image_id", "label", "x", "y", "w", "h", "area", "stray"]).astype({"image_id": "int64", "label": "int32", "x": "int32", "y": "int32", "w": "int32", "h": "int32", "area": "float64", "stray": "int64"}),
+                preserve_index=False
+            )
 
     return images.select("image_id", "width", "height", "data").mapInArrow(run, "image_id long, label int, x int, y int, w int, h int, area double, stray long")
 
@@ -46,9 +49,14 @@ def cut_sprites(images: DataFrame) -> DataFrame:
             for n, (a, b, x, y) in enumerate(boxes(label, w).tolist()):
                 part = np.where((marks[b : y + 1, a : x + 1] == n)[..., None], grid[b : y + 1, a : x + 1], 0).astype(np.uint8)
                 values = (image, n, a, b, x - a + 1, y - b + 1)
-                yield pa.record_batch([*(pa.array([v], t) for v, t in zip(values, (pa.int64(), *[pa.int32()] * 5), strict=True)), pa.array([part.tobytes()], pa.binary())], names=["image_id", "sprite_id", "x", "y", "width", "height", "data"])
+                yield pa.record_batch(
+                    [*(pa.array([v], t) for v, t in zip(values, (pa.int64(), *[pa.int32()] * 5), strict=True)), pa.array([part.tobytes()], pa.binary())],
+                    names=["image_id", "sprite_id", "x", "y", "width", "height", "data"]
+                )
 
-    return images.select("image_id", "width", "height", "data").mapInArrow(run, "image_id long, sprite_id int, x int, y int, width int, height int, data binary")
+    return images.select("image_id", "width", "height", "data").mapInArrow(
+        run, "image_id long, sprite_id int, x int, y int, width int, height int, data binary"
+    )
 
 
 def shelves(sizes, width, height, ordered):
@@ -135,7 +143,9 @@ def plan(sizes: DataFrame, method: str, width: int, height: int, padding: int =
         out["x"], out["y"] = [p[0] if p else -1 for p in places], [p[1] if p else -1 for p in places]
         return out.assign(w=group["w"], h=group["h"], placed=[p is not None for p in places], sheet_width=w, sheet_height=h)
 
-    return sizes.groupBy("sheet").applyInPandas(run, "sheet long, sprite_id long, x int, y int, w int, h int, placed boolean, sheet_width int, sheet_height int")
+    return sizes.groupBy("sheet").applyInPandas(
+        run, "sheet long, sprite_id long, x int, y int, w int, h int, placed boolean, sheet_width int, sheet_height int"
+    )
 
 
 def build_sheets(cutouts: DataFrame, planned: DataFrame) -> DataFrame:

@@ -129,7 +129,9 @@ def inside_polygon(pixels: DataFrame, points: list[tuple[int, int]]) -> Column:
     return (left % 2 == 1) | on
 
 
-def colour_counts(pixels: DataFrame, rect: tuple[int, int, int, int], limit: int | None = None, budget: int = 4096, remaining: DataFrame | None = None) -> DataFrame:
+def colour_counts(
+    pixels: DataFrame, rect: tuple[int, int, int, int], limit: int | None = None, budget: int = 4096, remaining: DataFrame | None = None
+) -> DataFrame:
     """(image_id, r, g, b, n, place): distinct colours of visible pixels in a rectangle (x, y, w, h; within the image), most
     frequent first, then by colour; the first `limit` of an image, or all. At most `budget` pixels are read, on a grid that
     holds the rectangle's edges. remaining (image_id, x, y, a): only pixels that are still solid there (a 255) count."""
@@ -138,7 +140,9 @@ def colour_counts(pixels: DataFrame, rect: tuple[int, int, int, int], limit: int
     here = [F.greatest(F.lit(v), F.lit(0)) for v in (x, y)]
     last = [F.least(F.lit(v + n - 1), F.col(c)) for v, n, c in ((x, w, "_x"), (y, h, "_y"))]
     wide, high = (b - a + 1 for a, b in zip(here, last, strict=True))
-    size = size.select("image_id", *(c.alias(n) for c, n in zip((*here, *last, wide, high), ("_x0", "_y0", "_x1", "_y1", "_w", "_h"), strict=True))).filter("_w > 0 and _h > 0")
+    size = size.select(
+        "image_id", *(c.alias(n) for c, n in zip((*here, *last, wide, high), ("_x0", "_y0", "_x1", "_y1", "_w", "_h"), strict=True))
+    ).filter("_w > 0 and _h > 0")
     least = F.greatest(F.ceil(F.sqrt(F.col("_w") * F.col("_h") / budget)), F.lit(1))
     taken = lambda n, s: F.ceil((n - 1) / s) + 1
     steps = F.sequence(least, least + 64)
@@ -173,7 +177,9 @@ def colour_moments(pixels: DataFrame) -> DataFrame:
     """Counts, channel sums and square sums of solid pixels by image and by the upper five bits of each channel."""
     cell = {f"{c}5": F.shiftright(F.col(c), 3) for c in "rgb"}
     solid = pixels.filter(F.col("a") / 255.0 >= 0.5).withColumns(cell)
-    return solid.groupBy("image_id", *cell).agg(F.count("*").alias("n"), *(F.sum(c).alias(f"sum_{c}") for c in "rgb"), F.sum(F.expr("r * r + g * g + b * b")).alias("squares"))
+    return solid.groupBy("image_id", *cell).agg(
+        F.count("*").alias("n"), *(F.sum(c).alias(f"sum_{c}") for c in "rgb"), F.sum(F.expr("r * r + g * g + b * b")).alias("squares")
+    )
 
 
 def flip_green(normals: DataFrame) -> DataFrame:
@@ -254,7 +260,9 @@ def refined(pixels: DataFrame, guide: str, cover: str, radius: int) -> DataFrame
     held = held.withColumn("_slope", slope).withColumns({"_s": stored(F.col("_slope")), "_o": stored(F.col("_mc") - F.col("_slope") * F.col("_mg"))})
     held = box_mean(box_mean(held, "_s", radius, "_ms"), "_o", radius, "_mo")
     q = clamp(F.col("_ms") * F.col(guide) + F.col("_mo"))
-    return held.withColumn(cover, stored(F.when(q < 0.5 / 255.0, 0.0).otherwise(q))).drop("_gg", "_gc", "_mg", "_mc", "_mgg", "_mgc", "_slope", "_s", "_o", "_ms", "_mo")
+    return held.withColumn(cover, stored(F.when(q < 0.5 / 255.0, 0.0).otherwise(q))).drop(
+        "_gg", "_gc", "_mg", "_mc", "_mgg", "_mgc", "_slope", "_s", "_o", "_ms", "_mo"
+    )
 
 
 def beside_subject(pixels: DataFrame, ground: Column) -> DataFrame:
@@ -273,5 +281,7 @@ def clipped(coverage: Column, floor: float, ceiling: float) -> Column:
 
 def wide_blocks(pixels: DataFrame, value: str, threshold: float) -> DataFrame:
     """(image_id, bx, by_, low, high) of 8 x 8 blocks whose range of values reaches the threshold (of 255)."""
-    block = pixels.groupBy("image_id", F.expr("cast(x div 8 as int)").alias("bx"), F.expr("cast(y div 8 as int)").alias("by_")).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    block = pixels.groupBy(
+        "image_id", F.expr("cast(x div 8 as int)").alias("bx"), F.expr("cast(y div 8 as int)").alias("by_")
+    ).agg(F.min(value).alias("low"), F.max(value).alias("high"))
     return block.filter(F.col("high") / 255.0 - F.col("low") / 255.0 >= threshold)

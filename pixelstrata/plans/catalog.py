@@ -138,7 +138,10 @@ def _inside(points) -> str:
     """SQL of whether (x, y) is filled by an even-odd polygon: spans between its crossings with the row's middle, in order and
     as float32, hold the centres from their left to their right end."""
     sides = zip(points, [*points[1:], points[0]], strict=True)
-    crossings = ", ".join(f"CASE WHEN ({a[1]} > y + 0.5::double) <> ({b[1]} > y + 0.5::double) THEN ({a[0]} + (y + 0.5::double - {a[1]}) / {b[1] - a[1] or 1}::double * {b[0] - a[0]})::float::double END" for a, b in sides)
+    crossings = ", ".join(
+        f"CASE WHEN ({a[1]} > y + 0.5::double) <> ({b[1]} > y + 0.5::double) THEN ({a[0]} + (y + 0.5::double - {a[1]}) / {b[1] - a[1] or 1}::double * {b[0] - a[0]})::float::double END" for a,
+        b in sides
+    )
     held = f"list_sort(list_filter([{crossings}], lambda c: c IS NOT NULL))"
     return f"list_bool_or(list_transform(range(1, {len(points)}, 2), lambda i: coalesce({held}[i] - 0.5::double <= x AND x <= {held}[i + 1] - 0.5::double, false)))"
 
@@ -262,7 +265,9 @@ q AS (SELECT image_id, x, y, greatest(0, least(1, m_s * g + m_o)) AS q FROM two)
 SELECT image_id, x, y, (CASE WHEN q < 0.5::double / 255 THEN 0 ELSE q END)::float AS coverage FROM q""")
 def refined_edges(spark, sf_dir):
     """Alpha of the noise images made to follow the distance from a colour (guided filter, radius 2)."""
-    held = tinted(spark, sf_dir).select("image_id", "x", "y", pixels.stored(pixels.distance(KEYS[1][0])).alias("guide"), pixels.stored(F.col("a") / 255.0).alias("coverage"))
+    held = tinted(spark, sf_dir).select(
+        "image_id", "x", "y", pixels.stored(pixels.distance(KEYS[1][0])).alias("guide"), pixels.stored(F.col("a") / 255.0).alias("coverage")
+    )
     return pixels.refined(held, "guide", "coverage", 2).select("image_id", "x", "y", F.col("coverage").cast("float").alias("coverage"))
 
 
@@ -272,7 +277,10 @@ _NAMED = "SELECT row_number() OVER (ORDER BY page_id) - 1 AS batch_index, 'in/Sp
 def sources(spark, sf_dir):
     """A batch of source paths from pages, by page_id (which is dense, so the index needs no global window)."""
     kind = F.when(F.col("page_id") % 3 == 0, "PNG").when(F.col("page_id") % 3 == 1, "jpg").otherwise("webp")
-    return table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("batch_index"), F.concat(F.lit("in/Sprite-"), F.col("page_id").cast("string"), F.lit("HeroWalk."), kind).alias("source"))
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").cast("long").alias("batch_index"),
+        F.concat(F.lit("in/Sprite-"), F.col("page_id").cast("string"), F.lit("HeroWalk."), kind).alias("source")
+    )
 
 
 @query(f"""WITH named AS ({_NAMED}), parts AS (SELECT *, regexp_extract(source, '([^/]*)\\.([^.]*)$', 1) AS base, lower(regexp_extract(source, '\\.([^.]*)$', 1)) AS ext FROM named),
@@ -311,7 +319,10 @@ bad AS (SELECT j.batch, bool_or(j.was <> c.now OR j.target IN (SELECT target FRO
 SELECT batch, source, CASE WHEN bad THEN 'keep' ELSE 'remove' END AS verdict FROM jobs JOIN bad USING (batch)""")
 def source_removal(spark, sf_dir):
     """Which sources of each batch may go: all of a batch whose copies are all equal and have targets of their own, else none."""
-    jobs = table(spark, sf_dir, "part").selectExpr("p_type batch", "concat('s', p_partkey) source", "concat('t', p_partkey div 2 * 2 + if(p_size < 49, p_partkey % 2, 0)) target", "p_name was", "if(p_partkey % 61 = 0, 'spoilt', p_name) now")
+    jobs = table(spark, sf_dir, "part").selectExpr(
+        "p_type batch", "concat('s', p_partkey) source", "concat('t', p_partkey div 2 * 2 + if(p_size < 49, p_partkey % 2, 0)) target",
+        "p_name was", "if(p_partkey % 61 = 0, 'spoilt', p_name) now"
+    )
     sources_ = jobs.select(F.col("source").alias("path"), F.col("was").cast("binary").alias("content"))
     copies = jobs.groupBy("target").agg(F.min_by("now", "source").cast("binary").alias("content")).withColumnRenamed("target", "path")
     return batch.removable(sources_, copies, jobs.select("batch", "source", "target"))
@@ -327,7 +338,10 @@ SPRITES = "SELECT (p_partkey // 256)::bigint AS sheet, p_partkey AS sprite_id, C
 
 
 def sprites(spark, sf_dir):
-    return table(spark, sf_dir, "part").selectExpr("p_partkey div 256 sheet", "p_partkey sprite_id", "cast(if(p_partkey % 37 = 5, 0, 4 + p_size % 29) as int) w", "cast(4 + p_partkey % 23 as int) h")
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey div 256 sheet", "p_partkey sprite_id", "cast(if(p_partkey % 37 = 5, 0, 4 + p_size % 29) as int) w",
+        "cast(4 + p_partkey % 23 as int) h"
+    )
 
 
 GRID = f"""sprites AS ({SPRITES}),
@@ -401,7 +415,9 @@ def history_merge(spark, sf_dir):
 def history_replay(spark, sf_dir):
     """The same logs with purchases taken as steps back: what is left of each log, and what is undone in it."""
     move = F.when(F.col("event_type") == "purchase", F.col("event_id") % 40)
-    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("log"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("key"), move.alias("move"))
+    log = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("log"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("key"), move.alias("move")
+    )
     return batch.replayed_history(log, gap_ms=3_600_000, cap=50)
 
 
@@ -422,14 +438,20 @@ def decode_settings(spark, sf_dir):
 
 def whole_stack(spark, sf_dir):
     """A stack of operations over every image of shapes: what each image keeps."""
-    stack = [("remove_background", {}), ("remove_minimum_area", {"size": 2}), ("remove_lines", {}), ("fill_pinholes", {}), ("edge_cleanup", {"outer": 1.0}), ("posterize", {"palette": "best", "colors": 4})]
+    stack = [
+        ("remove_background", {}), ("remove_minimum_area", {"size": 2}), ("remove_lines", {}), ("fill_pinholes", {}),
+        ("edge_cleanup", {"outer": 1.0}), ("posterize", {"palette": "best", "colors": 4})
+    ]
     return apply_stack(rasters.packed(rasters.shapes(spark, sf_dir)), stack)
 
 
 def punched(spark, sf_dir):
     """shapes with scattered half-clear and clear pixels, some beside each other."""
     p = rasters.shapes(spark, sf_dir)
-    return p.withColumn("a", F.when((F.col("x") * 31 + F.col("y") * 17 + F.col("image_id") * 7) % 23 < 2, F.col("x") * 3 % 200).otherwise(F.col("a")).cast("int"))
+    return p.withColumn(
+        "a",
+        F.when((F.col("x") * 31 + F.col("y") * 17 + F.col("image_id") * 7) % 23 < 2, F.col("x") * 3 % 200).otherwise(F.col("a")).cast("int")
+    )
 
 
 PUNCHED = SHAPES + """,
@@ -443,7 +465,9 @@ def totals(images: DataFrame) -> DataFrame:
 
 
 #: SQL of totals over `result`.
-TOTALS = "SELECT image_id::bigint AS image_id, count(*) FILTER (a > 0) AS shown, " + ", ".join(f"sum({c} * (1 + (y * 64 + x) % 4093))::bigint AS sum_{c}" for c in "rgba") + " FROM result GROUP BY image_id"
+TOTALS = "SELECT image_id::bigint AS image_id, count(*) FILTER (a > 0) AS shown, " + ", ".join(
+    f"sum({c} * (1 + (y * 64 + x) % 4093))::bigint AS sum_{c}" for c in "rgba"
+) + " FROM result GROUP BY image_id"
 
 
 def _stage(name, settings, source=rasters.shapes, before=(), sql=None, as_name=None):
@@ -467,7 +491,10 @@ _stage("remove_background", {"edge_width": 0, "bleed_radius": 0, "decontaminate"
 gone(image_id, x, y) AS (SELECT image_id, x, y FROM shapes WHERE (x IN (0, 63) OR y IN (0, 63)) AND (a = 0 OR ({_WHITE})::float::double <= 0.02::double)
   UNION SELECT s.image_id, s.x, s.y FROM gone o JOIN shapes s ON s.image_id = o.image_id AND abs(s.x - o.x) + abs(s.y - o.y) = 1 AND s.x BETWEEN o.x - 1 AND o.x + 1 WHERE s.a = 0 OR ({_WHITE.replace('(r ', '(s.r ').replace('(g ', '(s.g ').replace('(b ', '(s.b ')})::float::double <= 0.02::double),
 result AS (SELECT s.image_id, s.x, s.y, r, g, b, CASE WHEN o.x IS NULL THEN a ELSE 0 END AS a FROM shapes s LEFT JOIN gone o USING (image_id, x, y))""")
-_stage("island_picker", {"islands": [{"picks": [{"point": (0, 0), "color_tolerance": 0.2}]}, {"mode": "add", "picks": [{"point": (8, 8), "color_tolerance": 0.1}]}]})
+_stage(
+    "island_picker",
+    {"islands": [{"picks": [{"point": (0, 0), "color_tolerance": 0.2}]}, {"mode": "add", "picks": [{"point": (8, 8), "color_tolerance": 0.1}]}]}
+)
 _stage("remove_crevice", {"reach": 2}, before=[MATTE])
 _stage("refine_edges", {"radius": 2, "floor": 0.1}, before=[MATTE])
 _stage("edge_cleanup", {"auto_color": True, "inner": 1.0, "outer": 1.5}, before=[MATTE])
@@ -602,7 +629,11 @@ def upscaled_images(spark, sf_dir):
 def generation_sizes(spark, sf_dir):
     """What the graphs of generation jobs ask for: prompts, seeds, and sizes that go down to multiples of 8."""
     jobs = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_name prompt", "p_size * 20 width", "p_size height", "p_partkey seed")
-    return models.generation_jobs(jobs, "checkpoint").select("p_partkey", F.get_json_object("graph", "$.prompt.2.inputs.text").alias("prompt"), *(F.get_json_object("graph", f"$.prompt.4.inputs.{c}").cast("int").alias(c) for c in ("width", "height")), F.get_json_object("graph", "$.prompt.5.inputs.seed").cast("long").alias("seed"))
+    return models.generation_jobs(jobs, "checkpoint").select(
+        "p_partkey", F.get_json_object("graph", "$.prompt.2.inputs.text").alias("prompt"),
+        *(F.get_json_object("graph", f"$.prompt.4.inputs.{c}").cast("int").alias(c) for c in ("width", "height")),
+        F.get_json_object("graph", "$.prompt.5.inputs.seed").cast("long").alias("seed")
+    )
 
 
 @query(f"""WITH {NOISE}, cut AS (SELECT image_id, x, y, lum FROM noise WHERE lum < 128),

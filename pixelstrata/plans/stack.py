@@ -44,9 +44,17 @@ def apply_stack(images: DataFrame, stack: list[Step | dict]) -> DataFrame:
                 else:
                     canvas = run_stack(w, h, data, steps)
                     data, reports = np.ascontiguousarray(canvas.compose()).tobytes(), json.dumps(canvas.reports)
-                yield pa.record_batch([batch.column("image_id").slice(i, 1), batch.column("width").slice(i, 1), batch.column("height").slice(i, 1), pa.array([data], pa.binary()), pa.array([reports]), pa.array([error], pa.string())], names=["image_id", "width", "height", "data", "reports", "error"])
-
-    return images.select("image_id", "width", "height", "data").mapInArrow(run, "image_id long, width int, height int, data binary, reports string, error string")
+                yield pa.record_batch(
+                    [
+                        batch.column("image_id").slice(i, 1), batch.column("width").slice(i, 1), batch.column("height").slice(i, 1),
+                        pa.array([data], pa.binary()), pa.array([reports]), pa.array([error], pa.string())
+                    ],
+                    names=["image_id", "width", "height", "data", "reports", "error"]
+                )
+
+    return images.select("image_id", "width", "height", "data").mapInArrow(
+        run, "image_id long, width int, height int, data binary, reports string, error string"
+    )
 
 
 def output_suffix(stack: list[Step | dict]) -> str:

@@ -64,7 +64,10 @@ def packed(pixels: DataFrame) -> DataFrame:
                 image[y * w[i] + x] = v[lo : lo + n]
                 out.append(image.tobytes())
                 lo += n
-            yield pa.record_batch([batch.column("image_id"), batch.column("width"), batch.column("height"), pa.array(out, pa.binary())], names=["image_id", "width", "height", "data"])
+            yield pa.record_batch(
+                [batch.column("image_id"), batch.column("width"), batch.column("height"), pa.array(out, pa.binary())],
+                names=["image_id", "width", "height", "data"]
+            )
 
     return images.mapInArrow(run, PACKED)
 
@@ -78,6 +81,12 @@ def unpacked(images: DataFrame) -> DataFrame:
                 w, h = batch.column("width")[i].as_py(), batch.column("height")[i].as_py()
                 data = np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8).reshape(-1, 4).astype(np.int32)
                 y, x = np.divmod(np.arange(w * h, dtype=np.int32), w)
-                yield pa.record_batch([pa.array(np.full(w * h, batch.column("image_id")[i].as_py(), np.int64)), pa.array(x), pa.array(y), *(pa.array(np.ascontiguousarray(data[:, j])) for j in range(4))], names=["image_id", "x", "y", "r", "g", "b", "a"])
+                yield pa.record_batch(
+                    [
+                        pa.array(np.full(w * h, batch.column("image_id")[i].as_py(), np.int64)), pa.array(x), pa.array(y),
+                        *(pa.array(np.ascontiguousarray(data[:, j])) for j in range(4))
+                    ],
+                    names=["image_id", "x", "y", "r", "g", "b", "a"]
+                )
 
     return images.select("image_id", "width", "height", "data").mapInArrow(run, LONG)

@@ -47,5 +47,8 @@ def merged_edits(edits: DataFrame, gap_ms: int = 600) -> DataFrame:
 
     kind = edits.schema["log"].dataType.simpleString()
     held = edits.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    merged = held.groupBy("log").applyInPandasWithState(run, f"log {kind}, key string, opened_us long, us long, edits long", "key string, opened long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    merged = held.groupBy("log").applyInPandasWithState(
+        run, f"log {kind}, key string, opened_us long, us long, edits long", "key string, opened long, last long, n long", "append",
+        GroupStateTimeout.EventTimeTimeout
+    )
     return merged.select("log", "key", F.timestamp_micros("opened_us").alias("opened"), F.timestamp_micros("us").alias("ts"), "edits")

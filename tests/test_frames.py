@@ -34,7 +34,9 @@ def test_expressions_equal_kernels(spark):
     images, arrays = some_images(spark)
     long = rasters.unpacked(images)
     regions = [{"rect": (1, 1, 7, 6), "hue": 0.37, "saturation": 1.4, "value": 0.8}, {"rect": (3, 0, 20, 5), "hue": -0.2, "saturation": 0.3, "value": 1.5}]
-    for name, settings, frame in (("hsv_adjust", {"regions": regions}, pixels.adjust_hsv(long, regions)), ("posterize", {"levels": 6}, pixels.posterize_even(long, 6))):
+    for name, settings, frame in (
+        ("hsv_adjust", {"regions": regions}, pixels.adjust_hsv(long, regions)), ("posterize", {"levels": 6}, pixels.posterize_even(long, 6))
+    ):
         got = as_arrays(frame, 9, 11)
         for i, a in arrays.items():
             assert (run_stack(11, 9, a.tobytes(), resolved([(name, settings)])).data.reshape(9, 11, 4) == got[i]).all(), name
@@ -65,7 +67,10 @@ def test_files_streams_and_sinks(spark, tmp_path):
     assert streamed == {r.data for r in apply_stack(images, stack).collect()}
 
 
-EDITS = [("p", "a", 10_000 + t, i) for i, t in enumerate((0, 500, 900, 2000, 2100))] + [("p", "b", 12_200, 5), ("p", "a", 12_300, 6), ("p", "", 12_310, 7), ("p", "", 12_320, 8), ("q", "a", 10_000, 9), ("q", "a", 10_000, 10), ("q", None, 10_100, 11), ("q", "a", 10_200, 12)]
+EDITS = [("p", "a", 10_000 + t, i) for i, t in enumerate((0, 500, 900, 2000, 2100))] + [
+    ("p", "b", 12_200, 5), ("p", "a", 12_300, 6), ("p", "", 12_310, 7), ("p", "", 12_320, 8), ("q", "a", 10_000, 9), ("q", "a", 10_000, 10),
+    ("q", None, 10_100, 11), ("q", "a", 10_200, 12)
+]
 
 
 def edits_frame(spark):
@@ -81,7 +86,9 @@ def test_streamed_edits_equal_batch(spark, tmp_path):
     stream = spark.readStream.schema(held.schema).parquet(source).withWatermark("ts", "0 seconds")
     query = merged_edits(stream).writeStream.format("memory").queryName("edits").option("checkpointLocation", f"file://{tmp_path}/c2").start()
     query.processAllAvailable()
-    spark.createDataFrame([("z", "z", 60_000, 99)], "log string, key string, ms long, seq long").select("log", "key", F.timestamp_millis("ms").alias("ts"), "seq").coalesce(1).write.mode("append").parquet(source)
+    spark.createDataFrame(
+        [("z", "z", 60_000, 99)], "log string, key string, ms long, seq long"
+    ).select("log", "key", F.timestamp_millis("ms").alias("ts"), "seq").coalesce(1).write.mode("append").parquet(source)
     for _ in range(20):
         query.processAllAvailable()
         got = {(r.log, r.key, r.ts, r.edits) for r in spark.table("edits").collect()}
@@ -159,20 +166,34 @@ def test_sinks_and_sidecars(spark, tmp_path):
     assert done["y.bin"].error == "no content" and done["a/x.bin"].bytes == 1 and done["z.bin"].error is None
     assert (tmp_path / "out/a/x.bin").read_bytes() == b"1" and {p.name for p in (tmp_path / "out").rglob("*") if p.is_file()} == {"x.bin", "z.bin"}
     given = spark.createDataFrame([("s", b"1"), ("t", b"2")], "path string, content binary")
-    assert [(r.target, bytes(r.content)) for r in files.copies(given, spark.createDataFrame([("t", "u")], "source string, target string")).collect()] == [("u", b"2")]
+    assert [
+        (r.target, bytes(r.content))
+        for r in files.copies(given, spark.createDataFrame([("t", "u")], "source string, target string")).collect()
+    ] == [("u", b"2")]
     made = files.sidecars(spark.createDataFrame([("in/a.png", "{}"), ("in/b.c.png", None)], "path string, text string")).collect()
     assert [r.target for r in made] == ["a.stack", "b.c.stack"] and files.unpack_sidecar(bytes(made[0].content)) == ("{}", None) and made[1].content is None
     newer, damaged = b"PXST\x02\0\0\0", files.pack_sidecar("x")[:-1]
     held = spark.createDataFrame([("a", bytes(made[0].content)), ("b", newer), ("c", damaged), ("d", b"{}"), ("e", None)], "path string, content binary")
-    assert {r.path: (r.text, r.error) for r in files.read_sidecars(held).collect()} == {"a": ("{}", None), "b": (None, "newer container"), "c": (None, "damaged sidecar"), "d": (None, "no sidecar"), "e": (None, "no sidecar")}
-    old = spark.createDataFrame([("a_old.json", b'{"stack": []}'), ("b_old.json", b'{"version": 1, "operations": {}}'), ("c_old.json", b"no"), ("d_old.json", b'{"x": 1}'), ("e.json", b'{"stack": []}')], "path string, content binary")
+    assert {r.path: (r.text, r.error) for r in files.read_sidecars(held).collect()} == {
+        "a": ("{}", None), "b": (None, "newer container"), "c": (None, "damaged sidecar"), "d": (None, "no sidecar"),
+        "e": (None, "no sidecar")
+    }
+    old = spark.createDataFrame(
+        [
+            ("a_old.json", b'{"stack": []}'), ("b_old.json", b'{"version": 1, "operations": {}}'), ("c_old.json", b"no"),
+            ("d_old.json", b'{"x": 1}'), ("e.json", b'{"stack": []}')
+        ],
+        "path string, content binary"
+    )
     there = spark.createDataFrame([("a.stack", files.pack_sidecar("{}")), ("b.stack", b"other")], "path string, content binary")
     moved = files.converted(old, there, "_old.json").collect()
     assert [(r.path, r.target, files.unpack_sidecar(bytes(r.content))[0]) for r in moved] == [("b_old.json", "b.stack", '{"version": 1, "operations": {}}')]
 
 
 def test_sheets_as_files(spark):
-    sizes = spark.createDataFrame([(s, i, 3 + i % 4, 4) for s in (0, 1) for i in range(5)], "sheet long, sprite_id long, w int, h int").withColumn("sprite_id", F.col("sheet") * 10 + F.col("sprite_id"))
+    sizes = spark.createDataFrame(
+        [(s, i, 3 + i % 4, 4) for s in (0, 1) for i in range(5)], "sheet long, sprite_id long, w int, h int"
+    ).withColumn("sprite_id", F.col("sheet") * 10 + F.col("sprite_id"))
     rects = batch.grid_plan(sizes, 16, 16, 1)
     none = spark.createDataFrame([], "row int, sprite_id long, dx int, dy int, vx int, vy int, enabled boolean")
     lookups = batch.lookup_pixels(rects, batch.pivots(rects, none))
@@ -196,7 +217,12 @@ def test_networks_and_cache(spark):
     key = models.network_signature("e", "m", 0, 2, False)
     first = models.cached_upscale(images, None, key, scale=2)
     cache = spark.createDataFrame(first.filter("image_id < 2").collect(), first.schema)
-    again = {r.image_id: bytes(r.data) for r in models.cached_upscale(images, cache.withColumn("data", F.when(F.col("image_id") == 0, F.lit(b"held")).otherwise(F.col("data"))), key, scale=2).collect()}
+    again = {
+        r.image_id: bytes(r.data)
+        for r in models.cached_upscale(
+            images, cache.withColumn("data", F.when(F.col("image_id") == 0, F.lit(b"held")).otherwise(F.col("data"))), key, scale=2
+        ).collect()
+    }
     assert again[0] == b"held" and again[1] == again[1] == models.doubled(arrays[1]).tobytes() and again[2] == models.doubled(arrays[2]).tobytes()
     assert models.cached_upscale(images, cache, "other", scale=2).filter("data = X'68656c64'").count() == 0
 
@@ -244,7 +270,9 @@ def test_jobs(spark):
     names = spark.createDataFrame([(0, "a/heroWalk-cycle_two.PNG"), (1, "b"), (2, "c.tga")], "batch_index long, source string")
     titled = [r.target for r in batch.renamed(names, counter=False, case="title").orderBy("batch_index").collect()]
     assert titled == ["Hero Walk Cycle Two.png", "B", "C.tga"]
-    assert [r.target for r in batch.renamed(names, base="x", start=-1, step=1, at_end=False).orderBy("batch_index").collect()] == ["-01_x.png", "00_x", "01_x.tga"]
+    assert [
+        r.target for r in batch.renamed(names, base="x", start=-1, step=1, at_end=False).orderBy("batch_index").collect()
+    ] == ["-01_x.png", "00_x", "01_x.tga"]
     assert [batch.table_side(n) for n in (0, 1, 2, 3, 5, 9)] == [(2, 1), (2, 1), (2, 2), (4, 2), (4, 4), (8, 4)]
     widths = spark.range(40).select(batch.table_width(F.col("id").cast("int")).alias("w")).collect()
     assert [r.w for r in widths] == [batch.table_side(n)[0] for n in range(40)]
@@ -255,7 +283,10 @@ def test_cut_and_build(spark):
     flat[1:4, 1:5], flat[7:11, 6:9] = 255, 200
     images = spark.createDataFrame([(0, 12, 12, flat.tobytes())], rasters.PACKED)
     cut = packing.cut_sprites(images).withColumn("sheet", F.lit(0).cast("long"))
-    planned = packing.plan(cut.select("sheet", F.col("sprite_id").cast("long").alias("sprite_id"), F.col("width").alias("w"), F.col("height").alias("h")), "tight", 8, 8)
+    planned = packing.plan(
+        cut.select("sheet", F.col("sprite_id").cast("long").alias("sprite_id"), F.col("width").alias("w"), F.col("height").alias("h")),
+        "tight", 8, 8
+    )
     sheet = packing.build_sheets(cut, planned).first()
     made = np.frombuffer(sheet.data, np.uint8).reshape(sheet.height, sheet.width, 4)
     assert (made[..., 3] > 0).sum() == 12 + 12

@@ -35,7 +35,9 @@ class Handler(BaseHTTPRequestHandler):
             return self.answer({})
         if name == "broken":
             return self.answer({name: {"status": {"status_str": "error", "messages": [["execution_error", {"node_type": "KSampler", "exception_message": "too large"}]]}}})
-        images = {"none": [], "lost": [{"filename": "lost.png"}]}.get(name, [{"filename": f"{name}1.png"}, {"filename": "preview.png", "type": "temp"}, {"filename": f"{name}2.png"}])
+        images = {"none": [], "lost": [{"filename": "lost.png"}]}.get(
+            name, [{"filename": f"{name}1.png"}, {"filename": "preview.png", "type": "temp"}, {"filename": f"{name}2.png"}]
+        )
         return self.answer({name: {"status": {"status_str": "success"}, "outputs": {"7": {"images": images}}}})
 
 
@@ -44,7 +46,10 @@ def test_jobs_run_and_say_why_not(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     try:
         names = ["good", "shaky", "refused", "gone", "silent", "broken", "none", "lost"]
-        jobs = generation_jobs(spark.createDataFrame([(i, n, 64, 64, i) for i, n in enumerate(names)], "job long, prompt string, width int, height int, seed long"), "model")
+        jobs = generation_jobs(
+            spark.createDataFrame([(i, n, 64, 64, i) for i, n in enumerate(names)], "job long, prompt string, width int, height int, seed long"),
+            "model"
+        )
         jobs = jobs.unionByName(spark.createDataFrame([(99, None, 1, 1, 1, "x")], jobs.schema)).repartition(4)
         rows = generated(jobs, Service(f"http://127.0.0.1:{server.server_port}", pause=0.02, silence=0.3, timeout=5)).collect()
     finally:

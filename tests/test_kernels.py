@@ -156,7 +156,10 @@ def test_promised_properties():
     assert (twice == through(image, MATTE, ("remove_crevice", {"reach": 2}))).all()
     for name in ("smooth_blocks", "smooth_color", "smooth_halos", "posterize"):
         assert (through(image, MATTE, (name, {}))[..., 3] == plain[..., 3]).all()
-    none, zero = (through(image, MATTE, ("posterize", {"palette": "best", "colors": 3, "dither": d, "strength": s})) for d, s in (("none", 1.0), ("floyd", 0.0)))
+    none, zero = (
+        through(image, MATTE, ("posterize", {"palette": "best", "colors": 3, "dither": d, "strength": s})) for d,
+        s in (("none", 1.0), ("floyd", 0.0))
+    )
     assert (none == zero).all()
     tiles = [through(image, MATTE, ("random_hsv_tiles", {"seed": s})) for s in (4, 4, 5)]
     assert (tiles[0] == tiles[1]).all() and (tiles[0] != tiles[2]).any()
@@ -172,7 +175,10 @@ def test_regions_strokes_and_objects():
     image = picture()
     cut = through(image, ("polygon_edit", {"regions": [{"points": [(0, 0), (10, 0), (10, 10), (0, 10)]}]}))
     assert (cut[:10, :10, 3] == 0).all() and cut[11, 11, 3] == 255
-    later = through(image, ("polygon_edit", {"regions": [{"points": [(0, 0), (10, 0), (10, 10), (0, 10)]}, {"points": [(0, 0), (4, 0), (4, 4), (0, 4)], "mode": "add"}]}))
+    later = through(
+        image,
+        ("polygon_edit", {"regions": [{"points": [(0, 0), (10, 0), (10, 10), (0, 10)]}, {"points": [(0, 0), (4, 0), (4, 4), (0, 4)], "mode": "add"}]})
+    )
     assert later[1, 1, 3] == 255 and later[8, 8, 3] == 0
     brushed = through(image, ("brush_edit", {"strokes": [{"points": [(20, 20), (24, 20)], "radius": 3}]}))
     assert (brushed[20, 18:27, 3] == 0).all() and brushed[20, 30, 3] == 255
@@ -264,7 +270,9 @@ def test_packing_is_the_model(method):
 
 def test_padding_stands_once_between_sprites():
     assert packing.place([(10, 10), (10, 10)], "shelf", 64, 64, 2)[0] == [(2, 2), (14, 2)]
-    assert packing.place([(9000, 5), (9000, 5)], "original", 10_000, 4)[1:] == (16_384, 16) and packing.place([(10, 10), (0, 4)], "tight", 16, 16)[1:] == (16, 16)
+    assert packing.place(
+        [(9000, 5), (9000, 5)], "original", 10_000, 4
+    )[1:] == (16_384, 16) and packing.place([(10, 10), (0, 4)], "tight", 16, 16)[1:] == (16, 16)
 
 
 @pytest.mark.parametrize("method", sorted(packing.METHODS))

@@ -351,7 +351,12 @@ def test_shape_normals():
         seeds = [p for p in cells if not solid(*p)]
         if tolerance is not None:
             gap = lambda a, b: max(abs(int(sprite[a][j]) - int(sprite[b][j])) for j in range(3)) / 255.0  # noqa: E731, B023
-            seeds += [(y, x) for y, x in cells if solid(y, x) and any(solid(y + a, x + b) and gap((y, x), (y + a, x + b)) > tolerance for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0)))]
+            seeds += [
+                (y, x) for y,
+                x in cells if solid(y, x) and any(
+                    solid(y + a, x + b) and gap((y, x), (y + a, x + b)) > tolerance for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))
+                )
+            ]
         number = {p: i for i, p in enumerate(cells)}
         near = grassfire(np.array([number[p] for p in seeds], np.int64), h + 2, w + 2, roll).tolist()
         high = {}
@@ -562,7 +567,13 @@ def test_segmentation_is_background_from_the_border():
             want = [0 if w == 1 and i not in reached else w for i, w in enumerate(want)]
         ground = [i for i in range(c.n) if want[i] == 1]
         rim = [i for i in ground if any(want[j] == 0 for j in four(i, c.h, c.w))] or ground
-        stages.neural_remove_background(c, {"model": lambda a, p=p: p, "matte": "analytic", "threshold": 0.5, "contiguous": contiguous, "edge_width": 2, "edge_tolerance": 0.0, "bleed_radius": 4, "decontaminate": True})
+        stages.neural_remove_background(
+            c,
+            {
+                "model": lambda a, p=p: p, "matte": "analytic", "threshold": 0.5, "contiguous": contiguous, "edge_width": 2,
+                "edge_tolerance": 0.0, "bleed_radius": 4, "decontaminate": True
+            }
+        )
         if not ground or 0 not in want:
             assert c.mask is None
             continue
