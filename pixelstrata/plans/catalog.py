@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import batch, documents, models, normals, packing, pixels
-from ..sources import rasters
+from ..sources import files, rasters
 from .stack import apply_stack, output_suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -594,6 +594,19 @@ def sprite_cutouts(spark, sf_dir):
     return packing.cut_sprites(apply_stack(rasters.packed(rasters.shapes(spark, sf_dir)), [MATTE])).withColumn("data", F.sha2("data", 256))
 
 
+@query()
+def exported_sheets(spark, sf_dir):
+    """The files of an export: each image's objects packed on a sheet, with its look-up table and normal map."""
+    images = apply_stack(rasters.packed(rasters.shapes(spark, sf_dir)), [MATTE])
+    cut = packing.cut_sprites(images).withColumn("sheet", F.col("image_id")).withColumn("sprite_id", F.col("image_id") * 1000 + F.col("sprite_id"))
+    planned = packing.plan(cut.select("sheet", "sprite_id", F.col("width").alias("w"), F.col("height").alias("h")), "shelf", 32, 32, padding=1)
+    sheets = packing.build_sheets(cut, planned).withColumn("name", F.concat(F.lit("sheet_"), F.col("image_id").cast("string")))
+    none = spark.createDataFrame([], "row int, sprite_id long, dx int, dy int, vx int, vy int, enabled boolean")
+    lookups = batch.lookup_pixels(planned, batch.pivots(planned, none))
+    made = files.sheet_files(sheets, lookups, normals.normal_maps(sheets, [{"kind": "round_edges"}]))
+    return made.select("sheet", "target", F.length("content").alias("bytes"), F.sha2("content", 256).alias("digest"), "error")
+
+
 def _plan(method):
     def run(spark, sf_dir):
         return packing.plan(sprites(spark, sf_dir), method, 256, 256, padding=1)
