@@ -7,6 +7,7 @@ stay until `scratch` ends around the caller, or until the folder is cleaned.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     unset and gets a temporary one; a cluster must name a folder that all executors share."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='pixelstrata-')}"
         spark.conf.set("spark.checkpoint.dir", at)
