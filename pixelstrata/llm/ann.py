@@ -160,12 +160,12 @@ def _encode(books):
 
 
 def cosines(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of the rows a of x with the rows b of y, in double precision."""
+    """Of the rows a of x with the rows b of y: sums in extended precision, rounded to doubles once, so that vectors of one direction
+    tie whatever their lengths."""
     out = np.empty(len(a))
     for lo in range(0, len(a), PAIRS):
-        p, q = x[a[lo : lo + PAIRS]], y[b[lo : lo + PAIRS]]
-        dot, pp, qq = (np.einsum("nd,nd->n", i, j) for i, j in ((p, q), (p, p), (q, q)))
-        out[lo : lo + PAIRS] = dot / (np.sqrt(pp) * np.sqrt(qq))
+        p, q = x[a[lo : lo + PAIRS]].astype(np.longdouble), y[b[lo : lo + PAIRS]].astype(np.longdouble)
+        out[lo : lo + PAIRS] = (p * q).sum(1) / (np.sqrt((p * p).sum(1)) * np.sqrt((q * q).sum(1)))
     return out
 
 
