@@ -12,11 +12,11 @@ reaches; components of these edges are families: every pair that could be a link
 walked the same way on full sets (counts of shared shingles from postings), again with one edge for each class reached.
 Components of the exact edges are the result.
 
-Large groups: every member of a family, and of a key of over KEY_ROWS classes, is first held against one pivot, its smallest
-member, by a join that can be split. Where the pivot reaches all, which a group of copies of one text mostly does, that is
-all. Else members that it reached and members that it did not are dealt to blocks, and the tasks are pairs of blocks, of
-which one at least holds members that were not reached: two members that the pivot reached need no look at each other. So the work of a
-tight group is linear, no task holds more than two blocks, and only what the pivots do not reach costs its square.
+Large groups: the members of a family of over BLOCK shingles, and of a key of over KEY_ROWS classes, are first held against one
+pivot, the smallest member, by a join that can be split. Where the pivot reaches all, which a group of copies of one text
+mostly does, that is all. Else members that it reached and members that it did not are dealt to blocks, and the tasks are pairs
+of blocks, of which one at least holds members that were not reached: two members that the pivot reached need no look at each other.
+So the work of a tight group is linear, no task holds more than two blocks, and only what the pivots do not reach costs its square.
 
 Defined cases: null or wordless texts have no shingles, keep their own component and link with nothing; repeated rows
 of a doc_id, of equal or other texts, are one node, which links with whatever one of its sets links with, and each
@@ -42,7 +42,7 @@ CHUNKS, WIDTH, ERRORS = 12, 4, 1
 SYMBOLS = CHUNKS * WIDTH
 FAR = 29  # pairs that differ in more symbols are no candidates: over 5.5 deviations from the mean at a similarity of 0.75
 KEY_ROWS = 2000  # classes of a key in one task, and of a block of a larger key
-BLOCK = 1_000_000  # shingles of a block of a family
+BLOCK = 100_000  # shingles of a family in one task, and of a block of a larger family
 LANES = SYMBOLS // 4  # a signature is kept as longs of four 16-bit symbols
 _SEEDS = mix(np.arange(1, 2 * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x51ED270B27F5C9A1))
 _MULTIPLY = (_SEEDS[:SYMBOLS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -212,22 +212,27 @@ def _tasks(rows: DataFrame, by: str, member: str, weight, size: int) -> DataFram
     return held.withColumn("block", block).withColumn("task", F.explode(of)).select(*rows.columns, "task.side", "task.x", "task.y")
 
 
+SETS = "family long, large boolean, id long, n long, linked boolean, members binary"
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in blocks(batches):
             hashes, begin = shingles(*word_hashes(data, offsets, lower=True), k)
-            rows = [np.unique(hashes[begin[i] : begin[i + 1]]).tobytes() for i in range(batch.num_rows)]
-            yield pa.record_batch([batch.column("family"), batch.column("doc_id"), pa.array(rows, pa.binary())], names=["family", "id", "members"])
+            rows = [np.unique(hashes[begin[i] : begin[i + 1]]) for i in range(batch.num_rows)]
+            sizes, linked = pa.array([len(r) for r in rows], pa.int64()), pa.array(np.zeros(len(rows), bool))
+            columns = [batch.column("family"), batch.column("large"), batch.column("doc_id"), sizes, linked, pa.array([r.tobytes() for r in rows], pa.binary())]
+            yield pa.record_batch(columns, names=["family", "large", "id", "n", "linked", "members"])
 
     return run
 
 
 def _held_against_pivots(percent: int):
-    """Rows (family, id, members, pivot) as (family, id, n, linked, members): whether the exact link to the family's pivot is there."""
+    """Rows of sets with their family's pivot, as rows of sets: linked says whether the exact link to the pivot is there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, sizes, last, pivot = [], [], None, None
+            linked, last, pivot = [], None, None
             for own, other in zip(batch.column("members"), batch.column("pivot"), strict=True):
                 members = np.frombuffer(own.as_buffer(), np.uint64)
                 raw = other.as_buffer()
@@ -236,9 +241,8 @@ def _held_against_pivots(percent: int):
                 at = np.minimum(np.searchsorted(pivot, members), max(len(pivot) - 1, 0))
                 shared = int((pivot[at] == members).sum()) if len(pivot) else 0
                 linked.append(100 * shared >= percent * (len(members) + len(pivot) - shared) and len(members) > 0)
-                sizes.append(len(members))
-            columns = [batch.column("family"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(linked), batch.column("members")]
-            yield pa.record_batch(columns, names=["family", "id", "n", "linked", "members"])
+            held = batch.drop_columns(["pivot"])
+            yield held.set_column(held.schema.get_field_index("linked"), "linked", pa.array(linked, pa.bool_()))
 
     return run
 
@@ -338,16 +342,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame
         .agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in _lanes()))
     )
     families = _families(reps, percent)
-    owned = docs.select(F.col("doc_id").cast("long"), "text").join(families.withColumnRenamed("id", "doc_id"), "doc_id")
-    sets = lambda rows: rows.mapInArrow(_sets(k), "family long, id long, members binary")
-    pivots = sets(owned.filter("doc_id = family")).groupBy("family").agg(F.min("members").alias("pivot"))
-    judged = sets(owned).join(pivots, "family").mapInArrow(_held_against_pivots(percent), "family long, id long, n long, linked boolean, members binary")
-    judged = staged(judged)
-    tasks = _tasks(judged, "family", "id", F.col("n"), BLOCK).repartition("family", "side", "x", "y")
+    sizes = families.join(reps.select(F.col("rep").alias("id"), "n"), "id").groupBy("family").agg((F.sum("n") > BLOCK).alias("large"))
+    owned = families.join(sizes, "family").withColumnRenamed("id", "doc_id").hint("merge")
+    sets = staged(docs.select(F.col("doc_id").cast("long"), "text").join(owned, "doc_id").mapInArrow(_sets(k), SETS))
+    large = sets.filter("large")
+    pivots = large.filter("id = family").groupBy("family").agg(F.min("members").alias("pivot"))
+    judged = staged(large.join(pivots, "family").select("*").mapInArrow(_held_against_pivots(percent), SETS))
+    small = sets.filter("not large").select("*", *(F.lit(0).alias(x) for x in ("side", "x", "y")))
+    tasks = small.union(_tasks(judged, "family", "id", F.col("n"), BLOCK)).repartition("family", "side", "x", "y")
     walked = tasks.sortWithinPartitions("family", "side", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
     links = judged.filter("linked and id <> family").select(F.col("id").alias("a"), F.col("family").alias("b"))
     found = connected_components(links.union(walked).union(_of_one_id(marks, reps)))
-    drop_staged(judged, families)
+    drop_staged(sets, judged, families)
     member = reps.select("n", "h1", "h2", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
         "n", "h1", "h2", F.coalesce("component", "rep").alias("component")
     )

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 #: Rows that need a number of their own while a stage runs are numbered from FREE on.
 FREE = 1 << 61
 _made: list[str] = []
+_local: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Only a session of one machine (local master), as in tests, may leave it
     unset and gets a temporary one; a cluster must name a folder that all executors share."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or _local.get(spark.sparkContext.applicationId)
     if not at:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='pixelstrata-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        at = _local[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='pixelstrata-')}"
     return at.rstrip("/")
 
 
