@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows that need a number of their own while a stage runs are numbered from FREE on.
 FREE = 1 << 61
+#: Rows of an Arrow batch while a table is staged: texts of whole documents make batches large enough.
+RECORDS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 _made: list[str] = []
 _local: dict[str, str] = {}
 
@@ -42,7 +44,12 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     _made.append(path)
-    df.write.parquet(path)
+    usual = spark.conf.get(RECORDS, "10000")
+    spark.conf.set(RECORDS, str(min(int(usual), BATCH) if int(usual) > 0 else BATCH))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(RECORDS, usual)
     back = spark.read.schema(df.schema).parquet(path)
     back.staged_path = path
     return back
