@@ -28,6 +28,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     apart = edges.select("a", "b").filter("a <> b")
     now = staged(apart.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if now.isEmpty():
+        return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
     seen = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
