@@ -195,9 +195,9 @@ def combine_normals(base: DataFrame, detail: DataFrame, opacity: float, reorient
     sx, sy = (part(c) / deep("dnz") * opacity for c in ("dnx", "dny"))
     if reoriented:
         length = F.sqrt(sx * sx + sy * sy + 1.0)
-        ux, uy, uz, tz = -sx / length, -sy / length, 1.0 / length, deep("nz") + 1.0
-        reach = (part("nx") * ux + part("ny") * uy + tz * uz) / tz
-        v = (part("nx") * reach - ux, part("ny") * reach - uy, tz * reach - uz)
+        bx, by, tz, ux, uy = part("nx"), part("ny"), deep("nz") + 1.0, -sx, -sy
+        reach = (bx * ux / length + by * uy / length + tz / length) / tz  # products first, as in the SQL: a last bit can move a byte
+        v = (bx * reach - ux / length, by * reach - uy / length, tz * reach - 1.0 / length)
     else:
         v = (part("nx") / deep("nz") + sx, part("ny") / deep("nz") + sy, F.lit(1.0))
     made = both.withColumns({f"_{i}": c for i, c in enumerate(v)})

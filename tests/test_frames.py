@@ -2,6 +2,7 @@
 
 import time
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -67,6 +68,17 @@ def test_polygon_judges_places_once(spark, tmp_path):
     assert most_rows(made._jdf.queryExecution().executedPlan()) < 10_000  # 1,028,608 pixels
 
 
+def test_reoriented_normals_round_as_their_sql(spark, tmp_path):
+    lums = (57, 160, 200)  # each has a place whose byte hangs on the order of multiplication and division
+    rows = [(i, [(lums[i // 64] + 0.5) / 255 - 0.5] * 64) for i in range(64 * len(lums))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = c.execute(catalog.ORACLES["normal_combine_reoriented"]).fetchall()
+    got = catalog.normal_combine_reoriented(spark, str(tmp_path)).collect()
+    assert len(want) == 4096 * len(lums) and set(map(tuple, got)) == set(want) and len(got) == len(want)
+
+
 def test_bad_images_say_so(spark):
     images = spark.createDataFrame([(1, 2, 2, b"x"), (2, None, None, None), (3, 1, 1, b"\x01\x02\x03\xff")], rasters.PACKED)
     rows = {r.image_id: r for r in apply_stack(images, [("posterize", {}), {"id": "unknown"}, {"id": "denoise", "enabled": False}]).collect()}
